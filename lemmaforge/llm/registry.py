@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
+from lemmaforge.llm.quality import op1_quality
 from lemmaforge.llm.shard import op8_sharding
+from lemmaforge.llm.toxicity import op3_toxicity
 from lemmaforge.llm.warc import OP10_SQL, op10_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
+        "op3_toxicity": op3_toxicity,
         "op6_decontamination": op6_decontamination,
         "op8_sharding": op8_sharding,
         "op10_warc": op10_warc,
