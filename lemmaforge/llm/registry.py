@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
 from lemmaforge.llm.quality import op1_quality
 from lemmaforge.llm.shard import op8_sharding
+from lemmaforge.llm.syncmers import op9_syncmers
 from lemmaforge.llm.toxicity import op3_toxicity
 from lemmaforge.llm.warc import OP10_SQL, op10_warc
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op6_decontamination": op6_decontamination,
         "op8_sharding": op8_sharding,
+        "op9_syncmers": op9_syncmers,
         "op10_warc": op10_warc,
     }
 
