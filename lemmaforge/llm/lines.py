@@ -1,0 +1,239 @@
+"""Line dedup: winnowed fingerprints find repeated runs of lines, later repeats are deleted.
+
+A line here is a stretch of text between line breaks, sentence ends and word-initial capitals, so that a passage is
+found inside a longer line as well. A run counts when it has at least `min_words` words. Windows are the shortest
+runs of lines that reach `min_words`; within each window the smallest hash of a half-sized gram is its fingerprint, so
+two equal windows always share one (the winnowing guarantee). Steps:
+
+1. hash lines, select the fingerprints, store both by document;
+2. join fingerprints: only those that occur twice go on;
+3. around them, key the windows that start or end at each line by their whole content, find each key's first place
+   (least id, then text hash, then position), and mark every later window: as windows at both ends of a run are keyed,
+   marks extend both ways to the whole run, whichever earlier document holds it;
+4. delete marked lines.
+
+A deleted line always has an earlier copy in a window that is not marked at that place, so one copy of it stays.
+Rows stay linear in the lines: occurrences meet only the first place of their key, never each other.
+
+Defined cases: null and empty texts stay as they are; rows with equal id and equal text are one document, and are
+edited alike; a null id sorts first; a text that consists only of repeats becomes empty; extra columns pass through.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lemmaforge.session import cut, workers_see_package
+
+MIN_WORDS = 50
+_BREAK = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_CHUNK = 256
+
+
+def split_lines(text: str) -> tuple[list[str], list[str]]:
+    """Lines and the separator behind each of them; joined in turn they are the text."""
+    lines, gaps, at = [], [], 0
+    for m in _BREAK.finditer(text):
+        lines.append(text[at : m.start()])
+        gaps.append(m[0])
+        at = m.end()
+    return [*lines, text[at:]], [*gaps, ""]
+
+
+def line_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and word counts of all lines, and where each text's lines start (with the total at the end)."""
+    hashes, words, starts = [], [], [0]
+    for text in texts:
+        for line in _BREAK.split(text or ""):
+            n = len(line.split())
+            words.append(n)
+            hashes.append(xxhash.xxh3_64_intdigest(line.strip().encode("utf-8", "surrogatepass")) if n else 0)
+        starts.append(len(words))
+    return np.array(hashes, np.uint64), np.array(words, np.int64), np.array(starts, np.int64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class Runs:
+    """Shortest runs of lines with at least so many words, over the lines of several texts."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> None:
+        self.n = len(hashes)
+        self.sum = np.concatenate(([0], np.cumsum(words)))
+        up, self.down = _powers(self.n)
+        self.poly = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.first, self.last = starts[:-1][owner], starts[1:][owner]
+
+    def ends(self, least: int) -> np.ndarray:
+        """End (exclusive) of the shortest run from each line; -1 where the text has too few words left."""
+        end = np.searchsorted(self.sum, self.sum[:-1] + least, side="left")
+        return np.where(end <= self.last, end, -1)
+
+    def begins(self, least: int) -> np.ndarray:
+        """Begin of the shortest run that ends behind each line; -1 where the text has too few words before."""
+        begin = np.searchsorted(self.sum, self.sum[1:] - least, side="right") - 1
+        return np.where(begin >= self.first, begin, -1)
+
+    def keys(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Content hashes of runs, alike wherever they stand."""
+        return (self.poly[end] - self.poly[begin]) * self.down[begin]
+
+    def seeds(self, least: int) -> np.ndarray:
+        """For each line the begin of the fingerprint of its window, -1 without a window."""
+        end, gram = self.ends(least), self.ends((least + 1) // 2)
+        ok = gram >= 0
+        key = np.full(self.n, np.iinfo(np.uint64).max, np.uint64)
+        key[ok] = self.keys(np.flatnonzero(ok), gram[ok])
+        best, low = np.full(self.n, -1), np.full(self.n, np.iinfo(np.uint64).max, np.uint64)
+        at, step = np.flatnonzero(end >= 0), 0
+        while len(at):
+            s = at + step
+            inside = s < self.n
+            inside[inside] &= ok[s[inside]] & (gram[s[inside]] <= end[at[inside]])
+            at, s = at[inside], s[inside]
+            better = key[s] <= low[at]
+            best[at[better]], low[at[better]] = s[better], key[s[better]]
+            step += 1
+        return best
+
+
+_PREPARED = "ld_k long, ld_t long, ld_hash binary, ld_words binary, ld_seed array<long>"
+
+
+def _prepared(docs: DataFrame, text: str, least: int) -> DataFrame:
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _CHUNK):
+                batch = whole.slice(at, _CHUNK)
+                hashes, words, starts = line_table(batch.column(2).to_pylist())
+                runs = Runs(hashes, words, starts)
+                best, gram = runs.seeds(least), runs.ends((least + 1) // 2)
+                rows = []
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    s = np.unique(best[a:b])
+                    s = s[s >= 0]
+                    rows.append((hashes[a:b].tobytes(), words[a:b].astype(np.uint32).tobytes(), runs.keys(s, gram[s]).view(np.int64)))
+                columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["ld_k", "ld_t", "ld_hash", "ld_words", "ld_seed"])
+
+    return docs.select("ld_k", "ld_t", F.col(text)).mapInArrow(prepare, _PREPARED)
+
+
+def _windows(found: DataFrame, least: int) -> DataFrame:
+    """Windows, by content, whose fingerprint is repeated."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ld_key", "ld_k", "ld_t", "ld_a", "ld_b"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, _CHUNK):
+                batch = whole.slice(at, _CHUNK)
+                hashes = [np.frombuffer(x, np.uint64) for x in batch.column("ld_hash").to_pylist()]
+                words = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column("ld_words").to_pylist()]).astype(np.int64)
+                starts = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+                runs = Runs(np.concatenate(hashes), words, starts)
+                best, gram = runs.seeds(least), runs.ends((least + 1) // 2)
+                keys = np.zeros(runs.n, np.uint64)
+                ok = gram >= 0
+                keys[ok] = runs.keys(np.flatnonzero(ok), gram[ok])
+                live = np.zeros(runs.n + 1, bool)
+                for a, b, seeds in zip(starts[:-1].tolist(), starts[1:].tolist(), batch.column("ld_seeds"), strict=True):
+                    s = best[a:b]
+                    hit = np.isin(keys[np.maximum(s, 0)], np.array(seeds.as_py(), np.int64).view(np.uint64)) & (s >= 0)
+                    live[a:b] = hit
+                end, begin = runs.ends(least), runs.begins(least)
+                forward = np.flatnonzero(live[:-1] & (end >= 0))
+                back = np.flatnonzero(begin >= 0)
+                back = back[live[begin[back]]]
+                a, b = np.concatenate((forward, begin[back])), np.concatenate((end[forward], back + 1))
+                if not len(a):
+                    continue
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                a, b = a[fresh], b[fresh]
+                doc = np.searchsorted(starts, a, side="right") - 1
+                take = pa.array(doc)
+                base = starts[doc]
+                columns = [pa.array(runs.keys(a, b).view(np.int64)), batch.column("ld_k").take(take), batch.column("ld_t").take(take), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.mapInArrow(emit, "ld_key long, ld_k long, ld_t long, ld_a int, ld_b int")
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
+    """(ld_k, ld_t, ld_runs): line ranges, as structs a and b (exclusive), that repeat an earlier place, by document.
+
+    `docs` has the document's id as ld_k and its text's hash as ld_t.
+    """
+    table = cut(_prepared(docs, text, least), "lines").dropDuplicates(["ld_k", "ld_t"])
+    seeds = table.select("ld_k", "ld_t", F.explode("ld_seed").alias("ld_s"))
+    often = seeds.groupBy("ld_s").agg(F.count("*").alias("n")).filter("n > 1").select("ld_s")
+    live = seeds.join(often, "ld_s").groupBy("ld_k", "ld_t").agg(F.collect_list("ld_s").alias("ld_seeds"))
+    windows = cut(_windows(table.drop("ld_seed").join(live, ["ld_k", "ld_t"]), least), "windows")
+    place = F.struct("ld_k", "ld_t", "ld_a")
+    firsts = windows.groupBy("ld_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = windows.join(firsts, "ld_key").filter(place > F.col("first"))
+    return later.groupBy("ld_k", "ld_t").agg(F.collect_list(F.struct(F.col("ld_a").alias("a"), F.col("ld_b").alias("b"))).alias("ld_runs"))
+
+
+def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the lines in the ranges, and the words that went."""
+    lines, gaps = split_lines(text)
+    gone = np.zeros(len(lines) + 1, np.int32)
+    for a, b in runs:
+        gone[a] += 1
+        gone[b] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    kept = "".join(line + gap for line, gap, out in zip(lines, gaps, gone.tolist(), strict=True) if not out)
+    removed = sum(len(line.split()) for line, out in zip(lines, gone.tolist(), strict=True) if out)
+    return (kept.rstrip() if gone[-1] else kept), removed
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
+    """`docs` without later repeats of runs of at least `least` words; `removed` names a column for the words that went."""
+    workers_see_package(docs.sparkSession)
+    keyed = docs.withColumns({"ld_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "ld_t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    joined = keyed.join(repeated_runs(keyed, text, least), ["ld_k", "ld_t"], "left").select(*docs.columns, "ld_runs")
+    place = docs.columns.index(text)
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _CHUNK):
+                batch = whole.slice(at, _CHUNK)
+                texts, counts = [], []
+                for body, runs in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
+                    body, n = body.as_py(), 0
+                    if runs.is_valid and body:
+                        body, n = without_runs(body, [(r["a"], r["b"]) for r in runs.as_py()])
+                    texts.append(body)
+                    counts.append(n)
+                columns = [*batch.columns[:-1]]
+                columns[place] = pa.array(texts, pa.string())
+                names = batch.schema.names[:-1]
+                if removed:
+                    columns, names = [*columns, pa.array(counts, pa.int64())], [*names, removed]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    extra = [T.StructField(removed, T.LongType())] if removed else []
+    return joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, *extra]))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: words removed as later repeats of runs of 50 words or more, and a digest of what stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dedup_lines(docs, removed="n_removed").select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
