@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
+from lemmaforge.llm.jaccard import op4_jaccard
 from lemmaforge.llm.lines import op5_line_dedup
 from lemmaforge.llm.quality import op1_quality
 from lemmaforge.llm.shard import op8_sharding
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op3_toxicity": op3_toxicity,
+        "op4_jaccard": op4_jaccard,
         "op5_line_dedup": op5_line_dedup,
         "op6_decontamination": op6_decontamination,
         "op8_sharding": op8_sharding,
