@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
 from lemmaforge.llm.jaccard import op4_jaccard
 from lemmaforge.llm.lines import op5_line_dedup
+from lemmaforge.llm.pieces import op7_sentencepiece
 from lemmaforge.llm.quality import op1_quality
 from lemmaforge.llm.shard import op8_sharding
 from lemmaforge.llm.syncmers import op9_syncmers
+from lemmaforge.llm.tokencount import op2_token_counts
 from lemmaforge.llm.toxicity import op3_toxicity
 from lemmaforge.llm.warc import OP10_SQL, op10_warc
 
@@ -21,10 +23,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
+        "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_jaccard": op4_jaccard,
         "op5_line_dedup": op5_line_dedup,
         "op6_decontamination": op6_decontamination,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_sharding": op8_sharding,
         "op9_syncmers": op9_syncmers,
         "op10_warc": op10_warc,
