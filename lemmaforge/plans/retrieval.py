@@ -1,6 +1,228 @@
-"""Retrieval metrics over stored vectors."""
+"""Queries over stored vectors: `embeddings` with label as paper id."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lemmaforge.functions.text import md5_key
+from lemmaforge.functions.vectors import dot, first_vector, last_vector, norm, normalised
+from lemmaforge.operators import similarity as sim
+
+TAU = 0.07
+PAIRS = 200
+NEGATIVES = 20
+QUERIES_MAX = 100
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, grp, vec."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vec"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x, y: the vectors 2 id and 2 id + 1."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    x = e.filter("vec_id % 2 = 0").select(F.expr("vec_id div 2").alias("id"), F.col("embedding").alias("x"))
+    y = e.filter("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("id"), F.col("embedding").alias("y"))
+    return x.join(y, "id")
+
+
+def _round(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def v1_dot(spark, d):
+    return pairs(spark, d).select("id", _round(dot(F.col("x"), F.col("y"))).alias("dot"))
+
+
+def v2_normalise(spark, d):
+    u = normalised(F.transform("vec", lambda x: x * 3))
+    zero = vectors(spark, d).limit(0)
+    return vectors(spark, d).unionByName(zero).select("id", _round(norm(u), 5).alias("length"), _round(u[0], 5).alias("first"))
+
+
+def v13_first_pooling(spark, d):
+    return vectors(spark, d).select("id", _round(first_vector(F.array("vec", F.reverse("vec")))[0].cast("double")).alias("pooled"))
+
+
+def v14_last_pooling(spark, d):
+    states, mask = F.array("vec", F.reverse("vec"), "vec"), F.array(F.lit(1), F.lit(1), F.lit(0))
+    return vectors(spark, d).select("id", _round(last_vector(states, mask)[0].cast("double")).alias("pooled"))
+
+
+def j12_all_pairs(spark, d):
+    v = vectors(spark, d)
+    r = sim.ranking(v)
+    return r.groupBy("q").agg(F.count("*").alias("n"), _round(F.sum("score"), 4).alias("total"))
+
+
+def j13_positives(spark, d):
+    v = vectors(spark, d).select("id", "grp")
+    a, b = v.alias("a"), v.alias("b")
+    return a.join(b, F.col("a.grp") == F.col("b.grp")).filter("a.id <> b.id").groupBy(F.col("a.id").alias("q")).agg(F.count("*").alias("n"), F.min("b.id").alias("first"))
+
+
+def j15_single_query(spark, d):
+    q = vectors(spark, d).filter("id = 7").select(F.col("vec").alias("qv"))  # one row by its id
+    return vectors(spark, d).crossJoin(F.broadcast(q)).select("id", _round(dot(F.col("vec"), F.col("qv"))).alias("score"))
+
+
+def j16_diagonal(spark, d):
+    return pairs(spark, d).select("id", _round(dot(F.col("x"), F.col("y")) / TAU, 4).alias("d"))
+
+
+def w1_full_ranking(spark, d):
+    return sim.ranking(vectors(spark, d)).select("q", "c", "rk")
+
+
+def w2_first_positive(spark, d):
+    return sim.first_positive_ranks(vectors(spark, d))
+
+
+def w3_hits(spark, d):
+    r = sim.first_positive_ranks(vectors(spark, d))
+    return r.select("id", *[F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int").alias(f"hit{k}") for k in (1, 5, 10)])
+
+
+def w4_similar(spark, d):
+    """Neighbours of the third vector of label 2."""
+    v = vectors(spark, d)
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("id"))
+    q = v.filter("grp = 2").withColumn("nth", nth).filter("nth = 3").select(F.col("id").alias("qid"), F.col("vec").alias("qv"))
+    s = v.crossJoin(F.broadcast(q)).filter("id <> qid").select("id", _round(dot(F.col("vec"), F.col("qv"))).alias("score"))
+    return s.orderBy(F.desc("score"), "id").limit(100)
+
+
+def w4_nearest_all(spark, d):
+    return sim.ranking(vectors(spark, d), 5).select("q", "c", "rk")
+
+
+def a14_retrieval_metrics(spark, d):
+    return sim.retrieval_metrics(vectors(spark, d))
+
+
+def a16_paired_metrics(spark, d):
+    r = sim.paired_ranks(pairs(spark, d).filter(f"id < {PAIRS}"))
+    return r.agg(F.count("*").alias("n"), _round(F.avg(1.0 / F.col("rank"))).alias("mrr"), *[_round(F.avg((F.col("rank") <= k).cast("double"))).alias(f"top{k}") for k in (1, 5, 10)])
+
+
+def a17_log_normalisers(spark, d):
+    p = pairs(spark, d).filter(f"id < {PAIRS}")
+    x, y = p.select("id", F.col("x").alias("vec")), p.select("id", F.col("y").alias("vec"))
+    a, b = sim.log_normalisers(x, y, TAU), sim.log_normalisers(y, x, TAU)
+    return a.join(b.withColumnRenamed("lse", "b"), "id").select("id", _round("lse", 5).alias("a"), _round("b", 5).alias("b"))
+
+
+def a18_symmetric_loss(spark, d):
+    return sim.symmetric_loss(pairs(spark, d).filter(f"id < {PAIRS}"), TAU).select("n", _round("loss", 5).alias("loss"))
+
+
+def a19_gradients(spark, d):
+    g = sim.loss_gradients(pairs(spark, d).filter("id < 60"), TAU)
+    return g.select("id", F.col("dim").cast("int").alias("dim"), _round("gx", 7).alias("gx"), _round("gy", 7).alias("gy"))
+
+
+def scheduled(v: DataFrame, seed: int = 42, most: int = QUERIES_MAX) -> DataFrame:
+    """q, grp, place: one vector of every group of two or more first, then the rest, up to `most`."""
+    eligible = v.groupBy("grp").count().filter("count >= 2").select("grp")
+    keyed = v.select("id", "grp").join(eligible, "grp").withColumn("key", md5_key(seed, F.col("id")))
+    turn = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy("key", "id")))
+    first = F.when(F.col("rn") > 1, 1).otherwise(0)
+    chosen = turn.orderBy(first, "key", "id").limit(most)
+    return chosen.select(F.col("id").alias("q"), "grp", F.row_number().over(Window.orderBy(first, "key", "id")).cast("long").alias("place"))
+
+
+def w7_schedule(spark, d):
+    return scheduled(vectors(spark, d))
+
+
+def chosen_positive(v: DataFrame, q: DataFrame, seed: int = 42) -> DataFrame:
+    c = v.select(F.col("id").alias("c"), "grp")
+    return q.join(c, "grp").filter("q <> c").groupBy("q", "grp").agg(F.min_by("c", md5_key(seed, F.col("q"), F.col("c"))).alias("c"))
+
+
+def w8_random_positive(spark, d):
+    v = vectors(spark, d)
+    return chosen_positive(v, scheduled(v)).select("q", "c")
+
+
+def sampled_negatives(v: DataFrame, q: DataFrame, k: int = NEGATIVES, seed: int = 42) -> DataFrame:
+    """(q, c): k candidates of other groups by a hash order; at most QUERIES_MAX queries meet the candidates."""
+    c = v.select(F.col("id").alias("c"), F.col("grp").alias("cg"))
+    met = c.crossJoin(F.broadcast(q.select("q", "grp"))).filter("cg <> grp").withColumn("key", md5_key(seed, F.col("q"), F.col("c")))
+    order = Window.partitionBy("q").orderBy("key", "c")
+    return met.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select("q", "c")
+
+
+def j14_negatives(spark, d):
+    v = vectors(spark, d)
+    return sampled_negatives(v, scheduled(v))
+
+
+def sampled_ranks(v: DataFrame) -> DataFrame:
+    q = scheduled(v).cache()
+    cand = chosen_positive(v, q).select("q", "c", F.lit(1).alias("pos")).unionByName(sampled_negatives(v, q).withColumn("pos", F.lit(0)))
+    qv, cv = v.select(F.col("id").alias("q"), F.col("vec").alias("qv")), v.select(F.col("id").alias("c"), F.col("vec").alias("cv"))
+    scored = cand.join(qv, "q").join(cv, "c").select("q", "c", "pos", _round(dot(F.col("qv"), F.col("cv"))).alias("s"))
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "c")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter("pos = 1").select("q", "rank")
+
+
+def w6_sampled_rank(spark, d):
+    return sampled_ranks(vectors(spark, d))
+
+
+def a15_sampled_metrics(spark, d):
+    r = sampled_ranks(vectors(spark, d))
+    return r.agg(F.count("*").alias("n"), _round(F.avg(1.0 / F.col("rank"))).alias("mrr"), *[_round(F.avg((F.col("rank") <= k).cast("double"))).alias(f"top{k}") for k in (1, 10)])
+
+
+def v11_temperature(spark, d):
+    return pairs(spark, d).select("id", *[_round(dot(F.col("x"), F.col("y")) / t, 4).alias(n) for n, t in (("s007", 0.07), ("s1", 1.0))])
+
+
+_PAIR = "p AS (SELECT a.vec_id // 2 AS id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
+_PAIR_SOME = _PAIR[:-1] + f" AND a.vec_id // 2 < {PAIRS})"
+_DOT = "list_dot_product"
+_SCORED = "s AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label AS g, b.label AS h, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rk FROM s)"
+_FIRST = _SCORED + ", f AS (SELECT e.vec_id AS id, min(rk) AS rank FROM embeddings e LEFT JOIN r ON r.q = e.vec_id AND r.g = r.h GROUP BY e.vec_id)"
+_SCHEDULE = f"""el AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 2),
+k AS (SELECT vec_id, label, md5('42:' || vec_id) AS key FROM embeddings JOIN el USING (label)),
+t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key, vec_id) AS rn FROM k),
+o AS (SELECT vec_id AS q, label AS grp, row_number() OVER (ORDER BY CASE WHEN rn > 1 THEN 1 ELSE 0 END, key, vec_id) AS place FROM t),
+sch AS (SELECT * FROM o WHERE place <= {QUERIES_MAX})"""
+_POSITIVE = _SCHEDULE + ", po AS (SELECT q, min_by(e.vec_id, md5('42:' || q || ':' || e.vec_id)) AS c FROM sch JOIN embeddings e ON e.label = grp AND e.vec_id <> q GROUP BY q)"
+_NEGATIVE = f"ne AS (SELECT q, c FROM (SELECT q, e.vec_id AS c, row_number() OVER (PARTITION BY q ORDER BY md5('42:' || q || ':' || e.vec_id), e.vec_id) AS rn FROM sch JOIN embeddings e ON e.label <> grp) WHERE rn <= {NEGATIVES})"
+_SAMPLED = _POSITIVE + ", " + _NEGATIVE + """, ca AS (SELECT q, c, 1 AS pos FROM po UNION ALL SELECT q, c, 0 FROM ne),
+sr AS (SELECT q, pos, row_number() OVER (PARTITION BY q ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, c) AS rank
+       FROM ca JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = c)"""
+
+QUERIES = {f.__name__: f for f in (v1_dot, v2_normalise, v11_temperature, v13_first_pooling, v14_last_pooling, j12_all_pairs, j13_positives, j14_negatives, j15_single_query, j16_diagonal, w1_full_ranking, w2_first_positive, w3_hits, w4_similar, w4_nearest_all, w6_sampled_rank, w7_schedule, w8_random_positive, a14_retrieval_metrics, a15_sampled_metrics, a16_paired_metrics, a17_log_normalisers, a18_symmetric_loss, a19_gradients)}
+SQL = {
+    "v1_dot": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y), 6) AS dot FROM p",
+    "v2_normalise": "SELECT vec_id AS id, round(CAST(1 AS DOUBLE), 5) AS length, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS first FROM embeddings",
+    "v11_temperature": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y) / 0.07::DOUBLE, 4) AS s007, round({_DOT}(x, y), 4) AS s1 FROM p",
+    "v13_first_pooling": "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS pooled FROM embeddings",
+    "v14_last_pooling": "SELECT vec_id AS id, round(CAST(embedding[-1] AS DOUBLE), 6) AS pooled FROM embeddings",
+    "j12_all_pairs": f"WITH {_SCORED} SELECT q, count(*) AS n, round(sum(score), 4) AS total FROM s GROUP BY q",
+    "j13_positives": "SELECT a.vec_id AS q, count(*) AS n, min(b.vec_id) AS first FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id",
+    "j14_negatives": f"WITH {_SCHEDULE}, {_NEGATIVE} SELECT q, c FROM ne",
+    "j15_single_query": "SELECT a.vec_id AS id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b",
+    "j16_diagonal": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y) / 0.07::DOUBLE, 4) AS d FROM p",
+    "w1_full_ranking": f"WITH {_SCORED} SELECT q, c, rk FROM r",
+    "w2_first_positive": f"WITH {_FIRST} SELECT id, rank FROM f",
+    "w3_hits": f"WITH {_FIRST} SELECT id, CAST(coalesce(rank <= 1, false) AS INT) AS hit1, CAST(coalesce(rank <= 5, false) AS INT) AS hit5, CAST(coalesce(rank <= 10, false) AS INT) AS hit10 FROM f",
+    "w4_similar": "WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 1 OFFSET 2) SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, id LIMIT 100",
+    "w4_nearest_all": f"WITH {_SCORED} SELECT q, c, rk FROM r WHERE rk <= 5",
+    "w6_sampled_rank": f"WITH {_SAMPLED} SELECT q, rank FROM sr WHERE pos = 1",
+    "w7_schedule": f"WITH {_SCHEDULE} SELECT q, grp, place FROM sch",
+    "w8_random_positive": f"WITH {_POSITIVE} SELECT q, c FROM po",
+    "a14_retrieval_metrics": f"WITH {_FIRST} SELECT count(*) AS n, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr, round(sum(CAST(coalesce(rank <= 1, false) AS DOUBLE)) / count(*), 6) AS top1, round(sum(CAST(coalesce(rank <= 5, false) AS DOUBLE)) / count(*), 6) AS top5, round(sum(CAST(coalesce(rank <= 10, false) AS DOUBLE)) / count(*), 6) AS top10 FROM f",
+    "a15_sampled_metrics": f"WITH {_SAMPLED} SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM sr WHERE pos = 1",
+    "a16_paired_metrics": f"WITH {_PAIR_SOME}, s AS (SELECT a.id AS q, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}(a.x, b.y), 6) DESC, b.id) AS rank FROM p a, p b) SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS top5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM s WHERE q = c",
+    "a17_log_normalisers": f"WITH {_PAIR_SOME}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, max(s) + ln(sum(exp(s - m))) AS a FROM (SELECT *, max(s) OVER (PARTITION BY i) AS m FROM s) GROUP BY i), y AS (SELECT j AS id, max(s) + ln(sum(exp(s - m))) AS b FROM (SELECT *, max(s) OVER (PARTITION BY j) AS m FROM s) GROUP BY j) SELECT id, round(a, 5) AS a, round(b, 5) AS b FROM x JOIN y USING (id)",
+    "a18_symmetric_loss": f"WITH {_PAIR_SOME}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, ln(sum(exp(s))) AS a FROM s GROUP BY i), y AS (SELECT j AS id, ln(sum(exp(s))) AS b FROM s GROUP BY j) SELECT count(*) AS n, round(sum(a + b - 2 * s) / (2 * count(*)), 5) AS loss FROM x JOIN y USING (id) JOIN s ON s.i = id AND s.j = id",
+    "a19_gradients": f"WITH {_PAIR[:-1]} AND a.vec_id // 2 < 60), s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), la AS (SELECT i, ln(sum(exp(s))) AS a FROM s GROUP BY i), lb AS (SELECT j, ln(sum(exp(s))) AS b FROM s GROUP BY j), w AS (SELECT i, j, exp(s - a) + exp(s - b) - CASE WHEN i = j THEN 2 ELSE 0 END AS w FROM s JOIN la USING (i) JOIN lb USING (j)), ex AS (SELECT id, unnest(range(64)) AS dim, unnest(x) AS x, unnest(y) AS y FROM p), gx AS (SELECT i AS id, dim, sum(w * y) / (2 * 60 * 0.07::DOUBLE) AS gx FROM w JOIN ex ON ex.id = j GROUP BY ALL), gy AS (SELECT j AS id, dim, sum(w * x) / (2 * 60 * 0.07::DOUBLE) AS gy FROM w JOIN ex ON ex.id = i GROUP BY ALL) SELECT id, CAST(dim AS INT) AS dim, round(gx, 7) AS gx, round(gy, 7) AS gy FROM gx JOIN gy USING (id, dim)",
+}
