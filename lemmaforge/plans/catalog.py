@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmaforge.plans import retrieval
+from lemmaforge.plans import bags, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (retrieval,)
+FAMILIES = (retrieval, bags)
 
 
 def queries() -> dict[str, Query]:
