@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmaforge.plans import bags, retrieval
+from lemmaforge.plans import bags, corpus, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (retrieval, bags)
+FAMILIES = (retrieval, bags, corpus)
 
 
 def queries() -> dict[str, Query]:
