@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,32 +35,33 @@ from pyspark.sql import types as T
 from lemmaforge.session import cut, workers_see_package
 
 MIN_WORDS = 50
-_BREAK = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+# White space that has a line break in it, follows a sentence's end or precedes a capital and a small letter.
+_BREAK = re.compile(r"(\s(?:(?<=[.!?].)\s*|(?<=\n)\s*|\s*\n\s*|\s*(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])))", re.DOTALL)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 256
 
 
-def split_lines(text: str) -> tuple[list[str], list[str]]:
-    """Lines and the separator behind each of them; joined in turn they are the text."""
-    lines, gaps, at = [], [], 0
-    for m in _BREAK.finditer(text):
-        lines.append(text[at : m.start()])
-        gaps.append(m[0])
-        at = m.end()
-    return [*lines, text[at:]], [*gaps, ""]
+def split_lines(text: str) -> tuple[list[str], list[int]]:
+    """Lines, and where each begins; the text's length comes last."""
+    parts = _BREAK.split(text)  # lines and separators in turn
+    begins = [0, *accumulate(map(len, parts))]
+    return parts[::2], [*begins[:-1:2], len(text)]
 
 
-def line_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and word counts of all lines, and where each text's lines start (with the total at the end)."""
-    hashes, words, starts = [], [], [0]
+def line_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and word counts of all lines, where each text's lines start among them (with the total at the end), and
+    where each line begins in its text, with the text's length behind its last line's begin."""
+    hashes, words, starts, begins = [], [], [0], []
+    digest = xxhash.xxh3_64_intdigest
     for text in texts:
-        for line in _BREAK.split(text or ""):
-            n = len(line.split())
-            words.append(n)
-            hashes.append(xxhash.xxh3_64_intdigest(line.strip().encode("utf-8", "surrogatepass")) if n else 0)
+        lines, at = split_lines(text or "")
+        counts = [len(line.split()) for line in lines]
+        words += counts
+        hashes += [digest(line.strip().encode("utf-8", "surrogatepass")) if n else 0 for line, n in zip(lines, counts, strict=True)]
+        begins += at
         starts.append(len(words))
-    return np.array(hashes, np.uint64), np.array(words, np.int64), np.array(starts, np.int64)
+    return np.array(hashes, np.uint64), np.array(words, np.int64), np.array(starts, np.int64), np.array(begins, np.uint32)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,96 +114,113 @@ class Runs:
         return best
 
 
-_PREPARED = "ld_k long, ld_t long, ld_hash binary, ld_words binary, ld_seed array<long>"
+_PREPARED = "ld_k long, ld_t long, ld_hash binary, ld_words binary, ld_at binary, ld_seed array<long>"
+_WINDOW = "ld_key long, ld_k long, ld_t long, ld_a int, ld_b int, ld_rest array<int>"
 
 
 def _prepared(docs: DataFrame, text: str, least: int) -> DataFrame:
+    """Lines and fingerprints by document. A fingerprint that a document holds more than once is listed twice."""
+
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(at, _CHUNK)
-                hashes, words, starts = line_table(batch.column(2).to_pylist())
+                hashes, words, starts, begins = line_table(batch.column(2).to_pylist())
                 runs = Runs(hashes, words, starts)
                 best, gram = runs.seeds(least), runs.ends((least + 1) // 2)
                 rows = []
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
                     s = np.unique(best[a:b])
                     s = s[s >= 0]
-                    rows.append((hashes[a:b].tobytes(), words[a:b].astype(np.uint32).tobytes(), runs.keys(s, gram[s]).view(np.int64)))
-                columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["ld_k", "ld_t", "ld_hash", "ld_words", "ld_seed"])
+                    key, times = np.unique(runs.keys(s, gram[s]), return_counts=True)
+                    seeds = np.repeat(key, np.minimum(times, 2)).view(np.int64)
+                    rows.append((hashes[a:b].tobytes(), words[a:b].astype(np.uint32).tobytes(), begins[a + i : b + i + 1].tobytes(), seeds))
+                columns = [*[pa.array([r[j] for r in rows], pa.binary()) for j in range(3)], pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["ld_k", "ld_t", "ld_hash", "ld_words", "ld_at", "ld_seed"])
 
     return docs.select("ld_k", "ld_t", F.col(text)).mapInArrow(prepare, _PREPARED)
 
 
+def _merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
+    """The union of ranges, sorted by begin, as begin, end, begin, end and so on."""
+    if not len(begin):
+        return []
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))
+    return np.column_stack((begin[new], reach[np.append(new[1:], len(begin)) - 1])).ravel().tolist()
+
+
 def _windows(found: DataFrame, least: int) -> DataFrame:
-    """Windows, by content, whose fingerprint is repeated."""
+    """Windows whose fingerprint is repeated, by content and document: the first one's place and the union of the
+    others. Places count characters."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ld_key", "ld_k", "ld_t", "ld_a", "ld_b"]
         for whole in batches:
             for at in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(at, _CHUNK)
                 hashes = [np.frombuffer(x, np.uint64) for x in batch.column("ld_hash").to_pylist()]
                 words = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column("ld_words").to_pylist()]).astype(np.int64)
+                begins = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column("ld_at").to_pylist()]).astype(np.int64)
                 starts = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
                 runs = Runs(np.concatenate(hashes), words, starts)
                 best, gram = runs.seeds(least), runs.ends((least + 1) // 2)
                 keys = np.zeros(runs.n, np.uint64)
                 ok = gram >= 0
                 keys[ok] = runs.keys(np.flatnonzero(ok), gram[ok])
-                live = np.zeros(runs.n + 1, bool)
+                live = np.zeros(runs.n, bool)
                 for a, b, seeds in zip(starts[:-1].tolist(), starts[1:].tolist(), batch.column("ld_seeds"), strict=True):
                     s = best[a:b]
-                    hit = np.isin(keys[np.maximum(s, 0)], np.array(seeds.as_py(), np.int64).view(np.uint64)) & (s >= 0)
-                    live[a:b] = hit
+                    live[a:b] = np.isin(keys[np.maximum(s, 0)], np.array(seeds.as_py(), np.int64).view(np.uint64)) & (s >= 0)
                 end, begin = runs.ends(least), runs.begins(least)
-                forward = np.flatnonzero(live[:-1] & (end >= 0))
+                forward = np.flatnonzero(live & (end >= 0))
                 back = np.flatnonzero(begin >= 0)
                 back = back[live[begin[back]]]
                 a, b = np.concatenate((forward, begin[back])), np.concatenate((end[forward], back + 1))
                 if not len(a):
                     continue
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                a, b = a[fresh], b[fresh]
-                doc = np.searchsorted(starts, a, side="right") - 1
-                take = pa.array(doc)
-                base = starts[doc]
-                columns = [pa.array(runs.keys(a, b).view(np.int64)), batch.column("ld_k").take(take), batch.column("ld_t").take(take), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                doc, key = np.searchsorted(starts, a, side="right") - 1, runs.keys(a, b)
+                order = np.lexsort((b, a, key, doc))
+                a, b, doc, key = a[order], b[order], doc[order], key[order]
+                a, b = begins[a + doc], begins[b + doc]  # each text has one place more than lines
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
+                last = np.append(first[1:], len(a))
+                rest = [_merged(a[i:j][a[i:j] > a[i]], b[i:j][a[i:j] > a[i]]) if j - i > 1 else [] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                take = pa.array(doc[first])
+                columns = [pa.array(key[first].view(np.int64)), batch.column("ld_k").take(take), batch.column("ld_t").take(take), pa.array(a[first].astype(np.int32)), pa.array(b[first].astype(np.int32)), pa.array(rest, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["ld_key", "ld_k", "ld_t", "ld_a", "ld_b", "ld_rest"])
 
-    return found.mapInArrow(emit, "ld_key long, ld_k long, ld_t long, ld_a int, ld_b int")
+    return found.mapInArrow(emit, _WINDOW)
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(ld_k, ld_t, ld_runs): line ranges, as structs a and b (exclusive), that repeat an earlier place, by document.
+    """(ld_k, ld_t, ld_runs): stretches of characters that repeat an earlier place, by document, as arrays of begin, end,
+    begin, end and so on.
 
     `docs` has the document's id as ld_k and its text's hash as ld_t.
     """
     table = cut(_prepared(docs, text, least), "lines").dropDuplicates(["ld_k", "ld_t"])
     seeds = table.select("ld_k", "ld_t", F.explode("ld_seed").alias("ld_s"))
     often = seeds.groupBy("ld_s").agg(F.count("*").alias("n")).filter("n > 1").select("ld_s")
-    live = seeds.join(often, "ld_s").groupBy("ld_k", "ld_t").agg(F.collect_list("ld_s").alias("ld_seeds"))
+    live = seeds.join(often, "ld_s").groupBy("ld_k", "ld_t").agg(F.collect_set("ld_s").alias("ld_seeds"))
     windows = cut(_windows(table.drop("ld_seed").join(live, ["ld_k", "ld_t"]), least), "windows")
     place = F.struct("ld_k", "ld_t", "ld_a")
-    firsts = windows.groupBy("ld_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(firsts, "ld_key").filter(place > F.col("first"))
-    return later.groupBy("ld_k", "ld_t").agg(F.collect_list(F.struct(F.col("ld_a").alias("a"), F.col("ld_b").alias("b"))).alias("ld_runs"))
+    firsts = windows.groupBy("ld_key").agg(F.min(place).alias("first"), (F.count("*") + F.max(F.size("ld_rest"))).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(firsts, "ld_key").select("ld_k", "ld_t", F.when(place > F.col("first"), F.concat(F.array("ld_a", "ld_b"), "ld_rest")).otherwise(F.col("ld_rest")).alias("r"))
+    return later.filter(F.size("r") > 0).groupBy("ld_k", "ld_t").agg(F.collect_list("r").alias("ld_runs"))
 
 
-def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the lines in the ranges, and the words that went."""
-    lines, gaps = split_lines(text)
-    gone = np.zeros(len(lines) + 1, np.int32)
-    for a, b in runs:
-        gone[a] += 1
-        gone[b] -= 1
-    gone = np.cumsum(gone[:-1]) > 0
-    kept = "".join(line + gap for line, gap, out in zip(lines, gaps, gone.tolist(), strict=True) if not out)
-    removed = sum(len(line.split()) for line, out in zip(lines, gone.tolist(), strict=True) if out)
-    return (kept.rstrip() if gone[-1] else kept), removed
+def without_runs(text: str, runs: list[list[int]]) -> tuple[str, int]:
+    """The text without the stretches, and the words that went."""
+    ranges = np.array([x for r in runs for x in r], np.int64).reshape(-1, 2)
+    bounds = _merged(*ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))].T)
+    kept, removed, at = [], 0, 0
+    for a, b in zip(bounds[::2], bounds[1::2], strict=True):
+        kept.append(text[at:a])
+        removed += len(text[a:b].split())
+        at = b
+    kept.append(text[at:])
+    whole = "".join(kept)
+    return (whole.rstrip() if bounds and bounds[-1] == len(text) else whole), removed
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
@@ -219,7 +238,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                 for body, runs in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
                     body, n = body.as_py(), 0
                     if runs.is_valid and body:
-                        body, n = without_runs(body, [(r["a"], r["b"]) for r in runs.as_py()])
+                        body, n = without_runs(body, runs.as_py())
                     texts.append(body)
                     counts.append(n)
                 columns = [*batch.columns[:-1]]
