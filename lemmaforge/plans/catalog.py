@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmaforge.plans import bags, corpus, retrieval
+from lemmaforge.plans import bags, corpus, papers, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (retrieval, bags, corpus)
+FAMILIES = (retrieval, bags, corpus, papers)
 
 
 def queries() -> dict[str, Query]:
