@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class PieceTable:
             raise ValueError("two pieces share a hash")
         self.sieve = np.zeros(1 << 19, bool)  # low bits of the hashes that occur
         self.sieve[self.hashes & np.uint64(len(self.sieve) - 1)] = True
-        self.cache: dict[str, bytes] = {}
+        self._clear()
 
     @classmethod
     def load(cls, path: str = MODEL) -> PieceTable:
@@ -117,7 +118,11 @@ class PieceTable:
         return cls(pieces, scores, types, kind, prefix)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "begin", "count", "ids_of", "used")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._clear()
 
     @staticmethod
     def _hash(s: str) -> int:
@@ -142,8 +147,8 @@ class PieceTable:
             edges[w[hit], i[hit], k] = self.ids[at[hit]]
         return edges
 
-    def _folded(self, words: list[str]) -> list[bytes]:
-        """Token ids, as bytes of int32, of words of one length."""
+    def _folded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words of one length, one word after the other, and how many each word has."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
         edges = self.lattice(chars)
         starts = (self._merged if self.kind == BPE else self._best_path)(edges)
@@ -152,14 +157,14 @@ class PieceTable:
         end = np.append(begin[1:], n)
         end[np.append(word[1:] != word[:-1], True)] = n
         ids = edges[word, begin, end - begin - 1]
-        at = np.searchsorted(word, np.arange(m + 1)) * 4
-        raw = ids.tobytes()
-        out = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        for w in np.unique(word[ids < 0]).tolist():  # characters without a piece
-            own = slice(at[w] // 4, at[w + 1] // 4)
-            parts = [[i] if i >= 0 else self._fallback(words[w][a]) for i, a in zip(ids[own].tolist(), begin[own].tolist(), strict=True)]
-            out[w] = np.array([i for p in parts for i in p], np.int32).tobytes()
-        return out
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):  # characters without a piece
+            spare = [self._fallback(words[word[i]][begin[i]]) for i in bare.tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = [len(f) for f in spare]
+            word, ids = np.repeat(word, times), np.repeat(ids, times)
+            ids[ids < 0] = [i for f in spare for i in f]
+        return ids, np.bincount(word, minlength=m)
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_of[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_of else [self.unknown]
@@ -213,7 +218,7 @@ class PieceTable:
             starts[np.flatnonzero(live), at[live]] = True
         return starts
 
-    def _long(self, word: str) -> bytes:
+    def _long(self, word: str) -> np.ndarray:
         """One very long word: the same folds with a heap, or a rolling Viterbi row, over the same edges."""
         n = len(word)
         piece = lambda a, b: self.id_of.get(word[a:b], -1) if b - a <= self.longest else -1
@@ -251,25 +256,41 @@ class PieceTable:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             i = piece(a, b)
             ids += [i] if i >= 0 else self._fallback(word[a:b])
-        return np.array(ids, np.int32).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Encode words and keep them, at most CACHE besides the ones of this block."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        return np.array(ids, np.int32)
+
+    def _clear(self) -> None:
+        """No words known: a word's place in `begin` and `count`, which point into the token ids of all known words."""
+        self.known: dict[str, int] = {}
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids_of, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(words)
+        while last > len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(ids) > len(self.ids_of):
+            self.ids_of = np.resize(self.ids_of, 2 * len(self.ids_of))
+        self.known.update(zip(words, range(first, last), strict=True))
+        self.count[first:last] = counts
+        self.begin[first:last] = self.used + np.cumsum(counts) - counts
+        self.ids_of[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are not known yet, each given once."""
         by_size: dict[int, list[str]] = {}
         for w in words:
-            if w not in self.cache:
-                by_size.setdefault(len(w), []).append(w)
+            by_size.setdefault(len(w), []).append(w)
         for n, group in by_size.items():
             if n > LONG:
                 for w in group:
-                    self.cache[w] = self._long(w)
+                    ids = self._long(w)
+                    self._keep([w], ids, np.array([len(ids)]))
                 continue
             step = max(1, (1 << 18) // n)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                self.cache.update(zip(part, self._folded(part), strict=True))
+                self._keep(part, *self._folded(part))
 
     def words(self, text: str | None) -> list[str]:
         if not text:
@@ -277,13 +298,29 @@ class PieceTable:
         text = text.replace(MARK, " ")
         return _SPLIT.findall(" " + text if self.prefix else text)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after the other, and where each text's begin (with the total at the end)."""
+        if len(self.known) > CACHE:
+            self._clear()
         split = [self.words(t) for t in texts]
-        self.learn({w for ws in split for w in ws})
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), np.int32) for ws in split]
+        words = list(chain.from_iterable(split))
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0).tolist()
+        if new:
+            fresh = [words[i] for i in new]
+            self.learn(list(dict.fromkeys(fresh)))
+            place[new] = [self.known[w] for w in fresh]
+        count = self.count[place]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        tokens = self.ids_of[np.repeat(self.begin[place] - upto[:-1], count) + np.arange(upto[-1])]
+        return tokens, upto[np.concatenate(([0], np.cumsum([len(ws) for ws in split])))]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        tokens, at = self.encode_block(texts)
+        return [tokens[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -296,9 +333,8 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", out: str = "t
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                got = known.encode(batch.column(text).to_pylist())
-                offsets = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
+                tokens, begins = known.encode_block(batch.column(text).to_pylist())
+                values = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -313,7 +349,9 @@ def decode(rows: DataFrame, table: PieceTable, tokens: str = "tokens", out: str
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                got = [known.decode(x.as_py() or []) for x in batch.column(tokens)]
+                column = batch.column(tokens)
+                values, begins = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+                got = [known.decode(values[a:b].tolist()) for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
