@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmaforge.plans import bags, corpus, papers, retrieval
+from lemmaforge.plans import bags, corpus, papers, retrieval, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (retrieval, bags, corpus, papers)
+FAMILIES = (retrieval, bags, corpus, papers, streams)
 
 
 def queries() -> dict[str, Query]:
