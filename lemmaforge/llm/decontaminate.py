@@ -155,27 +155,27 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, n: int, out: str) ->
 
     grams = items.mapInArrow(item_grams, f"item string, {key}")
     sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # at most n values
-    keyed = docs.select(F.col(text).alias("body")).withColumn("doc", F.sha2(F.coalesce("body", F.lit("")), 256)).dropDuplicates(["doc"])
+    keyed = docs.select(F.col(text).alias("body")).withColumn("dc_doc", F.sha2(F.coalesce("body", F.lit("")), 256)).dropDuplicates(["dc_doc"])
 
     def doc_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 rows = []
-                for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist(), strict=True):
+                for doc, raw in zip(batch.column("dc_doc").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist(), strict=True):
                     words = words_of(raw)
                     rows += [(doc, i, s, *k) for s in sizes for i, k in enumerate(_keys(words, s))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["doc", "pos", "size", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["dc_doc", "pos", "size", "a", "b"])
 
-    found = keyed.mapInArrow(doc_grams, f"doc string, pos long, {key}").join(grams, ["size", "a", "b"])
-    by_doc = found.groupBy("doc").agg(F.collect_set(F.struct("pos", "size")).alias("at"), F.array_sort(F.collect_set("item")).alias("got"))
+    found = keyed.mapInArrow(doc_grams, f"dc_doc string, pos long, {key}").join(grams, ["size", "a", "b"])
+    by_doc = found.groupBy("dc_doc").agg(F.collect_set(F.struct("pos", "size")).alias("dc_at"), F.array_sort(F.collect_set("item")).alias("dc_got"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 found = []
-                for raw, at, got in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("at").to_pylist(), batch.column("got").to_pylist(), strict=True):
+                for raw, at, got in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("dc_at").to_pylist(), batch.column("dc_got").to_pylist(), strict=True):
                     words = words_of(raw)
                     edges = np.zeros(len(words) + 1, np.int32)
                     for x in at or []:
@@ -184,10 +184,10 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, n: int, out: str) ->
                     hit = np.cumsum(edges[:-1]) > 0
                     n_hit = int(hit.sum())
                     found.append({"n_words": len(words), "n_hit": n_hit, "items": got or [], "spans": _spans(raw.decode(), hit) if n_hit else []})
-                keep = batch.select([c for c in batch.schema.names if c not in ("at", "got", "doc")])
+                keep = batch.select([c for c in batch.schema.names if c not in ("dc_at", "dc_got")])
                 yield _with_struct(keep, out, found, _ARROW)
 
-    joined = docs.withColumn("doc", F.sha2(F.coalesce(text, F.lit("")), 256)).join(by_doc, "doc", "left").select(*docs.columns, "at", "got")
+    joined = docs.withColumn("dc_doc", F.sha2(F.coalesce(text, F.lit("")), 256)).join(by_doc, "dc_doc", "left").select(*docs.columns, "dc_at", "dc_got")
     return joined.mapInArrow(fold, T.StructType([*docs.schema.fields, T.StructField(out, HITS)]))
 
 
@@ -199,19 +199,19 @@ def is_contaminated(hits: str = "hits", share: int = 20) -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N_WORDS, remove: str = "documents", share: int = 20) -> DataFrame:
     """`docs` without contamination: remove "documents" that are contaminated, or cut all hit "spans" out of the texts."""
-    scored = contamination(docs, benchmark, text, n)
+    scored = contamination(docs, benchmark, text, n, "dc_hits")
     if remove == "documents":
-        return scored.filter(~is_contaminated("hits", share)).select(*docs.columns)
+        return scored.filter(~is_contaminated("dc_hits", share)).select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     t = F.col(text)
     kept = F.aggregate(
-        F.col("hits.spans"),
+        F.col("dc_hits.spans"),
         F.struct(F.lit("").alias("s"), F.lit(0).alias("at")),
         lambda acc, x: F.struct(F.concat(acc["s"], t.substr(acc["at"] + 1, x["start"] - acc["at"])).alias("s"), x["end"].alias("at")),
         lambda acc: F.concat(acc["s"], t.substr(acc["at"] + 1, F.length(t) - acc["at"])),
     )
-    cut = F.when(F.size("hits.spans") > 0, kept).otherwise(t)
+    cut = F.when(F.size("dc_hits.spans") > 0, kept).otherwise(t)
     return scored.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 

@@ -31,10 +31,10 @@ STATS = ("log_words", "mean_word", "punct", "symbols", "pipes", "shouts", "upper
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` and a struct `stats` of the columns STATS; null shares do not occur."""
+    """A struct `row` of the columns of `docs`, and a struct `stats` of the columns STATS; null shares do not occur."""
     t = F.coalesce(F.col(text), F.lit(""))
     parts = docs.select(
-        *docs.columns,
+        F.struct(*docs.columns).alias("row"),
         t.alias("_t"),
         F.split(F.trim(t), r"[ \t\r\n]+").alias("_w"),
         F.split(F.trim(t), "\n").alias("_l"),
@@ -59,7 +59,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "line_words": F.log1p(words / lines),
         "line_distinct": F.size(F.array_distinct("_l")) / lines,
     }
-    return parts.select(*docs.columns, F.struct(*[values[s].cast("double").alias(s) for s in STATS]).alias("stats"))
+    return parts.select("row", F.struct(*[values[s].cast("double").alias(s) for s in STATS]).alias("stats"))
 
 
 @dataclass(frozen=True)
@@ -208,14 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_R
     """A model from labelled rows for which `train` holds."""
     chosen = labels.filter(F.col("quality").isNotNull() & train).select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-    got = statistics(rows.select("y", "text")).select("y", "stats").orderBy("y", *[f"stats.{s}" for s in STATS]).collect()
+    got = statistics(rows.select("y", "text")).select("row.y", "stats").orderBy("y", *[f"stats.{s}" for s in STATS]).collect()
     x = np.array([tuple(r["stats"]) for r in got], float).reshape(-1, len(STATS))
     return fit_rules(x, np.array([r["y"] for r in got], float))
 
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the quality of every whole text."""
-    return statistics(docs, text).select(*docs.columns, model.column().alias(out))
+    return statistics(docs, text).select("row.*", model.column().alias(out))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown shoes")
 
 # Letters that look like Latin ones, and digits that stand for letters.
 HOMOGLYPHS = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "п": "n",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "п": "n", "д": "d",
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e", "η": "n", "ω": "w",
     "ı": "i", "ɑ": "a", "ɡ": "g",
 }
@@ -217,8 +217,8 @@ def _features(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str =
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the toxicity of every whole text."""
     c = lexicon.curve
-    z = F.lit(c[0]) + F.lit(c[1]) * F.col("_f")[0] + F.lit(c[2]) * F.col("_f")[1] + F.lit(c[3]) * F.col("_f")[2]
-    return _features(docs, lexicon, text, "_f").select(*docs.columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias(out))
+    z = F.lit(c[0]) + F.lit(c[1]) * F.col("tox_features")[0] + F.lit(c[2]) * F.col("tox_features")[1] + F.lit(c[3]) * F.col("tox_features")[2]
+    return _features(docs, lexicon, text, "tox_features").select(*docs.columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias(out))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
