@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                out = out or store.open_output_stream(f"{root}/{name}")
+                out = out or store.open_output_stream(f"{root}/{name}", compression=None)
                 for page_id, url, html, digest, size, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "first")), strict=True):
                     own = first is not None and page_id == first and digest not in held
                     if own:
@@ -179,7 +179,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for uri, records in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 store, path = _open(uri)
                 rows, seen = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for start, headers, block in WarcReader(stream):
                         rows.append(parsed(headers, block) | {"archive": uri, "at": start})
                         seen += 1
