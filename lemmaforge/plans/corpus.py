@@ -156,7 +156,7 @@ def k5_embedding_sink(spark, d):
 
 
 def k6_edge_array(spark, d):
-    t = _turns(spark, d).filter("conv_id < 40")
+    t = _turns(spark, d)
     edges = t.filter("turn > 0").select(F.col("conv_id").alias("index"), F.col("turn").alias("place"), (F.col("turn") - 1).cast("string").alias("from"), F.col("turn").cast("string").alias("to"), F.lit("a").alias("from_text"), F.col("role").alias("to_text"))
     return jsonl.edge_array(edges).select("index", "line")
 
@@ -277,7 +277,7 @@ def w15_modulo_shards(spark, d):
 
 
 def w17_full_batches(spark, d):
-    rows = _turns(spark, d).filter("turn = 0").select("conv_id").withColumn("place", F.col("conv_id"))
+    rows = _turns(spark, d).select("conv_id").distinct().withColumn("place", F.col("conv_id"))
     return c.full_batches(rows, "place", 16).select("conv_id", "batch")
 
 
@@ -341,7 +341,7 @@ SQL = {
     "k3_non_empty_sink": f"WITH {_P} SELECT index FROM p WHERE index % 5 <> 1 AND len(lemmas) + len(theorems) > 0",
     "k4_no_overwrite": "SELECT true AS refused",
     "k5_embedding_sink": "SELECT 'bert-base' AS model, 'toy' AS size, 'eval' AS split, count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dim FROM embeddings",
-    "k6_edge_array": """SELECT conv_id AS index, '[' || string_agg('["' || (turn - 1) || '","' || turn || '","a","' || role || '"]', ',' ORDER BY turn) || ']' AS line FROM conversations WHERE conv_id < 40 AND turn > 0 GROUP BY conv_id""",
+    "k6_edge_array": """SELECT conv_id AS index, '[' || string_agg('["' || (turn - 1) || '","' || turn || '","a","' || role || '"]', ',' ORDER BY turn) || ']' AS line FROM conversations WHERE turn > 0 GROUP BY conv_id""",
     "k7_histogram": "WITH n AS (SELECT length(text) AS n FROM conversations), e AS (SELECT min(n) AS lo, max(n) AS hi FROM n) SELECT CAST(least(floor((n - lo) * 50 / greatest(hi - lo, 1)), 49) AS INT) AS bin, count(*) AS n FROM n, e GROUP BY 1",
     "f1_math_category": "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 2",
     "f2_path_split": "SELECT page_id, string_split(url, '/')[-2] AS paper, string_split(url, '/')[-1] AS file FROM pages WHERE len(string_split(url, '/')) >= 2",
@@ -365,7 +365,7 @@ SQL = {
     "w11_eval_pairs": f"WITH {_P} SELECT index, md5(list_concat(lemmas, theorems)[1]) AS x, md5(list_concat(lemmas, theorems)[2]) AS y FROM p WHERE len(lemmas) + len(theorems) >= 2",
     "w13_global_index": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn) - 1 AS index FROM conversations",
     "w15_modulo_shards": "WITH l AS (SELECT conv_id, turn FROM conversations UNION ALL SELECT conv_id, 98 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT index % 4 AS worker, count(*) AS n FROM n GROUP BY 1",
-    "w17_full_batches": "SELECT conv_id, conv_id // 16 AS batch FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0), (SELECT (max(conv_id) + 1) // 16 AS full_ones FROM conversations WHERE turn = 0) WHERE conv_id // 16 < full_ones",
+    "w17_full_batches": "SELECT conv_id, conv_id // 16 AS batch FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT (max(conv_id) + 1) // 16 AS full_ones FROM conversations) WHERE conv_id // 16 < full_ones",
     "w18_sample": "SELECT index FROM (SELECT DISTINCT conv_id AS index FROM conversations) ORDER BY md5('42:' || index), index LIMIT 30",
     "a20_length_stats": "WITH w AS (SELECT CAST(len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS rn, count(*) OVER () AS t FROM w) SELECT count(*) AS n, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, "
     + ", ".join(f"max(n) FILTER (rn = CAST(floor(t * {p} / 100) AS BIGINT)) AS p{p}" for p in (50, 75, 90, 95, 99))

@@ -30,7 +30,7 @@ def _wrapped():
     proof = F.concat(F.lit("\\begin{proof} By \\ref{"), ref(1), F.lit("} and \\cref{"), ref(2), F.lit(", zz} done. \\end{proof}\n"))
     return (
         F.when(F.col("role") == "user", F.concat(F.lit("\\begin{lemma}"), label, F.lit(" "), "text", F.lit(" \\end{lemma}\n")))
-        .when(F.col("role") == "assistant", F.concat(F.lit("\\begin{theorem}[note [n]]"), label, F.lit(" % \\label{no}\n"), "text", F.lit(" \\end{theorem}\n"), proof))
+        .when(F.col("role") == "assistant", F.concat(F.lit("\\begin{theorem}[note n]"), label, F.lit(" % \\label{no}\n"), "text", F.lit(" \\end{theorem}\n"), proof))
         .otherwise(F.concat(F.lit("\\begin{remark} "), "text", F.lit(" \\end{remark}\n")))
     )
 
@@ -82,7 +82,7 @@ def l6_declared_names(spark, d):
     """A declared name decides the kind, whichever file declares it."""
     t = F.concat(F.lit("\\begin{foo}"), "text", F.lit("\\end{foo}\\begin{baz*}q\\end{baz*}"))
     files = F.array(F.lit("\\newtheorem{foo}{Key Lemma}\n\\newtheorem{foo}{Theorem}\n\\newaliascnt{baz}{foo}"), t)
-    records = _turns(spark, d).filter("turn = 0").select(F.col("conv_id").alias("index"), files.alias("latex"))
+    records = _turns(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("index"), files.alias("latex"))
     return statements.numbered(statements.scan(records)).select("index", "place", "kind", F.md5("text").alias("digest"))
 
 
@@ -117,10 +117,9 @@ def l24_graph_kind(spark, d):
 
 
 def l9_l12_statements(spark, d):
-    """Titles with nested brackets, labels and comments are no part of a statement; both scans agree after dedup, but for
-    the pattern's, which keeps what stands behind a title's first closing bracket."""
+    """Titles, labels and comments are no part of a statement; both scans agree after dedup."""
     found = statements.scan(_records(spark, d))
-    return found.filter("not text like ']%'").select("index", "kind", F.md5("text").alias("digest")).distinct()
+    return found.select("index", "kind", F.md5("text").alias("digest")).distinct()
 
 
 def l13_pattern_scan(spark, d):
@@ -139,12 +138,12 @@ def l14_dedup(spark, d):
 
 def u2_wide_statements(spark, d):
     records = _records(spark, d)
-    w = statements.wide(statements.numbered(statements.scan(records).filter("not text like ']%'")), records)
+    w = statements.wide(statements.numbered(statements.scan(records)), records)
     return w.select("index", F.size("lemmas").alias("lemmas"), F.size("theorems").alias("theorems"), F.size("proofs").alias("proofs"), F.size("remarks").alias("remarks"))
 
 
 def a5_statement_totals(spark, d):
-    found = statements.numbered(statements.scan(_records(spark, d)).filter("not text like ']%'"))
+    found = statements.numbered(statements.scan(_records(spark, d)))
     return statements.totals(found).filter("kind <> 'proof'")
 
 
@@ -167,7 +166,7 @@ def l26_references(spark, d):
 
 def l27_learned_macros(spark, d):
     t = F.concat(F.lit("\\newcommand{\\see}[1]{Lemma~\\ref{#1}}\\begin{lemma}\\label{a}x\\end{lemma}\\begin{theorem}\\label{b}y\\end{theorem}\\begin{proof}[of \\see{b}] by \\see{a} "), "text", F.lit("\\end{proof}"))
-    records = _turns(spark, d).filter("turn = 0").select(F.col("conv_id").alias("index"), F.array(F.lit("m.tex")).alias("filenames"), F.array(t).alias("latex"))
+    records = _turns(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("index"), F.array(F.lit("m.tex")).alias("filenames"), F.array(t).alias("latex"))
     return dag.build(records).edges.filter("`from` = 'a'").select("index", "from", "to")
 
 
@@ -207,13 +206,14 @@ def l25_reference_pattern(spark, d):
 
 
 def _pieces(spark, d):
-    """A root and a part for each conversation, in file order; every third root takes the part in."""
-    t = _turns(spark, d).filter("turn < 2")
+    """Two turns are a paper: a root and, where there is a second one, a part, in file order. Roots of every third
+    conversation take the part in."""
+    t = _turns(spark, d).withColumn("paper", F.expr("conv_id * 4 + turn div 2"))
     root = F.concat(F.lit("\\documentclass{a}\n\\begin{document}\n"), F.when(F.col("conv_id") % 3 == 0, "\\input{part} % \\input{x}\n").otherwise("\\input{gone}\n"), F.lit("\\begin{thm}r\\end{thm}\n\\end{document}"))
-    part = F.concat(F.lit("\\begin{document}P \\input{main}\\end{document}\n"), F.lit("tail"))
-    is_root = F.col("turn") == 0
+    part = F.lit("\\begin{document}P \\input{main}\\end{document}\ntail")
+    is_root = F.col("turn") % 2 == 0
     return t.select(
-        (F.col("conv_id") * 2 + F.col("turn")).alias("index"), F.concat(F.lit("arxiv/p"), F.col("conv_id") % 40, F.when(is_root, "/main.tex").otherwise("/part.tex")).alias("path"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("index"), F.concat(F.lit("arxiv/p"), F.col("paper") % 160, F.when(is_root, "/main.tex").otherwise("/part.tex")).alias("path"),
         F.when(is_root, root).otherwise(part).alias("text"), (F.length("text") + 10).cast("double").alias("kenlm_perplexity"), F.when(is_root, F.lit(None).cast("double")).otherwise(F.lit(7.0)).alias("kenlm_sp_perplexity"),
     )
 
@@ -464,7 +464,7 @@ _KINDS = "VALUES (0,'theorem','thm','theorem',false,'theorem','thm'),(1,'lemma',
 _T = "t AS (SELECT conv_id AS index, turn, role, trim(text) AS text, CASE role WHEN 'user' THEN 'lemma' WHEN 'assistant' THEN 'theorem' ELSE 'remark' END AS kind, 'c' || conv_id || ':t' || turn AS lab FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY turn) AS ordinal, count(*) OVER (PARTITION BY index) AS total FROM t), s AS (SELECT *, CASE kind WHEN 'remark' THEN 'remark#' || ordinal || '@main.tex' ELSE lab END AS id FROM n)"
 _E = "e AS (SELECT a.index, b.id AS dep, a.id AS stmt FROM s a JOIN s b ON a.index = b.index AND a.kind = 'theorem' AND b.kind <> 'remark' AND a.turn - b.turn IN (1, 2))"
 _C = "nd AS (SELECT conv_id AS index, turn, role AS kind, text FROM conversations), ed AS (SELECT a.conv_id AS index, a.turn AS i, b.turn AS j, a.turn * 100 + b.turn AS ord FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn AND b.turn - a.turn IN (1, 3))"
-_PP = "t AS (SELECT conv_id, turn, conv_id * 2 + turn AS index, 'p' || conv_id % 40 AS arxiv_id, length(text) + 10 AS ppl FROM conversations WHERE turn < 2), r AS (SELECT *, CASE WHEN lag(arxiv_id) OVER (ORDER BY index) IS DISTINCT FROM arxiv_id AND lag(arxiv_id) OVER (ORDER BY index) IS NOT NULL THEN 1 ELSE 0 END AS nw FROM t), u AS (SELECT *, CAST(sum(nw) OVER (ORDER BY index) AS BIGINT) AS run FROM r)"
+_PP = "t AS (SELECT conv_id, turn % 2 AS turn, conv_id * 100 + turn AS index, 'p' || (conv_id * 4 + turn // 2) % 160 AS arxiv_id, length(text) + 10 AS ppl FROM conversations), r AS (SELECT *, CASE WHEN lag(arxiv_id) OVER (ORDER BY index) IS DISTINCT FROM arxiv_id AND lag(arxiv_id) OVER (ORDER BY index) IS NOT NULL THEN 1 ELSE 0 END AS nw FROM t), u AS (SELECT *, CAST(sum(nw) OVER (ORDER BY index) AS BIGINT) AS run FROM r)"
 _RAW = "SELECT conv_id * 100 + turn AS index, 'lemma' AS kind, md5(trim(text)) AS digest FROM conversations WHERE trim(text) <> ''"
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] in "lagjfuvw" and name[1:2].isdigit() and callable(f)}
@@ -474,7 +474,7 @@ SQL = {
     "l3_line_comments": rf"WITH {_N} SELECT k, md5(CASE k % 3 WHEN 0 THEN n_name || chr(10) || '\%y\\%z' WHEN 1 THEN chr(10) || 'q' ELSE t END) AS digest FROM m",
     "l4_forgotten": "SELECT conv_id, turn, 'a  b  c' AS kept FROM conversations",
     "l5_raw_blocks": _RAW,
-    "l6_declared_names": "SELECT conv_id AS index, p AS place, 'lemma' AS kind, CASE p WHEN 0 THEN md5(trim(text)) ELSE md5('q') END AS digest FROM conversations, (VALUES (0), (1)) x(p) WHERE turn = 0",
+    "l6_declared_names": "SELECT conv_id * 100 + turn AS index, p AS place, 'lemma' AS kind, CASE p WHEN 0 THEN md5(trim(text)) ELSE md5('q') END AS digest FROM conversations, (VALUES (0), (1)) x(p)",
     "l7_display_kind": f"SELECT p_partkey, a AS kind FROM part JOIN ({_KINDS}) v(k, a, e, b, st, g, bare) ON p_partkey % 8 = k",
     "l8_env_kind": f"SELECT p_partkey, b AS kind, st AS starred FROM part JOIN ({_KINDS}) v(k, a, e, b, st, g, bare) ON p_partkey % 8 = k",
     "l22_newtheorem_kinds": f"SELECT p_partkey, bare AS env, CASE k WHEN 6 THEN 'claim' ELSE a END AS kind FROM part JOIN ({_KINDS}) v(k, a, e, b, st, g, bare) ON p_partkey % 8 = k",
@@ -488,7 +488,7 @@ SQL = {
     "f15_found_field": _RAW,
     "l15_stable_dedup": "SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) GROUP BY conv_id",
     "l26_references": "SELECT conv_id, turn, 'a' || turn || '|b|c' || conv_id AS refs FROM conversations",
-    "l27_learned_macros": "SELECT conv_id AS index, 'a' AS \"from\", 'b' AS \"to\" FROM conversations WHERE turn = 0",
+    "l27_learned_macros": "SELECT conv_id * 100 + turn AS index, 'a' AS \"from\", 'b' AS \"to\" FROM conversations",
     "l30_labels": "SELECT conv_id, turn, 'x' || turn || '|y' AS labels, 'x' || turn AS first FROM conversations",
     "l31_l32_primary_label": "SELECT conv_id AS index, 'c' || conv_id || ':t' || turn AS label, 'eq|c' || conv_id || ':t' || turn AS labels FROM conversations",
     "l28_l34_blocks": f"WITH {_T} SELECT index, kind, md5(text) AS digest FROM s",
@@ -500,9 +500,9 @@ SQL = {
     "a3_geometric_mean": "SELECT l_orderkey, round(exp(sum(greatest(1.0::DOUBLE, l_quantity::DOUBLE) * ln(greatest(l_extendedprice::DOUBLE, 1e-12))) / sum(greatest(1.0::DOUBLE, l_quantity::DOUBLE))), 4) AS mean FROM lineitem GROUP BY l_orderkey",
     "a4_skip_counts": f"WITH {_PP} SELECT count(DISTINCT run) AS written, 0 AS no_document, 0 AS no_theorem FROM u",
     "f4_bundle_filter": f"WITH {_PP} SELECT DISTINCT run, arxiv_id FROM u",
-    "j1_with_metadata": f"WITH {_PP} SELECT index, arxiv_id, 'hep-th math.AG' AS categories FROM t WHERE conv_id % 40 < 25 AND conv_id % 40 % 2 = 0",
+    "j1_with_metadata": f"WITH {_PP} SELECT index, arxiv_id, 'hep-th math.AG' AS categories FROM t WHERE CAST(substr(arxiv_id, 2) AS INT) < 25 AND CAST(substr(arxiv_id, 2) AS INT) % 2 = 0",
     "j2_without_metadata": f"WITH {_PP} SELECT index, arxiv_id, CAST(NULL AS VARCHAR) AS metadata FROM t",
-    "l16_l21_merged": rf"WITH {_PP}, x AS (SELECT run, any_value(conv_id) % 3 = 0 AS inc, max(ppl) FILTER (turn = 0) AS p0, max(ppl) FILTER (turn = 1) AS p1 FROM u GROUP BY run), y AS (SELECT *, length('\documentclass{{a}}|\begin{{document}}||\begin{{thm}}r\end{{thm}}|\end{{document}}') + CASE WHEN inc THEN length('\input{{part}} % \input{{x}}') ELSE length('\input{{gone}}') END AS w0, length('\begin{{document}}P \input{{main}}\end{{document}}|tail') AS w1 FROM x) SELECT run, CASE WHEN inc THEN 'main.tex' ELSE 'part.tex' END AS root, CASE WHEN inc THEN 'main.tex,part.tex' ELSE 'part.tex,main.tex' END AS used, CASE WHEN inc THEN '' ELSE 'input:gone' END AS unresolved, CASE WHEN inc THEN 1 ELSE 0 END AS cycles, round(exp((w0 * ln(p0::DOUBLE) + w1 * ln(p1::DOUBLE)) / (w0 + w1)), 4) AS ppl, 7.0::DOUBLE AS sp_ppl FROM y",
+    "l16_l21_merged": rf"WITH {_PP}, x AS (SELECT run, any_value(conv_id) % 3 = 0 AS inc, max(ppl) FILTER (turn = 0) AS p0, max(ppl) FILTER (turn = 1) AS p1 FROM u GROUP BY run), y AS (SELECT *, length('\documentclass{{a}}|\begin{{document}}||\begin{{thm}}r\end{{thm}}|\end{{document}}') + CASE WHEN inc THEN length('\input{{part}} % \input{{x}}') ELSE length('\input{{gone}}') END AS w0, length('\begin{{document}}P \input{{main}}\end{{document}}|tail') AS w1 FROM x) SELECT run, CASE WHEN inc OR p1 IS NULL THEN 'main.tex' ELSE 'part.tex' END AS root, CASE WHEN p1 IS NULL THEN 'main.tex' WHEN inc THEN 'main.tex,part.tex' ELSE 'part.tex,main.tex' END AS used, CASE WHEN NOT inc THEN 'input:gone' WHEN p1 IS NULL THEN 'input:part' ELSE '' END AS unresolved, CASE WHEN inc AND p1 IS NOT NULL THEN 1 ELSE 0 END AS cycles, round(CASE WHEN p1 IS NULL THEN p0 ELSE exp((w0 * ln(p0::DOUBLE) + w1 * ln(p1::DOUBLE)) / (w0 + w1)) END, 4) AS ppl, CASE WHEN p1 IS NOT NULL THEN 7.0::DOUBLE END AS sp_ppl FROM y",
     "l17_document_body": f"WITH {_PP} SELECT index, md5(CASE turn WHEN 0 THEN chr(10) || CASE WHEN conv_id % 3 = 0 THEN '\\input{{part}} % \\input{{x}}' ELSE '\\input{{gone}}' END || chr(10) || '\\begin{{thm}}r\\end{{thm}}' || chr(10) ELSE 'P \\input{{main}}' END) AS digest FROM t",
     "l20_root_score": f"WITH {_PP} SELECT index, CASE turn WHEN 0 THEN 1250 ELSE 250 END AS score FROM t",
     "g1_statement_nodes": f"WITH {_T} SELECT index, CAST(ordinal AS INT) AS ordinal, id, kind FROM s",

@@ -11,7 +11,6 @@ from lemmaforge.functions.vectors import dot, first_vector, last_vector, norm, n
 from lemmaforge.operators import similarity as sim
 
 TAU = 0.07
-PAIRS = 200
 NEGATIVES = 20
 QUERIES_MAX = 100
 
@@ -39,8 +38,7 @@ def v1_dot(spark, d):
 
 def v2_normalise(spark, d):
     u = normalised(F.transform("vec", lambda x: x * 3))
-    zero = vectors(spark, d).limit(0)
-    return vectors(spark, d).unionByName(zero).select("id", _round(norm(u), 5).alias("length"), _round(u[0], 5).alias("first"))
+    return vectors(spark, d).select("id", _round(norm(u), 5).alias("length"), _round(u[0], 5).alias("first"))
 
 
 def v13_first_pooling(spark, d):
@@ -92,7 +90,7 @@ def w4_similar(spark, d):
     nth = F.row_number().over(Window.partitionBy("grp").orderBy("id"))
     q = v.filter("grp = 2").withColumn("nth", nth).filter("nth = 3").select(F.col("id").alias("qid"), F.col("vec").alias("qv"))
     s = v.crossJoin(F.broadcast(q)).filter("id <> qid").select("id", _round(dot(F.col("vec"), F.col("qv"))).alias("score"))
-    return s.orderBy(F.desc("score"), "id").limit(100)
+    return s.orderBy(F.desc("score"), "id").limit(1000)
 
 
 def w4_nearest_all(spark, d):
@@ -104,23 +102,23 @@ def a14_retrieval_metrics(spark, d):
 
 
 def a16_paired_metrics(spark, d):
-    r = sim.paired_ranks(pairs(spark, d).filter(f"id < {PAIRS}"))
+    r = sim.paired_ranks(pairs(spark, d))
     return r.agg(F.count("*").alias("n"), _round(F.avg(1.0 / F.col("rank"))).alias("mrr"), *[_round(F.avg((F.col("rank") <= k).cast("double"))).alias(f"top{k}") for k in (1, 5, 10)])
 
 
 def a17_log_normalisers(spark, d):
-    p = pairs(spark, d).filter(f"id < {PAIRS}")
+    p = pairs(spark, d)
     x, y = p.select("id", F.col("x").alias("vec")), p.select("id", F.col("y").alias("vec"))
     a, b = sim.log_normalisers(x, y, TAU), sim.log_normalisers(y, x, TAU)
     return a.join(b.withColumnRenamed("lse", "b"), "id").select("id", _round("lse", 5).alias("a"), _round("b", 5).alias("b"))
 
 
 def a18_symmetric_loss(spark, d):
-    return sim.symmetric_loss(pairs(spark, d).filter(f"id < {PAIRS}"), TAU).select("n", _round("loss", 5).alias("loss"))
+    return sim.symmetric_loss(pairs(spark, d), TAU).select("n", _round("loss", 5).alias("loss"))
 
 
 def a19_gradients(spark, d):
-    g = sim.loss_gradients(pairs(spark, d).filter("id < 60"), TAU)
+    g = sim.loss_gradients(pairs(spark, d), TAU)
     return g.select("id", F.col("dim").cast("int").alias("dim"), _round("gx", 7).alias("gx"), _round("gy", 7).alias("gy"))
 
 
@@ -184,7 +182,6 @@ def v11_temperature(spark, d):
 
 
 _PAIR = "p AS (SELECT a.vec_id // 2 AS id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
-_PAIR_SOME = _PAIR[:-1] + f" AND a.vec_id // 2 < {PAIRS})"
 _DOT = "list_dot_product"
 _SCORED = "s AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label AS g, b.label AS h, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rk FROM s)"
 _FIRST = _SCORED + ", f AS (SELECT e.vec_id AS id, min(rk) AS rank FROM embeddings e LEFT JOIN r ON r.q = e.vec_id AND r.g = r.h GROUP BY e.vec_id)"
@@ -214,15 +211,15 @@ SQL = {
     "w1_full_ranking": f"WITH {_SCORED} SELECT q, c, rk FROM r",
     "w2_first_positive": f"WITH {_FIRST} SELECT id, rank FROM f",
     "w3_hits": f"WITH {_FIRST} SELECT id, CAST(coalesce(rank <= 1, false) AS INT) AS hit1, CAST(coalesce(rank <= 5, false) AS INT) AS hit5, CAST(coalesce(rank <= 10, false) AS INT) AS hit10 FROM f",
-    "w4_similar": "WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 1 OFFSET 2) SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, id LIMIT 100",
+    "w4_similar": "WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 1 OFFSET 2) SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, id LIMIT 1000",
     "w4_nearest_all": f"WITH {_SCORED} SELECT q, c, rk FROM r WHERE rk <= 5",
     "w6_sampled_rank": f"WITH {_SAMPLED} SELECT q, rank FROM sr WHERE pos = 1",
     "w7_schedule": f"WITH {_SCHEDULE} SELECT q, grp, place FROM sch",
     "w8_random_positive": f"WITH {_POSITIVE} SELECT q, c FROM po",
     "a14_retrieval_metrics": f"WITH {_FIRST} SELECT count(*) AS n, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr, round(sum(CAST(coalesce(rank <= 1, false) AS DOUBLE)) / count(*), 6) AS top1, round(sum(CAST(coalesce(rank <= 5, false) AS DOUBLE)) / count(*), 6) AS top5, round(sum(CAST(coalesce(rank <= 10, false) AS DOUBLE)) / count(*), 6) AS top10 FROM f",
     "a15_sampled_metrics": f"WITH {_SAMPLED} SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM sr WHERE pos = 1",
-    "a16_paired_metrics": f"WITH {_PAIR_SOME}, s AS (SELECT a.id AS q, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}(a.x, b.y), 6) DESC, b.id) AS rank FROM p a, p b) SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS top5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM s WHERE q = c",
-    "a17_log_normalisers": f"WITH {_PAIR_SOME}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, max(s) + ln(sum(exp(s - m))) AS a FROM (SELECT *, max(s) OVER (PARTITION BY i) AS m FROM s) GROUP BY i), y AS (SELECT j AS id, max(s) + ln(sum(exp(s - m))) AS b FROM (SELECT *, max(s) OVER (PARTITION BY j) AS m FROM s) GROUP BY j) SELECT id, round(a, 5) AS a, round(b, 5) AS b FROM x JOIN y USING (id)",
-    "a18_symmetric_loss": f"WITH {_PAIR_SOME}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, ln(sum(exp(s))) AS a FROM s GROUP BY i), y AS (SELECT j AS id, ln(sum(exp(s))) AS b FROM s GROUP BY j) SELECT count(*) AS n, round(sum(a + b - 2 * s) / (2 * count(*)), 5) AS loss FROM x JOIN y USING (id) JOIN s ON s.i = id AND s.j = id",
-    "a19_gradients": f"WITH {_PAIR[:-1]} AND a.vec_id // 2 < 60), s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), la AS (SELECT i, ln(sum(exp(s))) AS a FROM s GROUP BY i), lb AS (SELECT j, ln(sum(exp(s))) AS b FROM s GROUP BY j), w AS (SELECT i, j, exp(s - a) + exp(s - b) - CASE WHEN i = j THEN 2 ELSE 0 END AS w FROM s JOIN la USING (i) JOIN lb USING (j)), ex AS (SELECT id, unnest(range(64)) AS dim, unnest(x) AS x, unnest(y) AS y FROM p), gx AS (SELECT i AS id, dim, sum(w * y) / (2 * 60 * 0.07::DOUBLE) AS gx FROM w JOIN ex ON ex.id = j GROUP BY ALL), gy AS (SELECT j AS id, dim, sum(w * x) / (2 * 60 * 0.07::DOUBLE) AS gy FROM w JOIN ex ON ex.id = i GROUP BY ALL) SELECT id, CAST(dim AS INT) AS dim, round(gx, 7) AS gx, round(gy, 7) AS gy FROM gx JOIN gy USING (id, dim)",
+    "a16_paired_metrics": f"WITH {_PAIR}, s AS (SELECT a.id AS q, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}(a.x, b.y), 6) DESC, b.id) AS rank FROM p a, p b) SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS top5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM s WHERE q = c",
+    "a17_log_normalisers": f"WITH {_PAIR}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, max(s) + ln(sum(exp(s - m))) AS a FROM (SELECT *, max(s) OVER (PARTITION BY i) AS m FROM s) GROUP BY i), y AS (SELECT j AS id, max(s) + ln(sum(exp(s - m))) AS b FROM (SELECT *, max(s) OVER (PARTITION BY j) AS m FROM s) GROUP BY j) SELECT id, round(a, 5) AS a, round(b, 5) AS b FROM x JOIN y USING (id)",
+    "a18_symmetric_loss": f"WITH {_PAIR}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, ln(sum(exp(s))) AS a FROM s GROUP BY i), y AS (SELECT j AS id, ln(sum(exp(s))) AS b FROM s GROUP BY j) SELECT count(*) AS n, round(sum(a + b - 2 * s) / (2 * count(*)), 5) AS loss FROM x JOIN y USING (id) JOIN s ON s.i = id AND s.j = id",
+    "a19_gradients": f"WITH {_PAIR}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), la AS (SELECT i, ln(sum(exp(s))) AS a FROM s GROUP BY i), lb AS (SELECT j, ln(sum(exp(s))) AS b FROM s GROUP BY j), w AS (SELECT i, j, exp(s - a) + exp(s - b) - CASE WHEN i = j THEN 2 ELSE 0 END AS w FROM s JOIN la USING (i) JOIN lb USING (j)), ex AS (SELECT id, unnest(range(64)) AS dim, unnest(x) AS x, unnest(y) AS y FROM p), gx AS (SELECT i AS id, dim, sum(w * y) / (2 * (SELECT count(*) FROM p) * 0.07::DOUBLE) AS gx FROM w JOIN ex ON ex.id = j GROUP BY ALL), gy AS (SELECT j AS id, dim, sum(w * x) / (2 * (SELECT count(*) FROM p) * 0.07::DOUBLE) AS gy FROM w JOIN ex ON ex.id = i GROUP BY ALL) SELECT id, CAST(dim AS INT) AS dim, round(gx, 7) AS gx, round(gy, 7) AS gy FROM gx JOIN gy USING (id, dim)",
 }
