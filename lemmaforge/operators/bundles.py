@@ -38,10 +38,9 @@ def runs(rows: DataFrame, key: str, order: str, out: str = "run") -> DataFrame:
     for i, (part, first, final, n) in enumerate(ends):
         base += int(i > 0 and first != last)
         before[part], base, last = base, base + n, final
-    if not before:
-        return rows.withColumn(out, F.lit(0).cast("long"))
-    table = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    return local.withColumn(out, (F.element_at(table, F.col("part")) + F.col("in_part")).cast("long")).drop("part", "new", "in_part")
+    offsets = spark.createDataFrame(list(before.items()), "part int, before long")
+    numbered = local.join(F.broadcast(offsets), "part")  # one row a range
+    return numbered.select(*rows.columns, (F.col("before") + F.col("in_part")).cast("long").alias(out))
 
 
 def with_metadata(pieces: DataFrame, metadata: DataFrame | None, key: str = "arxiv_id") -> DataFrame:

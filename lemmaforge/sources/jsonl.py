@@ -13,14 +13,11 @@ def numbered(lines: DataFrame, name: str = "index") -> DataFrame:
 
     One count a partition comes to the driver; rows stay where they are.
     """
-    part, place = F.spark_partition_id(), F.monotonically_increasing_id()
-    counts = {r["p"]: r["n"] for r in lines.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    order = sorted(counts)
-    before = dict(zip(order, accumulate([0, *[counts[p] for p in order]]), strict=False))
-    if not before:
-        return lines.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])
-    return lines.withColumn(name, F.element_at(offsets, part.cast("long")) + place.bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = lines.withColumns({"ln_part": F.spark_partition_id(), "ln_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = sorted((r["ln_part"], r["n"]) for r in placed.groupBy("ln_part").agg(F.count("*").alias("n")).collect())
+    before = accumulate([0, *[n for _, n in counts]])
+    offsets = lines.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "ln_part int, ln_before long")
+    return placed.join(F.broadcast(offsets), "ln_part").select(*lines.columns, (F.col("ln_before") + F.col("ln_place")).alias(name))  # a row a partition
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
