@@ -8,7 +8,8 @@ fewer words the whole sequence is the one shingle, without words the set is empt
 2. order shingles: very frequent ones (found by partial counts, a bounded list) last, the others by hash. Any order
    that all documents share is exact for prefix filtering; this one keeps posting lists short;
 3. classes with the same size and the same prefix become one group (held in at most GROUP_ROWS rows); groups whose
-   prefixes share a shingle meet in that shingle's posting. A long posting is cut into blocks and block pairs, cells
+   prefixes share a shingle meet in that shingle's posting; of shingles that list the same groups (by count and 128
+   bits of hash) one is enough. A long posting is cut into blocks and block pairs, cells
    of bounded size. In a cell, members are expanded and pairs pass on the length filter and on a parity bitmap,
    whose Hamming distance never exceeds the sets' symmetric difference. A cell returns one edge for each member, not its pairs;
 4. candidate edges give clusters; the sets of a cluster's classes meet, again in cells of bounded size, and all their
@@ -42,7 +43,7 @@ POSTING_BLOCK = 1024
 CELL_BYTES = 8 << 20
 CELL_SETS = 1500
 SIEVE = 8_388_593
-WIDE = 2000
+WIDTHS = (512, 4096, 32768, 262144)
 _LOW = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CHUNK = 128
@@ -81,10 +82,21 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), 7) - (1 << 63)
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each of 512 bits, 4096 for large sets."""
-    width = 4096 if len(s) > WIDE else 512
-    return np.packbits((np.bincount(((s >> np.uint64(17)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+def width_of(size: int, num: int, den: int) -> int:
+    """Bits of a set's bitmap: four times the difference that a link to a set of its size allows."""
+    most = 2 * size * (den - num) // (den + num)
+    return next((w for w in WIDTHS if w >= 4 * most), WIDTHS[-1])
+
+
+def parity(s: np.ndarray, width: int) -> bytes:
+    """Parity of the shingles that fall on each bit."""
+    place = ((s >> np.uint64(17)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width // 64), axis=0)
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -123,7 +135,7 @@ def hot_shingles(classed: DataFrame, most: int = HOT_MOST) -> np.ndarray:
             for x in batch.column("low").to_pylist():
                 held.append(np.frombuffer(x, np.uint64))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         yield flush()
@@ -154,7 +166,7 @@ def _prefixed(rows: DataFrame, hot: np.ndarray, n: int, num: int, den: int) -> D
                         first = np.concatenate((first, s[is_hot][: p - len(first)]))
                     else:
                         first = s[:p]
-                    out.append((node, len(s), first.view(np.int64), parity(s)))
+                    out.append((node, len(s), first.view(np.int64), parity(s, width_of(len(s), num, den))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64())), pa.array([r[3] for r in out], pa.binary())], names=["node", "n", "prefix", "bits"])
 
     return rows.mapInArrow(run, "node long, n long, prefix array<long>, bits binary")
@@ -206,29 +218,33 @@ def may_link(node: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarra
     cell of two blocks, only pairs across are looked at."""
     m = len(node)
     order = np.argsort(n, kind="stable")
-    sizes = n[order]
-    narrow = np.zeros((m, 8), np.uint64)
-    wide = {}
-    for k, i in enumerate(order.tolist()):
-        b = np.frombuffer(bits[i], np.uint64)
-        if len(b) > 8:
-            wide[k] = b
-            b = np.bitwise_xor.reduce(b.reshape(-1, 8), axis=0)
-        narrow[k] = b
+    sizes = n[order].astype(np.int64)
+    held = [np.frombuffer(bits[i], np.uint64) for i in order.tolist()]
+    widths = np.array([64 * len(h) for h in held])
+    levels = []  # bitmaps of one width of the sets that have it or more, and their rows
+    for w in WIDTHS:
+        own = np.flatnonzero(widths >= w)
+        if len(own) > 1:
+            row = np.full(m, -1)
+            row[own] = np.arange(len(own))
+            levels.append((w, row, np.array([folded(held[k], w) for k in own.tolist()])))
     side = left[order] if left is not None else None
     forest, at = Forest(m), order.tolist()
     ends = np.searchsorted(sizes, sizes * den // num, side="right")
     for k in range(m - 1):
-        e = int(ends[k])
-        if e <= k + 1:
-            continue
-        apart = np.bitwise_count(narrow[k + 1 : e] ^ narrow[k]).sum(1).astype(np.int64)
-        good = apart * (den + num) <= (sizes[k + 1 : e] + sizes[k]) * (den - num)
+        near = np.arange(k + 1, int(ends[k]))
         if side is not None:
-            good &= side[k + 1 : e] != side[k]
-        for j in (np.flatnonzero(good) + k + 1).tolist():
-            if k in wide and j in wide and int(np.bitwise_count(wide[k] ^ wide[j]).sum()) * (den + num) > int(sizes[k] + sizes[j]) * (den - num):
-                continue
+            near = near[side[near] != side[k]]
+        for w, row, maps in levels:
+            if not len(near) or widths[k] < w:
+                break
+            wide = widths[near] >= w
+            seen = near[wide]
+            apart = np.bitwise_count(maps[row[seen]] ^ maps[row[k]]).sum(1).astype(np.int64)
+            keep = np.ones(len(near), bool)
+            keep[wide] = apart * (den + num) <= (sizes[seen] + sizes[k]) * (den - num)
+            near = near[keep]
+        for j in near.tolist():
             forest.join(at[k], at[j])
     return forest
 
@@ -245,7 +261,8 @@ def _candidates(prefixed: DataFrame, num: int, den: int) -> DataFrame:
     groups = prefixed.groupBy("n", "prefix", F.pmod("node", F.lit(GROUP_ROWS)).alias("part")).agg(F.collect_list(member).alias("members"))
     groups = cut(groups.withColumn("gid", F.xxhash64("n", "prefix", "part")), "groups")
     slim = groups.select(F.explode("prefix").alias("t"), "gid")
-    often = slim.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
+    listed = slim.groupBy("t").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("gid", F.lit(i))).alias(f"h{i}") for i in (1, 2)]).filter("c > 1")
+    often = listed.groupBy("c", "h1", "h2").agg(F.min("t").alias("t"))  # of shingles with one and the same posting, one
     blocks = F.ceil(F.col("c") / POSTING_BLOCK).cast("int")
     live = slim.join(often, "t").select("t", "gid", blocks.alias("k"), F.pmod("gid", blocks).cast("int").alias("b"))
     cells = live.select("t", "gid", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("t", "gid", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
@@ -380,3 +397,16 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: three-word shingles, links from nine tenths on."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_join(docs, n=3, num=90, den=100)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links
+FROM d LEFT JOIN n USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
-from lemmaforge.llm.jaccard import op4_jaccard
+from lemmaforge.llm.jaccard import OP4_SQL, op4_jaccard
 from lemmaforge.llm.lines import op5_line_dedup
 from lemmaforge.llm.pieces import op7_sentencepiece
 from lemmaforge.llm.quality import op1_quality
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_warc": OP10_SQL}

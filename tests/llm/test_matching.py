@@ -82,11 +82,11 @@ def test_bitmaps_never_hide_a_link():
     random.seed(8)
     import numpy as np
 
-    for size in (3, 50, 3000):
+    for size in (3, 50, 570, 600, 3000, 20000):
         base = np.unique(np.array([random.getrandbits(64) for _ in range(size)], np.uint64))
         other = np.unique(np.concatenate((base[: size - size // 12], np.array([random.getrandbits(64) for _ in range(size // 12)], np.uint64))))
         order = np.array([0, 1])
-        forest = jaccard.may_link(order, np.array([len(base), len(other)]), [jaccard.parity(base), jaccard.parity(other)], None, 80, 100)
+        forest = jaccard.may_link(order, np.array([len(base), len(other)]), [jaccard.parity(x, jaccard.width_of(len(x), 80, 100)) for x in (base, other)], None, 80, 100)
         linked = 100 * len(np.intersect1d(base, other)) >= 80 * len(np.union1d(base, other))
         assert forest.root(0) == forest.root(1) or not linked
 
