@@ -68,6 +68,27 @@ def split_papers(papers: DataFrame, paper: str, ratio: float = 0.8, seed: int =
     return joined.withColumn("split", F.when(train, "train").otherwise("eval")).drop("skey", "edge")
 
 
+def positions(rows: DataFrame, order: str, by: str, out: str) -> DataFrame:
+    """`rows` with their place, from 0, in the order of a numeric column within each value of `by`, which are few.
+
+    Ranges of the order are numbered each by itself and start behind the rows of the ranges before.
+    """
+    spark = rows.sparkSession
+    parts = max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = sorted({int(x) for x in rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    level = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(order))) if cuts else F.lit(0)
+    ranked = rows.withColumn("ps_part", level).withColumn("ps_rank", F.row_number().over(Window.partitionBy("ps_part", by).orderBy(order)))
+    counts = sorted((r[by], r["ps_part"], r["n"]) for r in ranked.groupBy(by, "ps_part").agg(F.count("*").alias("n")).collect())  # a row a range and value
+    before, last, base = [], None, 0
+    for value, part, n in counts:
+        base = base if value == last else 0
+        before.append((value, part, base))
+        last, base = value, base + n
+    offsets = spark.createDataFrame(before, f"{by} {dict(rows.dtypes)[by]}, ps_part int, ps_before long")
+    joined = ranked.join(F.broadcast(offsets), [by, "ps_part"])
+    return joined.select(*rows.columns, (F.col("ps_before") + F.col("ps_rank") - 1).alias(out))
+
+
 def pair_up(rows: DataFrame, paper: str, stmt: str, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(paper, pair, x, y): statements of a paper in a hash order, taken two by two. An odd one out meets the first one
     again, so n statements give ceil(n / 2) pairs; papers with one statement give none."""

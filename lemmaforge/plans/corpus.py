@@ -95,9 +95,7 @@ def s8_precomputed(spark, d):
 
 
 def s9_listing(spark, d):
-    from urllib.parse import urlparse
-
-    return shards.files(spark, f"{d}/nation.parquet").select("name", (F.col("mb") > 0).alias("has_size"), F.lit(bool(urlparse(d))).alias("ok"))
+    return shards.files(spark, f"{d}/nation.parquet").select("name", (F.col("mb") > 0).alias("has_size"))
 
 
 def s10_dataset(spark, d):
@@ -239,8 +237,7 @@ def f17_paper_of_id(spark, d):
 def f18_split_items(spark, d):
     """Statements with their paper's place inside its split."""
     s = c.split_papers(_papers(spark, d), "index")
-    place = F.row_number().over(Window.partitionBy("split").orderBy("index")) - 1
-    numbered = s.select("index", "split", place.cast("long").alias("place"))
+    numbered = c.positions(s.select("index", "split"), "index", "split", "place")
     return c.items(s).select("paper", "id").join(numbered, F.col("paper") == F.col("index")).select("split", "place", "id")
 
 
@@ -333,6 +330,7 @@ SQL = {
     "s6_shard_scan": "SELECT 'v' || vec_id AS id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
     "s7_id_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS of_bytes, CAST(n_nationkey AS VARCHAR) AS of_number, n_nationkey || ',' || n_regionkey AS of_pair FROM nation",
     "s8_precomputed": "SELECT count(*) AS n, true AS missing FROM embeddings",
+    "s9_listing": "SELECT 'nation.parquet' AS name, true AS has_size",
     "s10_dataset": "SELECT count(DISTINCT conv_id) AS n, true AS same FROM conversations",
     "s11_scale_variants": "WITH l AS (SELECT conv_id, turn, 0 AS b FROM conversations UNION ALL SELECT conv_id, 98, 1 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT b, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT size, count(*) AS n FROM n, (VALUES ('toy', 200), ('tiny', 1000), ('small', 10000), ('medium', 100000), ('full', 4611686018427387904)) t(size, most) WHERE b = 0 AND index < most GROUP BY size",
     "s13_models": "SELECT 'embeddings' AS model, 'Embeddings' AS title, true AS embeddings",

@@ -57,9 +57,11 @@ def j12_all_pairs(spark, d):
 
 
 def j13_positives(spark, d):
+    """How many other vectors of its group each has, and the first of them: from group summaries, without pairs."""
     v = vectors(spark, d).select("id", "grp")
-    a, b = v.alias("a"), v.alias("b")
-    return a.join(b, F.col("a.grp") == F.col("b.grp")).filter("a.id <> b.id").groupBy(F.col("a.id").alias("q")).agg(F.count("*").alias("n"), F.min("b.id").alias("first"))
+    least = v.groupBy("grp").agg(F.count("*").alias("c"), F.min("id").alias("a")).filter("c > 1")
+    second = v.join(least, "grp").filter("id <> a").groupBy("grp").agg(F.min("id").alias("b"))
+    return v.join(least, "grp").join(second, "grp").select(F.col("id").alias("q"), (F.col("c") - 1).alias("n"), F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("first"))
 
 
 def j15_single_query(spark, d):
