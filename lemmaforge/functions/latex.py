@@ -29,6 +29,7 @@ def graph_plural(kind: str) -> str:
 
 
 GRAPH_NAMES = tuple(n for k in GRAPH_KINDS for n in (k, graph_plural(k)))
+# How documents, theorems, declarations and labels are written.
 BEGIN_DOCUMENT = r"(?i)\\begin\s*\{\s*document\s*\}"
 END_DOCUMENT = r"(?i)\\end\s*\{\s*document\s*\}"
 DOCUMENT_CLASS = r"(?i)\\documentclass\b"

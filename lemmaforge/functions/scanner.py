@@ -67,6 +67,7 @@ def group_end(text: str, at: int, pair: str) -> int:
 def definitions(texts: list[str]) -> dict[str, str | None]:
     """Display text of every declared environment; the first declaration counts, over all files."""
     found: dict[str, str | None] = {}
+    # How declarations are written.
     name, shown = r"\s*\{\s*([^}]+)\s*\}", r"\s*\{\s*([^}]+)\s*\}"
     new = re.compile(r"\\newtheorem\*?" + name + r"(?:\s*\[\s*[^\]]+\s*\])?" + shown, re.IGNORECASE)
     springer = re.compile(r"\\spnewtheorem\*?" + name + shown, re.IGNORECASE)
