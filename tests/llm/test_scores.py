@@ -173,5 +173,7 @@ def test_encoding_of_odd_rows(spark):
     back = pieces.decode(pieces.encode(rows, table), table)
     for r in back.collect():
         assert r["decoded"] == (r["text"] or "")
+    at_once = pieces.encode(rows, table, decoded="again").collect()
+    assert all(r["again"] == (r["text"] or "") for r in at_once) and len(at_once) == len(ODD) + 2
     assert pieces.encode(rows.limit(0), table).count() == 0
     assert table.decode(table.encode(["a▁b"])[0]) == "a b"
