@@ -34,7 +34,7 @@ from lemmaforge.session import workers_see_package
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG = 48
-CACHE = 400_000
+CACHE = 300_000
 _SPLIT = re.compile(r" *[^ \n]+| +|\n")
 _PRIME = np.uint64(0x100000001B3)
 # Model types and piece types of the model file's format.
@@ -324,8 +324,8 @@ class PieceTable:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, table: PieceTable, text: str = "text", out: str = "tokens") -> DataFrame:
-    """`docs` with the token ids of every text."""
+def encode(docs: DataFrame, table: PieceTable, text: str = "text", out: str = "tokens", decoded: str | None = None) -> DataFrame:
+    """`docs` with the token ids of every text; `decoded` names a column for the text that they give back."""
     shared = workers_see_package(docs.sparkSession).sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,10 +334,14 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", out: str = "t
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 tokens, begins = known.encode_block(batch.column(text).to_pylist())
-                values = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
+                columns = [pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tokens))]
+                if decoded:
+                    ends = begins.tolist()
+                    columns.append(pa.array([known.decode(tokens[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, out, *filter(None, [decoded])])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    extra = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def decode(rows: DataFrame, table: PieceTable, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
@@ -361,7 +365,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
     """Every document encoded and decoded again: token count, a digest of the ids and of the text they give back."""
     table = PieceTable.load(model)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode(encode(docs, table), table)
+    back = encode(docs, table, decoded="decoded")
     return back.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce(F.replace("text", F.lit(MARK), F.lit(" ")), F.lit(""))).alias("round_trip"),

@@ -141,7 +141,7 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
             for x in whole.column("text"):
                 got = terms_of(x.as_py())
                 seen.update(got if wanted is None else got & wanted)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
