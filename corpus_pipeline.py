@@ -57,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids, their number, and whether decoding gives the text back."""
     table = pieces.PieceTable.load()
-    back = pieces.decode(pieces.encode(docs.select("doc_id", "text"), table), table)
+    back = pieces.encode(docs.select("doc_id", "text"), table, decoded="decoded")
     same = F.col("decoded") == F.coalesce(F.replace("text", F.lit(pieces.MARK), F.lit(" ")), F.lit(""))
     return back.select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
