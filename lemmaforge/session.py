@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -31,12 +32,22 @@ def local_session(cores: str = "8", name: str = "lemmaforge", **conf: str) -> Sp
     return workers_see_package(spark)
 
 
+#: Python workers give freed memory back: large blocks are mapped one by one, and Arrow uses the system's allocator.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows that go to a Python worker at once, where the session doesn't say: texts may be long.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def workers_see_package(spark: SparkSession) -> SparkSession:
-    """Python workers import this package from where the driver found it."""
+    """Python workers import this package from where the driver found it, and keep little memory."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     return spark
 
 
@@ -49,9 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        own = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
