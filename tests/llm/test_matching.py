@@ -283,7 +283,7 @@ def test_archives_round_trip(spark):
 
 def test_archives_are_gzip_members(spark):
     for r in warc.write_archives(pages(spark)).collect():
-        with open(r["archive"].removeprefix("file://"), "rb") as f:
+        with open(r["archive"].removeprefix("file:"), "rb") as f:
             raw = f.read()
         assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == r["records"]
         for block in (1, 7, 1 << 16):
