@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 K = 5
 S = 2
-SKETCH = 64
+SKETCH = 128
 COARSE = 256
 
 
