@@ -16,19 +16,16 @@ ENCODER_LENGTH = 100.0
 PRIME = 30011
 
 
-def bag(items: DataFrame, item: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """item, kept columns, term, tf."""
-    return items.select(F.col(item).alias("item"), *keep, F.explode(word_tokens(F.col(text))).alias("term")).groupBy("item", *keep, "term").agg(F.count("*").alias("tf"))
-
-
-def lengths(bags: DataFrame) -> DataFrame:
-    """item, dl: tokens in the bag."""
-    return bags.groupBy("item").agg(F.sum("tf").alias("dl"))
+def bag(items: DataFrame, item: str, text: str) -> DataFrame:
+    """item, dl (tokens of the item), term, tf. The length is taken before the tokens are exploded, so no score has to go
+    over the bags again for it."""
+    words = items.select(F.col(item).alias("item"), word_tokens(F.col(text)).alias("w"))
+    return words.select("item", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("item", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(items: DataFrame, text: str) -> DataFrame:
     """One row: n documents (empty ones count), avgdl and vocabulary size."""
-    words = items.select(F.size(word_tokens(F.col(text))).alias("dl"), F.col(text).alias("t"))
+    words = items.select(F.size(word_tokens(F.col(text))).alias("dl"))
     vocabulary = items.select(F.explode(word_tokens(F.col(text))).alias("w")).agg(F.count_distinct("w").alias("vocabulary"))
     return words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(vocabulary)  # one row each
 
@@ -42,12 +39,15 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(q, item, score) for pairs that share a term. A query's terms count once. stats: one row with n and avgdl."""
-    df = document_frequencies(docs)
-    weighted = docs.join(lengths(docs), "item").join(df, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))  # one row
+    """(q, item, score) for pairs that share a term. A query's terms count once. stats: one row with n and avgdl.
+
+    Documents' rows are cut down to query terms first; frequencies are counted on what is left.
+    """
+    terms = queries.select(F.col("item").alias("q"), "term").distinct()
+    met = docs.join(terms.select("term").distinct(), "term", "left_semi")
+    weighted = met.join(document_frequencies(met), "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))  # one row
     tf = F.col("tf").cast("double")
     part = idf(F.col("n"), F.col("df")) * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = queries.select(F.col("item").alias("q"), "term").distinct()
     return terms.join(weighted.select("term", "item", part.alias("part")), "term").groupBy("q", "item").agg(F.sum("part").alias("score"))
 
 
@@ -55,7 +55,7 @@ def cosine(queries: DataFrame, docs: DataFrame, eps: float = 1e-8) -> DataFrame:
     """(q, item, score): cosine of count bags, eps added to each norm."""
     length = lambda x, name: x.groupBy("item").agg((F.sqrt(F.sum(F.col("tf") * F.col("tf"))) + eps).alias(name))
     a = queries.select(F.col("item").alias("q"), "term", F.col("tf").alias("qf"))
-    dots = a.join(docs, "term").groupBy("q", "item").agg(F.sum(F.col("qf") * F.col("tf")).alias("dot"))
+    dots = a.join(docs.select("item", "term", "tf"), "term").groupBy("q", "item").agg(F.sum(F.col("qf") * F.col("tf")).alias("dot"))
     return dots.join(length(queries, "qn").withColumnRenamed("item", "q"), "q").join(length(docs, "dn"), "item").select("q", "item", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score"))
 
 
@@ -83,7 +83,7 @@ def encoder_weights(bags: DataFrame, k1: float = K1, b: float = B, avgdl: float
     """(item, term, w): BM25 encoder without idf, the norm at least 0.5, shifted by 1e-10 and scaled to unit length."""
     tf = F.col("tf").cast("double")
     norm = F.greatest(F.lit(0.5), 1.0 - b + b * F.col("dl") / avgdl)
-    raw = bags.join(lengths(bags), "item").select("item", "term", (tf * (k1 + 1.0) / (tf + k1 * norm) + 1e-10).alias("w"))
+    raw = bags.select("item", "term", (tf * (k1 + 1.0) / (tf + k1 * norm) + 1e-10).alias("w"))
     size = raw.groupBy("item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return raw.join(size, "item").select("item", "term", (F.col("w") / F.col("size")).alias("w"))
 
