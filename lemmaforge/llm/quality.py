@@ -208,9 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_R
     """A model from labelled rows for which `train` holds."""
     chosen = labels.filter(F.col("quality").isNotNull() & train).select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-    got = statistics(rows.select("y", "text")).select("row.y", "stats").orderBy("y", *[f"stats.{s}" for s in STATS]).collect()
-    x = np.array([tuple(r["stats"]) for r in got], float).reshape(-1, len(STATS))
-    return fit_rules(x, np.array([r["y"] for r in got], float))
+    got = statistics(rows.select("y", "text")).select("row.y", "stats").collect()
+    table = np.array(sorted((r["y"], *r["stats"]) for r in got), float).reshape(-1, 1 + len(STATS))  # in one order on every run
+    return fit_rules(table[:, 1:], table[:, 0])
 
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
