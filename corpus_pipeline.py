@@ -1,6 +1,6 @@
 """Corpus cleaning in five stages, each applied to all that the stage before it kept.
 
-toxicity: documents that the lexicon scores as toxic go. line_dedup: later repeats of runs of 50 words or more are cut.
+toxicity: documents that the lexicon scores as toxic go. line_dedup: later repeats of 50 words or more are cut.
 jaccard_join: of documents linked by five-word shingles at a likeness of 0.8 or more the one with the least id stays.
 decontamination: documents of which at least one word in twenty repeats a benchmark window go. sentencepiece: the
 rest is encoded, and decoded again to compare.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lemmaforge.llm import decontaminate as benchmark_ngrams
-from lemmaforge.llm import jaccard, lines, pieces, toxicity
+from lemmaforge.llm import jaccard, passages, pieces, toxicity
 from lemmaforge.session import cut
 
 SHINGLE, LINK, OF = 5, 80, 100
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of lines; those of which nothing is left go."""
-    done = lines.dedup_lines(docs, removed="words_removed")
+    """Documents without later repeats of 50 words or more; those of which nothing is left go."""
+    done = passages.dedup_passages(docs, removed="words_removed")
     kept = done.filter((F.col("words_removed") == 0) | (F.trim("text") != ""))
     changed = F.when(F.col("words_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)

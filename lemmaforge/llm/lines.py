@@ -15,6 +15,8 @@ two equal windows always share one (the winnowing guarantee). Steps:
 A deleted line always has an earlier copy in a window that is not marked at that place, so one copy of it stays.
 Rows stay linear in the lines: occurrences meet only the first place of their key, never each other.
 
+Matches stop at line ends here; `passages`, which op5 and the pipeline use, compares every window of words.
+
 Defined cases: null and empty texts stay as they are; rows with equal id and equal text are one document, and are
 edited alike; a null id sorts first; a text that consists only of repeats becomes empty; extra columns pass through.
 """
@@ -28,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,9 +252,3 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     extra = [T.StructField(removed, T.LongType())] if removed else []
     return joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, *extra]))
-
-
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: words removed as later repeats of runs of 50 words or more, and a digest of what stays."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, removed="n_removed").select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

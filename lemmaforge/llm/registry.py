@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
 from lemmaforge.llm.jaccard import OP4_SQL, op4_jaccard
-from lemmaforge.llm.lines import op5_line_dedup
+from lemmaforge.llm.passages import op5_line_dedup
 from lemmaforge.llm.pieces import op7_sentencepiece
 from lemmaforge.llm.quality import op1_quality
 from lemmaforge.llm.shard import op8_sharding
