@@ -3,8 +3,9 @@
 A text is a sequence of words (runs without white space, in pieces of at most 16 characters, lower-cased). Of every
 K consecutive words the S-word substrings are hashed; the K-mer is chosen when its smallest inner hash is the first or
 the last one. The choice looks at the K words alone, so the same passage gives the same anchors in any document, and
-an edit changes only anchors that overlap it. `anchors` keeps positions, which `matched_offsets` compares; the
-fingerprint is the SKETCH smallest anchor hashes, whose overlap estimates the Jaccard likeness of the anchor sets.
+an edit changes only anchors that overlap it. The fingerprint is every anchor's hash in the order of the text; likeness is
+the Jaccard likeness of the whole anchor sets, and `best_offset` compares positions: of the anchors that both texts hold
+exactly once, the distance in words on which most agree. `sketch` keeps the SKETCH smallest hashes, for estimates elsewhere.
 
 Defined cases: null text counts as empty, with an empty fingerprint; a text of fewer than
 2 K words, which may hold no syncmer, has every word as an anchor; two empty fingerprints are alike to degree 1, an empty and another one to degree 0; of repeated ids the order is by
@@ -95,6 +96,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared)
 
 
+def set_likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two whole arrays of hashes."""
+    shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+
+
+def best_offset(a: Column, b: Column) -> Column:
+    """(n, offset): how far apart most of the anchors stand that each text holds once; of equal counts the least offset.
+
+    Both texts' anchors are sorted together as one number each, so equal hashes are neighbours: no pairs are made.
+    """
+
+    def packed(x: Column, side: int) -> Column:
+        return F.transform(x, lambda y: F.shiftleft(y["hash"], 31) + F.lit(side * 2**30) + y["at"])
+
+    def offsets(u: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            h = F.shiftrightunsigned(x, 31)
+            other = lambda k: F.coalesce(F.shiftrightunsigned(F.get(u, i + k), 31) != h, F.lit(True))
+            once = other(-1) & ~other(1) & other(2)
+            gap = F.get(u, i + 1) - x - F.lit(2**30)
+            crossed = (x.bitwiseAND(F.lit(2**30)) == 0) & (F.get(u, i + 1).bitwiseAND(F.lit(2**30)) != 0)
+            return F.when(once & crossed, gap)
+
+        return F.sort_array(F.array_compact(F.transform(u, pair)))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["at"] == x, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        more = run > s["n"]
+        return F.struct(F.when(more, run).otherwise(s["n"]).alias("n"), F.when(more, x).otherwise(s["offset"]).alias("offset"), run.alias("run"), x.alias("at"))
+
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("n"), none.alias("offset"), F.lit(0).cast("long").alias("run"), none.alias("at"))
+    both = F.sort_array(F.concat(packed(a, 0), packed(b, 1)))
+    return F.aggregate(_let(both, offsets), start, step, lambda s: F.struct(s["n"].alias("n"), s["offset"].alias("offset")))
+
+
 def matched_offsets(a: Column, b: Column) -> Column:
     """Positional matching: how far apart, in words, equal anchors of two texts stand, most frequent offset first."""
     pairs = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: y["at"] - x["at"])))
@@ -143,13 +181,20 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every text, its edited text and its successor."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     body = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), body.alias("body"), sketch(F.col("text")).alias("f"))
-    paired = with_next(rows, ["body", "f"])
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), body.alias("body"))
+    paired = with_next(rows, ["body"])
     half = F.floor(F.length("body") / 2).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), F.length("body") - half), F.substring(F.col("next_body"), F.lit(1), half))
-    both = paired.select("doc_id", F.length("body").cast("long").alias("n_chars"), "f", "next_f", edited.alias("edited"))
-    done = both.select("doc_id", "n_chars", "f", "next_f", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("g"))
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256", as_string(F.col("f")).alias("fingerprint"), as_string(F.col("g")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
-    )
+
+    def compared(x: Column) -> Column:
+        f, g, h = x["f"], x["g"], x["h"]
+        e, n = best_offset(f, g), best_offset(f, h)
+        return F.struct(
+            as_string(f["hash"]).alias("fingerprint"), as_string(g["hash"]).alias("edited_fingerprint"),
+            set_likeness(f["hash"], g["hash"]).alias("near_edited"), set_likeness(f["hash"], h["hash"]).alias("near_next"),
+            e.alias("edited_match"), n.alias("next_match"),
+        )
+
+    found = _let(F.struct(anchors(F.col("body")).alias("f"), anchors(edited).alias("g"), anchors(F.col("next_body")).alias("h")), compared)
+    done = paired.select("doc_id", F.length("body").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), found.alias("r"))
+    return done.select("doc_id", "n_chars", "edited_sha256", "r.*")
