@@ -1,7 +1,8 @@
 """Corpus cleaning in five stages, each applied to all that the stage before it kept.
 
 toxicity: documents that the lexicon scores as toxic go. line_dedup: later repeats of 50 words or more are cut.
-jaccard_join: of documents linked by five-word shingles at a likeness of 0.8 or more the one with the least id stays.
+jaccard_join: of documents linked by five-word shingles at a likeness of 0.8 or more, as they are now or as the corpus has
+them, the one with the least id stays.
 decontamination: documents of which at least one word in twenty repeats a benchmark window go. sentencepiece: the
 rest is encoded, and decoded again to compare.
 
@@ -16,9 +17,13 @@ from pyspark.sql.window import Window
 
 from lemmaforge.llm import decontaminate as benchmark_ngrams
 from lemmaforge.llm import jaccard, passages, pieces, toxicity
+from lemmaforge.llm.components import components
 from lemmaforge.session import cut
 
 SHINGLE, LINK, OF = 5, 80, 100
+BROADCAST_ROWS = 1_000_000
+# What jaccard takes as white space.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +42,41 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
+def has_words(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("text").rlike(WORD))
+
+
+def texts_before(spark: SparkSession, keyed: DataFrame, sf_dir: str) -> DataFrame:
+    """(jj_row, text): the corpus text of every row whose text an earlier stage changed, found by its id.
+
+    Rows without words, without an id, or with an id that the corpus holds more than once have none. Up to BROADCAST_ROWS
+    such rows are broadcast, so that texts stay where they are read; more of them are joined by a shuffle.
+    """
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    once = corpus.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("was")).filter("n = 1").select("doc_id", "was")
+    now = has_words(keyed).select("jj_row", "doc_id", F.xxhash64("text").alias("now"))
+    changed = cut(now.join(once, "doc_id").filter("now <> was").select("jj_row", "doc_id").distinct(), "changed")
+    return corpus.join(F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed, "doc_id").select("jj_row", "text")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every component of near-duplicates; of repeated rows one."""
+    """The document with the least id of every component of near-duplicates; of repeated rows one.
+
+    A document links by its text as it is now and by its text in the corpus: a near copy that line_dedup has cut down to
+    what differs is still a near copy. Rows without words stay.
+    """
     keyed = docs.withColumn("jj_row", F.xxhash64(*docs.columns))
-    joined = jaccard.jaccard_join(keyed.select("jj_row", "text"), "jj_row", n=SHINGLE, num=LINK, den=OF).dropDuplicates(["jj_row"])
-    ids = keyed.select("jj_row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("jj_doc")).distinct()
-    best = joined.join(ids, "jj_row").groupBy("component_id").agg(F.min(F.struct("jj_doc", "jj_row", "n_shingles")).alias("r"))
-    kept = best.select(F.col("r.jj_row").alias("jj_row"), (F.col("r.n_shingles") > 0).alias("jj_words"))
+    views = keyed.select("jj_row", "text").unionByName(texts_before(spark, keyed, sf_dir))
+    joined = cut(jaccard.jaccard_join(views, "jj_row", n=SHINGLE, num=LINK, den=OF), "linked")
+    held = joined.groupBy("jj_row").agg(F.min("component_id").alias("u"), F.max("component_id").alias("v"))
+    roots = components(held.filter("u <> v").select("u", "v"), "views")
+    placed = held.select("jj_row", F.col("u").alias("node")).join(roots, "node", "left").select("jj_row", F.coalesce("root", "node").alias("part"))
+    ids = has_words(keyed).select("jj_row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("jj_doc")).distinct()
+    best = placed.join(ids, "jj_row").groupBy("part").agg(F.min(F.struct("jj_doc", "jj_row")).alias("r"))
+    kept = best.select(F.col("r.jj_row").alias("jj_row"))
     nth = F.row_number().over(Window.partitionBy("jj_row").orderBy("jj_row"))
-    rows = keyed.join(kept, "jj_row").withColumn("jj_nth", nth)
-    return rows.filter((F.col("jj_nth") == 1) | ~F.col("jj_words")).select(*docs.columns)
+    rows = has_words(keyed).join(kept, "jj_row").withColumn("jj_nth", nth).filter("jj_nth = 1").select(*docs.columns)
+    return rows.unionByName(docs.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ it starts. Winnowing makes the search sparse and stays exact: of the gram hashes
 of equals) is its seed, which the window's own words decide, so equal windows have equal seeds at equal offsets. Steps:
 
 1. neighbouring windows with one seed form a span; each span gives one row of seed, content hash and place;
-2. of spans with equal content all but the first place (least id, then text hash, then position) are marked whole;
+2. of spans with equal content (128 bits of hash) all but the first place (least id, then text hash, then position) are
+   marked whole;
 3. where a seed has spans of different content, matches end inside them: the first places of those spans are keyed window by
    window, and all but the first place of each window are marked, which extends matches word by word at both ends;
 4. marked words are deleted.
@@ -28,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lemmaforge.llm.lines import MIN_WORDS, _powers, without_runs
 from lemmaforge.session import cut, workers_see_package
 
 _CHUNK = 64
 _WORD = re.compile(r"\S+")
-_SPAN = "ps_s long, ps_h long, ps_k long, ps_t long, ps_a int, ps_n int"
-_KEYED = "ps_w long, ps_k long, ps_t long, ps_a int"
+_SPAN = "ps_s long, ps_h long, ps_g long, ps_k long, ps_t long, ps_a int, ps_n int"
+_KEYED = "ps_w long, ps_v long, ps_k long, ps_t long, ps_a int"
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words:
@@ -48,12 +49,19 @@ class Words:
         self.n = int(self.starts[-1])
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, self.n)
         up, self.down = _powers(self.n)
-        self.poly = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
+        zero = np.zeros(1, np.uint64)
+        self.poly = np.concatenate((zero, np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
+        mixed = (hashes ^ (hashes >> np.uint64(32))) * _OTHER
+        self.more = np.concatenate((zero, np.cumsum((mixed ^ (mixed >> np.uint64(29))) * up[: self.n], dtype=np.uint64)))
 
     def keys(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Content hashes of stretches, alike wherever they stand."""
         return (self.poly[end] - self.poly[begin]) * self.down[begin]
 
+    def both_keys(self, begin: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+        """Content hashes of 128 bits: the second sum runs over other hashes of the words."""
+        return [_signed(self.keys(begin, end)), _signed((self.more[end] - self.more[begin]) * self.down[begin])]
+
     def spans(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Seed, first window and number of windows of each span, and the text that holds it."""
         gram = max(1, least // 3)
@@ -93,8 +101,8 @@ def _spans(keyed: DataFrame, text: str, least: int) -> DataFrame:
             words = Words(batch.column(2).to_pylist())
             seed, a, n, doc = words.spans(least)
             take = pa.array(doc)
-            columns = [_signed(seed), _signed(words.keys(a, a + n - 1 + least)), batch.column(0).take(take), batch.column(1).take(take), pa.array((a - words.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["ps_s", "ps_h", "ps_k", "ps_t", "ps_a", "ps_n"])
+            columns = [_signed(seed), *words.both_keys(a, a + n - 1 + least), batch.column(0).take(take), batch.column(1).take(take), pa.array((a - words.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["ps_s", "ps_h", "ps_g", "ps_k", "ps_t", "ps_a", "ps_n"])
 
     return keyed.select("ps_k", "ps_t", F.col(text)).mapInArrow(emit, _SPAN)
 
@@ -112,8 +120,8 @@ def _windows(joined: DataFrame, text: str, least: int) -> DataFrame:
             doc, inside = np.repeat(doc, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             a = np.repeat(pair >> 32, n) + inside
             at, take = a + words.starts[doc], pa.array(doc)
-            columns = [_signed(words.keys(at, at + least)), batch.column("ps_k").take(take), batch.column("ps_t").take(take), pa.array(a.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["ps_w", "ps_k", "ps_t", "ps_a"])
+            columns = [*words.both_keys(at, at + least), batch.column("ps_k").take(take), batch.column("ps_t").take(take), pa.array(a.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["ps_w", "ps_v", "ps_k", "ps_t", "ps_a"])
 
     return joined.mapInArrow(emit, _KEYED)
 
@@ -125,20 +133,23 @@ def _packed(a, b):
 def repeated_words(keyed: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """(ps_k, ps_t, ps_marks): stretches of words that repeat an earlier place, as begin * 2^32 + end, by document.
 
-    `keyed` has the document's id as ps_k and its text's hash as ps_t. Rows with equal ones are one document.
+    `keyed` has the document's id as ps_k and its text's hash as ps_t. Rows with equal ones are one document: equal rows
+    repeat each other's places, which are not later ones. First places come from partial minima, and rows meet them in
+    joins of stored tables, whose large partitions Spark may split; no task gathers the rows of a common seed or window.
     """
-    # Equal rows repeat each other's places, which are not later ones: dense_rank counts places, not rows.
-    order = Window.partitionBy("ps_s").orderBy("ps_h", "ps_k", "ps_t", "ps_a")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same = Window.partitionBy("ps_s", "ps_h").orderBy("ps_k", "ps_t", "ps_a")
-    ranked = _spans(keyed, text, least).withColumns({"mixed": F.first("ps_h").over(whole) != F.last("ps_h").over(whole), "rank": F.dense_rank().over(same)})
-    found = cut(ranked.filter("mixed or rank > 1").select("ps_k", "ps_t", "ps_a", "ps_n", (F.col("rank") > 1).alias("later")), "spans")
-    open_ = found.filter("not later").groupBy("ps_k", "ps_t").agg(F.collect_set(_packed(F.col("ps_a"), F.col("ps_n"))).alias("ps_spans"))
-    windows = _windows(keyed.join(open_, ["ps_k", "ps_t"]), text, least)
-    nth = F.dense_rank().over(Window.partitionBy("ps_w").orderBy("ps_k", "ps_t", "ps_a"))
-    fine = windows.withColumn("nth", nth).filter("nth > 1").select("ps_k", "ps_t", "ps_a", F.lit(1).alias("ps_n"))
-    marks = found.filter("later").select("ps_k", "ps_t", "ps_a", "ps_n").unionByName(fine)
-    return marks.groupBy("ps_k", "ps_t").agg(F.collect_list(_packed(F.col("ps_a"), F.col("ps_a") + F.col("ps_n") + (least - 1))).alias("ps_marks"))
+    place = F.struct("ps_k", "ps_t", "ps_a")
+    spans = cut(_spans(keyed, text, least), "spans")
+    seeds = cut(spans.groupBy("ps_s").agg(F.count("*").alias("n"), (F.min(F.struct("ps_h", "ps_g")) != F.max(F.struct("ps_h", "ps_g"))).alias("mixed")).filter("n > 1").select("ps_s", "mixed"), "seeds")
+    live = cut(spans.join(seeds, "ps_s"), "live-spans")
+    firsts = cut(live.groupBy("ps_h", "ps_g").agg(F.min(place).alias("first"), F.max("ps_n").alias("width"), F.max("mixed").alias("mixed"), F.count("*").alias("n")), "first-spans")
+    again = firsts.filter("n > 1").select("ps_h", "ps_g", "first")
+    later = live.join(again, ["ps_h", "ps_g"]).filter(place != F.col("first")).select("ps_k", "ps_t", "ps_a", "ps_n")
+    open_ = firsts.filter("mixed").groupBy(F.col("first.ps_k"), F.col("first.ps_t")).agg(F.collect_set(_packed(F.col("first.ps_a"), F.col("width"))).alias("ps_spans"))
+    windows = cut(_windows(keyed.join(open_, ["ps_k", "ps_t"]), text, least), "windows")
+    held = cut(windows.groupBy("ps_w", "ps_v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("ps_w", "ps_v", "first"), "first-windows")
+    fine = windows.join(held, ["ps_w", "ps_v"]).filter(place != F.col("first")).select("ps_k", "ps_t", "ps_a", F.lit(1).alias("ps_n"))
+    marks = later.unionByName(fine)
+    return marks.groupBy("ps_k", "ps_t").agg(F.collect_set(_packed(F.col("ps_a"), F.col("ps_a") + F.col("ps_n") + (least - 1))).alias("ps_marks"))
 
 
 def without_words(text: str, marks: np.ndarray) -> tuple[str, int]:

@@ -6,8 +6,6 @@ import re
 import pytest
 
 from lemmaforge.llm import passages
-from tests.llm import test_pipeline
-from tests.llm.test_pipeline import folder  # noqa: F401
 
 
 def brute_words(docs, least):
@@ -65,8 +63,3 @@ def test_equal_rows_are_one_document(spark):
     assert got == [("4", ""), ("4", ""), ("9", "end"), ("None", "x " + text)]
     assert passages.dedup_passages(spark.createDataFrame([(4, text), (4, text)], "doc_id long, text string"), removed="n").agg({"n": "sum"}).first()[0] == 0
     assert passages.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_pipeline_against_all_windows(spark, folder, monkeypatch):  # noqa: F811
-    monkeypatch.setattr(test_pipeline, "brute_lines", brute_words)
-    test_pipeline.test_pipeline_against_brute_force(spark, folder)

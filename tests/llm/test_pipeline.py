@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lemmaforge.llm import pieces, toxicity
-from tests.llm.test_matching import brute_contamination, brute_join, brute_lines, corpus
+from lemmaforge.session import cut as stored
+from tests.llm.test_matching import brute_contamination, brute_join, corpus
+from tests.llm.test_passages import brute_words
 from tests.llm.test_scores import brute_matches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,6 +41,21 @@ def brute_toxicity(text, lexicon):
     return 1 / (1 + math.exp(-(lexicon.curve[0] + sum(c * v for c, v in zip(lexicon.curve[1:], x)))))
 
 
+def brute_groups(left, before):
+    """The least id of every component, where texts link as they are now or as they were before. Ids are ascending."""
+    views = [(i, t) for i, t in left] + [(i, before[i]) for i, t in left if (t or "").strip() and t != before[i]]
+    up = {i: i for i, _ in left}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    first = {}
+    for (i, _), (_, part, _) in zip(views, brute_join([t for _, t in views], 5, 80, 100), strict=True):
+        a, b = sorted((root(i), root(first.setdefault(part, i))))
+        up[b] = a
+    return [x for x in left if root(x[0]) == x[0]]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("corpus"))
@@ -52,10 +69,9 @@ def test_pipeline_against_brute_force(spark, folder):
     lexicon = toxicity.fit(read("documents"), read("labels"), ~toxicity.held_out(F.col("doc_id"), 5, 0))
     left = [(i, t) for i, t, *_ in docs if brute_toxicity(t, lexicon) < 0.5]
     assert len(left) < len(docs) and all("idiot" not in (t or "") for _, t in left)
-    cut = brute_lines(left, 50)
+    cut = brute_words(left, 50)
     left = [(i, cut[i][0]) for i, _ in left if cut[i][1] == 0 or cut[i][0].strip()]
-    joined = brute_join([t for _, t in left], 5, 80, 100)
-    left = [x for k, x in enumerate(left) if joined[k][1] == k]
+    left = brute_groups(left, {i: t for i, t, *_ in docs})
     marks = [brute_contamination(t, items, 13) for _, t in left]
     left = [x for x, (n, hit, _) in zip(left, marks, strict=True) if not (hit > 0 and 20 * hit >= n)]
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
@@ -82,3 +98,28 @@ def test_repeated_rows_leave_one(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.one_of_each_group(spark, docs, at).collect()
     assert len([r for r in got if r["text"]]) == 1 and len([r for r in got if r["text"] is None]) == 2
+
+
+def test_near_copies_go_after_line_dedup(spark, tmp_path):
+    """Copies of which one word in sixty, or a stretch at the end, differs: line dedup cuts them, the join still finds them."""
+    random.seed(33)
+    at, vocabulary = str(tmp_path), [f"n{i}" for i in range(5000)]
+    rows, near = [], []
+    for i in range(40):
+        body = [random.choice(vocabulary) for _ in range(random.choice([120, 400]))]
+        copy = list(body)
+        if i % 2:
+            for k in range(30, len(copy), 60):
+                copy[k] = random.choice(vocabulary)
+        else:
+            copy[-len(copy) // 12 :] = [random.choice(vocabulary) for _ in range(len(copy) // 12)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(copy))]
+        near.append(2 * i + 1)
+    docs = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    frame = spark.read.parquet(f"{at}/documents.parquet")
+    linked = [k for k, (_, part, _) in enumerate(brute_join([t for _, t in rows], 5, 80, 100)) if part != k]
+    assert len(linked) >= 0.9 * len(near)
+    cleaned = stored(corpus_pipeline.cut_repeated_lines(spark, frame, at), "cleaned")
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, cleaned, at).collect()}
+    assert not kept & set(linked) and kept >= {2 * i for i in range(40)}
