@@ -89,4 +89,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, where all that was computed from them is stored itself."""
+    for table in tables:
+        _delete(table.sparkSession, table.cut_path)
