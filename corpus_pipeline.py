@@ -21,7 +21,7 @@ from lemmaforge.llm.components import components
 from lemmaforge.session import cut
 
 SHINGLE, LINK, OF = 5, 80, 100
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 # What jaccard takes as white space.
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -67,7 +67,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keyed = docs.withColumn("jj_row", F.xxhash64(*docs.columns))
     views = keyed.select("jj_row", "text").unionByName(texts_before(spark, keyed, sf_dir))
-    joined = cut(jaccard.jaccard_join(views, "jj_row", n=SHINGLE, num=LINK, den=OF), "linked")
+    joined = jaccard.jaccard_join(views, "jj_row", n=SHINGLE, num=LINK, den=OF)
     held = joined.groupBy("jj_row").agg(F.min("component_id").alias("u"), F.max("component_id").alias("v"))
     roots = components(held.filter("u <> v").select("u", "v"), "views")
     placed = held.select("jj_row", F.col("u").alias("node")).join(roots, "node", "left").select("jj_row", F.coalesce("root", "node").alias("part"))

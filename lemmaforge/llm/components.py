@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaforge.session import cut
+from lemmaforge.session import cut, release
 
 MAX_ROUNDS = 40
 
@@ -16,13 +16,15 @@ def _both(e: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Connect the larger (or the smaller) neighbours of each node with the least of them and itself."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")  # stored: Spark may split a hub's pairs in the join
     joined = pairs.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u > v").distinct()
+    done = cut(out.filter("u > v").distinct(), "star")
+    release(least)
+    return done
 
 
 def _done(e: DataFrame) -> bool:
@@ -34,13 +36,18 @@ def _done(e: DataFrame) -> bool:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of `edges` (u, v, both bigint), with the component's least node as root.
 
-    Large-star and small-star steps in turn; each round is written to the shared folder, so a lost executor costs one
-    round. Loops and repeated edges are allowed; null ends are not.
+    Large-star and small-star steps in turn; each step is written to the shared folder, so a lost executor costs one
+    step. Loops and repeated edges are allowed; null ends are not.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), name)
     for _ in range(MAX_ROUNDS):
         if _done(e):
             roots = e.select(F.col("v").alias("node")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
-        e = cut(_star(_star(_both(e), True), False), name)
+            found = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+            found.cut_path = e.cut_path
+            return found
+        once = _star(_both(e), True)
+        release(e)
+        e = _star(once, False)
+        release(once)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaforge.llm.components import components
-from lemmaforge.session import cut, workers_see_package
+from lemmaforge.session import cut, release, workers_see_package
 
 HOT_LEAST = 32
 HOT_MOST = 100_000
@@ -255,8 +255,8 @@ def _edges(node: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
     return node[own], node[root[own]]
 
 
-def _candidates(prefixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) whose components hold all links."""
+def _candidates(prefixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) whose components hold all links, and the stored groups that they are computed from."""
     member = F.struct("node", "bits")
     groups = prefixed.groupBy("n", "prefix", F.pmod("node", F.lit(GROUP_ROWS)).alias("part")).agg(F.collect_list(member).alias("members"))
     groups = cut(groups.withColumn("gid", F.xxhash64("n", "prefix", "part")), "groups")
@@ -294,7 +294,7 @@ def _candidates(prefixed: DataFrame, num: int, den: int) -> DataFrame:
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([_longs(np.concatenate([np.zeros(0, np.int64), *u])), _longs(np.concatenate([np.zeros(0, np.int64), *v]))], names=["u", "v"])
 
-    return dealt.select("t", "x", "y", "b", "n", "members").mapInArrow(run, "u long, v long")
+    return dealt.select("t", "x", "y", "b", "n", "members").mapInArrow(run, "u long, v long"), groups
 
 
 def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -317,7 +317,7 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray)
 
 
 def _verified(rows: DataFrame, clusters: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, links, root): links to other classes by documents, and the root of the node's verified part, by cell."""
+    """(node, links, root), stored: links to other classes by documents, and the root of the node's verified part, by cell."""
     spark = rows.sparkSession
     chosen = clusters.join(sizes, "node").select("node", "root", "first", "copies")
     place = (F.pmod(F.coalesce("first", F.lit(-1)), F.lit(SIEVE)) + 1).cast("long")
@@ -369,7 +369,9 @@ def _verified(rows: DataFrame, clusters: DataFrame, sizes: DataFrame, n: int, nu
                 root = node[[forest.root(i) for i in range(len(node))]]
                 yield pa.RecordBatch.from_arrays([_longs(node), _longs(links), _longs(root)], names=["node", "links", "root"])
 
-    return dealt.mapInArrow(run, "node long, links long, root long")
+    verified = cut(dealt.mapInArrow(run, "node long, links long, root long"), "verified")
+    release(sets)
+    return verified
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -380,17 +382,23 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     hot = hot_shingles(classed)
     sizes = classed.filter("n > 0").groupBy("node").agg(F.min("jj_id").alias("first"), F.count("*").alias("copies"))
     prefixed = _prefixed(rows, hot, n, num, den).dropDuplicates(["node"])
-    clusters = components(_candidates(prefixed, num, den), "clusters")
-    verified = cut(_verified(rows, clusters, sizes, n, num, den), "verified")
+    edges, groups = _candidates(prefixed, num, den)
+    clusters = components(edges, "clusters")
+    release(groups)
+    verified = _verified(rows, clusters, sizes, n, num, den)
+    release(clusters)
     parts = components(verified.filter("links > 0 and root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")), "parts")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = sizes.join(parts, "node", "left").join(links, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("part"), F.coalesce("links", F.lit(0)).alias("links"))
     least = known.groupBy("part").agg(F.min("first").alias("component_id"))
     known = known.join(least, "part").select("node", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     all_ids = classed.select("jj_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return all_ids.join(known, "node", "left").select(
+    done = all_ids.join(known, "node", "left").select(
         F.col("jj_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("jj_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+    stored = cut(done, "joined")
+    release(classed, verified, parts)
+    return stored
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lemmaforge.llm.lines import MIN_WORDS, _powers, without_runs
-from lemmaforge.session import cut, workers_see_package
+from lemmaforge.session import cut, release, workers_see_package
 
 _CHUNK = 64
 _WORD = re.compile(r"\S+")
@@ -64,7 +64,7 @@ class Words:
 
     def spans(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Seed, first window and number of windows of each span, and the text that holds it."""
-        gram = max(1, least // 3)
+        gram = max(1, least // 6)
         wide = least - gram + 1
         none = np.zeros(0, np.int64)
         if self.n < least:
@@ -139,8 +139,10 @@ def repeated_words(keyed: DataFrame, text: str = "text", least: int = MIN_WORDS)
     """
     place = F.struct("ps_k", "ps_t", "ps_a")
     spans = cut(_spans(keyed, text, least), "spans")
-    seeds = cut(spans.groupBy("ps_s").agg(F.count("*").alias("n"), (F.min(F.struct("ps_h", "ps_g")) != F.max(F.struct("ps_h", "ps_g"))).alias("mixed")).filter("n > 1").select("ps_s", "mixed"), "seeds")
-    live = cut(spans.join(seeds, "ps_s"), "live-spans")
+    mixed = (F.min("ps_h") != F.max("ps_h")) | (F.min("ps_g") != F.max("ps_g"))
+    seeds = cut(spans.groupBy("ps_s").agg(F.count("*").alias("n"), mixed.alias("mixed")).filter("n > 1").select("ps_s", "mixed"), "seeds")
+    live = cut(spans.join(seeds, "ps_s").drop("ps_s"), "live-spans")
+    release(spans, seeds)
     firsts = cut(live.groupBy("ps_h", "ps_g").agg(F.min(place).alias("first"), F.max("ps_n").alias("width"), F.max("mixed").alias("mixed"), F.count("*").alias("n")), "first-spans")
     again = firsts.filter("n > 1").select("ps_h", "ps_g", "first")
     later = live.join(again, ["ps_h", "ps_g"]).filter(place != F.col("first")).select("ps_k", "ps_t", "ps_a", "ps_n")
@@ -148,8 +150,10 @@ def repeated_words(keyed: DataFrame, text: str = "text", least: int = MIN_WORDS)
     windows = cut(_windows(keyed.join(open_, ["ps_k", "ps_t"]), text, least), "windows")
     held = cut(windows.groupBy("ps_w", "ps_v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("ps_w", "ps_v", "first"), "first-windows")
     fine = windows.join(held, ["ps_w", "ps_v"]).filter(place != F.col("first")).select("ps_k", "ps_t", "ps_a", F.lit(1).alias("ps_n"))
-    marks = later.unionByName(fine)
-    return marks.groupBy("ps_k", "ps_t").agg(F.collect_set(_packed(F.col("ps_a"), F.col("ps_a") + F.col("ps_n") + (least - 1))).alias("ps_marks"))
+    found = later.unionByName(fine).groupBy("ps_k", "ps_t").agg(F.collect_set(_packed(F.col("ps_a"), F.col("ps_a") + F.col("ps_n") + (least - 1))).alias("ps_marks"))
+    marks = cut(found, "marks")
+    release(live, firsts, windows, held)
+    return marks
 
 
 def without_words(text: str, marks: np.ndarray) -> tuple[str, int]:
