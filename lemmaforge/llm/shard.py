@@ -1,15 +1,17 @@
 """Sharding by fixed virtual slots.
 
-A record's id decides its virtual slot (a hash into thousands of slots, fixed for the life of the data set). Bytes and
-rows are summed by slot; a versioned map says which shard holds each slot. A map is never recomputed for new data:
-it is edited by moving slots, to level bytes (`rebalance`) or to fill one more shard (`grow`), and stored as the next
-version. Only slot sums, a fixed number of rows, reach the driver; only the map, as many rows, is broadcast.
-
-Law of the query: `bytes`. The first map deals the slots out by decreasing bytes, each to the lightest shard, so shards
-differ by less than the lightest slots weigh. Copies of one text have their own ids and spread over all slots.
-
-Defined cases: null text has no bytes, so size 1; a null id falls in the slot of a fixed number; repeated rows are
-separate records in one slot, ordered by id, crc and size; an empty table gives no rows.
+A record's id, crc and size decide its virtual slot (a hash into thousands of slots, fixed for the life of the data set).
+Bytes and rows are summed by slot; a versioned map says which shard holds each slot. A map is never recomputed for new
+data: it is edited by moving slots, to level bytes (`rebalance`) or to fill one more shard (`grow`), and stored as the
+next version. Only slot sums, a fixed number of rows, reach the driver; only the map, as many rows, is broadcast.
+
+Law of the query: `bytes`. Version 1 deals the slots out in turn; `rebalance` edits it by the sums of the records until
+the fullest shard has no slot lighter than its distance to the emptiest, and records are placed by the version that is
+read back. With `map_path` the stored map is kept and edited from run to run. Copies of one text spread by their ids.
+
+Defined cases: null text has no bytes, so size 1; null ids and repeated ids spread by crc and size; rows that are equal
+in all three spread by a salt, drawn once and stored with the records; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lemmaforge.session import cut, exists, fresh_path
+
 SLOTS = 4096
 MAP_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("version", T.IntegerType()), ("virtual_slot", T.IntegerType()), ("shard", T.IntegerType()), ("bytes", T.LongType()), ("rows", T.LongType()))])
 
@@ -54,7 +58,7 @@ class SlotMap:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Add this version to the map's table; older versions stay."""
-        self.frame(spark).coalesce(1).write.partitionBy("version").mode("append").parquet(path)
+        self.frame(spark).repartition(1).write.partitionBy("version").mode("append").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -74,6 +78,11 @@ def deal(bytes_by_slot: list[int], rows_by_slot: list[int], shards: int) -> Slot
     return SlotMap(1, tuple(where), tuple(bytes_by_slot), tuple(rows_by_slot))
 
 
+def in_turn(bytes_by_slot: list[int], rows_by_slot: list[int], shards: int) -> SlotMap:
+    """Version 1 without a look at the bytes: every shard holds equally many slots."""
+    return SlotMap(1, tuple(i % shards for i in range(len(bytes_by_slot))), tuple(bytes_by_slot), tuple(rows_by_slot))
+
+
 def grow(old: SlotMap) -> SlotMap:
     """One more shard: slots move from the fullest shards into the new one only, until it has its share."""
     new, where, load = old.shards, list(old.shard), [*old.loads(), 0]
@@ -86,17 +95,20 @@ def grow(old: SlotMap) -> SlotMap:
 
 
 def rebalance(old: SlotMap, bytes_by_slot: list[int], rows_by_slot: list[int], slack: float = 0.02) -> SlotMap:
-    """Level changed sizes with few moves: from the fullest to the emptiest shard while one is over `slack` off."""
+    """Level changed sizes with few moves: from the fullest to the emptiest shard while one is over `slack` off.
+
+    Without slack it ends when no slot of the fullest shard is lighter than the distance to the emptiest.
+    """
     now = SlotMap(old.version, old.shard, tuple(bytes_by_slot), tuple(rows_by_slot))
     where, load = list(old.shard), now.loads()
     share = sum(load) / max(1, len(load))
     held: list[list[tuple[int, int]]] = [[] for _ in load]
     for slot, s in enumerate(where):
         held[s].append((bytes_by_slot[slot], slot))
-    for _ in range(len(where)):
+    for _ in range(4 * len(where)):
         high, low = max(range(len(load)), key=load.__getitem__), min(range(len(load)), key=load.__getitem__)
         gap = load[high] - load[low]
-        if load[high] <= share * (1 + slack):
+        if slack and load[high] <= share * (1 + slack):
             break
         best = min(((abs(b - gap / 2), b, slot) for b, slot in held[high] if 0 < b < gap), default=None)
         if best is None:
@@ -108,14 +120,22 @@ def rebalance(old: SlotMap, bytes_by_slot: list[int], rows_by_slot: list[int], s
     return now.edited(where)
 
 
-def virtual_slot(key: F.Column, slots: int = SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("long"), F.lit(-1))), F.lit(slots)).cast("int")
+def virtual_slot(*keys: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Columns doc_id, size (UTF-8 bytes plus 1), text_crc32 and virtual_slot of every record."""
+    """Columns doc_id, size (UTF-8 bytes plus 1), text_crc32 and virtual_slot of every record, stored.
+
+    Equal rows would share a slot; they get a salt each, which has to be stored to hold in later passes.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), virtual_slot(F.col(key), slots).alias("virtual_slot"))
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    same = ["doc_id", "size", "text_crc32"]
+    again = cut(rows.groupBy(*same).count().filter("count > 1").select(F.xxhash64(*same).alias("again")).distinct(), "repeated-records")
+    salted = rows.withColumns({"again": F.xxhash64(*same), "row": F.monotonically_increasing_id()}).join(again.withColumn("salted", F.lit(True)), "again", "left")
+    salt = F.when(F.col("salted"), F.col("row")).otherwise(F.lit(-1))
+    return cut(salted.select(*same, virtual_slot(*same, salt, slots=slots).alias("virtual_slot")), "records")
 
 
 def slot_sums(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -142,10 +162,18 @@ def place(records: DataFrame, slot_map: SlotMap) -> DataFrame:
     return records.withColumn("rank", rank).join(F.broadcast(lookup), "virtual_slot").withColumn("slot", F.col("before") + F.col("rank") - 1)
 
 
-def op8_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
+def next_version(spark: SparkSession, path: str, bytes_by_slot: list[int], rows_by_slot: list[int], shards: int) -> SlotMap:
+    """Store the map of `path`, or one dealt in turn, edited for these sums, and read it back."""
+    if not exists(spark, path):
+        in_turn(bytes_by_slot, rows_by_slot, shards).save(spark, path)
+    rebalance(SlotMap.load(spark, path), bytes_by_slot, rows_by_slot, slack=0.0).save(spark, path)
+    return SlotMap.load(spark, path)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str, shards: int = 16, map_path: str | None = None) -> DataFrame:
     """Contract query under the law `bytes`."""
     records = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    slot_map = deal(*slot_sums(records), shards)
+    slot_map = next_version(spark, map_path or fresh_path(spark, "slot-map"), *slot_sums(records), shards)
     return place(records, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),
     )

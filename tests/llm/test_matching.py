@@ -5,6 +5,8 @@ import hashlib
 import io
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,11 +256,42 @@ def test_maps_are_edited_not_recomputed(spark, tmp_path):
 
 
 def test_sizes_of_odd_rows(spark):
-    rows = spark.createDataFrame([(1, None), (1, ""), (None, "é"), (2, "x")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, None, 7), (1, "", 7), (None, "é", 7), (2, "x", 7)], "doc_id long, text string, size int")
     records = shard.sized(rows)
     placed = shard.place(records, shard.deal(*shard.slot_sums(records), 2))
     assert sorted(r["size"] for r in placed.collect()) == [1, 1, 2, 3]
-    assert placed.filter("doc_id is null").first()["text_crc32"] == __import__("zlib").crc32("é".encode())
+    assert placed.filter("doc_id is null").first()["text_crc32"] == zlib.crc32("é".encode())
+
+
+@pytest.mark.parametrize("rows", [[(None, "some text")] * 3000, [(None, f"text {i}") for i in range(3000)], [(5, "x" * 90)] * 2000 + [(i, "y" * (i % 7)) for i in range(1000)], [(i, "t") for i in range(3000)]])
+def test_shards_by_brute_force(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = shard.op8_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    places, load = defaultdict(list), Counter()
+    for r in got:
+        places[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
+    assert set(places) == set(range(16)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(load.values()) < 1.05 * sum(load.values()) / 16 and min(load.values()) > 0.95 * sum(load.values()) / 16
+
+
+def test_shards_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert shard.op8_sharding(spark, str(tmp_path)).count() == 0
+
+
+def test_a_stored_map_is_edited_for_new_records(spark, tmp_path):
+    texts = {i: "x" * (i % 300) for i in range(4000)}
+    for name, ids in (("one", range(3000)), ("two", range(4000))):
+        spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+    at = str(tmp_path / "map")
+    first = {r["doc_id"]: r for r in shard.op8_sharding(spark, str(tmp_path / "one"), map_path=at).collect()}
+    second = {r["doc_id"]: r for r in shard.op8_sharding(spark, str(tmp_path / "two"), map_path=at).collect()}
+    assert {r["map_version"] for r in first.values()} == {2} and {r["map_version"] for r in second.values()} == {3}
+    assert all(first[i]["virtual_slot"] == second[i]["virtual_slot"] for i in first)
+    assert sum(first[i]["shard"] != second[i]["shard"] for i in first) < 0.15 * len(first)
+    assert shard.SlotMap.load(spark, at, 1).shard == tuple(i % 16 for i in range(shard.SLOTS))
 
 
 def pages(spark):
