@@ -5,16 +5,21 @@ tasks. Each task writes one archive file under a name of its own into the shared
 readers open only files in the manifest, so what a lost or repeated attempt wrote is never read.
 
 Reading: a reader streams the file in blocks through incremental zlib decompression, starts a new member where one
-ends, frames the record by its header and Content-Length, and verifies the block's SHA-256. Memory holds one block of
+ends, frames the record by its header and Content-Length, and verifies the block's digest. Memory holds one block of
 the file and one record. A response's payload is hashed again; a revisit's header names digest, length and response.
+Records that others wrote are read, too: all record types, headers in any order and case, folded lines, digests as hex or
+base32 of SHA-256, SHA-1 or MD5 (others are not verified), records without digests, truncated ones, chunked bodies.
 
 Defined cases: null html is an empty payload; null url is written as an empty target; null page ids keep a record
 (written without id, never the response of others when a page with an id has the payload); of repeated rows of the
-response one is written as response and the others as revisits of the same id; an empty table gives no records.
+response one is written as response and the others as revisits of the same id; an empty table gives no records. Of
+foreign records page_id and refers_to are null where the record id is no `urn:page`, and payload_digest is the SHA-256 of
+the payload that is there; a revisit has the digest its header names (hex where that is SHA-256), or null.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -32,7 +37,8 @@ LEAST_BYTES = 100
 SALTS = 16
 BLOCK = 1 << 16
 LEVEL = 3
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, at long"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, archive string, at long"
+ALGORITHMS = {"sha256": 64, "sha1": 40, "md5": 32}  # names in WARC digests, and their hex digits
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -62,6 +68,53 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Fields by lower-case name; a line that begins with white space goes on with the one before, of equal names the first counts."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out.setdefault(name, value.strip())
+    return out
+
+
+def stated(digest: str | None) -> tuple[str, str] | None:
+    """(algorithm, hex digits) of a labelled digest in hex or base32; nothing for other algorithms."""
+    label, _, value = (digest or "").partition(":")
+    label, value = label.strip().lower().replace("-", ""), value.strip()
+    digits = ALGORITHMS.get(label)
+    if not digits or not value:
+        return None
+    if len(value) == digits:
+        return label, value.lower()
+    return label, base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+
+
+def agrees(digest: str | None, *bodies: bytes) -> bool:
+    """Whether a stated digest is that of one of the bodies; what can't be verified agrees."""
+    known = stated(digest)
+    return known is None or any(hashlib.new(known[0], body).hexdigest() == known[1] for body in bodies)
+
+
+def unchunked(body: bytes) -> bytes:
+    """The content of a chunked HTTP body, as far as it is there."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
 class WarcReader:
     """Records of a stream of gzip members, in order, as (offset of the member, headers, block)."""
 
@@ -98,10 +151,10 @@ class WarcReader:
                 buffer += piece
                 if (end := buffer.find(b"\r\n\r\n")) >= 0:
                     break
-            lines = bytes(buffer[: max(end, 0)]).decode().split("\r\n")
+            lines = bytes(buffer[: max(end, 0)]).decode("utf-8", "replace").split("\r\n")
             if end < 0 or not lines[0].startswith("WARC/"):
                 raise ValueError(f"no record at byte {start}")
-            headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            headers = header_fields(lines[1:])
             size = int(headers["content-length"])
             body = buffer[end + 4 :]
             for piece in pieces:
@@ -109,26 +162,39 @@ class WarcReader:
             if len(body) != size + 4 or body[size:] != b"\r\n\r\n":
                 raise ValueError(f"the record at byte {start} is not as long as it says")
             block = bytes(body[:size])
-            want = headers.get("warc-block-digest", "").partition(":")[2]
-            if want and hashlib.sha256(block).hexdigest() != want:
+            if not agrees(headers.get("warc-block-digest"), block):
                 raise ValueError(f"the block at byte {start} does not match its digest")
             yield start, headers, block
 
 
-def _page(urn: str) -> int | None:
-    number = urn.strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+def _page(urn: str | None) -> int | None:
+    kind, _, number = (urn or "").strip("<> ").rpartition(":")
+    return int(number) if kind == "urn:page" and number.lstrip("-").isdigit() else None
 
 
 def parsed(headers: dict[str, str], block: bytes) -> dict:
     """A record's row, with the payload's digest verified."""
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = headers["warc-payload-digest"].partition(":")[2]
-    size = int(next(x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length")))
-    kind = headers["warc-type"]
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("the payload does not match its length or digest")
-    return {"page_id": _page(headers["warc-record-id"]), "url": headers["warc-target-uri"], "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(headers["warc-refers-to"]) if kind == "revisit" else None}
+    kind, digest = headers.get("warc-type", ""), headers.get("warc-payload-digest")
+    payload, size = block, len(block)
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        fields = header_fields(head.decode("latin-1").split("\r\n")[1:])
+        length = fields.get("content-length", "")
+        size = int(length) if length.isdigit() else len(payload)
+        whole = kind == "response" and "warc-truncated" not in headers
+        if whole and length.isdigit() and "transfer-encoding" not in fields and len(payload) != size:
+            raise ValueError("the payload is not as long as its header says")
+        if whole and not agrees(digest, payload, unchunked(payload)):
+            raise ValueError("the payload does not match its digest")
+    elif kind != "revisit" and "warc-truncated" not in headers and not agrees(digest, payload):
+        raise ValueError("the payload does not match its digest")
+    if kind == "revisit":
+        known = stated(digest)
+        named = known[1] if known and known[0] == "sha256" else digest
+    else:
+        size, named = len(payload), hashlib.sha256(payload).hexdigest()
+    record_id = headers.get("warc-record-id")
+    return {"page_id": _page(record_id), "url": headers.get("warc-target-uri"), "payload_bytes": size, "payload_digest": named, "record_type": kind, "refers_to": _page(headers.get("warc-refers-to")) if kind == "revisit" else None, "record_id": record_id}
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES, salts: int = SALTS) -> DataFrame:
@@ -174,7 +240,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     workers_see_package(manifest.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("at", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("archive", pa.string()), ("at", pa.int64())])
         for batch in batches:
             for uri, records in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 store, path = _open(uri)

@@ -1,5 +1,6 @@
 """Near-duplicates, repeated lines, decontamination, fingerprints, shards and archives against brute force."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -339,3 +340,39 @@ def test_damage_is_noticed():
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(none)).count() == 0
+
+
+def member(head, block, version="WARC/1.0"):
+    lines = [version, *(f"{k}: {v}" for k, v in head), f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def base32(name, body):
+    return f"{name}:" + base64.b32encode(hashlib.new(name.replace("-", ""), body).digest()).decode()
+
+
+def test_records_that_others_wrote(spark, tmp_path):
+    body, http = b"<html>hello</html>", b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n<html>hello</html>"
+    chunks = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n6\r\n<html>\r\nc;x=1\r\nhello</html>\r\n0\r\n\r\n"
+    kind = ("Content-Type", "application/http; msgtype=response")
+    records = [
+        member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n"),
+        member([("WARC-Block-Digest", base32("sha1", http)), kind, ("WARC-Target-URI", "http://a/"), ("WARC-Payload-Digest", base32("sha1", body)), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Type", "response")], http),
+        member([("warc-type", "response"), ("content-type", "application/http;msgtype=response"), ("warc-record-id", "<urn:uuid:3>"), ("warc-target-uri", "http://b/")], http),
+        member([("WARC-Type", "response"), kind, ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(body).hexdigest().upper()), ("WARC-Record-ID", "<urn:page:17>")], chunks),
+        member([("WARC-Type", "request"), ("Content-Type", "application/http; msgtype=request"), ("WARC-Record-ID", "<urn:uuid:5>")], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        member([("WARC-Type", "metadata"), ("X-Long", "one\r\n two"), ("WARC-Payload-Digest", "crc9:77")], b"fetchTimeMs: 3"),
+        member([("WARC-Type", "revisit"), kind, ("WARC-Payload-Digest", base32("sha-1", body)), ("WARC-Refers-To", "<urn:uuid:2>")], b"HTTP/1.1 200 OK\r\n\r\n"),
+        member([("WARC-Type", "response"), kind, ("WARC-Truncated", "length")], b"HTTP/1.1 200 OK\r\nContent-Length: 900\r\n\r\ncut"),
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(records))
+    got = warc.read_archives(spark.createDataFrame([(f"file://{path}", len(records))], "archive string, records long")).orderBy("at").collect()
+    sha = hashlib.sha256(body).hexdigest()
+    assert [r["record_type"] for r in got] == ["warcinfo", "response", "response", "response", "request", "metadata", "revisit", "response"]
+    assert [got[i]["payload_digest"] for i in (1, 2)] == [sha, sha] and got[1]["payload_bytes"] == len(body)
+    assert (got[3]["page_id"], got[1]["page_id"], got[6]["refers_to"], got[6]["payload_digest"]) == (17, None, None, base32("sha-1", body))
+    assert got[7]["payload_bytes"] == 3 and got[5]["record_id"] is None
+    for head in ([("WARC-Type", "response"), kind, ("WARC-Payload-Digest", base32("sha1", b"else"))], [("WARC-Type", "metadata"), ("WARC-Block-Digest", base32("md5", b"else"))]):
+        with pytest.raises(ValueError, match="digest"):
+            [warc.parsed(h, b) for _, h, b in warc.WarcReader(io.BytesIO(member(head, http)))]
