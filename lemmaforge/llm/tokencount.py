@@ -4,7 +4,9 @@ A document keeps a segment tree over its pre-tokens (the stretches that the toke
 merges happen): leaves are blocks of LEAF pre-tokens with their characters and tokens, inner nodes hold sums, in heap
 order. An edit finds its leaves by descending on characters. Scanning restarts a few pre-tokens before the edit, as a
 pre-token may depend on what follows it, and goes on until a cut falls on an old leaf's start behind the edit: from
-there the old cuts hold. Only that stretch is encoded again; its leaves are replaced and the sums above them follow.
+there the old cuts hold. Only that stretch is encoded again. Its leaves take up what it holds now, up to FULL pre-tokens
+each (or none), and only the sums on their paths change; where they can't, the tree gets more leaves, which costs no
+encoding and happens once in many inserts.
 
 Tokens of a pre-token come from the tokenizer itself; a bounded cache keeps frequent ones.
 
@@ -29,7 +31,8 @@ from pyspark.sql import types as T
 from lemmaforge.session import workers_see_package
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEAF = 64
+LEAF = 16
+FULL = 4 * LEAF
 BACK = 2
 CACHE = 400_000
 # Fixed value: the pattern that splits text before the merges of the rank files.
@@ -106,7 +109,7 @@ class Tree:
         i, before, width = 1, 0, len(self.sum_chars) // 2
         while i < width:
             i *= 2
-            if char - before >= self.sum_chars[i]:
+            if char - before >= self.sum_chars[i] and self.sum_chars[i + 1]:
                 before += self.sum_chars[i]
                 i += 1
         return min(i - width, max(0, len(self.leaf_chars) - 1)), before
@@ -120,25 +123,34 @@ class Tree:
             i //= 2
         return out
 
-    def replaced(self, first: int, last: int, chars: list[int], tokens: list[int]) -> Tree:
-        """Leaves first to last (exclusive) replaced. As many leaves as before: only the sums on their paths change."""
+    def replaced(self, first: int, last: int, chars: list[int], tokens: list[int]) -> tuple[Tree, int]:
+        """Leaves first to last (exclusive) replaced, and the nodes written. As many leaves as before: only those on their paths."""
         if len(chars) != last - first:
-            return Tree.over(self.leaf_chars[:first] + chars + self.leaf_chars[last:], self.leaf_tokens[:first] + tokens + self.leaf_tokens[last:])
+            tree = Tree.over(self.leaf_chars[:first] + chars + self.leaf_chars[last:], self.leaf_tokens[:first] + tokens + self.leaf_tokens[last:])
+            return tree, len(tree.sum_chars)
+        touched = 0
         for leaves, sums, new in ((self.leaf_chars, self.sum_chars, chars), (self.leaf_tokens, self.sum_tokens, tokens)):
             leaves[first:last] = new
             width = len(sums) // 2
             sums[width + first : width + last] = new
             a, b = (width + first) // 2, (width + last - 1) // 2
+            touched = last - first
             while a >= 1 and last > first:
                 for i in range(a, b + 1):
                     sums[i] = sums[2 * i] + sums[2 * i + 1]
+                touched += b + 1 - a
                 a, b = a // 2, b // 2
-        return self
+        return self, touched
 
 
-def _leaves(parts: list[str], counts: list[int]) -> tuple[list[int], list[int]]:
-    blocks = range(0, len(parts), LEAF)
-    return [sum(map(len, parts[i : i + LEAF])) for i in blocks], [sum(counts[i : i + LEAF]) for i in blocks]
+def _leaves(parts: list[str], counts: list[int], leaves: int = 0) -> tuple[list[int], list[int]]:
+    """Characters and tokens of leaves: of `leaves` even ones where they can hold the parts, else of as many as fill up."""
+    n = len(parts)
+    if leaves and n <= FULL * leaves:
+        at = [i * n // leaves for i in range(leaves + 1)]
+    else:
+        at = [*range(0, n, LEAF), n]
+    return [sum(map(len, parts[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], [sum(counts[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def build(text: str | None, counter: Counter) -> Tree:
@@ -148,9 +160,14 @@ def build(text: str | None, counter: Counter) -> Tree:
 
 def edit(text: str, tree: Tree, start: int, end: int, new: str, counter: Counter) -> tuple[str, Tree, int]:
     """Text and tree after one replacement, and the characters that were encoded again."""
+    return edited(text, tree, start, end, new, counter)[:3]
+
+
+def edited(text: str, tree: Tree, start: int, end: int, new: str, counter: Counter) -> tuple[str, Tree, int, int]:
+    """What `edit` returns, and the nodes of the tree that were written."""
     start = max(0, min(start, len(text)))
     end = max(start, min(end, len(text)))
-    after, shift = text[:start] + new + text[end:], len(new) - (end - start)
+    after, shift, n = text[:start] + new + text[end:], len(new) - (end - start), len(tree.leaf_chars)
     first, at = tree.leaf_at(start)
     while first > 0:  # whole pre-tokens of context before the edit
         cuts = [m.end() for m in counter.cut.finditer(text, at, start)]
@@ -158,22 +175,20 @@ def edit(text: str, tree: Tree, start: int, end: int, new: str, counter: Counter
             break
         first -= 1
         at -= tree.leaf_chars[first]
-    starts, where, last = {}, at, first
-    for i in range(first, len(tree.leaf_chars)):
-        if where >= end and i > first:
-            starts[where + shift] = i
-            if len(starts) > 4096:
-                break
-        where += tree.leaf_chars[i]
-    parts, pos, last = [], at, len(tree.leaf_chars)
+    parts, pos, last = [], at, n
+    old, where = first, at  # the next old leaf that may go on, and its start
     for m in counter.cut.finditer(after, at):
-        if m.start() in starts and m.start() >= start + len(new) and m.start() > at:
-            last = starts[m.start()]
-            break
+        if m.start() > at and m.start() >= start + len(new):
+            while old < n and (where < end or where + shift < m.start()):
+                where += tree.leaf_chars[old]
+                old += 1
+            if old < n and where + shift == m.start():
+                last = old
+                break
         parts.append(m[0])
         pos = m.end()
-    chars, tokens = _leaves(parts, counter.counts(parts))
-    return after, tree.replaced(first, last, chars, tokens), pos - at
+    changed, touched = tree.replaced(first, last, *_leaves(parts, counter.counts(parts), last - first))
+    return after, changed, pos - at, touched
 
 
 def with_trees(docs: DataFrame, counter: Counter, text: str = "text", out: str = "tree") -> DataFrame:

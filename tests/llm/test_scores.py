@@ -1,5 +1,6 @@
 """Quality, toxicity, token counts and encoding: brute force, round trips and held-out accuracy."""
 
+import math
 import random
 
 import numpy as np
@@ -124,6 +125,29 @@ def test_an_edit_in_a_long_text_encodes_little_again():
     assert again < 2000 and after.tokens == tokencount.build(text[:50_000] + "changed" + text[50_010:], c).tokens
 
 
+def test_inserts_touch_paths_only():
+    c = tokencount.Counter.load()
+    random.seed(31)
+    words = ["alpha", "beta", "gamma", "delta", "über", "x1"]
+    text = " ".join(random.choice(words) for _ in range(20_000))
+    tree, touched, coded = tokencount.build(text, c), [], 0
+    for _ in range(200):
+        a = random.randrange(len(text) + 1)
+        text, tree, again, nodes = tokencount.edited(text, tree, a, a, " one two three four ", c)
+        touched.append(nodes)
+        coded += again
+    assert tree.tokens == tokencount.build(text, c).tokens and sum(tree.leaf_chars) == len(text)
+    depth = math.log2(len(tree.sum_chars))
+    assert max(touched) < 4 * depth and coded < 200 * 6 * 5 * tokencount.LEAF
+    for _ in range(300):  # all in one place: leaves fill up and the tree grows now and then
+        text, tree, again, nodes = tokencount.edited(text, tree, 50_000, 50_000, " one two three four ", c)
+        touched.append(nodes)
+    assert tree.tokens == tokencount.build(text, c).tokens and sum(touched) < 500 * 10 * depth
+    for a in (len(text), len(text) - 3, 0):
+        text, tree, _, _ = tokencount.edited(text, tree, a, a + 3, "end", c)
+        assert tree.tokens == tokencount.build(text, c).tokens
+
+
 def test_token_trees_of_odd_rows(spark):
     c = tokencount.Counter.load()
     rows = odd_docs(spark).select("doc_id", "text", "stats").withColumn("edits", tokencount.sample_edits(F.col("text")))
