@@ -5,8 +5,8 @@ merges happen): leaves are blocks of LEAF pre-tokens with their characters and t
 order. An edit finds its leaves by descending on characters. Scanning restarts a few pre-tokens before the edit, as a
 pre-token may depend on what follows it, and goes on until a cut falls on an old leaf's start behind the edit: from
 there the old cuts hold. Only that stretch is encoded again. Its leaves take up what it holds now, up to FULL pre-tokens
-each (or none), and only the sums on their paths change; where they can't, the tree gets more leaves, which costs no
-encoding and happens once in many inserts.
+each (or none), and only the sums on their paths change; where they can't, they share with neighbours, ever more of them
+until half of the room is free. The tree gets more leaves only when it is full as a whole.
 
 Tokens of a pre-token come from the tokenizer itself; a bounded cache keeps frequent ones.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import pyarrow as pa
 import regex
@@ -187,6 +188,14 @@ def edited(text: str, tree: Tree, start: int, end: int, new: str, counter: Count
                 break
         parts.append(m[0])
         pos = m.end()
+    full = FULL
+    while len(parts) > full * (last - first) and (first > 0 or last < n):  # share with as many neighbours again, until half is free
+        more, full = max(1, last - first), FULL // 2
+        low, high = max(0, first - more), min(n, last + more)
+        at -= sum(tree.leaf_chars[low:first])
+        pos += sum(tree.leaf_chars[last:high])
+        first, last = low, high
+        parts = [m[0] for m in takewhile(lambda m: m.start() < pos, counter.cut.finditer(after, at))]
     changed, touched = tree.replaced(first, last, *_leaves(parts, counter.counts(parts), last - first))
     return after, changed, pos - at, touched
 
