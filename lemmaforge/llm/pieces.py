@@ -298,6 +298,10 @@ class PieceTable:
         text = text.replace(MARK, " ")
         return _SPLIT.findall(" " + text if self.prefix else text)
 
+    def encode_words(self, words: list[str]) -> np.ndarray:
+        """Token ids of words, one after the other, without the cache."""
+        return np.concatenate([np.zeros(0, np.int32), *[self._long(w) if len(w) > LONG else self._folded([w])[0] for w in words]])
+
     def encode_block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after the other, and where each text's begin (with the total at the end)."""
         if len(self.known) > CACHE:
