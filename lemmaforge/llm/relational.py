@@ -13,7 +13,7 @@ is shuffled) or "corpus" (every distinct word is folded once and joined to its o
 This form costs more than the query may; `pieces.encode` is the same function in Arrow batches, and the README has both
 figures. Words of over LONG characters, on which a fold over all edges takes too many steps, are folded by `pieces`.
 
-Defined cases: as in `pieces`; rows with equal ids and texts are separate rows.
+Defined cases: as in `pieces`; rows with equal ids and texts are encoded once and stay separate rows.
 """
 
 from __future__ import annotations
@@ -103,13 +103,15 @@ def _ids(word: Column, cuts: Column, edges: Column, table: PieceTable) -> Column
     return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), token))
 
 
-def folded(rows: DataFrame, table: PieceTable, by: list[str], keep: list[str] | None = None) -> DataFrame:
+def folded(rows: DataFrame, table: PieceTable, by: list[str], keep: list[str], long_words: bool) -> DataFrame:
     """Rows of `by` and `keep` with the token ids of the word, the last column of `by`."""
-    keep, word = keep or [], by[-1]
+    word = by[-1]
     ranked = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(a["begin"] - b["begin"])
     short = lattice(rows.filter(F.length(word) <= LONG), table, by, keep).withColumn("edges", F.array_sort("edges", ranked))
     cuts = merged(F.col(word), F.col("edges")) if table.kind == BPE else best_path(F.col(word), F.col("edges"), table.worst)
     done = short.withColumn("cuts", cuts).select(*by, *keep, _ids(F.col(word), F.col("cuts"), F.col("edges"), table).alias("ids"))
+    if not long_words:
+        return done
     shared = workers_see_package(rows.sparkSession).sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +126,19 @@ def folded(rows: DataFrame, table: PieceTable, by: list[str], keep: list[str] |
 
 def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", scope: str = "document") -> DataFrame:
     """`key` and `tokens` of every row of `docs`."""
-    numbered = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).withColumn("row", F.monotonically_increasing_id())
-    rows = cut(numbered, "numbered")  # the numbers have to hold in both passes
-    split = words(F.col("body"), table.prefix)
-    if scope == "document":
-        dealt = rows.repartition("row")
-        own = dealt.select("row", F.posexplode(split).alias("at", "word")).groupBy("row", "word").agg(F.collect_list("at").alias("places"))
-        placed = folded(own, table, ["row", "word"], ["places"]).select("row", F.explode("places").alias("at"), "ids")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(body).alias("h"), body.alias("body"))
+    long = bool(rows.filter(F.col("body").rlike(rf"[^ \n]{{{LONG}}}| {{{LONG}}}")).limit(1).count())
+    split, row = words(F.col("body"), table.prefix), ["k", "h"]
+    if scope == "document":  # equal rows are one document here: sets of places
+        own = rows.repartition(*row).select(*row, F.posexplode(split).alias("at", "word")).groupBy(*row, "word").agg(F.collect_set("at").alias("places"))
+        placed = folded(own, table, [*row, "word"], ["places"], long).select(*row, F.explode("places").alias("at"), "ids")
     else:
-        occurrences = rows.select("row", F.posexplode(split).alias("at", "word"))
-        known = cut(folded(occurrences.select("word").distinct(), table, ["word"]), "known-words")
-        placed = occurrences.join(known, "word").select("row", "at", "ids")
-    tokens = placed.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("tokens"))
-    return rows.select("row", F.col("key").alias(key)).join(tokens, "row", "left").select(key, F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
+        occurrences = rows.select(*row, F.posexplode(split).alias("at", "word")).distinct()
+        known = cut(folded(occurrences.select("word").distinct(), table, ["word"], [], long), "known-words")
+        placed = occurrences.join(known, "word").select(*row, "at", "ids")
+    tokens = placed.groupBy(*row).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("tokens"))
+    return rows.select("k", "h", F.col("key").alias(key)).join(tokens, row, "left").select(key, F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
 
 
 def measured(spark: SparkSession, sf_dir: str, scope: str = "document", model: str = MODEL) -> DataFrame:
