@@ -10,8 +10,9 @@ fewer words the whole sequence is the one shingle, without words the set is empt
 3. classes with the same size and the same prefix become one group (held in at most GROUP_ROWS rows); groups whose
    prefixes share a shingle meet in that shingle's posting; of shingles that list the same groups (by count and 128
    bits of hash) one is enough. A long posting is cut into blocks and block pairs, cells
-   of bounded size. In a cell, members are expanded and pairs pass on the length filter and on a parity bitmap,
-   whose Hamming distance never exceeds the sets' symmetric difference. A cell returns one edge for each member, not its pairs;
+   of bounded size. In a cell, pairs of groups pass on the length filter and on the shared shingle's places in both
+   prefixes; only members of groups in a pair that passed are expanded, and pass on a parity bitmap, whose Hamming
+   distance never exceeds the sets' symmetric difference. A cell returns one edge for each member, not its pairs;
 4. candidate edges give clusters; the sets of a cluster's classes meet, again in cells of bounded size, and all their
    pairs are verified exactly. A cell returns each class's links and one edge within its verified part;
 5. those edges give the components.
@@ -42,7 +43,7 @@ GROUP_ROWS = 16
 POSTING_BLOCK = 1024
 CELL_BYTES = 8 << 20
 CELL_SETS = 1500
-SIEVE = 8_388_593
+SIEVE_LEAST, SIEVE_MOST = 1 << 23, 1 << 29
 WIDTHS = (512, 4096, 32768, 262144)
 _LOW = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -213,9 +214,26 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def may_link(node: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray | None, num: int, den: int) -> Forest:
+def group_pairs(n: np.ndarray, place: np.ndarray, block: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Which groups of a cell may hold a link: [i, j], by sizes and by the shared shingle's place in both prefixes.
+
+    Before it, no more can be shared than the smaller number of shingles before it; the same holds behind it. A place of
+    -1 is unknown. With blocks only pairs across are looked at.
+    """
+    may = np.zeros((len(n), len(n)), bool)
+    for i in range(len(n)):
+        most = np.minimum(place, place[i]) + 1 + np.minimum(n - place, n[i] - place[i]) - 1
+        most = np.where((place < 0) | (place[i] < 0), np.minimum(n, n[i]), most)
+        may[i] = (most * (den + num) >= num * (n + n[i])) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
+        if block is not None:
+            may[i] &= block != block[i]
+    return may
+
+
+def may_link(node: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray | None, num: int, den: int, group: np.ndarray | None = None, may: np.ndarray | None = None) -> Forest:
     """Joins members of a cell (sorted by node) whose length and bitmap allow a link; left: the block on one side of a
-    cell of two blocks, only pairs across are looked at."""
+    cell of two blocks, only pairs across are looked at. group and may: each member's group, and the pairs of groups to
+    look at."""
     m = len(node)
     order = np.argsort(n, kind="stable")
     sizes = n[order].astype(np.int64)
@@ -229,12 +247,15 @@ def may_link(node: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarra
             row[own] = np.arange(len(own))
             levels.append((w, row, np.array([folded(held[k], w) for k in own.tolist()])))
     side = left[order] if left is not None else None
+    owner = group[order] if group is not None else None
     forest, at = Forest(m), order.tolist()
     ends = np.searchsorted(sizes, sizes * den // num, side="right")
     for k in range(m - 1):
         near = np.arange(k + 1, int(ends[k]))
         if side is not None:
             near = near[side[near] != side[k]]
+        if owner is not None:
+            near = near[may[owner[k], owner[near]]]
         for w, row, maps in levels:
             if not len(near) or widths[k] < w:
                 break
@@ -260,32 +281,36 @@ def _candidates(prefixed: DataFrame, num: int, den: int) -> tuple[DataFrame, Dat
     member = F.struct("node", "bits")
     groups = prefixed.groupBy("n", "prefix", F.pmod("node", F.lit(GROUP_ROWS)).alias("part")).agg(F.collect_list(member).alias("members"))
     groups = cut(groups.withColumn("gid", F.xxhash64("n", "prefix", "part")), "groups")
-    slim = groups.select(F.explode("prefix").alias("t"), "gid")
+    slim = groups.select(F.posexplode("prefix").alias("place", "t"), "gid")
     listed = slim.groupBy("t").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("gid", F.lit(i))).alias(f"h{i}") for i in (1, 2)]).filter("c > 1")
     often = listed.groupBy("c", "h1", "h2").agg(F.min("t").alias("t"))  # of shingles with one and the same posting, one
     blocks = F.ceil(F.col("c") / POSTING_BLOCK).cast("int")
-    live = slim.join(often, "t").select("t", "gid", blocks.alias("k"), F.pmod("gid", blocks).cast("int").alias("b"))
-    cells = live.select("t", "gid", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("t", "gid", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-    alone = groups.filter(F.size("members") > 1).select(F.lit(0).cast("long").alias("t"), "gid", F.lit(0).alias("b"), F.lit(0).alias("x"), F.lit(0).alias("y"))
-    alone = alone.withColumn("t", F.col("gid"))  # members of one row meet in a cell of their own
+    live = slim.join(often, "t").select("t", "gid", "place", blocks.alias("k"), F.pmod("gid", blocks).cast("int").alias("b"))
+    cells = live.select("t", "gid", "place", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("t", "gid", "place", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    alone = groups.filter(F.size("members") > 1).select(F.col("gid").alias("t"), "gid", F.lit(-1).alias("place"), F.lit(0).alias("b"), F.lit(0).alias("x"), F.lit(0).alias("y"))  # members of one row meet in a cell of their own
     full = cells.unionByName(alone).join(groups.select("gid", "n", "members"), "gid")
     dealt = full.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
         for cell in _by_key(batches, ["t", "x", "y"]):
+            two = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
+            may = group_pairs(cell.column("n").to_numpy(), cell.column("place").to_numpy(), cell.column("b").to_numpy() if two else None, num, den)
+            alone = cell.column("members").combine_chunks().value_lengths().to_numpy() < 2
+            np.fill_diagonal(may, np.diag(may) & ~alone)
+            some = np.flatnonzero(may.any(1))
+            if not len(some):
+                continue
+            cell, may = cell.take(pa.array(some)), may[np.ix_(some, some)]
             members = cell.column("members").combine_chunks()
             flat = members.flatten()
-            if len(flat) < 2:
-                continue
-            count = np.diff(members.offsets.to_numpy())
-            node = flat.field("node").to_numpy()
+            count = members.value_lengths().to_numpy()
+            node, group = flat.field("node").to_numpy(), np.repeat(np.arange(len(count)), count)
             n = np.repeat(cell.column("n").to_numpy(), count)
             b = np.repeat(cell.column("b").to_numpy(), count)
             node, keep = np.unique(node, return_index=True)
             bits = flat.field("bits").take(pa.array(keep)).to_pylist()
-            two = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
-            a, r = _edges(node, may_link(node, n[keep], bits, b[keep] if two else None, num, den))
+            a, r = _edges(node, may_link(node, n[keep], bits, b[keep] if two else None, num, den, group[keep], may))
             if len(a):
                 u.append(a)
                 v.append(r)
@@ -294,7 +319,7 @@ def _candidates(prefixed: DataFrame, num: int, den: int) -> tuple[DataFrame, Dat
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([_longs(np.concatenate([np.zeros(0, np.int64), *u])), _longs(np.concatenate([np.zeros(0, np.int64), *v]))], names=["u", "v"])
 
-    return dealt.select("t", "x", "y", "b", "n", "members").mapInArrow(run, "u long, v long"), groups
+    return dealt.select("t", "x", "y", "place", "b", "n", "members").mapInArrow(run, "u long, v long"), groups
 
 
 def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -316,27 +341,34 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray)
     return out.astype(np.int64)
 
 
+def sieve_size(classes: int) -> int:
+    """Bits of the sieve of wanted documents: sixteen a class, within bounds."""
+    return min(SIEVE_MOST, max(SIEVE_LEAST, 1 << (16 * classes).bit_length())) - 9
+
+
 def _verified(rows: DataFrame, clusters: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, links, root), stored: links to other classes by documents, and the root of the node's verified part, by cell."""
     spark = rows.sparkSession
     chosen = clusters.join(sizes, "node").select("node", "root", "first", "copies")
-    place = (F.pmod(F.coalesce("first", F.lit(-1)), F.lit(SIEVE)) + 1).cast("long")
-    pieces = chosen.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # SIEVE bits at most
-    bits = np.zeros((SIEVE // 32768 + 2) * 32768, bool)
-    for r in pieces:
-        got = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        bits[(r["k"] - 1) * 32768 : (r["k"] - 1) * 32768 + len(got)] = got
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    size = sieve_size(chosen.count())
+    place = (F.pmod(F.coalesce("first", F.lit(-1)), F.lit(size)) + 1).cast("long")
+    found = chosen.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # SIEVE_MOST bits at most
+    bits = np.zeros((size // 32768 + 2) * 4096, np.uint8)
+    for r in found:
+        got = np.frombuffer(bytes(r["m"]), np.uint8)
+        bits[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(got)] = got
+    shared = spark.sparkContext.broadcast(bits)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = np.unpackbits(shared.value)
+        sieve = shared.value
         for whole in batches:
-            ids = whole.column("jj_id").fill_null(-1).to_numpy()
-            whole = whole.filter(pa.array(sieve[np.mod(ids, SIEVE)].astype(bool)))
+            at = np.mod(whole.column("jj_id").fill_null(-1).to_numpy(), size)
+            whole = whole.filter(pa.array((sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for _, sets in _sets_of(whole, n):
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    sets = rows.mapInArrow(wanted, "node long, set binary").dropDuplicates(["node"]).join(chosen, "node").select("root", "node", "copies", "set")
+    # The sieve lets one document of each class pass, and few others; those go before sets are compared.
+    sets = rows.mapInArrow(wanted, "node long, set binary").join(chosen, "node").dropDuplicates(["node"]).select("root", "node", "copies", "set")
     sets = cut(sets, "sets")
     load = sets.groupBy("root").agg(F.greatest(F.ceil(F.sum(F.octet_length("set")) / CELL_BYTES), F.ceil(F.count("*") / CELL_SETS)).cast("int").alias("k"))
     placed = sets.join(load, "root").withColumn("b", F.pmod("node", F.col("k")).cast("int"))

@@ -94,6 +94,22 @@ def test_bitmaps_never_hide_a_link():
         assert forest.root(0) == forest.root(1) or not linked
 
 
+def test_group_pairs_never_hide_a_link():
+    random.seed(18)
+    import numpy as np
+
+    for num in (60, 80, 90):
+        sets = [sorted(random.sample(range(60), random.randrange(1, 40))) for _ in range(60)]
+        sets += [sorted({*s[: len(s) - len(s) // 12], 70 + k}) for k, s in enumerate(sets)]
+        for t in range(60):
+            own = [s for s in sets if t in s[: jaccard.prefix_size(len(s), num, 100)]]
+            may = jaccard.group_pairs(np.array([len(s) for s in own]), np.array([s.index(t) for s in own], np.int64), None, num, 100)
+            for i, a in enumerate(own):
+                for j, b in enumerate(own):
+                    both = len({*a} & {*b})
+                    assert may[i, j] or 100 * both < num * (len(a) + len(b) - both)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (7, 7), (200, 100)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
