@@ -221,12 +221,13 @@ def group_pairs(n: np.ndarray, place: np.ndarray, block: np.ndarray | None, num:
     -1 is unknown. With blocks only pairs across are looked at.
     """
     may = np.zeros((len(n), len(n)), bool)
-    for i in range(len(n)):
-        most = np.minimum(place, place[i]) + 1 + np.minimum(n - place, n[i] - place[i]) - 1
-        most = np.where((place < 0) | (place[i] < 0), np.minimum(n, n[i]), most)
-        may[i] = (most * (den + num) >= num * (n + n[i])) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
+    for at in range(0, len(n), 128):
+        m, p = n[at : at + 128, None], place[at : at + 128, None]
+        least = np.minimum(n, m)
+        most = np.where((place < 0) | (p < 0), least, np.minimum(place, p) + np.minimum(n - place, m - p))
+        may[at : at + 128] = (most * (den + num) >= num * (n + m)) & (least * den >= num * np.maximum(n, m))
         if block is not None:
-            may[i] &= block != block[i]
+            may[at : at + 128] &= block != block[at : at + 128, None]
     return may
 
 
@@ -301,7 +302,8 @@ def _candidates(prefixed: DataFrame, num: int, den: int) -> tuple[DataFrame, Dat
             some = np.flatnonzero(may.any(1))
             if not len(some):
                 continue
-            cell, may = cell.take(pa.array(some)), may[np.ix_(some, some)]
+            if len(some) < len(may):
+                cell, may = cell.take(pa.array(some)), may[np.ix_(some, some)]
             members = cell.column("members").combine_chunks()
             flat = members.flatten()
             count = members.value_lengths().to_numpy()
