@@ -16,10 +16,12 @@ ALIASES = {
 }
 STEMS = {"theorem": ("theorem",), "lemma": ("lemma",), "definition": ("definition",), "proposition": ("proposition", "prop"), "example": ("example",), "remark": ("remark",), "proof": ("proof",), "corollary": ("corollary", "corol"), "assumption": ("assumption", "assump", "assum")}
 GRAPH_KINDS = ("theorem", "lemma", "proposition", "corollary", "claim", "definition", "example", "remark", "assumption")
+# Tried in this order where a name contains several.
 GRAPH_ABBREVIATIONS = {
     "theorem": ("thm", "thmx", "thrm", "theo"), "lemma": ("lem", "lmm", "lma", "lm"), "proposition": ("prop", "propo", "propos", "prp"), "corollary": ("cor", "coro", "corol", "crl"),
     "remark": ("rmk", "rem"), "definition": ("defn", "defi", "dfn", "def"), "example": ("eg", "ex", "exa", "exmp"), "assumption": ("ass", "asp", "assum"),
 }
+GRAPH_CONTAINED = (*GRAPH_KINDS, "proof")
 REF_COMMANDS = ("ref", "cref", "Cref", "autoref", "nameref", "namecref", "eqref")
 PROOF_TARGETS = ("theorem", "lemma", "proposition", "corollary", "claim")
 
@@ -105,10 +107,9 @@ def graph_env_kind(env: Column, inferred: Column | None = None) -> Column:
     """Kind of a graph environment: inferred, named, abbreviated, containing a kind, containing an abbreviation, else itself."""
     low, own = F.lower(env), letters_of(env)
     out = low
-    for kind in reversed(GRAPH_KINDS):
-        for short in reversed(GRAPH_ABBREVIATIONS.get(kind, ())):
-            out = F.when(own.contains(short), kind).otherwise(out)
-    for kind in reversed(GRAPH_KINDS):
+    for kind, shorts in reversed(GRAPH_ABBREVIATIONS.items()):
+        out = F.when(reduce(lambda x, y: x | y, [own.contains(s) for s in shorts]), kind).otherwise(out)
+    for kind in reversed(GRAPH_CONTAINED):
         out = F.when(own.contains(kind), kind).otherwise(out)
     for kind in GRAPH_KINDS:
         out = F.when(own.isin(*GRAPH_ABBREVIATIONS.get(kind, ("",))), kind).otherwise(out)

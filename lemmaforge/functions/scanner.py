@@ -8,7 +8,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-from lemmaforge.functions.latex import ALIASES, GRAPH_ABBREVIATIONS, GRAPH_KINDS, KINDS, LABEL, NEWTHEOREM, REF_COMMANDS, STEMS, graph_plural
+from lemmaforge.functions.latex import ALIASES, GRAPH_ABBREVIATIONS, GRAPH_CONTAINED, GRAPH_KINDS, KINDS, LABEL, NEWTHEOREM, REF_COMMANDS, STEMS, graph_plural
 
 # Environments whose content is no LaTeX, and mathematics whose labels number formulas.
 BLOCKS = ("Verbatim", "alltt", "comment", "lstlisting", "minted", "verbatim", "verbatim*", "verbatimtab")
@@ -218,11 +218,11 @@ def graph_kind(env: str, inferred: dict[str, str]) -> str:
         return inferred[env]
     low = env.lower()
     letters = re.sub("[^a-z]+", "", low)
-    tests = (
-        lambda k: low in (k, graph_plural(k)), lambda k: letters in GRAPH_ABBREVIATIONS.get(k, ()),
-        lambda k: k in letters, lambda k: any(a in letters for a in GRAPH_ABBREVIATIONS.get(k, ())),
-    )
-    return next((k for test in tests for k in GRAPH_KINDS if test(k)), low)
+    named = [k for k in GRAPH_KINDS if low in (k, graph_plural(k))]
+    short = [k for k, shorts in GRAPH_ABBREVIATIONS.items() if letters in shorts]
+    inside = [k for k in GRAPH_CONTAINED if k in letters]
+    parts = [k for k, shorts in GRAPH_ABBREVIATIONS.items() if any(a in letters for a in shorts)]
+    return [*named, *short, *inside, *parts, low][0]
 
 
 _MACRO = re.compile(r"\\(?:(newcommand|renewcommand|providecommand|DeclareRobustCommand)\*?|(NewDocumentCommand|RenewDocumentCommand|ProvideDocumentCommand|DeclareDocumentCommand)|([egx]?def))\b")

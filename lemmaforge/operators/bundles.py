@@ -43,12 +43,16 @@ def runs(rows: DataFrame, key: str, order: str, out: str = "run") -> DataFrame:
     return numbered.select(*rows.columns, (F.col("before") + F.col("in_part")).cast("long").alias(out))
 
 
-def with_metadata(pieces: DataFrame, metadata: DataFrame | None, key: str = "arxiv_id") -> DataFrame:
-    """Pieces of papers in a mathematics category with their metadata; without metadata all pieces, and null."""
+def with_metadata(pieces: DataFrame, metadata: DataFrame | None, key: str = "arxiv_id", line: str | None = None) -> DataFrame:
+    """Pieces of papers in a mathematics category with their metadata; without metadata all pieces, and null.
+
+    Of several such rows with one id the last by `line` counts, or the greatest as JSON where there is no such column.
+    """
     if metadata is None:
         return pieces.withColumn("metadata", F.lit(None).cast("string"))
-    wanted = metadata.filter(is_mathematics(F.col("categories"))).select(F.col("id").alias(key), F.to_json(F.struct(*metadata.columns)).alias("metadata"))
-    return pieces.join(wanted, key)
+    json = F.to_json(F.struct(*[c for c in metadata.columns if c != line]))
+    rows = metadata.filter(is_mathematics(F.col("categories"))).select(F.col("id").alias(key), json.alias("json"), (F.col(line) if line else json).alias("line"))
+    return pieces.join(rows.groupBy(key).agg(F.max_by("json", F.struct("line", "json")).alias("metadata")), key)
 
 
 def located(pieces: DataFrame) -> DataFrame:
