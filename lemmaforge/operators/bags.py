@@ -30,6 +30,11 @@ def corpus_stats(items: DataFrame, text: str) -> DataFrame:
     return words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(vocabulary)  # one row each
 
 
+def length_stats(bags: DataFrame, items: int) -> DataFrame:
+    """One row from stored bags: n, which is given as empty items have no bag, and avgdl."""
+    return bags.agg(F.lit(items).cast("long").alias("n"), (F.sum("tf") / F.lit(float(max(1, items)))).alias("avgdl"))
+
+
 def document_frequencies(bags: DataFrame) -> DataFrame:
     return bags.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 
 from lemmaforge.functions.text import mask, padded, word_tokens
 from lemmaforge.operators import bags as b
+from lemmaforge.session import cut
 
 TOP = 10
+LENGTH = 256
 
 
 def _docs(spark, d):
@@ -23,6 +25,11 @@ def _doc_bags(spark, d):
     return b.bag(_docs(spark, d), "doc_id", "text")
 
 
+def _stored_bags(spark, d):
+    """Bags that a query reads more than once: texts are split once."""
+    return cut(_doc_bags(spark, d), "bags")
+
+
 def _item_bags(spark, d):
     return b.bag(_items(spark, d), "item_id", "text")
 
@@ -41,7 +48,7 @@ def v15_tokens(spark, d):
 
 def v16_padded(spark, d):
     w = word_tokens(F.col("text"))
-    return _items(spark, d).select("item_id", F.array_join(padded(w, 32, F.lit("<pad>")), " ").alias("tokens"), F.aggregate(mask(w, 32), F.lit(0), lambda s, x: s + x).cast("long").alias("kept"))
+    return _items(spark, d).select("item_id", F.array_join(padded(w, LENGTH, F.lit("<pad>")), " ").alias("tokens"), F.aggregate(mask(w, LENGTH), F.lit(0), lambda s, x: s + x).cast("long").alias("kept"))
 
 
 def v17_vocabulary(spark, d):
@@ -66,7 +73,8 @@ def v5_idf(spark, d):
 
 
 def v6_bm25(spark, d):
-    return _top(b.bm25(_item_bags(spark, d), _doc_bags(spark, d), b.corpus_stats(_docs(spark, d), "text")))
+    bags = _stored_bags(spark, d)
+    return _top(b.bm25(_item_bags(spark, d), bags, b.length_stats(bags, _docs(spark, d).count())))
 
 
 def j17_term_join(spark, d):
@@ -75,19 +83,19 @@ def j17_term_join(spark, d):
 
 
 def v3_cosine(spark, d):
-    return _top(b.cosine(_item_bags(spark, d), _doc_bags(spark, d)))
+    return _top(b.cosine(_item_bags(spark, d), _stored_bags(spark, d)))
 
 
 def v4_jaccard(spark, d):
-    return _top(b.jaccard(_item_bags(spark, d), _doc_bags(spark, d)))
+    return _top(b.jaccard(_item_bags(spark, d), _stored_bags(spark, d)))
 
 
 def v7_bm25_encoder(spark, d):
-    return _top(b.encoder_cosine(_item_bags(spark, d), _doc_bags(spark, d)))
+    return _top(b.encoder_cosine(_item_bags(spark, d), _stored_bags(spark, d)))
 
 
 def v8_jaccard_encoder(spark, d):
-    return _top(b.binary_cosine(_item_bags(spark, d), _doc_bags(spark, d)))
+    return _top(b.binary_cosine(_item_bags(spark, d), _stored_bags(spark, d)))
 
 
 def v9_minhash(spark, d):
@@ -96,7 +104,7 @@ def v9_minhash(spark, d):
 
 def f10_valid_tokens(spark, d):
     """Token numbers between 100 and 30000 at kept places."""
-    w = padded(word_tokens(F.col("text")), 64, F.lit(None).cast("string"))
+    w = padded(word_tokens(F.col("text")), LENGTH, F.lit(None).cast("string"))
     ids = _items(spark, d).select("item_id", F.explode(w).alias("w")).filter("w is not null").select("item_id", b.term_number(F.col("w")).alias("id"))
     return ids.filter("id > 100 and id < 30000").groupBy("item_id").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
 
@@ -104,7 +112,7 @@ def f10_valid_tokens(spark, d):
 def w5_lexical_search(spark, d):
     """Free-text query over all documents, the hundred best."""
     q = b.bag(spark.createDataFrame([(0, "the or and ingthe that")], "item_id long, text string"), "item_id", "text")
-    scored = b.cosine(q, _doc_bags(spark, d)).select("item", F.round("score", 6).alias("score"))
+    scored = b.cosine(q, _stored_bags(spark, d)).select("item", F.round("score", 6).alias("score"))
     return scored.orderBy(F.desc("score"), "item").limit(100)
 
 
@@ -140,13 +148,13 @@ SQL = {
     "v8_jaccard_encoder": f"WITH {_BAGS}, {_SIZES} " + _best("SELECT q, item, shared / sqrt(qs::DOUBLE * ds) AS score FROM o JOIN qs USING (q) JOIN ds USING (item)"),
     "v9_minhash": f"WITH {_BAGS} SELECT item, concat_ws(',', {_HASHES}) AS sig FROM db GROUP BY item",
     "v15_tokens": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)",
-    "v16_padded": f"SELECT item_id, array_to_string(list_resize(list_slice(w, 1, 32), 32, '<pad>'), ' ') AS tokens, CAST(least(len(w), 32) AS BIGINT) AS kept FROM (SELECT item_id, {_TOK} AS w FROM benchmark)",
+    "v16_padded": f"SELECT item_id, array_to_string(list_resize(list_slice(w, 1, {LENGTH}), {LENGTH}, '<pad>'), ' ') AS tokens, CAST(least(len(w), {LENGTH}) AS BIGINT) AS kept FROM (SELECT item_id, {_TOK} AS w FROM benchmark)",
     "v17_vocabulary": f"WITH {_BAGS} SELECT count(DISTINCT term) AS vocabulary FROM db",
     "a12_term_frequency": f"WITH {_BAGS} SELECT q AS item, term, qf AS tf, 1 AS binary FROM qb",
     "a13_corpus_stats": f"WITH {_BAGS}, {_STATS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS vocabulary FROM st",
     "a13_document_frequency": f"WITH {_BAGS} SELECT term, count(*) AS df FROM db GROUP BY term",
     "j17_term_join": f"WITH {_BAGS} SELECT q, count(*) AS n, CAST(sum(qf * tf) AS BIGINT) AS weight FROM qb JOIN db USING (term) GROUP BY q",
-    "f10_valid_tokens": f"SELECT item_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM (SELECT item_id, ('0x' || substr(md5(w), 1, 6))::BIGINT % 30011 AS id FROM (SELECT item_id, unnest(list_slice({_TOK}, 1, 64)) AS w FROM benchmark)) WHERE id > 100 AND id < 30000 GROUP BY item_id",
+    "f10_valid_tokens": f"SELECT item_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM (SELECT item_id, ('0x' || substr(md5(w), 1, 6))::BIGINT % 30011 AS id FROM (SELECT item_id, unnest(list_slice({_TOK}, 1, {LENGTH})) AS w FROM benchmark)) WHERE id > 100 AND id < 30000 GROUP BY item_id",
     "w5_lexical_search": f"WITH {_BAGS}, qx AS (SELECT unnest(['the', 'or', 'and', 'ingthe', 'that']) AS term), dn AS (SELECT item, sqrt(sum(tf * tf)) + 1e-8 AS dn FROM db GROUP BY item) SELECT item, round(sum(tf) / ((sqrt(5) + 1e-8) * any_value(dn)), 6) AS score FROM qx JOIN db USING (term) JOIN dn USING (item) GROUP BY item ORDER BY score DESC, item LIMIT 100",
     "v10_next_prime": "WITH c AS (SELECT range AS p FROM range(30000, 30600)), ok AS (SELECT p FROM c WHERE NOT list_bool_or(list_transform(range(2, 175), lambda k: p % k = 0))) SELECT CAST(n_nationkey AS BIGINT) AS k, (SELECT min(p) FROM ok WHERE p >= 30000 + n_nationkey * 10) AS prime FROM nation",
 }

@@ -76,7 +76,7 @@ def _stored_shards(spark, d):
 
 def s6_shard_scan(spark, d):
     v = shards.read_shards(spark, f"{_stored_shards(spark, d)}/bert-base/toy/eval/embeddings")
-    return v.select("id", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    return v.select("id", F.posexplode("embedding").alias("dim", "x")).select("id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def s7_id_text(spark, d):
@@ -138,7 +138,7 @@ def k3_non_empty_sink(spark, d):
 
 def k4_no_overwrite(spark, d):
     path = fresh_path(spark, "guard")
-    rows = _turns(spark, d).select("conv_id").limit(1)
+    rows = _turns(spark, d).select("conv_id")
     jsonl.write_lines(rows, path)
     try:
         jsonl.write_lines(rows, path)
@@ -146,7 +146,7 @@ def k4_no_overwrite(spark, d):
     except Exception as e:  # noqa: BLE001
         refused = "PATH_ALREADY_EXISTS" in str(e)
     jsonl.write_lines(rows, path, overwrite=True)
-    return spark.range(1).select(F.lit(refused).alias("refused"))
+    return spark.read.schema("conv_id bigint").json(path).withColumn("refused", F.lit(refused))
 
 
 def k5_embedding_sink(spark, d):
@@ -279,7 +279,7 @@ def w17_full_batches(spark, d):
 
 
 def w18_sample(spark, d):
-    return c.sample_of(_papers(spark, d).select("index"), "index", 30)
+    return c.sample_of(_papers(spark, d).select("index"), "index", 1000)
 
 
 def a20_length_stats(spark, d):
@@ -327,7 +327,7 @@ SQL = {
     "s3_lenient_scan": f"WITH {_L} SELECT count(*) AS n, count(*) FILTER (bad = 1) AS bad, count(*) FILTER (bad = 0) AS texts FROM n WHERE bad <> 2",
     "s4_edge_scan": f"WITH {_L} SELECT index, 0 AS n_edges FROM n WHERE bad <> 2",
     "s5_training_scan": f"WITH {_P} SELECT index, len(lemmas) AS lemmas, len(theorems) AS theorems FROM p",
-    "s6_shard_scan": "SELECT 'v' || vec_id AS id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
+    "s6_shard_scan": "SELECT 'v' || vec_id AS id, CAST(unnest(range(len(embedding))) AS INT) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings",
     "s7_id_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS of_bytes, CAST(n_nationkey AS VARCHAR) AS of_number, n_nationkey || ',' || n_regionkey AS of_pair FROM nation",
     "s8_precomputed": "SELECT count(*) AS n, true AS missing FROM embeddings",
     "s9_listing": "SELECT 'nation.parquet' AS name, true AS has_size",
@@ -337,7 +337,7 @@ SQL = {
     "k1_line_sink": "SELECT conv_id, turn FROM conversations",
     "k2_ordered_sink": "SELECT conv_id * 100 + turn AS key, row_number() OVER (ORDER BY conv_id * 100 + turn) - 1 AS place FROM conversations",
     "k3_non_empty_sink": f"WITH {_P} SELECT index FROM p WHERE index % 5 <> 1 AND len(lemmas) + len(theorems) > 0",
-    "k4_no_overwrite": "SELECT true AS refused",
+    "k4_no_overwrite": "SELECT conv_id, true AS refused FROM conversations",
     "k5_embedding_sink": "SELECT 'bert-base' AS model, 'toy' AS size, 'eval' AS split, count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dim FROM embeddings",
     "k6_edge_array": """SELECT conv_id AS index, '[' || string_agg('["' || (turn - 1) || '","' || turn || '","a","' || role || '"]', ',' ORDER BY turn) || ']' AS line FROM conversations WHERE turn > 0 GROUP BY conv_id""",
     "k7_histogram": "WITH n AS (SELECT length(text) AS n FROM conversations), e AS (SELECT min(n) AS lo, max(n) AS hi FROM n) SELECT CAST(least(floor((n - lo) * 50 / greatest(hi - lo, 1)), 49) AS INT) AS bin, count(*) AS n FROM n, e GROUP BY 1",
@@ -364,7 +364,7 @@ SQL = {
     "w13_global_index": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn) - 1 AS index FROM conversations",
     "w15_modulo_shards": "WITH l AS (SELECT conv_id, turn FROM conversations UNION ALL SELECT conv_id, 98 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT index % 4 AS worker, count(*) AS n FROM n GROUP BY 1",
     "w17_full_batches": "SELECT conv_id, conv_id // 16 AS batch FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT (max(conv_id) + 1) // 16 AS full_ones FROM conversations) WHERE conv_id // 16 < full_ones",
-    "w18_sample": "SELECT index FROM (SELECT DISTINCT conv_id AS index FROM conversations) ORDER BY md5('42:' || index), index LIMIT 30",
+    "w18_sample": "SELECT index FROM (SELECT DISTINCT conv_id AS index FROM conversations) ORDER BY md5('42:' || index), index LIMIT 1000",
     "a20_length_stats": "WITH w AS (SELECT CAST(len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS rn, count(*) OVER () AS t FROM w) SELECT count(*) AS n, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, "
     + ", ".join(f"max(n) FILTER (rn = CAST(floor(t * {p} / 100) AS BIGINT)) AS p{p}" for p in (50, 75, 90, 95, 99))
     + ", " + ", ".join(f"count(*) FILTER (n <= {k}) AS fit{k}" for k in (128, 256, 512)) + " FROM s",

@@ -9,10 +9,13 @@ from pyspark.sql.window import Window
 from lemmaforge.functions.text import md5_key
 from lemmaforge.functions.vectors import dot, first_vector, last_vector, norm, normalised
 from lemmaforge.operators import similarity as sim
+from lemmaforge.operators.corpus import positions
+from lemmaforge.session import cut
 
 TAU = 0.07
-NEGATIVES = 20
-QUERIES_MAX = 100
+NEGATIVES = 50
+QUERIES_MAX = 5000
+DRAWS = 4 * NEGATIVES
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,23 +40,22 @@ def v1_dot(spark, d):
 
 
 def v2_normalise(spark, d):
-    u = normalised(F.transform("vec", lambda x: x * 3))
-    return vectors(spark, d).select("id", _round(norm(u), 5).alias("length"), _round(u[0], 5).alias("first"))
+    """Every third vector is zero and stays so."""
+    u = normalised(F.transform("vec", lambda x: F.when(F.col("id") % 3 == 2, F.lit(0.0)).otherwise(x * 3)))
+    return vectors(spark, d).select("id", _round(norm(u), 5).alias("length"), F.posexplode(u).alias("dim", "x")).select("id", "length", "dim", _round("x", 5).alias("x"))
 
 
 def v13_first_pooling(spark, d):
-    return vectors(spark, d).select("id", _round(first_vector(F.array("vec", F.reverse("vec")))[0].cast("double")).alias("pooled"))
+    return vectors(spark, d).select("id", F.posexplode(first_vector(F.array("vec", F.reverse("vec")))).alias("dim", "x")).select("id", "dim", _round(F.col("x").cast("double")).alias("pooled"))
 
 
 def v14_last_pooling(spark, d):
     states, mask = F.array("vec", F.reverse("vec"), "vec"), F.array(F.lit(1), F.lit(1), F.lit(0))
-    return vectors(spark, d).select("id", _round(last_vector(states, mask)[0].cast("double")).alias("pooled"))
+    return vectors(spark, d).select("id", F.posexplode(last_vector(states, mask)).alias("dim", "x")).select("id", "dim", _round(F.col("x").cast("double")).alias("pooled"))
 
 
 def j12_all_pairs(spark, d):
-    v = vectors(spark, d)
-    r = sim.ranking(v)
-    return r.groupBy("q").agg(F.count("*").alias("n"), _round(F.sum("score"), 4).alias("total"))
+    return sim.score_totals(vectors(spark, d)).select("q", "n", _round("total", 4).alias("total"))
 
 
 def j13_positives(spark, d):
@@ -82,8 +84,10 @@ def w2_first_positive(spark, d):
 
 
 def w3_hits(spark, d):
-    r = sim.first_positive_ranks(vectors(spark, d))
-    return r.select("id", *[F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int").alias(f"hit{k}") for k in (1, 5, 10)])
+    """A hit<k> is null where there are not k other vectors."""
+    v = vectors(spark, d)
+    r = sim.first_positive_ranks(v).crossJoin(F.broadcast(v.agg(F.count("*").alias("n"))))  # one row
+    return r.select("id", *[F.when(F.col("n") > k, F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias(f"hit{k}") for k in (1, 5, 10, 100_000)])
 
 
 def w4_similar(spark, d):
@@ -110,9 +114,7 @@ def a16_paired_metrics(spark, d):
 
 def a17_log_normalisers(spark, d):
     p = pairs(spark, d)
-    x, y = p.select("id", F.col("x").alias("vec")), p.select("id", F.col("y").alias("vec"))
-    a, b = sim.log_normalisers(x, y, TAU), sim.log_normalisers(y, x, TAU)
-    return a.join(b.withColumnRenamed("lse", "b"), "id").select("id", _round("lse", 5).alias("a"), _round("b", 5).alias("b"))
+    return sim.normalisers(p, TAU, p.count()).select("id", _round("a", 5).alias("a"), _round("b", 5).alias("b"))
 
 
 def a18_symmetric_loss(spark, d):
@@ -148,12 +150,19 @@ def w8_random_positive(spark, d):
     return chosen_positive(v, scheduled(v)).select("q", "c")
 
 
-def sampled_negatives(v: DataFrame, q: DataFrame, k: int = NEGATIVES, seed: int = 42) -> DataFrame:
-    """(q, c): k candidates of other groups by a hash order; at most QUERIES_MAX queries meet the candidates."""
-    c = v.select(F.col("id").alias("c"), F.col("grp").alias("cg"))
-    met = c.crossJoin(F.broadcast(q.select("q", "grp"))).filter("cg <> grp").withColumn("key", md5_key(seed, F.col("q"), F.col("c")))
-    order = Window.partitionBy("q").orderBy("key", "c")
-    return met.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select("q", "c")
+def sampled_negatives(v: DataFrame, q: DataFrame, k: int = NEGATIVES, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """(q, c): k candidates of other groups, fewer where `draws` draws hold fewer.
+
+    All vectors stand in one shuffled order. A query starts at a place of its own and draws the vectors that follow, from
+    the first again behind the last; places are joined, so the work is queries times draws at any number of vectors.
+    """
+    number = F.conv(F.substring(md5_key(seed, F.col("id")), 1, 12), 16, 10).cast("long")
+    placed = positions(v.select(F.col("id").alias("c"), F.col("grp").alias("cg"), (number * 1000 + F.col("id") % 1000).alias("key"), F.lit(0).alias("all")), "key", "all", "place")
+    n = v.count()
+    start = F.conv(F.substring(md5_key(seed, F.lit("start"), F.col("q")), 1, 12), 16, 10).cast("long") % n
+    drawn = q.select("q", "grp", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(min(draws, n) - 1))).alias("draw")).withColumn("place", (F.col("start") + F.col("draw")) % n)
+    met = drawn.join(placed.select("place", "c", "cg"), "place").filter("cg <> grp")
+    return met.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("draw"))).filter(F.col("rn") <= k).select("q", "c")
 
 
 def j14_negatives(spark, d):
@@ -162,7 +171,7 @@ def j14_negatives(spark, d):
 
 
 def sampled_ranks(v: DataFrame) -> DataFrame:
-    q = scheduled(v).cache()
+    q = cut(scheduled(v), "scheduled")
     cand = chosen_positive(v, q).select("q", "c", F.lit(1).alias("pos")).unionByName(sampled_negatives(v, q).withColumn("pos", F.lit(0)))
     qv, cv = v.select(F.col("id").alias("q"), F.col("vec").alias("qv")), v.select(F.col("id").alias("c"), F.col("vec").alias("cv"))
     scored = cand.join(qv, "q").join(cv, "c").select("q", "c", "pos", _round(dot(F.col("qv"), F.col("cv"))).alias("s"))
@@ -185,6 +194,7 @@ def v11_temperature(spark, d):
 
 _PAIR = "p AS (SELECT a.vec_id // 2 AS id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
 _DOT = "list_dot_product"
+_DIMS = "ex AS (SELECT vec_id, CAST(unnest(range(64)) AS INT) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size FROM embeddings)"
 _SCORED = "s AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label AS g, b.label AS h, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rk FROM s)"
 _FIRST = _SCORED + ", f AS (SELECT e.vec_id AS id, min(rk) AS rank FROM embeddings e LEFT JOIN r ON r.q = e.vec_id AND r.g = r.h GROUP BY e.vec_id)"
 _SCHEDULE = f"""el AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 2),
@@ -193,7 +203,9 @@ t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key, vec_id) AS r
 o AS (SELECT vec_id AS q, label AS grp, row_number() OVER (ORDER BY CASE WHEN rn > 1 THEN 1 ELSE 0 END, key, vec_id) AS place FROM t),
 sch AS (SELECT * FROM o WHERE place <= {QUERIES_MAX})"""
 _POSITIVE = _SCHEDULE + ", po AS (SELECT q, min_by(e.vec_id, md5('42:' || q || ':' || e.vec_id)) AS c FROM sch JOIN embeddings e ON e.label = grp AND e.vec_id <> q GROUP BY q)"
-_NEGATIVE = f"ne AS (SELECT q, c FROM (SELECT q, e.vec_id AS c, row_number() OVER (PARTITION BY q ORDER BY md5('42:' || q || ':' || e.vec_id), e.vec_id) AS rn FROM sch JOIN embeddings e ON e.label <> grp) WHERE rn <= {NEGATIVES})"
+_NEGATIVE = f"""pl AS (SELECT vec_id AS c, label AS cg, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || vec_id), 1, 12))::BIGINT * 1000 + vec_id % 1000) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+dr AS (SELECT q, grp, range AS draw, (('0x' || substr(md5('42:start:' || q), 1, 12))::BIGINT % (SELECT any_value(n) FROM pl) + range) % (SELECT any_value(n) FROM pl) AS place FROM sch, range({DRAWS}) WHERE range < (SELECT any_value(n) FROM pl)),
+ne AS (SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY draw) AS rn FROM dr JOIN pl USING (place) WHERE cg <> grp) WHERE rn <= {NEGATIVES})"""
 _SAMPLED = _POSITIVE + ", " + _NEGATIVE + """, ca AS (SELECT q, c, 1 AS pos FROM po UNION ALL SELECT q, c, 0 FROM ne),
 sr AS (SELECT q, pos, row_number() OVER (PARTITION BY q ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, c) AS rank
        FROM ca JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = c)"""
@@ -201,18 +213,18 @@ sr AS (SELECT q, pos, row_number() OVER (PARTITION BY q ORDER BY round(list_dot_
 QUERIES = {f.__name__: f for f in (v1_dot, v2_normalise, v11_temperature, v13_first_pooling, v14_last_pooling, j12_all_pairs, j13_positives, j14_negatives, j15_single_query, j16_diagonal, w1_full_ranking, w2_first_positive, w3_hits, w4_similar, w4_nearest_all, w6_sampled_rank, w7_schedule, w8_random_positive, a14_retrieval_metrics, a15_sampled_metrics, a16_paired_metrics, a17_log_normalisers, a18_symmetric_loss, a19_gradients)}
 SQL = {
     "v1_dot": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y), 6) AS dot FROM p",
-    "v2_normalise": "SELECT vec_id AS id, round(CAST(1 AS DOUBLE), 5) AS length, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS first FROM embeddings",
+    "v2_normalise": f"WITH {_DIMS} SELECT vec_id AS id, CASE WHEN vec_id % 3 = 2 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length, dim, CASE WHEN vec_id % 3 = 2 THEN 0.0::DOUBLE ELSE round(x / size, 5) END AS x FROM ex",
     "v11_temperature": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y) / 0.07::DOUBLE, 4) AS s007, round({_DOT}(x, y), 4) AS s1 FROM p",
-    "v13_first_pooling": "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS pooled FROM embeddings",
-    "v14_last_pooling": "SELECT vec_id AS id, round(CAST(embedding[-1] AS DOUBLE), 6) AS pooled FROM embeddings",
-    "j12_all_pairs": f"WITH {_SCORED} SELECT q, count(*) AS n, round(sum(score), 4) AS total FROM s GROUP BY q",
+    "v13_first_pooling": f"WITH {_DIMS} SELECT vec_id AS id, dim, round(x, 6) AS pooled FROM ex",
+    "v14_last_pooling": f"WITH {_DIMS} SELECT vec_id AS id, CAST(63 - dim AS INT) AS dim, round(x, 6) AS pooled FROM ex",
+    "j12_all_pairs": "SELECT a.vec_id AS q, count(*) AS n, round(sum(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS total FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id",
     "j13_positives": "SELECT a.vec_id AS q, count(*) AS n, min(b.vec_id) AS first FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id",
     "j14_negatives": f"WITH {_SCHEDULE}, {_NEGATIVE} SELECT q, c FROM ne",
     "j15_single_query": "SELECT a.vec_id AS id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b",
     "j16_diagonal": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y) / 0.07::DOUBLE, 4) AS d FROM p",
     "w1_full_ranking": f"WITH {_SCORED} SELECT q, c, rk FROM r",
     "w2_first_positive": f"WITH {_FIRST} SELECT id, rank FROM f",
-    "w3_hits": f"WITH {_FIRST} SELECT id, CAST(coalesce(rank <= 1, false) AS INT) AS hit1, CAST(coalesce(rank <= 5, false) AS INT) AS hit5, CAST(coalesce(rank <= 10, false) AS INT) AS hit10 FROM f",
+    "w3_hits": f"WITH {_FIRST} SELECT id, CAST(coalesce(rank <= 1, false) AS INT) AS hit1, CAST(coalesce(rank <= 5, false) AS INT) AS hit5, CAST(coalesce(rank <= 10, false) AS INT) AS hit10, CAST(NULL AS INT) AS hit100000 FROM f",
     "w4_similar": "WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 1 OFFSET 2) SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, id LIMIT 1000",
     "w4_nearest_all": f"WITH {_SCORED} SELECT q, c, rk FROM r WHERE rk <= 5",
     "w6_sampled_rank": f"WITH {_SAMPLED} SELECT q, rank FROM sr WHERE pos = 1",

@@ -144,3 +144,34 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_tiles_run_once(spark, monkeypatch):
+    """Two passes for ranks and for gradients, one for the loss."""
+    passes, own = [], similarity.tiles
+
+    def counted(left, right, compute, schema, rows, block=similarity.BLOCK):
+        passes.append(compute.__name__)
+        seen = spark.sparkContext.accumulator(0)
+
+        def run(l, r, s):
+            seen.add(1)
+            return compute(l, r, s)
+
+        passes[-1] = (compute.__name__, seen)
+        return own(left, right, run, schema, rows, block)
+
+    monkeypatch.setattr(similarity, "tiles", counted)
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(30)], "id long, grp long, vec array<double>")
+    pairs = spark.createDataFrame([(i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for i in range(30)], "id long, x array<double>, y array<double>")
+    for run, names in ((lambda: similarity.retrieval_metrics(vectors).collect(), ["best", "ahead"]), (lambda: similarity.symmetric_loss(pairs, 0.1).collect(), ["both"]), (lambda: similarity.loss_gradients(pairs, 0.1).collect(), ["both", "weighted"])):
+        passes.clear()
+        run()
+        assert [(n, c.value) for n, c in passes] == [(n, 1) for n in names]  # 30 vectors are one tile
+
+
+def test_top_k_needs_k_others(spark):
+    vectors = spark.createDataFrame([(i, 0, [float(i), 1.0]) for i in range(4)], "id long, grp long, vec array<double>")
+    got = similarity.retrieval_metrics(vectors, (1, 3, 4)).first()
+    assert got["top1"] is not None and got["top3"] == 1.0 and got["top4"] is None
