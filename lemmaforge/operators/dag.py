@@ -151,7 +151,8 @@ def proof_targets(found: DataFrame, statements: DataFrame, header: DataFrame, op
     """(index, seq, target, method): the first resolved reference in the proof's header, or else the latest statement
     before the proof that no proof has taken.
 
-    The fallback is a fold over a record's events: a statement is put on a stack, a proof takes the highest free one.
+    The fallback is a fold over a record's events: a statement is put on a stack, a proof takes the top one off; a proof
+    with a header takes its target out of the stack, or keeps it from being put there.
     """
     named = header.filter("idx is not null").groupBy("index", "seq").agg(F.min_by(F.struct("idx", "method"), "nth").alias("h"))
     own = statements.select("index", "seq", "idx", (F.lit(options.older) | F.col("kind").isin(*latex.PROOF_TARGETS)).alias("open"))
@@ -161,13 +162,15 @@ def proof_targets(found: DataFrame, statements: DataFrame, header: DataFrame, op
     start = F.struct(none.alias("stack"), none.alias("taken"), F.expr("cast(array() as array<struct<seq:int,target:int,method:string>>)").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
-        free = F.array_max(F.filter(acc["stack"], lambda x: ~F.array_contains(acc["taken"], x)))
-        target = F.coalesce(e["named"], free)
-        method = F.when(e["named"].isNotNull(), e["how"]).when(free.isNotNull(), F.lit("fallback"))
-        below = F.when(e["named"].isNotNull(), acc["stack"]).otherwise(F.filter(acc["stack"], lambda x: x < F.coalesce(free, F.lit(-1))))
-        taken = F.when(target.isNotNull(), F.array_append(acc["taken"], target)).otherwise(acc["taken"])
+        top = F.array_max(acc["stack"])
+        target = F.coalesce(e["named"], top)
+        method = F.when(e["named"].isNotNull(), e["how"]).when(top.isNotNull(), F.lit("fallback"))
+        below = F.when(target.isNotNull(), F.array_remove(acc["stack"], target)).otherwise(acc["stack"])
+        ahead = e["named"].isNotNull() & ~F.array_contains(acc["stack"], e["named"])
+        taken = F.when(ahead, F.array_append(acc["taken"], e["named"])).otherwise(acc["taken"])
         result = F.array_append(acc["out"], F.struct(e["seq"].alias("seq"), target.alias("target"), method.alias("method")))
-        pushed = F.when(F.coalesce(e["open"], F.lit(False)), F.array_append(acc["stack"], e["idx"])).otherwise(acc["stack"])
+        open_ = F.coalesce(e["open"], F.lit(False)) & ~F.array_contains(acc["taken"], e["idx"])
+        pushed = F.when(open_, F.array_append(acc["stack"], e["idx"])).otherwise(acc["stack"])
         return F.when(e["proof"], F.struct(below.alias("stack"), taken.alias("taken"), result.alias("out"))).otherwise(F.struct(pushed.alias("stack"), acc["taken"].alias("taken"), acc["out"].alias("out")))
 
     return line.select("index", F.inline(F.aggregate("steps", start, step, lambda a: a["out"])))

@@ -27,13 +27,16 @@ def _papers(spark, d):
 
 
 def _lines(spark, d, bad: bool):
-    """A JSONL file of the turns, with blank lines and, if asked for, a malformed one after every tenth turn."""
-    rows = _turns(spark, d).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    """JSONL files of the turns, with blank lines and, if asked for, a malformed one after every tenth turn. A turn's edges
+    are as many as its number modulo three."""
+    pair = F.struct(F.col("role").alias("from"), F.col("turn").cast("string").alias("to"))
+    edges = F.array_repeat(pair, (F.col("turn") % 3).cast("int")).alias("edges")
+    rows = _turns(spark, d).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text", edges)).alias("value"))
     extra = rows.filter("turn = 1 and conv_id % 10 = 3").select("conv_id", F.lit(99).cast("long").alias("turn"), F.lit('{"conv_id": 1, "tu').alias("value"))
     blank = rows.filter("turn = 0 and conv_id % 7 = 2").select("conv_id", F.lit(98).cast("long").alias("turn"), F.lit("  ").alias("value"))
     all_rows = rows.unionByName(blank).unionByName(extra) if bad else rows.unionByName(blank)
     path = fresh_path(spark, "lines")
-    all_rows.orderBy("conv_id", "turn").select("value").coalesce(1).write.text(path)
+    all_rows.orderBy("conv_id", "turn").select("value").write.text(path)
     return path
 
 
@@ -127,7 +130,7 @@ def k2_ordered_sink(spark, d):
     path = fresh_path(spark, "ordered")
     rows = _turns(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("key"))
     jsonl.write_lines(rows, path, "key")
-    return jsonl.numbered(spark.read.text(path).orderBy("value").select(F.from_json("value", "key bigint")["key"].alias("key")).orderBy("key"), "place")
+    return jsonl.raw_lines(spark, path).select(F.from_json("line", "key bigint")["key"].alias("key"), F.col("index").alias("place"))
 
 
 def k3_non_empty_sink(spark, d):
@@ -194,7 +197,9 @@ def f7_usable_items(spark, d):
 
 
 def f8_empty_papers(spark, d):
-    n = F.size(c.usable(F.concat("lemmas", "theorems")))
+    """Papers of every fifth conversation have blank items only."""
+    items = F.concat("lemmas", "theorems")
+    n = F.size(c.usable(F.when(F.col("index") % 5 == 1, F.transform(items, lambda x: F.lit(" "))).otherwise(items)))
     return _papers(spark, d).agg(F.count("*").alias("papers"), F.count_if(n == 0).alias("empty"), F.sum(n).alias("items"))
 
 
@@ -325,7 +330,7 @@ SQL = {
     "s1_strict_scan": "SELECT conv_id, turn, role, text FROM conversations",
     "s2_scan_with_errors": f"WITH {_L} SELECT index, CASE bad WHEN 0 THEN conv_id END AS conv_id, CASE bad WHEN 0 THEN turn END AS turn, bad = 1 AS failed FROM n WHERE bad <> 2",
     "s3_lenient_scan": f"WITH {_L} SELECT count(*) AS n, count(*) FILTER (bad = 1) AS bad, count(*) FILTER (bad = 0) AS texts FROM n WHERE bad <> 2",
-    "s4_edge_scan": f"WITH {_L} SELECT index, 0 AS n_edges FROM n WHERE bad <> 2",
+    "s4_edge_scan": f"WITH {_L} SELECT index, CASE bad WHEN 0 THEN CAST(turn % 3 AS INT) ELSE 0 END AS n_edges FROM n WHERE bad <> 2",
     "s5_training_scan": f"WITH {_P} SELECT index, len(lemmas) AS lemmas, len(theorems) AS theorems FROM p",
     "s6_shard_scan": "SELECT 'v' || vec_id AS id, CAST(unnest(range(len(embedding))) AS INT) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings",
     "s7_id_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS of_bytes, CAST(n_nationkey AS VARCHAR) AS of_number, n_nationkey || ',' || n_regionkey AS of_pair FROM nation",
@@ -347,7 +352,7 @@ SQL = {
     "f5_two_statements": f"WITH {_P} SELECT index FROM p WHERE len(lemmas) + len(theorems) >= 2",
     "f6_one_statement": f"WITH {_P} SELECT index FROM p WHERE len(lemmas) + len(theorems) >= 1",
     "f7_usable_items": "SELECT conv_id, turn, CASE WHEN trim(text) <> '' THEN 2 ELSE 1 END AS n FROM conversations",
-    "f8_empty_papers": f"WITH {_P} SELECT count(*) AS papers, count(*) FILTER (len(lemmas) + len(theorems) = 0) AS empty, CAST(sum(len(lemmas) + len(theorems)) AS BIGINT) AS items FROM p",
+    "f8_empty_papers": f"WITH {_P} SELECT count(*) AS papers, count(*) FILTER (index % 5 = 1 OR len(lemmas) + len(theorems) = 0) AS empty, CAST(sum(len(lemmas) + len(theorems)) FILTER (index % 5 <> 1) AS BIGINT) AS items FROM p",
     "f9_eligible": f"WITH {_I} SELECT paper, count(*) AS n FROM i GROUP BY paper HAVING count(*) >= 4",
     "f11_unified": f"WITH {_I} SELECT paper AS index, CAST(row_number() OVER (PARTITION BY paper ORDER BY CASE WHEN paper % 2 = 0 THEN kind = 'lemma' ELSE kind = 'theorem' END, idx) - 1 AS INT) AS place, kind AS type, md5(text) AS digest FROM i",
     "f12_summary": f"WITH {_P} SELECT index, len(theorems) AS theorems, len(lemmas) AS lemmas, len(theorems) + len(lemmas) AS total FROM p",

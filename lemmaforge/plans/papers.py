@@ -23,11 +23,12 @@ def _label():
     return F.format_string("c%d:t%d", "conv_id", "turn")
 
 
-def _wrapped():
-    """LaTeX of a turn."""
+def _wrapped(headed: bool = False):
+    """LaTeX of a turn. headed: proofs of every fourth conversation name its first turn in their header."""
     label = F.concat(F.lit("\\label{"), _label(), F.lit("}"))
     ref = lambda k: F.concat(F.lit("c"), F.col("conv_id"), F.lit(":t"), F.col("turn") - k)
-    proof = F.concat(F.lit("\\begin{proof} By \\ref{"), ref(1), F.lit("} and \\cref{"), ref(2), F.lit(", zz} done. \\end{proof}\n"))
+    header = F.when(F.lit(headed) & (F.col("conv_id") % 4 == 1), F.concat(F.lit("[of \\ref{c"), "conv_id", F.lit(":t0}]"))).otherwise("")
+    proof = F.concat(F.lit("\\begin{proof}"), header, F.lit(" By \\ref{"), ref(1), F.lit("} and \\cref{"), ref(2), F.lit(", zz} done. \\end{proof}\n"))
     return (
         F.when(F.col("role") == "user", F.concat(F.lit("\\begin{lemma}"), label, F.lit(" "), "text", F.lit(" \\end{lemma}\n")))
         .when(F.col("role") == "assistant", F.concat(F.lit("\\begin{theorem}[note n]"), label, F.lit(" % \\label{no}\n"), "text", F.lit(" \\end{theorem}\n"), proof))
@@ -35,13 +36,13 @@ def _wrapped():
     )
 
 
-def _records(spark, d):
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", _wrapped().alias("t")))), lambda x: x["t"])
+def _records(spark, d, headed: bool = False):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", _wrapped(headed).alias("t")))), lambda x: x["t"])
     return _turns(spark, d).groupBy(F.col("conv_id").alias("index")).agg(F.array_join(parts, "").alias("body")).select("index", F.array(F.lit("src/main.tex")).alias("filenames"), F.array("body").alias("latex"))
 
 
-def _graph(spark, d, options=OPTIONS):
-    records = _records(spark, d)
+def _graph(spark, d, options=OPTIONS, headed: bool = False):
+    records = _records(spark, d, headed)
     return records, dag.build(records, options)
 
 
@@ -68,7 +69,7 @@ def l3_line_comments(spark, d):
 
 
 def l4_forgotten(spark, d):
-    t = F.concat(F.lit("a \\forget x "), "text", F.lit(" \\forgotten b \\forget y \\forgotten c"))
+    t = F.concat(F.lit("a "), "role", F.lit(" \\forget x "), "text", F.when(F.col("turn") % 3 == 1, "").otherwise(" \\forgotten"), F.lit(" b "), "turn", F.lit(" \\forget y \\forgotten c"))
     return _turns(spark, d).select("conv_id", "turn", L.without_forgotten(t).alias("kept"))
 
 
@@ -195,7 +196,7 @@ def l28_l34_blocks(spark, d):
 
 
 def l29_proof_blocks(spark, d):
-    return dag.scan(_records(spark, d), OPTIONS).filter("proof").select("index", F.array_join("body_refs", "|").alias("refs"))
+    return dag.scan(_records(spark, d, True), OPTIONS).filter("proof").select("index", F.array_join("header_refs", "|").alias("header"), F.array_join("body_refs", "|").alias("refs"))
 
 
 def l35_l37_label_forms(spark, d):
@@ -341,8 +342,10 @@ def _chains(spark, d):
 
 
 def g7_topological(spark, d):
+    """Every fifth conversation has a cycle at its start."""
     nodes, edges = _chains(spark, d)
-    return dag.topological(nodes, edges).select("index", F.array_join("topo_order", ",").alias("topo_order"), "dag_valid")
+    back = edges.filter("index % 5 = 1 and ord = 1").select("index", F.col("to").alias("from"), F.col("from").alias("to"), F.lit(9000).cast("long").alias("ord"))
+    return dag.topological(nodes, edges.unionByName(back)).select("index", F.array_join("topo_order", ",").alias("topo_order"), "dag_valid")
 
 
 def g8_edge_texts(spark, d):
@@ -353,7 +356,7 @@ def g8_edge_texts(spark, d):
 
 
 def g9_proof_reports(spark, d):
-    records, g = _graph(spark, d)
+    records, g = _graph(spark, d, headed=True)
     return dag.proof_reports(g, dag.scan(records, OPTIONS)).select("index", "method", F.trim("excerpt").alias("excerpt"))
 
 
@@ -408,7 +411,8 @@ def _owners(spark, d):
 
 def _resolved(spark, d, how: str, **options):
     t, s = _owners(spark, d)
-    form = {"direct": F.concat(F.lit("lem:Main-"), "idx"), "shared": F.lit("shared"), "canonical": F.concat(F.lit("LEM main "), "idx"), "fuzzy": F.concat(F.lit("lem:Main-"), "idx", F.lit("-proof")), "alias": F.concat(F.lit("old"), "idx"), "unknown": F.lit("nothing")}[how]
+    close = F.when(F.col("idx") % 2 == 0, "-shared").otherwise("")  # four of five parts agree, or three of five
+    form = {"direct": F.concat(F.lit("lem:Main-"), "idx"), "shared": F.lit("shared"), "canonical": F.concat(F.lit("LEM main "), "idx"), "fuzzy": F.concat(F.lit("lem:Main-"), "idx", close, F.lit("-proof")), "alias": F.concat(F.lit("old"), "idx"), "unknown": F.lit("nothing")}[how]
     return dag.resolve(t.select("index", form.alias("raw")), s, dag.Options(**options))
 
 
@@ -457,7 +461,7 @@ def j10_before(spark, d):
 
 
 def j11_proof_targets(spark, d):
-    g = _graph(spark, d)[1]
+    g = _graph(spark, d, headed=True)[1]
     return g.proofs.join(g.nodes.select("index", F.col("seq").alias("s"), "id", "ordinal"), "index").filter("target + 1 = ordinal and not id like 'proof#%'").select("index", "id", "method")
 
 
@@ -480,6 +484,7 @@ def v12_learning_rate(spark, d, steps: int = 1000, warmup: int = 100):
 _N = r"m AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey % 3 WHEN 0 THEN n_name || '%x' || chr(10) || '\%y\\%z' WHEN 1 THEN '%' || n_name || chr(10) || 'q' ELSE n_name END AS t, n_name FROM nation)"
 _KINDS = "VALUES (0,'theorem','thm','theorem',false,'theorem','thm'),(1,'lemma','Lemma*','lemma',true,'lemma','Lemma'),(2,'definition','dfn','definition',false,'definition','dfn'),(3,'proposition','propx','proposition',false,'proposition','propx'),(4,'remark','rmk','remark',false,'remark','rmk'),(5,'corollary','corol','corollary',false,'corollary','corol'),(6,NULL,'claim','claim',false,'claim','claim'),(7,'assumption','assumx','assumption',false,'assumption','assumx')"
 _T = "t AS (SELECT conv_id AS index, turn, role, trim(text) AS text, CASE role WHEN 'user' THEN 'lemma' WHEN 'assistant' THEN 'theorem' ELSE 'remark' END AS kind, 'c' || conv_id || ':t' || turn AS lab FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY turn) AS ordinal, count(*) OVER (PARTITION BY index) AS total FROM t), s AS (SELECT *, CASE kind WHEN 'remark' THEN 'remark#' || ordinal || '@main.tex' ELSE lab END AS id FROM n)"
+_HEAD = "h AS (SELECT a.*, a.index % 4 = 1 AND EXISTS (SELECT 1 FROM s b WHERE b.index = a.index AND b.turn = 0 AND b.kind <> 'remark') AS named FROM s a WHERE a.kind = 'theorem')"
 _E = "e AS (SELECT a.index, b.id AS dep, a.id AS stmt FROM s a JOIN s b ON a.index = b.index AND a.kind = 'theorem' AND b.kind <> 'remark' AND a.turn - b.turn IN (1, 2))"
 _C = "nd AS (SELECT conv_id AS index, turn, role AS kind, text FROM conversations), ed AS (SELECT a.conv_id AS index, a.turn AS i, b.turn AS j, a.turn * 100 + b.turn AS ord FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn AND b.turn - a.turn IN (1, 3))"
 _PP = "t AS (SELECT conv_id, turn % 2 AS turn, conv_id * 100 + turn AS index, 'p' || (conv_id * 4 + turn // 2) % 160 AS arxiv_id, length(text) + 10 AS ppl FROM conversations), r AS (SELECT *, CASE WHEN lag(arxiv_id) OVER (ORDER BY index) IS DISTINCT FROM arxiv_id AND lag(arxiv_id) OVER (ORDER BY index) IS NOT NULL THEN 1 ELSE 0 END AS nw FROM t), u AS (SELECT *, CAST(sum(nw) OVER (ORDER BY index) AS BIGINT) AS run FROM r)"
@@ -491,7 +496,7 @@ SQL = {
     "l1_parity_comments": rf"WITH {_N} SELECT k, md5(CASE k % 3 WHEN 0 THEN n_name || chr(10) || '\%y\\' WHEN 1 THEN chr(10) || 'q' ELSE t END) AS digest FROM m",
     "l2_escaped_comments": rf"WITH {_N} SELECT k, md5(CASE k % 3 WHEN 0 THEN n_name || chr(10) || '\%y\\%z' WHEN 1 THEN chr(10) || 'q' ELSE t END) AS digest FROM m",
     "l3_line_comments": rf"WITH {_N} SELECT k, md5(CASE k % 3 WHEN 0 THEN n_name || chr(10) || '\%y\\%z' WHEN 1 THEN chr(10) || 'q' ELSE t END) AS digest FROM m",
-    "l4_forgotten": "SELECT conv_id, turn, 'a  b  c' AS kept FROM conversations",
+    "l4_forgotten": "SELECT conv_id, turn, 'a ' || role || ' ' || CASE WHEN turn % 3 = 1 THEN '' ELSE ' b ' || turn || ' ' END || ' c' AS kept FROM conversations",
     "l5_raw_blocks": _RAW,
     "l6_declared_names": "SELECT conv_id * 100 + turn AS index, p AS place, 'lemma' AS kind, CASE p WHEN 0 THEN md5(trim(text)) ELSE md5('q') END AS digest FROM conversations, (VALUES (0), (1)) x(p)",
     "l7_display_kind": f"SELECT p_partkey, a AS kind FROM part JOIN ({_KINDS}) v(k, a, e, b, st, g, bare) ON p_partkey % 8 = k",
@@ -511,7 +516,7 @@ SQL = {
     "l30_labels": "SELECT conv_id, turn, 'x' || turn || '|y' AS labels, 'x' || turn AS first FROM conversations",
     "l31_l32_primary_label": "SELECT conv_id AS index, 'c' || conv_id || ':t' || turn AS label, 'eq|c' || conv_id || ':t' || turn AS labels FROM conversations",
     "l28_l34_blocks": f"WITH {_T} SELECT index, kind, md5(text) AS digest FROM s",
-    "l29_proof_blocks": f"WITH {_T} SELECT index, 'c' || index || ':t' || (turn - 1) || '|c' || index || ':t' || (turn - 2) || '|zz' AS refs FROM s WHERE kind = 'theorem'",
+    "l29_proof_blocks": f"WITH {_T} SELECT index, CASE WHEN index % 4 = 1 THEN 'c' || index || ':t0' ELSE '' END AS header, 'c' || index || ':t' || (turn - 1) || '|c' || index || ':t' || (turn - 2) || '|zz' AS refs FROM s WHERE kind = 'theorem'",
     "l35_l37_label_forms": "SELECT p_partkey, 'lem:mainresult-' || p_partkey || '_strasse' AS folded, 'lemmainresult' || p_partkey || 'strae' AS canonical, 'lem|main|result|' || p_partkey || '|straße' AS tokens FROM part",
     "l25_reference_pattern": "SELECT conv_id, turn, 'r' AS usual, 'k' || turn || '|r' AS more FROM conversations",
     "a1_runs": "WITH r AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) <> event_type THEN 1 ELSE 0 END AS nw FROM events), u AS (SELECT *, CAST(sum(nw) OVER (ORDER BY event_id) AS BIGINT) AS run FROM r) SELECT run, event_type, count(*) AS n, min(event_id) AS first FROM u GROUP BY ALL",
@@ -530,9 +535,9 @@ SQL = {
     "g4_older_edges": f"WITH {_T}, {_E} SELECT index, stmt AS \"from\", dep AS \"to\" FROM e",
     "g5_forward_policy": "WITH x AS (SELECT conv_id AS index, max(turn) AS m FROM conversations GROUP BY 1), y AS (SELECT index, 'c' || index || ':t' || m AS dep, 'c' || index || ':t0' AS stmt FROM x WHERE m > 0) SELECT index, dep AS \"from\", stmt AS \"to\", 'forward' AS \"table\" FROM y UNION ALL SELECT index, dep, stmt, 'included' FROM y UNION ALL SELECT index, 'skipped', '1', 'count' FROM y",
     "g6_statement_edges": "SELECT conv_id AS index, 'c' || conv_id || ':t' || (turn - 1) AS \"from\", 'c' || conv_id || ':t' || turn AS \"to\" FROM conversations WHERE turn > 0",
-    "g7_topological": "SELECT conv_id AS index, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS topo_order, true AS dag_valid FROM conversations GROUP BY conv_id",
+    "g7_topological": "SELECT conv_id AS index, CASE WHEN conv_id % 5 = 1 AND max(turn) > 0 THEN '' ELSE string_agg(turn::VARCHAR, ',' ORDER BY turn) END AS topo_order, conv_id % 5 <> 1 OR max(turn) = 0 AS dag_valid FROM conversations GROUP BY conv_id",
     "g8_edge_texts": f"WITH {_C} SELECT ed.index, ord, i::VARCHAR AS \"from\", j::VARCHAR AS \"to\", md5(a.text) AS a, md5(b.text) AS b FROM ed JOIN nd a ON a.index = ed.index AND a.turn = i JOIN nd b ON b.index = ed.index AND b.turn = j UNION ALL SELECT ed.index, ord + 50000, i::VARCHAR, 'none', md5(a.text), NULL FROM ed JOIN nd a ON a.index = ed.index AND a.turn = i WHERE ord % 7 = 1",
-    "g9_proof_reports": f"WITH {_T} SELECT index, 'fallback' AS method, 'By \\ref{{c' || index || ':t' || (turn - 1) || '}} and \\cref{{c' || index || ':t' || (turn - 2) || ', zz}} done.' AS excerpt FROM s WHERE kind = 'theorem'",
+    "g9_proof_reports": f"WITH {_T}, {_HEAD} SELECT index, CASE WHEN named THEN 'direct' ELSE 'fallback' END AS method, 'By \\ref{{c' || index || ':t' || (turn - 1) || '}} and \\cref{{c' || index || ':t' || (turn - 2) || ', zz}} done.' AS excerpt FROM h",
     "j3_edge_ends": f"WITH {_C} SELECT index, i::VARCHAR AS \"from\", j::VARCHAR AS \"to\", i = 2 AS no_from, j = 2 AS no_to FROM ed",
     "j4_edge_kinds": f"WITH {_C} SELECT CASE WHEN i = 2 THEN '?' ELSE a.kind END AS src, CASE WHEN j = 2 THEN '?' ELSE b.kind END AS dst, count(*) AS n FROM ed JOIN nd a ON a.index = ed.index AND a.turn = i JOIN nd b ON b.index = ed.index AND b.turn = j GROUP BY 1, 2",
     "a7_edge_types": f"WITH {_C} SELECT a.kind AS src, b.kind AS dst, count(*) AS n FROM ed JOIN nd a ON a.index = ed.index AND a.turn = i JOIN nd b ON b.index = ed.index AND b.turn = j GROUP BY 1, 2",
@@ -545,12 +550,12 @@ SQL = {
     "j5_direct": "SELECT DISTINCT conv_id AS index, 'lem:Main-' || turn AS raw, CAST(turn AS INT) AS idx, 'direct' AS method FROM conversations UNION ALL SELECT conv_id, 'shared', CAST(min(turn) AS INT), 'direct' FROM conversations GROUP BY conv_id",
     "j6_alias": "SELECT conv_id AS index, 'old' || turn AS raw, CASE WHEN turn < 2 THEN CAST(turn AS INT) END AS idx, CASE WHEN turn < 2 THEN 'direct' ELSE 'unknown' END AS method FROM conversations",
     "j7_canonical": "SELECT conv_id AS index, 'LEM main ' || turn AS raw, CAST(turn AS INT) AS idx, 'canonical' AS method FROM conversations",
-    "j8_fuzzy": "SELECT conv_id AS index, 'lem:Main-' || turn || '-proof' AS raw, CAST(NULL AS INT) AS idx, 'unknown' AS method FROM conversations",
-    "j9_cascade": "SELECT h AS how, CASE h WHEN 'fuzzy' THEN 'unknown' ELSE h END AS method, CASE h WHEN 'unknown' THEN (SELECT count(DISTINCT conv_id) FROM conversations) ELSE (SELECT count(*) FROM conversations) END AS n FROM (VALUES ('direct'), ('canonical'), ('fuzzy'), ('unknown')) x(h)",
+    "j8_fuzzy": "SELECT conv_id AS index, 'lem:Main-' || turn || CASE WHEN turn % 2 = 0 THEN '-shared' ELSE '' END || '-proof' AS raw, CASE WHEN turn % 2 = 0 THEN CAST(turn AS INT) END AS idx, CASE WHEN turn % 2 = 0 THEN 'fuzzy' ELSE 'unknown' END AS method FROM conversations",
+    "j9_cascade": "SELECT h AS how, m AS method, CASE h WHEN 'unknown' THEN (SELECT count(DISTINCT conv_id) FROM conversations) WHEN 'fuzzy' THEN (SELECT count(*) FROM conversations WHERE (turn % 2 = 0) = (m = 'fuzzy')) ELSE (SELECT count(*) FROM conversations) END AS n FROM (VALUES ('direct', 'direct'), ('canonical', 'canonical'), ('fuzzy', 'fuzzy'), ('fuzzy', 'unknown'), ('unknown', 'unknown')) x(h, m)",
     "j8_token_overlap": "WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM benchmark), s AS (SELECT a.item_id AS q, b.item_id AS c, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM w a JOIN w b ON a.item_id <> b.item_id AND len(list_intersect(a.w, b.w)) > 0) SELECT q, c, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rn FROM s) WHERE rn = 1",
     "u4_token_sets": "SELECT CAST(n_nationkey AS BIGINT) AS k, len(list_intersect(string_split(n_name, ''), ['A','E','I','O','U','N'])) AS both, len(list_distinct(list_concat(string_split(n_name, ''), ['A','E','I','O','U','N']))) AS \"any\" FROM nation",
     "j10_before": "SELECT a.conv_id, a.turn, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND (a.turn % 2 < b.turn % 2 OR (a.turn % 2 = b.turn % 2 AND a.turn < b.turn)) GROUP BY ALL",
-    "j11_proof_targets": f"WITH {_T} SELECT index, id, 'fallback' AS method FROM s WHERE kind = 'theorem'",
+    "j11_proof_targets": f"WITH {_T}, {_HEAD} SELECT index, CASE WHEN named THEN 'c' || index || ':t0' ELSE id END AS id, CASE WHEN named THEN 'direct' ELSE 'fallback' END AS method FROM h",
     "w14_event_order": f"WITH {_T}, x AS (SELECT index, turn, 0 AS o, kind FROM s UNION ALL SELECT index, turn, 1, 'proof' FROM s WHERE kind = 'theorem') SELECT index, row_number() OVER (PARTITION BY index ORDER BY turn, o) - 1 AS seq, kind FROM x",
     "f19_edge_guard": f"WITH {_C} SELECT index, ord FROM ed WHERE ord % 3 <> 0",
     "v12_learning_rate": "SELECT range AS id, round(CASE WHEN range < 100 THEN range / 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, 0.5::DOUBLE * (1 + cos(pi() * (range - 100) / 900.0::DOUBLE))) END, 6) AS rate FROM range(1000)",

@@ -8,21 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def numbered(lines: DataFrame, name: str = "index") -> DataFrame:
-    """Rows with their ordinal in reading order, from 0: a place within the partition plus the rows before it.
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(index, line) of every line, blank ones included in the count, through the files in order of their names.
 
-    One count a partition comes to the driver; rows stay where they are.
+    A scan reads splits in any order, so places are counted within a split; one count a split comes to the driver, and
+    splits are ordered by file and begin. Lines stay where they are.
     """
-    placed = lines.withColumns({"ln_part": F.spark_partition_id(), "ln_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = sorted((r["ln_part"], r["n"]) for r in placed.groupBy("ln_part").agg(F.count("*").alias("n")).collect())
-    before = accumulate([0, *[n for _, n in counts]])
-    offsets = lines.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "ln_part int, ln_before long")
-    return placed.join(F.broadcast(offsets), "ln_part").select(*lines.columns, (F.col("ln_before") + F.col("ln_place")).alias(name))  # a row a partition
-
-
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(index, line) of every line, blank ones included in the count."""
-    return numbered(spark.read.text(path).withColumnRenamed("value", "line"))
+    found = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("row"))
+    splits = sorted((r["file"], r["begin"], r["n"], r["first"]) for r in found.groupBy("file", "begin").agg(F.count("*").alias("n"), F.min("row").alias("first")).collect())
+    before = accumulate([0, *[n for *_, n, _ in splits]])
+    offsets = spark.createDataFrame([(f, b, x - first) for (f, b, _, first), x in zip(splits, before, strict=False)], "file string, begin long, shift long")
+    return found.join(F.broadcast(offsets), ["file", "begin"]).select((F.col("row") + F.col("shift")).alias("index"), "line")  # a row a split
 
 
 def _is_object(line: Column) -> Column:
