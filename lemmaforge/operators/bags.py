@@ -84,6 +84,12 @@ def binary_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return o.select("q", "item", (F.col("both") / F.sqrt(F.col("qs").cast("double") * F.col("ds"))).alias("score"))
 
 
+def binary_weights(bags: DataFrame) -> DataFrame:
+    """(item, term, w): every term of an item once, scaled to unit length."""
+    size = bags.groupBy("item").agg((1.0 / F.sqrt(F.count("*").cast("double"))).alias("w"))
+    return bags.join(size, "item").select("item", "term", "w")
+
+
 def encoder_weights(bags: DataFrame, k1: float = K1, b: float = B, avgdl: float = ENCODER_LENGTH) -> DataFrame:
     """(item, term, w): BM25 encoder without idf, the norm at least 0.5, shifted by 1e-10 and scaled to unit length."""
     tf = F.col("tf").cast("double")

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from lemmaforge.functions.text import mask, padded, word_tokens
 from lemmaforge.operators import bags as b
+from lemmaforge.operators import encoders
+from lemmaforge.operators import similarity as sim
 from lemmaforge.session import cut
 
 TOP = 10
@@ -102,6 +104,13 @@ def v9_minhash(spark, d):
     return b.minhash(_doc_bags(spark, d)).select("item", F.concat_ws(",", F.transform("sig", lambda x: x.cast("string"))).alias("sig"))
 
 
+def v9_minhash_search(spark, d):
+    """The documents whose signatures have the greatest cosine with each item's."""
+    encode = encoders.encoder("minhash")
+    v = lambda rows, key: cut(encode(rows.withColumnRenamed(key, "item")).withColumnRenamed("item", "id"), "signatures")
+    return sim.nearest_between(v(_items(spark, d), "item_id"), v(_docs(spark, d), "doc_id"), TOP).select("q", F.col("c").alias("item"), "score", "rk")
+
+
 def f10_valid_tokens(spark, d):
     """Token numbers between 100 and 30000 at kept places."""
     w = padded(word_tokens(F.col("text")), LENGTH, F.lit(None).cast("string"))
@@ -138,7 +147,8 @@ def _w(name: str, key: str) -> str:
 
 
 _HASHES = ", ".join(f"min(((('0x' || substr(md5(term), 1, 6))::BIGINT % 30011) * {a} + {c}) % 30011)::VARCHAR" for a, c in b.hash_functions(16))
-QUERIES = {f.__name__: f for f in (v3_cosine, v4_jaccard, v5_idf, v6_bm25, v7_bm25_encoder, v8_jaccard_encoder, v9_minhash, v10_next_prime, v15_tokens, v16_padded, v17_vocabulary, a12_term_frequency, a13_corpus_stats, a13_document_frequency, j17_term_join, f10_valid_tokens, w5_lexical_search)}
+_SIGNED = _HASHES.replace("::VARCHAR", "::DOUBLE")
+QUERIES = {f.__name__: f for f in (v3_cosine, v4_jaccard, v5_idf, v6_bm25, v7_bm25_encoder, v8_jaccard_encoder, v9_minhash, v9_minhash_search, v10_next_prime, v15_tokens, v16_padded, v17_vocabulary, a12_term_frequency, a13_corpus_stats, a13_document_frequency, j17_term_join, f10_valid_tokens, w5_lexical_search)}
 SQL = {
     "v3_cosine": f"WITH {_BAGS}, qn AS (SELECT q, sqrt(sum(qf * qf)) + 1e-8 AS qn FROM qb GROUP BY q), dn AS (SELECT item, sqrt(sum(tf * tf)) + 1e-8 AS dn FROM db GROUP BY item) " + _best("SELECT q, item, sum(qf * tf) / (any_value(qn) * any_value(dn)) AS score FROM qb JOIN db USING (term) JOIN qn USING (q) JOIN dn USING (item) GROUP BY q, item"),
     "v4_jaccard": f"WITH {_BAGS}, {_SIZES} " + _best("SELECT q, item, shared / (qs + ds - shared + 1e-12) AS score FROM o JOIN qs USING (q) JOIN ds USING (item)"),
@@ -147,6 +157,7 @@ SQL = {
     "v7_bm25_encoder": f"WITH {_BAGS}, qf AS (SELECT q, term, qf AS f FROM qb), tf AS (SELECT item, term, tf AS f FROM db), {_w('qf', 'q')}, {_w('tf', 'item')} " + _best("SELECT q, item, sum(a.w * b.w) AS score FROM qfw a JOIN tfw b USING (term) GROUP BY q, item"),
     "v8_jaccard_encoder": f"WITH {_BAGS}, {_SIZES} " + _best("SELECT q, item, shared / sqrt(qs::DOUBLE * ds) AS score FROM o JOIN qs USING (q) JOIN ds USING (item)"),
     "v9_minhash": f"WITH {_BAGS} SELECT item, concat_ws(',', {_HASHES}) AS sig FROM db GROUP BY item",
+    "v9_minhash_search": f"WITH {_BAGS}, dg AS (SELECT item, [{_SIGNED}] AS v FROM db GROUP BY item), qg AS (SELECT q, [{_SIGNED}] AS v FROM qb GROUP BY q) " + _best("SELECT q, item, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM qg a, dg b"),
     "v15_tokens": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)",
     "v16_padded": f"SELECT item_id, array_to_string(list_resize(list_slice(w, 1, {LENGTH}), {LENGTH}, '<pad>'), ' ') AS tokens, CAST(least(len(w), {LENGTH}) AS BIGINT) AS kept FROM (SELECT item_id, {_TOK} AS w FROM benchmark)",
     "v17_vocabulary": f"WITH {_BAGS} SELECT count(DISTINCT term) AS vocabulary FROM db",

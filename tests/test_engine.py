@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lemmaforge.functions import latex as L
 from lemmaforge.functions.merger import code_of
-from lemmaforge.operators import bundles, corpus, dag, similarity
+from lemmaforge.operators import bundles, corpus, dag, encoders, similarity
 from lemmaforge.sources import jsonl, shards
 
 
@@ -175,3 +175,32 @@ def test_top_k_needs_k_others(spark):
     vectors = spark.createDataFrame([(i, 0, [float(i), 1.0]) for i in range(4)], "id long, grp long, vec array<double>")
     got = similarity.retrieval_metrics(vectors, (1, 3, 4)).first()
     assert got["top1"] is not None and got["top3"] == 1.0 and got["top4"] is None
+
+
+def test_encoders_by_name(spark):
+    assert encoders.names() == ["bm25", "first_token", "jaccard", "last_token", "minhash"]
+    items = spark.createDataFrame([(1, "a b b c"), (2, "a"), (3, None)], "item long, text string")
+    rows = {(r["item"], r["term"]): r["w"] for r in encoders.encoder("jaccard")(items).collect()}
+    assert len(rows) == 4 and abs(rows[1, "b"] - 3**-0.5) < 1e-12 and rows[2, "a"] == 1.0
+    unit = {}
+    for r in encoders.encoder("bm25")(items).collect():
+        unit[r["item"]] = unit.get(r["item"], 0) + r["w"] ** 2
+    assert set(unit) == {1, 2} and all(abs(x - 1) < 1e-9 for x in unit.values())
+    vectors = encoders.encoder("minhash")(items).collect()
+    assert {r["item"] for r in vectors} == {1, 2} and all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-9 for r in vectors)
+    states = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [1, 1, 0])], "item long, states array<array<double>>, mask array<int>")
+    assert list(encoders.encoder("first_token")(states).first()["vec"]) == [1.0, 2.0] and list(encoders.encoder("last_token")(states).first()["vec"]) == [3.0, 4.0]
+    with pytest.raises(KeyError, match="no encoder"):
+        encoders.encoder("other")
+    with pytest.raises(ValueError, match="there is"):
+        encoders.register("bm25", encoders.minhash_vectors)
+
+
+def test_nearest_between_two_tables(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(7, 3)), rng.normal(size=(40, 3))
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in similarity.nearest_between(frame(a), frame(b), 4, 9).orderBy("q", "rk").collect():
+        got.setdefault(r["q"], []).append(r["c"])
+    assert got == {i: np.argsort(-np.round(s, 6), kind="stable")[:4].tolist() for i, s in enumerate(a @ b.T)}
