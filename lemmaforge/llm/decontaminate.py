@@ -5,11 +5,13 @@ words of a benchmark item; an item of fewer words, but not none, is one window.
 hash set over benchmark-word numbers, slide over the training words, look up only windows all of whose words occur
 in the benchmark, and compare the exact word numbers, so a hit is never a hash collision. Nothing is shuffled.
 
-The set is broadcast only while the benchmark holds at most `max_broadcast_words` words. A larger one goes another
-way: training windows are keyed by two 64-bit hashes and joined to the benchmark windows by a shuffle.
+The set is broadcast only while the benchmark's texts hold at most `max_broadcast_words` words, counted at white space
+and signs by Spark: 250,000 words take some 110 MB in each Python worker. A larger one goes another way: training windows
+are keyed by two 64-bit hashes and joined to the benchmark windows by a shuffle.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window; repeated items
-count each by its id; a null item id is shown as an empty string; extra columns pass through untouched.
+count each by its id; a null item id is shown as an empty string; extra columns pass through untouched, one with the
+output's name is replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaforge.llm.columns import Plain
 from lemmaforge.session import workers_see_package
 
 N_WORDS = 13
-MAX_BROADCAST_WORDS = 4_000_000
+MAX_BROADCAST_WORDS = 1_000_000
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEPT else 0x20 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+SPARK_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -113,9 +117,14 @@ def contamination(
 ) -> DataFrame:
     """`docs` with a struct `out`: n_words, n_hit, items (sorted) and the code-point spans of hit words."""
     workers_see_package(docs.sparkSession)
+    plain = Plain(docs, [out], [text])
+    return plain.back(_contamination(plain.docs, benchmark, plain(text), n, out, max_broadcast_words))
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, text: str, n: int, out: str, max_broadcast_words: int) -> DataFrame:
     items = benchmark_items(benchmark)
-    size = items.agg(F.sum(F.length("body")).alias("n")).first()["n"] or 0
-    if size > 6 * max_broadcast_words:
+    size = items.agg(F.sum(F.regexp_count("body", F.lit(SPARK_WORD))).alias("n")).first()["n"] or 0
+    if size > max_broadcast_words:
         return _by_join(docs, items, text, n, out)
     grams = NgramSet([(r["item"], words_of(r["body"].encode())) for r in items.toLocalIterator()], n)
     shared = docs.sparkSession.sparkContext.broadcast(grams)
@@ -199,11 +208,13 @@ def is_contaminated(hits: str = "hits", share: int = 20) -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N_WORDS, remove: str = "documents", share: int = 20) -> DataFrame:
     """`docs` without contamination: remove "documents" that are contaminated, or cut all hit "spans" out of the texts."""
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove is 'documents' or 'spans'")
+    plain = Plain(docs, [], [text])
+    docs, text = plain.docs, plain(text)
     scored = contamination(docs, benchmark, text, n, "dc_hits")
     if remove == "documents":
-        return scored.filter(~is_contaminated("dc_hits", share)).select(*docs.columns)
-    if remove != "spans":
-        raise ValueError("remove is 'documents' or 'spans'")
+        return plain.back(scored.filter(~is_contaminated("dc_hits", share)).select(*docs.columns))
     t = F.col(text)
     kept = F.aggregate(
         F.col("dc_hits.spans"),
@@ -212,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n:
         lambda acc: F.concat(acc["s"], t.substr(acc["at"] + 1, F.length(t) - acc["at"])),
     )
     cut = F.when(F.size("dc_hits.spans") > 0, kept).otherwise(t)
-    return scored.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return plain.back(scored.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns]))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

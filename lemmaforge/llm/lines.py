@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaforge.llm.columns import Plain
 from lemmaforge.session import cut, workers_see_package
 
 MIN_WORDS = 50
@@ -228,6 +229,8 @@ def without_runs(text: str, runs: list[list[int]]) -> tuple[str, int]:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """`docs` without later repeats of runs of at least `least` words; `removed` names a column for the words that went."""
     workers_see_package(docs.sparkSession)
+    plain = Plain(docs, [removed] if removed else [], [key, text])
+    docs, key, text = plain.docs, plain(key), plain(text)
     keyed = docs.withColumns({"ld_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "ld_t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     joined = keyed.join(repeated_runs(keyed, text, least), ["ld_k", "ld_t"], "left").select(*docs.columns, "ld_runs")
     place = docs.columns.index(text)
@@ -251,4 +254,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     extra = [T.StructField(removed, T.LongType())] if removed else []
-    return joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, *extra]))
+    return plain.back(joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, *extra])))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaforge.llm.columns import Plain
 from lemmaforge.llm.lines import MIN_WORDS, _powers, without_runs
 from lemmaforge.session import cut, release, workers_see_package
 
@@ -166,6 +167,8 @@ def without_words(text: str, marks: np.ndarray) -> tuple[str, int]:
 def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """`docs` without later repeats of `least` words or more; `removed` names a column for the words that went."""
     workers_see_package(docs.sparkSession)
+    plain = Plain(docs, [removed] if removed else [], [key, text])
+    docs, key, text = plain.docs, plain(key), plain(text)
     keyed = docs.withColumns({"ps_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "ps_t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     joined = keyed.join(repeated_words(keyed, text, least), ["ps_k", "ps_t"], "left").select(*docs.columns, "ps_marks")
     place = docs.columns.index(text)
@@ -186,7 +189,7 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     extra = [T.StructField(removed, T.LongType())] if removed else []
-    return joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, *extra]))
+    return plain.back(joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, *extra])))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ folding with higher-order functions moves each word's edges over the network; th
 
 Defined cases: null text counts as empty; empty text has no tokens; the mark U+2581 in a text is a space; characters
 without a piece become byte pieces, or the unknown piece where the model has none; decoding replaces bytes that are
-not UTF-8 by U+FFFD; ids outside the table raise; extra columns pass through; equal texts have equal tokens.
+not UTF-8 by U+FFFD; ids outside the table raise; extra columns pass through, one with an output's name is replaced; equal texts have equal tokens.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaforge.llm.columns import Plain
 from lemmaforge.session import workers_see_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -330,6 +331,8 @@ class PieceTable:
 
 def encode(docs: DataFrame, table: PieceTable, text: str = "text", out: str = "tokens", decoded: str | None = None) -> DataFrame:
     """`docs` with the token ids of every text; `decoded` names a column for the text that they give back."""
+    plain = Plain(docs, [out, *([decoded] if decoded else [])], [text])
+    docs, text = plain.docs, plain(text)
     shared = workers_see_package(docs.sparkSession).sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,11 +348,13 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", out: str = "t
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, out, *filter(None, [decoded])])
 
     extra = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return plain.back(docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra])))
 
 
 def decode(rows: DataFrame, table: PieceTable, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
     """`rows` with the text of their token ids."""
+    plain = Plain(rows, [out], [tokens])
+    rows, tokens = plain.docs, plain(tokens)
     shared = workers_see_package(rows.sparkSession).sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +367,7 @@ def decode(rows: DataFrame, table: PieceTable, tokens: str = "tokens", out: str
                 got = [known.decode(values[a:b].tolist()) for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+    return plain.back(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -5,11 +5,12 @@ into rules, each the conjunction of comparisons on one path from the root; a log
 few of them, and those are compiled into one column expression. Scoring therefore runs no Python.
 
 Fitting uses at most `max_rows` labelled rows, chosen by a hash of the id: only their statistics, a few numbers each,
-come to the driver. Scoring reads every text whole.
+come to the driver. Scoring reads every text whole. Trees are cut into at most MAX_RULES rules, those of earlier trees
+first; it bounds the model, not the data.
 
-Defined cases: null text counts as empty, and empty texts get a score from the same rules (their shares are 0); null
-labels are not used; with one class only, or no labels, the score is the smoothed share of good rows; repeated rows
-count each; extra columns pass through untouched.
+Defined cases: null text counts as empty, and empty texts get a score from the same rules (their shares are 0, those of
+distinct words and lines 1); null labels are not used; with one class only, or no labels, the score is the smoothed share
+of good rows; repeated rows count each; extra columns pass through untouched, one with the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaforge.llm.columns import Plain
+
 MAX_ROWS = 12_000
 TREES = 40
 DEPTH = 3
@@ -215,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_R
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the quality of every whole text."""
-    return statistics(docs, text).select("row.*", model.column().alias(out))
+    plain = Plain(docs, [out], [text])
+    return plain.back(statistics(plain.docs, plain(text)).select("row.*", model.column().alias(out)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ Tokens of a pre-token come from the tokenizer itself; a bounded cache keeps freq
 
 Defined cases: null text counts as empty and has an empty tree of 0 tokens; null or empty edits change nothing; edits
 are ranges of code points of the text before any of them, clipped to it, applied from the last to the first, and must not
-overlap; null replacement deletes; extra columns pass through; the specials' strings in a text are ordinary text.
+overlap; null replacement deletes; extra columns pass through, one with the output's name is replaced; the specials' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaforge.llm.columns import Plain
 from lemmaforge.session import workers_see_package
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -203,6 +204,8 @@ def edited(text: str, tree: Tree, start: int, end: int, new: str, counter: Count
 def with_trees(docs: DataFrame, counter: Counter, text: str = "text", out: str = "tree") -> DataFrame:
     """`docs` with the segment tree of every text."""
     shared = workers_see_package(docs.sparkSession).sparkContext.broadcast(counter)
+    plain = Plain(docs, [out], [text])
+    docs, text = plain.docs, plain(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -211,7 +214,7 @@ def with_trees(docs: DataFrame, counter: Counter, text: str = "text", out: str =
                 trees = [vars(build(x.as_py(), shared.value)) for x in batch.column(text)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees, _TREE)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, TREE)]))
+    return plain.back(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, TREE)])))
 
 
 def token_count(tree: str = "tree") -> Column:
@@ -222,6 +225,8 @@ def token_count(tree: str = "tree") -> Column:
 def apply_edits(docs: DataFrame, counter: Counter, edits: str = "edits", text: str = "text", tree: str = "tree", out: str = "recoded") -> DataFrame:
     """`docs` with texts and trees after the edits of each row; `out` counts the characters encoded again."""
     shared = workers_see_package(docs.sparkSession).sparkContext.broadcast(counter)
+    plain = Plain(docs, [out], [edits, text, tree])
+    docs, edits, text, tree = plain.docs, plain(edits), plain(text), plain(tree)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,7 @@ def apply_edits(docs: DataFrame, counter: Counter, edits: str = "edits", text: s
                 columns[names.index(tree)] = pa.array(trees, _TREE)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(coded, pa.int64())], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    return plain.back(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])))
 
 
 def sample_edits(text: Column) -> Column:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaforge.llm.columns import Plain
 from lemmaforge.session import workers_see_package
 
 MAX_ROWS = 20_000
@@ -217,8 +218,9 @@ def _features(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str =
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the toxicity of every whole text."""
     c = lexicon.curve
+    plain = Plain(docs, [out], [text])
     z = F.lit(c[0]) + F.lit(c[1]) * F.col("tox_features")[0] + F.lit(c[2]) * F.col("tox_features")[1] + F.lit(c[3]) * F.col("tox_features")[2]
-    return _features(docs, lexicon, text, "tox_features").select(*docs.columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias(out))
+    return plain.back(_features(plain.docs, lexicon, plain(text), "tox_features").select(*plain.docs.columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias(out)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
