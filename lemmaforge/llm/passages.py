@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def repeated_words(keyed: DataFrame, text: str = "text", least: int = MIN_WORDS)
     again = firsts.filter("n > 1").select("ps_h", "ps_g", "first")
     later = live.join(again, ["ps_h", "ps_g"]).filter(place != F.col("first")).select("ps_k", "ps_t", "ps_a", "ps_n")
     open_ = firsts.filter("mixed").groupBy(F.col("first.ps_k"), F.col("first.ps_t")).agg(F.collect_set(_packed(F.col("first.ps_a"), F.col("width"))).alias("ps_spans"))
-    windows = cut(_windows(keyed.join(open_, ["ps_k", "ps_t"]), text, least), "windows")
+    windows = cut(_windows(keyed.select("ps_k", "ps_t", text).join(open_, ["ps_k", "ps_t"]), text, least), "windows")
     held = cut(windows.groupBy("ps_w", "ps_v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("ps_w", "ps_v", "first"), "first-windows")
     fine = windows.join(held, ["ps_w", "ps_v"]).filter(place != F.col("first")).select("ps_k", "ps_t", "ps_a", F.lit(1).alias("ps_n"))
     found = later.unionByName(fine).groupBy("ps_k", "ps_t").agg(F.collect_set(_packed(F.col("ps_a"), F.col("ps_a") + F.col("ps_n") + (least - 1))).alias("ps_marks"))
@@ -175,15 +176,13 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
-            texts, counts = [], []
-            for body, marks in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
-                body, n = body.as_py(), 0
-                if marks.is_valid and body:
-                    body, n = without_words(body, marks.values.to_numpy(zero_copy_only=False))
+            column, marked = batch.column(place), batch.column(batch.num_columns - 1)
+            marks, texts, counts = marked.is_valid(), [], np.zeros(batch.num_rows, np.int64)
+            for i in np.flatnonzero(marks.to_numpy(zero_copy_only=False)).tolist():  # texts without marks stay in Arrow
+                body, counts[i] = without_words(column[i].as_py() or "", marked[i].values.to_numpy(zero_copy_only=False))
                 texts.append(body)
-                counts.append(n)
             columns, names = [*batch.columns[:-1]], batch.schema.names[:-1]
-            columns[place] = pa.array(texts, pa.string())
+            columns[place] = pc.replace_with_mask(column, marks, pa.array(texts, column.type)) if texts else column
             if removed:
                 columns, names = [*columns, pa.array(counts, pa.int64())], [*names, removed]
             yield pa.RecordBatch.from_arrays(columns, names=names)
