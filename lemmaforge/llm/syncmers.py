@@ -8,11 +8,11 @@ the Jaccard likeness of the whole anchor sets, and `best_offset` compares positi
 exactly once, the distance in words on which most agree. `sketch` keeps the SKETCH smallest hashes, for estimates elsewhere.
 
 Defined cases: null text counts as empty, with an empty fingerprint; a text of fewer than
-2 K words, which may hold no syncmer, has every word as an anchor; two empty fingerprints are alike to degree 1, an empty and another one to degree 0; of repeated ids the order is by
-text; null ids come first; an empty table gives no rows.
+2 K words, which may hold no syncmer, has every word as an anchor; two empty fingerprints are alike to degree 1, an empty and another one to degree 0; rows of one id
+follow each other by the 64-bit hash of their text, then by text; null ids come first; an empty table gives no rows.
 
-Finding each document's successor needs no global sort: ids are cut into ranges, every range also gets the first row of
-the next one, and a window within a range does the rest.
+Finding each document's successor needs no global sort: ids, and the texts of ids that very many rows share, are cut into
+ranges, every range also gets the first row of the next one, and a window within a range does the rest.
 """
 
 from __future__ import annotations
@@ -140,41 +140,54 @@ def matched_offsets(a: Column, b: Column) -> Column:
     return F.sort_array(counted, asc=False)
 
 
+def _dealt(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame | None:
+    """`docs` with `place`, the hash of the text, and `part`: ranges of (key, place) in order; None for an empty table.
+
+    Keys are cut at quantiles, which are refined evenly. A key that several quantiles fall on, such as null or a much
+    repeated id, is cut by place into as many ranges as its share asks for.
+    """
+    coarse = min(COARSE, parts)
+    fine = math.ceil(parts / coarse)
+    quantiles = [int(q) for q in docs.select(key).approxQuantile(key, [i / coarse for i in range(coarse + 1)], 0.2 / coarse)]
+    if not quantiles:
+        return None
+    cuts = sorted(set(quantiles))
+    times = [quantiles.count(c) for c in cuts]
+    of = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[1:]]), lambda c: c <= F.col(key))) if len(cuts) > 1 else F.lit(0)
+    low = of(cuts, at)
+    begin, width = of([float(c) for c in cuts], at), of([max(1.0, float(b) - float(a)) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)], at)
+    share = F.floor((F.col(key).cast("double") - begin) / width * fine)  # in doubles: null ids are far from others
+    part = at.cast("long") * fine + F.greatest(F.lit(0), F.least(share, F.lit(fine - 1)))
+    slices = of([n * fine if n > 1 else 0 for n in times], at)
+    piece = F.least(slices - 1, F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * slices))
+    inside = F.when((slices == 0) | (F.col(key) < low), F.lit(0)).when(F.col(key) == low, piece + 1).otherwise(slices + 1)
+    return docs.withColumn("place", F.xxhash64(text)).withColumn("part", part * ((coarse + 1) * fine + 2) + inside)
+
+
 def with_next(docs: DataFrame, carry: list[str], key: str = "k", text: str = "body") -> DataFrame:
-    """`docs` with next_<column> of the row that follows by key and text, the first row after the last one.
+    """`docs` with next_<column> of the row that follows by key, the text's hash and text, the first row after the last one.
 
-    Rows are dealt to ranges of the key of about equal counts (quantiles, refined evenly), one task each.
+    Rows are dealt to ranges of about equal counts, one task each; only rows equal in key and text can't be parted.
     """
     spark = docs.sparkSession
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    coarse = min(COARSE, ranges)
-    keys = docs.select(key)
-    cuts = sorted({int(q) for q in keys.approxQuantile(key, [i / coarse for i in range(coarse + 1)], 0.2 / coarse)})
-    if not cuts:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
-    fine = math.ceil(ranges / coarse)
-    level = F.array(*[F.lit(c) for c in cuts[1:]])
-    at = F.size(F.filter(level, lambda c: c <= F.col(key))) if len(cuts) > 1 else F.lit(0)
-    part = at.cast("long")
-    if fine > 1:
-        low = F.element_at(F.array(*[F.lit(c) for c in cuts]), at + 1)
-        high = F.element_at(F.array(*[F.lit(c) for c in [*cuts[1:], cuts[-1] + 1]]), at + 1)
-        share = F.floor((F.col(key) - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1.0)) * fine)
-        part = at * fine + F.greatest(F.lit(0), F.least(share, F.lit(fine - 1)))
-    dealt = docs.withColumn("part", part)
-    heads = sorted((r["part"], r["first"]) for r in dealt.groupBy("part").agg(F.min(key).alias("first")).collect())  # one row a range
+    dealt = _dealt(docs, key, text, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = dealt.groupBy("part").agg(F.min(F.struct(key, "place")).alias("first")).collect() if dealt else []  # one row a range
+    heads = sorted((r["part"], r["first"][0], r["first"][1]) for r in found)
     if not heads:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
-    before = {first: heads[i - 1][0] for i, (_, first) in enumerate(heads)}
-    places = spark.createDataFrame([(k, p) for k, p in before.items()], "head long, place long")
-    first = docs.filter(F.col(key).isin(list(before))).groupBy(key).agg(F.min(F.struct(text, *[c for c in carry if c != text])).alias("r"))
-    kept = [c for c in dealt.columns if c not in ("part", key, *{text, *carry})]
-    ghosts = first.join(F.broadcast(places), F.col(key) == F.col("head")).select(
-        F.lit(1).alias("ghost"), F.col("place").alias("part"), F.col(key), *[F.col("r")[c].alias(c) for c in dict.fromkeys([text, *carry])], *[F.lit(None).cast(dict(docs.dtypes)[c]).alias(c) for c in kept],
+    before = [(k, p, heads[i - 1][0]) for i, (_, k, p) in enumerate(heads)]
+    places = spark.createDataFrame(before, "head long, place long, to long")
+    whole = [text, *[c for c in dict.fromkeys(carry) if c != text]]
+    of_heads = dealt.filter(F.col(key).isin([k for k, _, _ in before])).join(F.broadcast(places), (F.col(key) == F.col("head")) & (dealt["place"] == places["place"])).drop(places["place"])
+    first = of_heads.groupBy(key, "place", "to").agg(F.min(F.struct(*whole)).alias("r"))
+    kept = [c for c in docs.columns if c not in (key, *whole)]
+    ghosts = first.select(
+        F.lit(1).alias("ghost"), F.col("to").alias("part"), F.col(key), "place", *[F.col("r")[c].alias(c) for c in whole], *[F.lit(None).cast(dict(docs.dtypes)[c]).alias(c) for c in kept],
     )
     rows = dealt.withColumn("ghost", F.lit(0)).unionByName(ghosts)
-    order = Window.partitionBy("part").orderBy("ghost", key, text)
-    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry]).filter("ghost = 0").drop("ghost", "part")
+    order = Window.partitionBy("part").orderBy("ghost", key, "place", text)
+    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry]).filter("ghost = 0").drop("ghost", "part", "place")
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
