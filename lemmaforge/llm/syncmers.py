@@ -27,6 +27,7 @@ K = 5
 S = 2
 SKETCH = 128
 COARSE = 256
+RANGES = 4
 
 
 def _let(value: Column, body) -> Column:
@@ -168,10 +169,11 @@ def _dealt(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame | None
 def with_next(docs: DataFrame, carry: list[str], key: str = "k", text: str = "body") -> DataFrame:
     """`docs` with next_<column> of the row that follows by key, the text's hash and text, the first row after the last one.
 
-    Rows are dealt to ranges of about equal counts, one task each; only rows equal in key and text can't be parted.
+    Rows are dealt to ranges of about equal counts, RANGES for each shuffle partition, so that those that meet in one task
+    even out; only rows equal in key and text can't be parted.
     """
     spark = docs.sparkSession
-    dealt = _dealt(docs, key, text, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = _dealt(docs, key, text, RANGES * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = dealt.groupBy("part").agg(F.min(F.struct(key, "place")).alias("first")).collect() if dealt else []  # one row a range
     heads = sorted((r["part"], r["first"][0], r["first"][1]) for r in found)
     if not heads:
