@@ -89,10 +89,10 @@ def geometric_mean(weight: Column, value: Column) -> Column:
 
 
 def mean_perplexity(files: Column, used: Column, name: str) -> Column:
-    """The same over an array of file structs, for the used names; the first value of a name counts."""
+    """The same over an array of file structs with their lengths as chars, for the used names; the first value of a name counts."""
     def one(acc: Column, f: Column) -> Column:
         fresh = f[name].isNotNull() & F.array_contains(used, f["name"]) & ~F.array_contains(acc["seen"], f["name"])
-        w = F.greatest(F.lit(1.0), F.length(f["latex"]).cast("double"))
+        w = F.greatest(F.lit(1.0), f["chars"].cast("double"))
         more = F.struct((acc["w"] + w).alias("w"), (acc["s"] + w * F.log(F.greatest(f[name], F.lit(1e-12)))).alias("s"), F.array_append(acc["seen"], f["name"]).alias("seen"))
         return F.when(fresh, more).otherwise(acc)
 
@@ -101,6 +101,7 @@ def mean_perplexity(files: Column, used: Column, name: str) -> Column:
 
 
 MERGED = "run long, arxiv_id string, root string, latex string, used array<string>, unresolved array<string>, warnings array<string>"
+_FILES = "files array<struct<name: string, ppl: double, sp_ppl: double, chars: bigint>>"
 
 
 def merge(bundles: DataFrame) -> DataFrame:
@@ -108,16 +109,20 @@ def merge(bundles: DataFrame) -> DataFrame:
     file; without a root the fields are null or empty."""
     workers_see_package(bundles.sparkSession)
 
+    file = pa.struct([("name", pa.string()), ("ppl", pa.float64()), ("sp_ppl", pa.float64()), ("chars", pa.int64())])
+    fields = [("run", pa.int64()), *[(n, pa.string()) for n in ("arxiv_id", "root", "latex")], *[(n, pa.list_(pa.string())) for n in ("used", "unresolved", "warnings")], ("files", pa.list_(file))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("run", pa.int64()), *[(n, pa.string()) for n in ("arxiv_id", "root", "latex")], *[(n, pa.list_(pa.string())) for n in ("used", "unresolved", "warnings")]])
+        schema = pa.schema(fields)
         for whole in batches:
             for at in range(0, whole.num_rows, 32):
                 rows = []
                 for r in whole.slice(at, 32).to_pylist():
                     m = merged([f["name"] for f in r["files"]], [f["latex"] for f in r["files"]])
-                    rows.append({"run": r["run"], "arxiv_id": r["arxiv_id"]} | ({"root": m.root, "latex": m.text, "used": m.used, "unresolved": sorted(m.unresolved), "warnings": m.warnings} if m else {"used": [], "unresolved": [], "warnings": []}))
+                    files = [{"name": f["name"], "ppl": f["ppl"], "sp_ppl": f["sp_ppl"], "chars": len(f["latex"] or "")} for f in r["files"]]
+                    rows.append({"run": r["run"], "arxiv_id": r["arxiv_id"], "files": files} | ({"root": m.root, "latex": m.text, "used": m.used, "unresolved": sorted(m.unresolved), "warnings": m.warnings} if m else {"used": [], "unresolved": [], "warnings": []}))
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    done = bundles.select("run", "arxiv_id", "files").mapInArrow(run, MERGED)
-    again = done.join(bundles.select("run", "files"), "run")
-    return again.select(*[c for c in done.columns], mean_perplexity(F.col("files"), F.col("used"), "ppl").alias("kenlm_perplexity"), mean_perplexity(F.col("files"), F.col("used"), "sp_ppl").alias("kenlm_sp_perplexity"))
+    done = bundles.select("run", "arxiv_id", "files").mapInArrow(run, f"{MERGED}, {_FILES}")
+    kept = [c for c in done.columns if c != "files"]
+    return done.select(*kept, mean_perplexity(F.col("files"), F.col("used"), "ppl").alias("kenlm_perplexity"), mean_perplexity(F.col("files"), F.col("used"), "sp_ppl").alias("kenlm_sp_perplexity"))
