@@ -26,19 +26,28 @@ BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]"
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `docs` has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the lexicon is fitted to the labelled documents of the corpus."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = toxicity.fit(corpus, labels, ~toxicity.held_out(F.col("doc_id"), 5, 0))
-    return toxicity.score(docs, lexicon, out="toxic_score").filter(F.col("toxic_score") < 0.5).drop("toxic_score")
+    out = unused(docs, "toxic_score")
+    return toxicity.score(docs, lexicon, out=out).filter(F.col(out) < 0.5).drop(out)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of 50 words or more; those of which nothing is left go."""
-    done = passages.dedup_passages(docs, removed="words_removed")
-    kept = done.filter((F.col("words_removed") == 0) | (F.trim("text") != ""))
-    changed = F.when(F.col("words_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = unused(docs, "words_removed")
+    done = passages.dedup_passages(docs, removed=removed)
+    kept = done.filter((F.col(removed) == 0) | (F.trim("text") != ""))
+    changed = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
@@ -65,7 +74,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document links by its text as it is now and by its text in the corpus: a near copy that line_dedup has cut down to
     what differs is still a near copy. Rows without words stay.
     """
-    keyed = docs.withColumn("jj_row", F.xxhash64(*docs.columns))
+    row, place = unused(docs, "jj_row"), unused(docs, "jj_nth")
+    whole = docs.withColumn(row, F.xxhash64(*docs.columns))
+    keyed = whole.select(F.col(row).alias("jj_row"), "doc_id", "text")
     views = keyed.select("jj_row", "text").unionByName(texts_before(spark, keyed, sf_dir))
     joined = jaccard.jaccard_join(views, "jj_row", n=SHINGLE, num=LINK, den=OF)
     held = joined.groupBy("jj_row").agg(F.min("component_id").alias("u"), F.max("component_id").alias("v"))
@@ -74,8 +85,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ids = has_words(keyed).select("jj_row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("jj_doc")).distinct()
     best = placed.join(ids, "jj_row").groupBy("part").agg(F.min(F.struct("jj_doc", "jj_row")).alias("r"))
     kept = best.select(F.col("r.jj_row").alias("jj_row"))
-    nth = F.row_number().over(Window.partitionBy("jj_row").orderBy("jj_row"))
-    rows = has_words(keyed).join(kept, "jj_row").withColumn("jj_nth", nth).filter("jj_nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(row).orderBy(row))
+    rows = has_words(whole).join(kept.withColumnRenamed("jj_row", row), row).withColumn(place, nth).filter(F.col(place) == 1).select(*docs.columns)
     return rows.unionByName(docs.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
 
 
