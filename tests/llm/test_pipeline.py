@@ -123,3 +123,16 @@ def test_near_copies_go_after_line_dedup(spark, tmp_path):
     cleaned = stored(corpus_pipeline.cut_repeated_lines(spark, frame, at), "cleaned")
     kept = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, cleaned, at).collect()}
     assert not kept & set(linked) and kept >= {2 * i for i in range(40)}
+
+
+def test_stages_keep_columns_named_like_helpers(spark, folder):
+    at, *_ = folder
+    names = ("jj_row", "JJ_nth", "toxic_score", "words_removed", "words_removed_")
+    text = " ".join(f"r{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 9), (2, text + " more " + text, "en", "s", 9), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.concat(F.lit(f"own {n} "), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        done = stage(spark, docs, at)
+        got = done.collect()
+        assert done.columns == docs.columns and got, name
+        assert all(r[n] == f"own {n} {r['doc_id']}" for r in got for n in names), name
