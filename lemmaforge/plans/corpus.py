@@ -72,7 +72,7 @@ def s5_training_scan(spark, d):
 
 def _stored_shards(spark, d):
     path = fresh_path(spark, "shards")
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("v"), F.col("vec_id")).alias("id"), "embedding")
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("v"), F.col("vec_id")).alias("id"), F.col("label").alias("paper_id"), "embedding")
     shards.write_embeddings(v, path, "bert-base", "toy", "eval")
     return path
 
@@ -98,14 +98,14 @@ def s8_precomputed(spark, d):
 
 
 def s9_listing(spark, d):
-    return shards.files(spark, f"{d}/nation.parquet").select("name", (F.col("mb") > 0).alias("has_size"))
+    return shards.files(spark, d, "*.parquet").select("name", (F.col("mb") > 0).alias("has_size"))
 
 
 def s10_dataset(spark, d):
     path = fresh_path(spark, "dataset")
     jsonl.write_lines(_papers(spark, d), path)
     first, second = shards.dataset(spark, path, schemas.PAPER), shards.dataset(spark, path, schemas.PAPER)
-    return second.agg(F.count("*").alias("n")).withColumn("same", F.lit(first is second))
+    return second.agg(F.count("*").alias("n")).withColumn("same", F.lit(first.sameSemantics(second) and second.storageLevel.useMemory))
 
 
 def s11_scale_variants(spark, d):
@@ -153,13 +153,21 @@ def k4_no_overwrite(spark, d):
 
 
 def k5_embedding_sink(spark, d):
-    return spark.read.json(f"{_stored_shards(spark, d)}/bert-base/toy/eval/info").select("model", "size", "split", "n", "dim")
+    """Every stored id with its paper and the number of its components, beside the info row."""
+    at = f"{_stored_shards(spark, d)}/bert-base/toy/eval"
+    info = spark.read.json(f"{at}/info").select("model", "size", "split", "n", "dim")
+    return spark.read.parquet(f"{at}/embeddings").select("id", "paper_id", F.size("embedding").alias("numbers")).crossJoin(F.broadcast(info))  # one row
 
 
 def k6_edge_array(spark, d):
     t = _turns(spark, d)
     edges = t.filter("turn > 0").select(F.col("conv_id").alias("index"), F.col("turn").alias("place"), (F.col("turn") - 1).cast("string").alias("from"), F.col("turn").cast("string").alias("to"), F.lit("a").alias("from_text"), F.col("role").alias("to_text"))
-    return jsonl.edge_array(edges).select("index", "line")
+    records = t.select(F.col("conv_id").alias("index")).distinct()
+    paths = {form: fresh_path(spark, form) for form in ("plain", "wrapped")}
+    for form, path in paths.items():
+        jsonl.write_edges(edges, path, form == "wrapped", records)
+    plain, wrapped = (spark.read.text(path).select(F.lit(form).alias("form"), F.col("value").alias("line")) for form, path in paths.items())
+    return plain.unionByName(wrapped)
 
 
 def k7_histogram(spark, d):
@@ -335,7 +343,7 @@ SQL = {
     "s6_shard_scan": "SELECT 'v' || vec_id AS id, CAST(unnest(range(len(embedding))) AS INT) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings",
     "s7_id_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS of_bytes, CAST(n_nationkey AS VARCHAR) AS of_number, n_nationkey || ',' || n_regionkey AS of_pair FROM nation",
     "s8_precomputed": "SELECT count(*) AS n, true AS missing FROM embeddings",
-    "s9_listing": "SELECT 'nation.parquet' AS name, true AS has_size",
+    "s9_listing": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name, true AS has_size",
     "s10_dataset": "SELECT count(DISTINCT conv_id) AS n, true AS same FROM conversations",
     "s11_scale_variants": "WITH l AS (SELECT conv_id, turn, 0 AS b FROM conversations UNION ALL SELECT conv_id, 98, 1 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT b, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT size, count(*) AS n FROM n, (VALUES ('toy', 200), ('tiny', 1000), ('small', 10000), ('medium', 100000), ('full', 4611686018427387904)) t(size, most) WHERE b = 0 AND index < most GROUP BY size",
     "s13_models": "SELECT 'embeddings' AS model, 'Embeddings' AS title, true AS embeddings",
@@ -343,8 +351,9 @@ SQL = {
     "k2_ordered_sink": "SELECT conv_id * 100 + turn AS key, row_number() OVER (ORDER BY conv_id * 100 + turn) - 1 AS place FROM conversations",
     "k3_non_empty_sink": f"WITH {_P} SELECT index FROM p WHERE index % 5 <> 1 AND len(lemmas) + len(theorems) > 0",
     "k4_no_overwrite": "SELECT conv_id, true AS refused FROM conversations",
-    "k5_embedding_sink": "SELECT 'bert-base' AS model, 'toy' AS size, 'eval' AS split, count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dim FROM embeddings",
-    "k6_edge_array": """SELECT conv_id AS index, '[' || string_agg('["' || (turn - 1) || '","' || turn || '","a","' || role || '"]', ',' ORDER BY turn) || ']' AS line FROM conversations WHERE turn > 0 GROUP BY conv_id""",
+    "k5_embedding_sink": "SELECT 'v' || vec_id AS id, label AS paper_id, CAST(len(embedding) AS INT) AS numbers, 'bert-base' AS model, 'toy' AS size, 'eval' AS split, count(*) OVER () AS n, CAST(max(len(embedding)) OVER () AS BIGINT) AS dim FROM embeddings",
+    "k6_edge_array": """WITH e AS (SELECT conv_id, '[' || coalesce(string_agg('["' || (turn - 1) || '","a","' || turn || '","' || role || '"]', ',' ORDER BY turn) FILTER (WHERE turn > 0), '') || ']' AS line FROM conversations GROUP BY conv_id)
+SELECT 'plain' AS form, line FROM e UNION ALL SELECT 'wrapped', '{"index":' || conv_id || ',"edges":' || line || '}' FROM e""",
     "k7_histogram": "WITH n AS (SELECT length(text) AS n FROM conversations), e AS (SELECT min(n) AS lo, max(n) AS hi FROM n) SELECT CAST(least(floor((n - lo) * 50 / greatest(hi - lo, 1)), 49) AS INT) AS bin, count(*) AS n FROM n, e GROUP BY 1",
     "f1_math_category": "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 2",
     "f2_path_split": "SELECT page_id, string_split(url, '/')[-2] AS paper, string_split(url, '/')[-1] AS file FROM pages WHERE len(string_split(url, '/')) >= 2",

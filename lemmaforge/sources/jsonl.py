@@ -58,8 +58,19 @@ def write_non_empty(rows: DataFrame, path: str, arrays: list[str], overwrite: bo
     write_lines(rows.filter(filled > 0), path, overwrite=overwrite)
 
 
-def edge_array(edges: DataFrame, wrap: bool = False) -> DataFrame:
-    """(index, line): a record's edges as a JSON array of [from, to, from text, to text], or {index, edges}."""
-    quad = F.array("from", "to", "from_text", "to_text")
-    per = edges.groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", quad.alias("q")))), lambda x: x["q"]).alias("edges"))
-    return per.select("index", F.to_json(F.struct("index", "edges") if wrap else F.col("edges")).alias("line"))
+def edge_array(edges: DataFrame, wrap: bool = False, records: DataFrame | None = None) -> DataFrame:
+    """(index, line): a record's edges in order of place, as a JSON array of [from, from text, to, to text], or as
+    {index, edges}, in which a missing index is null. Records (index) without edges have an empty array."""
+    quad = F.array("from", "from_text", "to", "to_text")
+    rows = edges.select("index", F.struct("place", quad.alias("q")).alias("e"))
+    if records is not None:
+        rows = rows.unionByName(records.select("index", F.lit(None).cast(rows.schema["e"].dataType).alias("e")))
+    per = rows.groupBy("index").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["q"]).alias("edges"))
+    value = F.struct("index", "edges") if wrap else F.col("edges")
+    return per.select("index", F.to_json(value, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_edges(edges: DataFrame, path: str, wrap: bool = False, records: DataFrame | None = None, overwrite: bool = False) -> None:
+    """One line a record, in order of index."""
+    lines = edge_array(edges, wrap, records).orderBy("index").select("line")
+    lines.write.mode("overwrite" if overwrite else "errorifexists").text(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CACHE: dict[tuple[int, str], DataFrame] = {}
 SIZES = {"toy": 200, "tiny": 1_000, "small": 10_000, "medium": 100_000, "full": None}
 
 
@@ -31,7 +30,8 @@ def read_shards(spark: SparkSession, path: str, ids: str = "id", vector: str = "
 
 
 def write_embeddings(rows: DataFrame, path: str, model: str, size: str, split: str, overwrite: bool = False) -> None:
-    """Vectors and an info row, under path/model/size/split."""
+    """Vectors with their ids and, where rows have a paper_id, their papers, and an info row, under path/model/size/split.
+    Papers are a column of the vectors' table, so that they stay aligned and are read without the vectors."""
     to = f"{path}/{model}/{size}/{split}"
     mode = "overwrite" if overwrite else "errorifexists"
     rows.write.mode(mode).parquet(f"{to}/embeddings")
@@ -63,11 +63,10 @@ def models(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSONL corpus, kept in memory by session and path after its first use."""
-    key = (id(spark), path)
-    if key not in _CACHE:
-        _CACHE[key] = spark.read.schema(schema).json(path).cache()
-    return _CACHE[key]
+    """A JSONL corpus, kept by the session's cache after its first use: a later call's plan finds the stored rows.
+    `unpersist` on any of the returned frames lets go of them."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if rows.storageLevel.useMemory else rows.cache()
 
 
 def scale_variant(rows: DataFrame, size: str, index: str = "index") -> DataFrame:

@@ -1,5 +1,6 @@
 """Numbers against NumPy, rules against loops, and options that the catalog does not reach."""
 
+import json
 import random
 
 import numpy as np
@@ -204,3 +205,28 @@ def test_nearest_between_two_tables(spark):
     for r in similarity.nearest_between(frame(a), frame(b), 4, 9).orderBy("q", "rk").collect():
         got.setdefault(r["q"], []).append(r["c"])
     assert got == {i: np.argsort(-np.round(s, 6), kind="stable")[:4].tolist() for i, s in enumerate(a @ b.T)}
+
+
+def test_edge_sink(spark, tmp_path):
+    rows = [(1, 2, "c", "C", "a", None), (1, 1, "a", "\u00c4", "b", "say \"b\""), (None, 1, "x", "X", "y", "Y")]
+    edges = spark.createDataFrame(rows, "index long, place int, `from` string, from_text string, `to` string, to_text string")
+    records = spark.createDataFrame([(1,), (2,), (None,)], "index long")
+    expected = [(None, [["x", "X", "y", "Y"]]), (1, [["a", "\u00c4", "b", 'say "b"'], ["c", "C", "a", None]]), (2, [])]
+    for wrap in (False, True):
+        path = str(tmp_path / str(wrap))
+        jsonl.write_edges(edges, path, wrap, records)
+        with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+            jsonl.write_edges(edges, path, wrap, records)
+        got = [json.loads(r["value"]) for r in spark.read.text(path).orderBy("value").collect()]
+        assert sorted(got, key=str) == sorted(({"index": i, "edges": e} if wrap else e for i, e in expected), key=str)
+    assert jsonl.edge_array(edges).count() == 2 and jsonl.edge_array(edges.limit(0)).count() == 0
+
+
+def test_dataset_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "d")
+    jsonl.write_lines(spark.range(5), path)
+    first = shards.dataset(spark, path, "id bigint")
+    second = shards.dataset(spark, path, "id bigint")
+    assert second.count() == 5 and second.storageLevel.useMemory and "InMemoryTableScan" in second._jdf.queryExecution().executedPlan().toString()
+    first.unpersist()
+    assert not shards.dataset(spark, path, "id bigint").unpersist().storageLevel.useMemory
