@@ -34,10 +34,13 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5; the lexicon is fitted to the labelled documents of the corpus."""
+    """Documents that score under 0.5; the lexicon is fitted to the labelled documents of the corpus. Where they give no
+    terms, as without labels, nothing tells a toxic document and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = toxicity.fit(corpus, labels, ~toxicity.held_out(F.col("doc_id"), 5, 0))
+    if not lexicon.weights:
+        return docs
     out = unused(docs, "toxic_score")
     return toxicity.score(docs, lexicon, out=out).filter(F.col(out) < 0.5).drop(out)
 
