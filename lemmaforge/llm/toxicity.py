@@ -9,7 +9,9 @@ logistic curve over them gives the score.
 Fitting: terms are words and word beginnings of toxic training documents, kept when they are far more frequent there
 than in clean ones; the weight is the log odds ratio. At most `max_rows` labelled documents are used, chosen by a hash
 of their id (the only sample; scoring reads every text whole), at most `max_terms` terms are kept, so the lexicon that
-executors receive has a fixed bound.
+executors receive has a fixed bound. Stems have 4 to 8 letters (STEMS); a longer word than 24 letters is a stem of its
+first 24; the MAX_CANDIDATES most frequent toxic candidates are weighed. These bound the model that is learned, not the
+documents that are scored.
 
 Defined cases: null and empty texts match nothing and get the score of a document without matches; without a toxic
 training row the lexicon is empty and the score is the share of toxic rows, 0.5 of a row added to each side; null

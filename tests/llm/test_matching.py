@@ -195,6 +195,16 @@ def test_contamination_against_brute_force(spark, limit):
         assert r["at"] == "z"
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_contamination_of_empty_tables(spark, limit):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    assert decontaminate.contamination(docs.limit(0), bench, n=4, max_broadcast_words=limit).count() == 0
+    for items in (bench.limit(0), bench.withColumn("text", F.lit(None).cast("string"))):
+        got = {r["doc_id"]: (r["hits"]["n_words"], r["hits"]["n_hit"], r["hits"]["items"]) for r in decontaminate.contamination(docs, items, n=4, max_broadcast_words=limit).collect()}
+        assert got == {1: (4, 0, []), 2: (0, 0, [])}
+
+
 def test_documents_or_spans_go(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Say: One, two three FOUR! end"), (2, "one two three"), (3, None)], "doc_id long, text string")

@@ -136,3 +136,20 @@ def test_stages_keep_columns_named_like_helpers(spark, folder):
         got = done.collect()
         assert done.columns == docs.columns and got, name
         assert all(r[n] == f"own {n} {r['doc_id']}" for r in got for n in names), name
+
+
+@pytest.mark.parametrize("gone", [("documents", "labels", "benchmark"), ("documents",), ("labels", "benchmark")])
+def test_empty_tables(spark, folder, tmp_path, gone):
+    """Without documents nothing is left; without labels and benchmark the first and fourth stage keep everything."""
+    at, docs, _ = folder
+    for t in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{at}/{t}.parquet")
+        (rows.limit(0) if t in gone else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "tokens", "n_tokens", "round_trip"]
+    if "documents" in gone:
+        assert got.count() == 0
+        return
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = stored(corpus_pipeline.one_of_each_group(spark, stored(corpus_pipeline.cut_repeated_lines(spark, frame, str(tmp_path)), "cut"), str(tmp_path)), "kept")
+    assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in kept.collect()} and kept.count() > 0

@@ -156,6 +156,7 @@ def test_token_trees_of_odd_rows(spark):
         assert r["n"] == len(c.encoding.encode_ordinary(r["text"] or "")) and r["stats"] in ("x", "y")
     none = tokencount.apply_edits(tokencount.with_trees(rows.withColumn("edits", F.lit(None).cast(tokencount.EDITS)), c), c)
     assert {r["recoded"] for r in none.collect()} == {0}
+    assert tokencount.apply_edits(tokencount.with_trees(rows.limit(0), c), c).count() == 0
 
 
 def test_pieces_equal_the_library():
