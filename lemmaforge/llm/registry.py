@@ -11,6 +11,7 @@ from lemmaforge.llm.jaccard import OP4_SQL, op4_jaccard
 from lemmaforge.llm.passages import op5_line_dedup
 from lemmaforge.llm.pieces import op7_sentencepiece
 from lemmaforge.llm.quality import op1_quality
+from lemmaforge.llm.resample import OP11_SQL, op11_resampling
 from lemmaforge.llm.shard import op8_sharding
 from lemmaforge.llm.syncmers import op9_syncmers
 from lemmaforge.llm.tokencount import op2_token_counts
@@ -32,8 +33,9 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_syncmers": op9_syncmers,
         "op10_warc": op10_warc,
+        "op11_resampling": op11_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_warc": OP10_SQL, "op11_resampling": OP11_SQL}
