@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
+from lemmaforge.llm.divergence import OP12_SQL, op12_divergence
 from lemmaforge.llm.jaccard import OP4_SQL, op4_jaccard
 from lemmaforge.llm.passages import op5_line_dedup
 from lemmaforge.llm.pieces import op7_sentencepiece
@@ -34,8 +35,9 @@ def queries() -> dict[str, Query]:
         "op9_syncmers": op9_syncmers,
         "op10_warc": op10_warc,
         "op11_resampling": op11_resampling,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_warc": OP10_SQL, "op11_resampling": OP11_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_warc": OP10_SQL, "op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL}
