@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lemmaforge.llm.decontaminate import OP6_SQL, op6_decontamination
 from lemmaforge.llm.divergence import OP12_SQL, op12_divergence
 from lemmaforge.llm.jaccard import OP4_SQL, op4_jaccard
+from lemmaforge.llm.language import op13_language
 from lemmaforge.llm.passages import op5_line_dedup
 from lemmaforge.llm.pieces import op7_sentencepiece
 from lemmaforge.llm.quality import op1_quality
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op10_warc": op10_warc,
         "op11_resampling": op11_resampling,
         "op12_divergence": op12_divergence,
+        "op13_language": op13_language,
     }
 
 
