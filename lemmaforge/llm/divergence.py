@@ -75,7 +75,7 @@ def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
     def passed(tables: dict[tuple[str, str], dict[bytes, list[int]]], block: int) -> Iterator[pa.RecordBatch]:
         for (lang, source), table in tables.items():
             k = len(table)
-            columns = [pa.array([lang] * k), pa.array(list(table), pa.binary()).cast(pa.string()), pa.array([source] * k), pa.array(np.full(k, block)), *(pa.array([v[i] for v in table.values()], pa.int64()) for i in (0, 1))]
+            columns = [pa.array([lang] * k, pa.string()), pa.array(list(table), pa.binary()).cast(pa.string()), pa.array([source] * k, pa.string()), pa.array(np.full(k, block, np.int64)), *(pa.array([v[i] for v in table.values()], pa.int64()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "block", "docs", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
