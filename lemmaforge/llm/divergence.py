@@ -246,7 +246,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     profile = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("x")).join(vocabulary, "lang")
     profile = profile.select("lang", F.col("x.source").alias("every"), F.col("x.total").alias("totals"), "terms")
     small = groups.limit(max_broadcast_groups + 1).count() <= max_broadcast_groups
-    found = partial_findings(terms.join(F.broadcast(profile) if small else profile, "lang"), top)
+    found = cut(partial_findings(terms.join(F.broadcast(profile) if small else profile, "lang"), top), "findings")
     at = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     rank = F.row_number().over(at)
     own = found.filter("part = 'term'").withColumn("rank", rank).filter(F.col("rank") <= top)
