@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lemmaforge.functions import latex
 from lemmaforge.functions.merger import merged
+from lemmaforge.operators.ordinals import range_cuts
 from lemmaforge.session import workers_see_package
 
 
@@ -27,7 +28,7 @@ def runs(rows: DataFrame, key: str, order: str, out: str = "run") -> DataFrame:
     """
     spark = rows.sparkSession
     parts = max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted({int(c) for c in rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    cuts = range_cuts(rows, order, parts)
     level = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
     dealt = rows.withColumn("part", level)
     w = Window.partitionBy("part").orderBy(order)

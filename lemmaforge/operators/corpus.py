@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lemmaforge.functions.text import md5_key
+from lemmaforge.operators.ordinals import numbered, range_cuts
 
 ID = re.compile(r"^(\d+)-(lemma|theorem)-(\d+)$")
 
@@ -75,7 +76,7 @@ def positions(rows: DataFrame, order: str, by: str, out: str) -> DataFrame:
     """
     spark = rows.sparkSession
     parts = max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted({int(x) for x in rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    cuts = range_cuts(rows, order, parts)
     level = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(order))) if cuts else F.lit(0)
     ranked = rows.withColumn("ps_part", level).withColumn("ps_rank", F.row_number().over(Window.partitionBy("ps_part", by).orderBy(order)))
     counts = sorted((r[by], r["ps_part"], r["n"]) for r in ranked.groupBy(by, "ps_part").agg(F.count("*").alias("n")).collect())  # a row a range and value
@@ -100,6 +101,12 @@ def pair_up(rows: DataFrame, paper: str, stmt: str, seed: int = 42, epoch: int =
     return both.groupBy(paper, F.expr("(rn - 1) div 2").alias("pair")).agg(F.min_by(stmt, "rn").alias("x"), F.max_by(stmt, "rn").alias("y"))
 
 
+def shuffled(rows: DataFrame, key: list[str], seed: int = 42, epoch: int = 0) -> DataFrame:
+    """`rows` with their place, from 0 without gaps, in one order over all of them that each epoch draws anew; `key` tells rows apart."""
+    keyed = rows.withColumn("sh_key", md5_key(seed + epoch, "pair", *map(F.col, key)))
+    return numbered(keyed, [F.col("sh_key"), *map(F.col, key)], "place", "shuffled").drop("sh_key")
+
+
 def full_batches(rows: DataFrame, place: str, size: int) -> DataFrame:
     """`rows` (places from 0 without gaps) with their batch, without the last one if it is not full."""
     n = rows.agg((F.max(place) + 1).alias("n")).first()["n"] or 0

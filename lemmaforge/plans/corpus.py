@@ -13,6 +13,7 @@ from lemmaforge.session import fresh_path
 from lemmaforge.sources import jsonl, shards
 
 SEED = 42
+BATCH = 16
 
 
 def _turns(spark, d):
@@ -260,7 +261,7 @@ def w9_split(spark, d):
 
 def _pairs(spark, d, epoch: int):
     s = _turns(spark, d).select(F.col("conv_id").alias("paper"), F.col("turn").alias("stmt"))
-    return c.pair_up(s, "paper", "stmt", SEED, epoch)
+    return c.shuffled(c.pair_up(s, "paper", "stmt", SEED, epoch), ["paper", "pair"], SEED, epoch)
 
 
 def w10_pairs(spark, d):
@@ -287,8 +288,7 @@ def w15_modulo_shards(spark, d):
 
 
 def w17_full_batches(spark, d):
-    rows = _turns(spark, d).select("conv_id").distinct().withColumn("place", F.col("conv_id"))
-    return c.full_batches(rows, "place", 16).select("conv_id", "batch")
+    return c.full_batches(_pairs(spark, d, 0), "place", BATCH).select("paper", "pair", "place", "batch")
 
 
 def w18_sample(spark, d):
@@ -329,8 +329,9 @@ _NUM = "c AS (SELECT DISTINCT conv_id FROM conversations), k AS (SELECT conv_id,
 
 def _pair_sql(seed: int) -> str:
     return f"""WITH r AS (SELECT conv_id AS paper, turn AS stmt, row_number() OVER (PARTITION BY conv_id ORDER BY md5('{seed}:' || conv_id || ':' || turn), turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-b AS (SELECT * FROM r WHERE n > 1 UNION ALL SELECT paper, stmt, n + 1, n FROM r WHERE n > 1 AND rn = 1 AND n % 2 = 1)
-SELECT paper, (rn - 1) // 2 AS pair, min_by(stmt, rn) AS x, max_by(stmt, rn) AS y FROM b GROUP BY ALL"""
+b AS (SELECT * FROM r WHERE n > 1 UNION ALL SELECT paper, stmt, n + 1, n FROM r WHERE n > 1 AND rn = 1 AND n % 2 = 1),
+p AS (SELECT paper, (rn - 1) // 2 AS pair, min_by(stmt, rn) AS x, max_by(stmt, rn) AS y FROM b GROUP BY ALL)
+SELECT paper, pair, x, y, row_number() OVER (ORDER BY md5('{seed}:pair:' || paper || ':' || pair), paper, pair) - 1 AS place FROM p"""
 
 
 QUERIES = {f.__name__: f for f in (s1_strict_scan, s2_scan_with_errors, s3_lenient_scan, s4_edge_scan, s5_training_scan, s6_shard_scan, s7_id_text, s8_precomputed, s9_listing, s10_dataset, s11_scale_variants, s13_models, k1_line_sink, k2_ordered_sink, k3_non_empty_sink, k4_no_overwrite, k5_embedding_sink, k6_edge_array, k7_histogram, f1_math_category, f2_path_split, f3_extension, f5_two_statements, f6_one_statement, f7_usable_items, f8_empty_papers, f9_eligible, f11_unified, f12_summary, f13_point_lookup, f14_search_rows, f14_search_count, f16_items, f17_paper_of_id, f18_split_items, w9_split, w10_pairs, w11_eval_pairs, w12_epoch_pairs, w13_global_index, w15_modulo_shards, w17_full_batches, w18_sample, a20_length_stats, u1_bag_union, u3_shard_union, u5_merged_names, u6_paper_minus_self)}
@@ -377,7 +378,7 @@ SELECT 'plain' AS form, line FROM e UNION ALL SELECT 'wrapped', '{"index":' || c
     "w11_eval_pairs": f"WITH {_P} SELECT index, md5(list_concat(lemmas, theorems)[1]) AS x, md5(list_concat(lemmas, theorems)[2]) AS y FROM p WHERE len(lemmas) + len(theorems) >= 2",
     "w13_global_index": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn) - 1 AS index FROM conversations",
     "w15_modulo_shards": "WITH l AS (SELECT conv_id, turn FROM conversations UNION ALL SELECT conv_id, 98 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT index % 4 AS worker, count(*) AS n FROM n GROUP BY 1",
-    "w17_full_batches": "SELECT conv_id, conv_id // 16 AS batch FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT (max(conv_id) + 1) // 16 AS full_ones FROM conversations) WHERE conv_id // 16 < full_ones",
+    "w17_full_batches": f"WITH o AS ({_pair_sql(42)}) SELECT paper, pair, place, place // {BATCH} AS batch FROM o WHERE place // {BATCH} < (SELECT count(*) // {BATCH} FROM o)",
     "w18_sample": "SELECT index FROM (SELECT DISTINCT conv_id AS index FROM conversations) ORDER BY md5('42:' || index), index LIMIT 1000",
     "a20_length_stats": "WITH w AS (SELECT CAST(len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS rn, count(*) OVER () AS t FROM w) SELECT count(*) AS n, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, "
     + ", ".join(f"max(n) FILTER (rn = CAST(floor(t * {p} / 100) AS BIGINT)) AS p{p}" for p in (50, 75, 90, 95, 99))

@@ -9,13 +9,12 @@ from pyspark.sql.window import Window
 from lemmaforge.functions.text import md5_key
 from lemmaforge.functions.vectors import dot, first_vector, last_vector, norm, normalised
 from lemmaforge.operators import similarity as sim
-from lemmaforge.operators.corpus import positions
+from lemmaforge.operators.ordinals import numbered
 from lemmaforge.session import cut
 
 TAU = 0.07
 NEGATIVES = 50
 QUERIES_MAX = 5000
-DRAWS = 4 * NEGATIVES
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,19 +149,24 @@ def w8_random_positive(spark, d):
     return chosen_positive(v, scheduled(v)).select("q", "c")
 
 
-def sampled_negatives(v: DataFrame, q: DataFrame, k: int = NEGATIVES, draws: int = DRAWS, seed: int = 42) -> DataFrame:
-    """(q, c): k candidates of other groups, fewer where `draws` draws hold fewer.
+def sampled_negatives(v: DataFrame, q: DataFrame, k: int = NEGATIVES, seed: int = 42) -> DataFrame:
+    """(q, c): k different vectors of other groups than the query's, or all of them where there are fewer.
 
-    All vectors stand in one shuffled order. A query starts at a place of its own and draws the vectors that follow, from
-    the first again behind the last; places are joined, so the work is queries times draws at any number of vectors.
+    Vectors are numbered by group, so a group's places are one interval and all others are m numbers with that interval
+    skipped. Each query draws k of 0 to m - 1 without replacement by itself: for j from m - k to m - 1 it takes a hashed number
+    of 0 to j, or j where it has that one already, which makes all k-subsets equally likely. The work is queries
+    times k at any number of vectors and any sizes of groups; only drawn places are joined.
     """
-    number = F.conv(F.substring(md5_key(seed, F.col("id")), 1, 12), 16, 10).cast("long")
-    placed = positions(v.select(F.col("id").alias("c"), F.col("grp").alias("cg"), (number * 1000 + F.col("id") % 1000).alias("key"), F.lit(0).alias("all")), "key", "all", "place")
-    n = v.count()
-    start = F.conv(F.substring(md5_key(seed, F.lit("start"), F.col("q")), 1, 12), 16, 10).cast("long") % n
-    drawn = q.select("q", "grp", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(min(draws, n) - 1))).alias("draw")).withColumn("place", (F.col("start") + F.col("draw")) % n)
-    met = drawn.join(placed.select("place", "c", "cg"), "place").filter("cg <> grp")
-    return met.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("draw"))).filter(F.col("rn") <= k).select("q", "c")
+    placed = cut(numbered(v.select(F.col("id").alias("c"), F.col("grp").alias("cg")), [F.col("cg"), F.col("c")], "place", "by-group"), "placed")
+    group = placed.groupBy(F.col("cg").alias("grp")).agg(F.min("place").alias("first"), F.count("*").alias("own"))
+    m = placed.agg(F.count("*").alias("n"))  # one row
+    drawing = q.select("q", "grp").join(group, "grp").crossJoin(F.broadcast(m)).withColumn("m", F.col("n") - F.col("own")).filter("m > 0")
+    hashed = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:neg"), F.col("q").cast("string"), j.cast("string"))), 1, 12), 16, 10).cast("long") % (j + 1)
+    several = F.expr(f"sequence(greatest(m - {k}, 0), m - 1)")
+    taken = F.aggregate(F.transform(several, lambda j: F.struct(j.alias("j"), hashed(j).alias("t"))), F.array().cast("array<bigint>"), lambda got, x: F.concat(got, F.array(F.when(F.array_contains(got, x["t"]), x["j"]).otherwise(x["t"]))))
+    drawn = drawing.select("q", "first", "own", F.explode(taken).alias("x"))
+    place = F.when(F.col("x") < F.col("first"), F.col("x")).otherwise(F.col("x") + F.col("own"))
+    return drawn.select("q", place.alias("place")).join(placed.select("place", "c"), "place").select("q", "c")
 
 
 def j14_negatives(spark, d):
@@ -203,9 +207,11 @@ t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key, vec_id) AS r
 o AS (SELECT vec_id AS q, label AS grp, row_number() OVER (ORDER BY CASE WHEN rn > 1 THEN 1 ELSE 0 END, key, vec_id) AS place FROM t),
 sch AS (SELECT * FROM o WHERE place <= {QUERIES_MAX})"""
 _POSITIVE = _SCHEDULE + ", po AS (SELECT q, min_by(e.vec_id, md5('42:' || q || ':' || e.vec_id)) AS c FROM sch JOIN embeddings e ON e.label = grp AND e.vec_id <> q GROUP BY q)"
-_NEGATIVE = f"""pl AS (SELECT vec_id AS c, label AS cg, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || vec_id), 1, 12))::BIGINT * 1000 + vec_id % 1000) - 1 AS place, count(*) OVER () AS n FROM embeddings),
-dr AS (SELECT q, grp, range AS draw, (('0x' || substr(md5('42:start:' || q), 1, 12))::BIGINT % (SELECT any_value(n) FROM pl) + range) % (SELECT any_value(n) FROM pl) AS place FROM sch, range({DRAWS}) WHERE range < (SELECT any_value(n) FROM pl)),
-ne AS (SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY draw) AS rn FROM dr JOIN pl USING (place) WHERE cg <> grp) WHERE rn <= {NEGATIVES})"""
+_NEGATIVE = f"""pl AS (SELECT vec_id AS c, label AS cg, row_number() OVER (ORDER BY label, vec_id) - 1 AS place FROM embeddings),
+gi AS (SELECT cg AS grp, min(place) AS first, count(*) AS own, (SELECT count(*) FROM pl) - count(*) AS m FROM pl GROUP BY cg),
+fl AS (SELECT q, first, own, m, greatest(m - {NEGATIVES}, 0) AS j, CAST([] AS BIGINT[]) AS got FROM sch JOIN gi USING (grp) WHERE m > 0
+  UNION ALL SELECT q, first, own, m, j + 1, list_append(got, CASE WHEN list_contains(got, ('0x' || substr(md5('42:neg:' || q || ':' || j), 1, 12))::BIGINT % (j + 1)) THEN j ELSE ('0x' || substr(md5('42:neg:' || q || ':' || j), 1, 12))::BIGINT % (j + 1) END) FROM fl WHERE j < m),
+ne AS (SELECT q, c FROM (SELECT q, CASE WHEN x < first THEN x ELSE x + own END AS place FROM (SELECT q, first, own, unnest(got) AS x FROM fl WHERE j = m)) JOIN pl USING (place))"""
 _SAMPLED = _POSITIVE + ", " + _NEGATIVE + """, ca AS (SELECT q, c, 1 AS pos FROM po UNION ALL SELECT q, c, 0 FROM ne),
 sr AS (SELECT q, pos, row_number() OVER (PARTITION BY q ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, c) AS rank
        FROM ca JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = c)"""
@@ -219,7 +225,7 @@ SQL = {
     "v14_last_pooling": f"WITH {_DIMS} SELECT vec_id AS id, CAST(63 - dim AS INT) AS dim, round(x, 6) AS pooled FROM ex",
     "j12_all_pairs": "SELECT a.vec_id AS q, count(*) AS n, round(sum(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS total FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id",
     "j13_positives": "SELECT a.vec_id AS q, count(*) AS n, min(b.vec_id) AS first FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id",
-    "j14_negatives": f"WITH {_SCHEDULE}, {_NEGATIVE} SELECT q, c FROM ne",
+    "j14_negatives": f"WITH RECURSIVE {_SCHEDULE}, {_NEGATIVE} SELECT q, c FROM ne",
     "j15_single_query": "SELECT a.vec_id AS id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b",
     "j16_diagonal": f"WITH {_PAIR} SELECT id, round({_DOT}(x, y) / 0.07::DOUBLE, 4) AS d FROM p",
     "w1_full_ranking": f"WITH {_SCORED} SELECT q, c, rk FROM r",
@@ -227,11 +233,11 @@ SQL = {
     "w3_hits": f"WITH {_FIRST} SELECT id, CAST(coalesce(rank <= 1, false) AS INT) AS hit1, CAST(coalesce(rank <= 5, false) AS INT) AS hit5, CAST(coalesce(rank <= 10, false) AS INT) AS hit10, CAST(NULL AS INT) AS hit100000 FROM f",
     "w4_similar": "WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 1 OFFSET 2) SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, id LIMIT 1000",
     "w4_nearest_all": f"WITH {_SCORED} SELECT q, c, rk FROM r WHERE rk <= 5",
-    "w6_sampled_rank": f"WITH {_SAMPLED} SELECT q, rank FROM sr WHERE pos = 1",
+    "w6_sampled_rank": f"WITH RECURSIVE {_SAMPLED} SELECT q, rank FROM sr WHERE pos = 1",
     "w7_schedule": f"WITH {_SCHEDULE} SELECT q, grp, place FROM sch",
     "w8_random_positive": f"WITH {_POSITIVE} SELECT q, c FROM po",
     "a14_retrieval_metrics": f"WITH {_FIRST} SELECT count(*) AS n, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr, round(sum(CAST(coalesce(rank <= 1, false) AS DOUBLE)) / count(*), 6) AS top1, round(sum(CAST(coalesce(rank <= 5, false) AS DOUBLE)) / count(*), 6) AS top5, round(sum(CAST(coalesce(rank <= 10, false) AS DOUBLE)) / count(*), 6) AS top10 FROM f",
-    "a15_sampled_metrics": f"WITH {_SAMPLED} SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM sr WHERE pos = 1",
+    "a15_sampled_metrics": f"WITH RECURSIVE {_SAMPLED} SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM sr WHERE pos = 1",
     "a16_paired_metrics": f"WITH {_PAIR}, s AS (SELECT a.id AS q, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}(a.x, b.y), 6) DESC, b.id) AS rank FROM p a, p b) SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS top5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS top10 FROM s WHERE q = c",
     "a17_log_normalisers": f"WITH {_PAIR}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, max(s) + ln(sum(exp(s - m))) AS a FROM (SELECT *, max(s) OVER (PARTITION BY i) AS m FROM s) GROUP BY i), y AS (SELECT j AS id, max(s) + ln(sum(exp(s - m))) AS b FROM (SELECT *, max(s) OVER (PARTITION BY j) AS m FROM s) GROUP BY j) SELECT id, round(a, 5) AS a, round(b, 5) AS b FROM x JOIN y USING (id)",
     "a18_symmetric_loss": f"WITH {_PAIR}, s AS (SELECT a.id AS i, b.id AS j, {_DOT}(a.x, b.y) / 0.07::DOUBLE AS s FROM p a, p b), x AS (SELECT i AS id, ln(sum(exp(s))) AS a FROM s GROUP BY i), y AS (SELECT j AS id, ln(sum(exp(s))) AS b FROM s GROUP BY j) SELECT count(*) AS n, round(sum(a + b - 2 * s) / (2 * count(*)), 5) AS loss FROM x JOIN y USING (id) JOIN s ON s.i = id AND s.j = id",

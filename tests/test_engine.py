@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lemmaforge.functions import latex as L
 from lemmaforge.functions.merger import code_of
-from lemmaforge.operators import bundles, corpus, dag, encoders, similarity
+from lemmaforge.operators import bundles, corpus, dag, encoders, ordinals, similarity
+from lemmaforge.plans import retrieval
 from lemmaforge.sources import jsonl, shards
 
 
@@ -230,3 +231,62 @@ def test_dataset_is_stored_once(spark, tmp_path):
     assert second.count() == 5 and second.storageLevel.useMemory and "InMemoryTableScan" in second._jdf.queryExecution().executedPlan().toString()
     first.unpersist()
     assert not shards.dataset(spark, path, "id bigint").unpersist().storageLevel.useMemory
+
+
+def test_negatives_of_uneven_groups(spark):
+    """One group of 95 %: every query gets 50 different vectors of other groups, and close places share no window."""
+    rows = [(i, 0 if i < 1900 else 1 + i % 20) for i in range(2000)]
+    v = spark.createDataFrame(rows, "id long, grp int")
+    got = retrieval.sampled_negatives(v, v.select(F.col("id").alias("q"), "grp"), 50)
+    found, grp = {}, dict(rows)
+    for q, c in got.collect():
+        found.setdefault(q, set()).add(c)
+    assert len(found) == 2000 and got.count() == 50 * 2000
+    assert all(len(c) == 50 and grp[q] not in {grp[x] for x in c} for q, c in found.items())
+    assert len({frozenset(found[q]) for q in range(1900)}) == 1900
+    drawn = [sum(c in found[q] for q in range(1900)) for c in range(1900, 2000)]
+    assert 820 < min(drawn) and max(drawn) < 1080  # 950 expected, standard deviation 22
+
+
+def test_negatives_where_few_exist(spark):
+    v = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, None)], "id long, grp int")
+    q = spark.createDataFrame([(0, 1), (2, 2)], "q long, grp int")
+    got = retrieval.sampled_negatives(v, q, 50).collect()
+    assert {tuple(r) for r in got} == {(0, 2), (0, 3), (2, 0), (2, 1), (2, 3)} and len(got) == 5
+    alone = spark.createDataFrame([(0, 1), (1, 1)], "id long, grp int")
+    assert retrieval.sampled_negatives(alone, q, 50).count() == 0
+
+
+def test_orders_near_the_end_of_64_bits(spark):
+    top = 2**63 - 1
+    ids = [top - i for i in range(300)] + [-(2**63) + i for i in range(5)]
+    frame = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in ids], "order long, key string")
+    got = {r["order"]: r["place"] for r in corpus.positions(frame.withColumn("all", F.lit(0)), "order", "all", "place").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(ids))}
+    keys = [("a" if i % 3 else "b") for i in sorted(ids)]
+    breaks = [sum(a != b for a, b in zip(keys[: k + 1], keys[1 : k + 1], strict=False)) for k in range(len(keys))]
+    assert {r["order"]: r["run"] for r in bundles.runs(frame, "key", "order").collect()} == dict(zip(sorted(ids), breaks, strict=True))
+    cuts = ordinals.range_cuts(frame, "order", 8)
+    assert len(cuts) == 7  # values that a double can't tell apart are
+
+
+def test_ordinals_of_any_type(spark):
+    rows = [(random.Random(i).choice(["x", "y", None, "é"]), i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "s string, i int").repartition(7)
+    got = {r["i"]: r["at"] for r in ordinals.numbered(frame, [F.col("s").desc_nulls_last(), F.col("i")], "at").collect()}
+    expected = sorted(rows, key=lambda r: (r[0] is None, [-b for b in (r[0] or "").encode()], r[1]))
+    assert got == {i: k for k, (_, i) in enumerate(expected)}
+    within = {r["i"]: r["at"] for r in ordinals.numbered_within(frame, "s", [F.col("i").desc()], "at").collect()}
+    for s in ("x", "y", None, "é"):
+        own = sorted((i for v, i in rows if v == s), reverse=True)
+        assert [within[i] for i in own] == list(range(len(own)))
+    assert ordinals.numbered(frame.limit(0), [F.col("i")], "at").count() == 0
+
+
+def test_epochs_shuffle_all_pairs_and_batches_follow_that_order(spark):
+    pairs = spark.createDataFrame([(f"p{i % 40}", i // 40) for i in range(205)], "paper string, pair int")
+    first, second = ({(r["paper"], r["pair"]): r["place"] for r in corpus.shuffled(pairs, ["paper", "pair"], 1, e).collect()} for e in (0, 1))
+    assert sorted(first.values()) == sorted(second.values()) == list(range(205)) and first != second
+    assert first == {(r["paper"], r["pair"]): r["place"] for r in corpus.shuffled(pairs.repartition(5), ["paper", "pair"], 1, 0).collect()}
+    batches = corpus.full_batches(corpus.shuffled(pairs, ["paper", "pair"], 1, 0), "place", 20).collect()
+    assert len(batches) == 200 and all(first[r["paper"], r["pair"]] // 20 == r["batch"] for r in batches)
