@@ -152,7 +152,7 @@ def test_tiles_run_once(spark, monkeypatch):
     """Two passes for ranks and for gradients, one for the loss."""
     passes, own = [], similarity.tiles
 
-    def counted(left, right, compute, schema, rows, block=similarity.BLOCK):
+    def counted(left, right, compute, schema, size, block=similarity.BLOCK, *rest):
         passes.append(compute.__name__)
         seen = spark.sparkContext.accumulator(0)
 
@@ -161,7 +161,7 @@ def test_tiles_run_once(spark, monkeypatch):
             return compute(l, r, s)
 
         passes[-1] = (compute.__name__, seen)
-        return own(left, right, run, schema, rows, block)
+        return own(left, right, run, schema, size, block, *rest)
 
     monkeypatch.setattr(similarity, "tiles", counted)
     rng = np.random.default_rng(3)
@@ -290,3 +290,49 @@ def test_epochs_shuffle_all_pairs_and_batches_follow_that_order(spark):
     assert first == {(r["paper"], r["pair"]): r["place"] for r in corpus.shuffled(pairs.repartition(5), ["paper", "pair"], 1, 0).collect()}
     batches = corpus.full_batches(corpus.shuffled(pairs, ["paper", "pair"], 1, 0), "place", 20).collect()
     assert len(batches) == 200 and all(first[r["paper"], r["pair"]] // 20 == r["batch"] for r in batches)
+
+
+def test_grid_ships_few_rows():
+    """Each side has its own number of super-blocks; a vector goes along once for each one of the other side."""
+    plan = similarity.grid(4, 20_500, 100_000, 100_000, 16)
+    assert (plan.left, plan.right) == (1, 11) and plan.shipped == 4 * 11 + 20_500
+    wide = similarity.grid(10**8, 10**8, 125_000, 125_000, 8000)
+    assert wide.left == wide.right == 800 and wide.shipped == 2 * 800 * 10**8  # one by one, tiles of 2,048 ship 48,829 times
+    for n, m, tasks in ((50_000, 50_000, 16), (2_000, 2_000, 16), (1, 0, 4), (100_000, 3_000, 64)):
+        p = similarity.grid(n, m, 30_000, 30_000, tasks)
+        assert p.left * p.right >= min(tasks, -(-n // 2048) * max(1, -(-m // 2048))) and p.left * 30_000 >= n and p.right * 30_000 >= m
+
+
+def test_shipped_rows(spark, monkeypatch):
+    """4 queries and 500 candidates in tiles of 9: the queries go to every task, each candidate to one."""
+    kind = type(spark.range(0))
+    rows, own = [], kind.groupBy
+
+    def counted(self, *cols):
+        if "side" in self.columns:
+            rows.append({r["side"]: r["count"] for r in own(self, "side").count().collect()})
+        return own(self, *cols)
+
+    monkeypatch.setattr(kind, "groupBy", counted)
+    rng = np.random.default_rng(8)
+    frame = lambda n: spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(n)], "id long, vec array<double>")
+    similarity.nearest_between(frame(4), frame(500), 2, 9)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert rows == [{0: 4 * tasks, 1: 500}]
+
+
+def test_tiles_of_a_super_block_add_up(spark, monkeypatch):
+    """Small limits: many tiles a task, folded on the way, give what one tile gives."""
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, i % 5, np.round(rng.normal(size=3), 1).tolist()) for i in range(150)], "id long, grp long, vec array<double>")
+    expected = {r["id"]: r["rank"] for r in similarity.first_positive_ranks(vectors).collect()}
+    best = {tuple(r) for r in similarity.ranking(vectors, 7).collect()}
+    every = {tuple(r) for r in similarity.ranking(vectors).collect()}
+    assert len(every) == 150 * 149 and best == {r for r in every if r[3] <= 7}
+    monkeypatch.setattr(similarity, "HELD_ROWS", 50)
+    monkeypatch.setattr(similarity, "HELD_NUMBERS", 120)
+    assert {r["id"]: r["rank"] for r in similarity.first_positive_ranks(vectors, 11).collect()} == expected
+    near = similarity.nearest(vectors, 7, 11)
+    assert {(r["q"], r["c"]) for r in similarity.ranking(vectors, 7).collect()} <= {(r["q"], r["c"]) for r in near.collect()}
+    plan = similarity.ranking(vectors)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
