@@ -15,14 +15,16 @@ BITS = 33  # of a row's number inside its partition
 SAMPLED = 32  # values for each range
 
 
-def range_cuts(rows: DataFrame, column: str, parts: int) -> list[int]:
-    """Up to parts - 1 values that cut a whole-number column into ranges of about equal counts, from a uniform sample of some SAMPLED
-    values a range. Values keep their 64 bits, however close they lie."""
-    if parts < 2:
-        return []
+def sampled(rows: DataFrame, column: str, about: int) -> list[int]:
+    """A sorted uniform sample of about so many values of a column, or all of fewer; values keep their 64 bits. Nulls are left out."""
     known = rows.select(column).filter(F.col(column).isNotNull())
-    share = SAMPLED * parts / max(1, known.count())
-    sample = sorted(r[0] for r in (known.sample(share, 17) if share < 1 else known).collect())
+    share = about / max(1, known.count())
+    return sorted(r[0] for r in (known.sample(share, 17) if share < 1 else known).collect())
+
+
+def range_cuts(rows: DataFrame, column: str, parts: int) -> list[int]:
+    """Up to parts - 1 values that cut a whole-number column into ranges of about equal counts."""
+    sample = sampled(rows, column, SAMPLED * parts) if parts > 1 else []
     return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
 
