@@ -11,8 +11,9 @@ Records that others wrote are read, too: all record types, headers in any order
 base32 of SHA-256, SHA-1 or MD5 (others are not verified), records without digests, truncated ones, chunked bodies.
 
 Defined cases: null html is an empty payload; null url is written as an empty target; null page ids keep a record
-(written without id, never the response of others when a page with an id has the payload); of repeated rows of the
-response one is written as response and the others as revisits of the same id; an empty table gives no records. Of
+(written without id; it revisits a page with an id that has the payload, and is a response where there is none); of
+several rows of the response's page that with the least url is the response, of equal ones one, and the others revisit the
+same id, wherever the rows are read; an empty table gives no records. Of
 foreign records page_id and refers_to are null where the record id is no `urn:page`, and payload_digest is the SHA-256 of
 the payload that is there; a revisit has the digest its header names (hex where that is SHA-256), or null.
 """
@@ -198,13 +199,28 @@ def parsed(headers: dict[str, str], block: bytes) -> dict:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES, salts: int = SALTS) -> DataFrame:
-    """page_id, url, html, digest, size and first: the page that holds the payload, null where no other page shares it."""
+    """page_id, url, html, digest, size, first (the page that holds the payload, null where no other row shares it), own (this row
+    is the response) and copies (as many equal rows; where own, all but one revisit)."""
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
-    firsts = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull())
-    spread = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    same = rows.filter(F.col("size") >= least).groupBy("digest", "page_id", "url").agg(F.count("*").alias("m"))
+    least_row = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "m")))
+    firsts = same.groupBy("digest").agg(least_row.alias("f"), F.sum("m").alias("n")).filter((F.col("n") > 1) & F.col("f").isNotNull())
+    firsts = cut(firsts.select("digest", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), F.col("f.m").alias("m")), "warc-firsts")
+    spread = firsts.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["digest", "salt"], "left")
+    of_first = F.coalesce((F.col("page_id") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url")), F.lit(False))
+    marked = salted.join(spread, ["digest", "salt"], "left").withColumn("own", of_first)
+    columns = ["page_id", "url", "html", "digest", "size", "first", "own"]
+    single = marked.select(*columns, F.lit(1).cast("long").alias("copies"))
+    if not firsts.filter("m > 1").limit(1).count():
+        return single
+    # Equal rows of a response: counted by the task that reads them, and the first of these packs has the response.
+    again = F.col("own") & (F.col("m") > 1)
+    packs = cut(marked.filter(again).groupBy("digest", "page_id", "url", "size", "first", F.spark_partition_id().alias("pack")).agg(F.first("html").alias("html"), F.count("*").alias("copies")), "warc-packs")
+    owners = packs.groupBy("digest").agg(F.min("pack").alias("owner"))
+    packed = packs.join(owners, "digest").withColumn("own", F.col("pack") == F.col("owner"))
+    return marked.filter(~F.coalesce(again, F.lit(False))).select(*columns, F.lit(1).cast("long").alias("copies")).unionByName(packed.select(*columns, "copies"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
@@ -215,24 +231,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
-        out, name, count, held = None, f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, set()
+        out, name, count = None, f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out = out or store.open_output_stream(f"{root}/{name}", compression=None)
-                for page_id, url, html, digest, size, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "first")), strict=True):
-                    own = first is not None and page_id == first and digest not in held
-                    if own:
-                        held.add(digest)
-                    refers = None if first is None or own else first
-                    out.write(record_bytes(page_id, url, html.encode(), digest, size, refers))
-                    count += 1
+                for page_id, url, html, digest, size, first, own, copies in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "first", "own", "copies")), strict=True):
+                    for i in range(copies):
+                        out.write(record_bytes(page_id, url, html.encode(), digest, size, None if own and i == 0 else first))
+                    count += copies
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], names=["archive", "records"])
 
-    routed = with_revisits(pages, least).select("page_id", "url", "html", "digest", "size", "first")
-    return cut(routed.mapInArrow(write, "archive string, records long"), "warc-manifest")
+    return cut(with_revisits(pages, least).mapInArrow(write, "archive string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -267,11 +279,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
-             min(page_id) OVER (PARTITION BY h) AS f FROM p)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f,
+             row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST) AS nth FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND f <> page_id THEN f END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND f IS NOT NULL AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND nth > 1 THEN f END AS refers_to
 FROM q
 """
