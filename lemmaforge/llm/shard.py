@@ -3,7 +3,7 @@
 A record's id, crc and size decide its virtual slot (a hash into thousands of slots, fixed for the life of the data set).
 Bytes and rows are summed by slot; a versioned map says which shard holds each slot. A map is never recomputed for new
 data: it is edited by moving slots, to level bytes (`rebalance`) or to fill one more shard (`grow`), and stored as the
-next version. Only slot sums, a fixed number of rows, reach the driver; only the map, as many rows, is broadcast.
+next version, in a folder of its own: of two runs that edit one map at once the later raises. Only slot sums, a fixed number of rows, reach the driver; only the map, as many rows, is broadcast.
 
 Law of the query: `bytes`. Version 1 deals the slots out in turn; `rebalance` edits it by the sums of the records until
 the fullest shard has no slot lighter than its distance to the emptiest, and records are placed by the version that is
@@ -57,14 +57,17 @@ class SlotMap:
         return spark.createDataFrame(rows, MAP_SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the map's table; older versions stay."""
-        self.frame(spark).repartition(1).write.partitionBy("version").mode("append").parquet(path)
+        """Write this version to a folder of its own; older versions stay, and a version that is there already raises."""
+        self.frame(spark).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        table = spark.read.parquet(path)
+        """A stored version, the last one unless it is named. One that does not hold each slot from 0 exactly once raises."""
+        table = spark.read.schema(MAP_SCHEMA).parquet(path)
         version = version if version is not None else table.agg(F.max("version")).first()[0]
         got = table.filter(F.col("version") == version).orderBy("virtual_slot").collect()  # one row a slot
+        if not got or [r["virtual_slot"] for r in got] != list(range(len(got))):
+            raise ValueError(f"version {version} of {path} does not hold each slot once")
         return SlotMap(version, tuple(r["shard"] for r in got), tuple(r["bytes"] for r in got), tuple(r["rows"] for r in got))
 
 
