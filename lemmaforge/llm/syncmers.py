@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, with built-in functions only.
 
-A text is a sequence of words (runs without white space, in pieces of at most 16 characters, lower-cased). Of every
+A text is a sequence of words, lower-cased: runs without white space of at most 16 characters, and every character of
+a longer run but its last 16, so that text without white space has anchors over characters. Of every
 K consecutive words the S-word substrings are hashed; the K-mer is chosen when its smallest inner hash is the first or
 the last one. The choice looks at the K words alone, so the same passage gives the same anchors in any document, and
 an edit changes only anchors that overlap it. The fingerprint is every anchor's hash in the order of the text; likeness is
@@ -23,11 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lemmaforge.operators.ordinals import sampled
+
 K = 5
 S = 2
 SKETCH = 128
 COARSE = 256
 RANGES = 4
+SAMPLED = 96  # ids for each quantile
 
 
 def _let(value: Column, body) -> Column:
@@ -36,7 +40,7 @@ def _let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\S{1,16}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\S{1,16}+(?!\S)|\S"), F.lit(0))
 
 
 def _inner(w: Column) -> Column:
@@ -144,14 +148,15 @@ def matched_offsets(a: Column, b: Column) -> Column:
 def _dealt(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame | None:
     """`docs` with `place`, the hash of the text, and `part`: ranges of (key, place) in order; None for an empty table.
 
-    Keys are cut at quantiles, which are refined evenly. A key that several quantiles fall on, such as null or a much
+    Keys are cut at quantiles of a sample, whole numbers at any size, which are refined evenly. A key that several quantiles fall on, such as null or a much
     repeated id, is cut by place into as many ranges as its share asks for.
     """
     coarse = min(COARSE, parts)
     fine = math.ceil(parts / coarse)
-    quantiles = [int(q) for q in docs.select(key).approxQuantile(key, [i / coarse for i in range(coarse + 1)], 0.2 / coarse)]
-    if not quantiles:
+    sample = sampled(docs, key, SAMPLED * coarse)
+    if not sample:
         return None
+    quantiles = [sample[min(len(sample) - 1, len(sample) * i // coarse)] for i in range(coarse + 1)]
     cuts = sorted(set(quantiles))
     times = [quantiles.count(c) for c in cuts]
     of = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
