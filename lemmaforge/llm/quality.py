@@ -4,7 +4,7 @@ Every text is described by statistics, all built-in column expressions. Small bo
 into rules, each the conjunction of comparisons on one path from the root; a logistic model with a lasso penalty keeps
 few of them, and those are compiled into one column expression. Scoring therefore runs no Python.
 
-Fitting uses at most `max_rows` labelled rows, chosen by a hash of the id: only their statistics, a few numbers each,
+Fitting uses at most `max_rows` labelled rows, chosen by hashes of id and text: only their statistics, a few numbers each,
 come to the driver. Scoring reads every text whole. Trees are cut into at most MAX_RULES rules, those of earlier trees
 first; it bounds the model, not the data.
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaforge.llm.columns import Plain
+from lemmaforge.llm.labelled import labelled
 
 MAX_ROWS = 12_000
 TREES = 40
@@ -209,9 +210,7 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS) -> RuleModel:
     """A model from labelled rows for which `train` holds."""
-    chosen = labels.filter(F.col("quality").isNotNull() & train).select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-    got = statistics(rows.select("y", "text")).select("row.y", "stats").collect()
+    got = statistics(labelled(docs, labels, "quality", train, max_rows)).select("row.y", "stats").collect()
     table = np.array(sorted((r["y"], *r["stats"]) for r in got), float).reshape(-1, 1 + len(STATS))  # in one order on every run
     return fit_rules(table[:, 1:], table[:, 0])
 

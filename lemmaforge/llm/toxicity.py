@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lemmaforge.llm.columns import Plain
+from lemmaforge.llm.labelled import labelled
 from lemmaforge.session import workers_see_package
 
 MAX_ROWS = 20_000
@@ -190,8 +191,7 @@ def held_out(key: F.Column, folds: int, fold_no: int) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from labelled rows for which `train` holds."""
     workers_see_package(docs.sparkSession)
-    chosen = labels.filter(F.col("toxic").isNotNull() & train).select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").cache()  # at most max_rows ids
+    rows = labelled(docs, labels, "toxic", train, max_rows).cache()
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     least = max(4, math.ceil(0.005 * n_pos))
