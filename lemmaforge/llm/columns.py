@@ -26,3 +26,11 @@ class Plain:
 
     def back(self, done: DataFrame) -> DataFrame:
         return done.toDF(*self.names, *self.outputs)
+
+
+def whole_numbers(docs: DataFrame, column: str, named: str) -> str:
+    """The column, if it holds whole numbers of up to 64 bits; else a TypeError that names it."""
+    kind = dict(docs.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{named} is {kind}; ids have to be whole numbers")
+    return column

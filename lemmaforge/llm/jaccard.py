@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaforge.llm.columns import whole_numbers
 from lemmaforge.llm.components import components
 from lemmaforge.session import cut, release, workers_see_package
 
@@ -411,7 +412,7 @@ def _verified(rows: DataFrame, clusters: DataFrame, sizes: DataFrame, n: int, nu
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each document: `key`, n_shingles, component_id (the least key it reaches by links) and n_links."""
     workers_see_package(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("jj_id"), F.col(text).alias("jj_text"))
+    rows = docs.select(F.col(whole_numbers(docs, key, key)).cast("long").alias("jj_id"), F.col(text).alias("jj_text"))
     classed = cut(_classed(rows, n, num, den), "classes")
     hot = hot_shingles(classed)
     sizes = classed.filter("n > 0").groupBy("node").agg(F.min("jj_id").alias("first"), F.count("*").alias("copies"))

@@ -1,8 +1,12 @@
-"""Repeated passages by words: every stretch of `least` words that stands at an earlier place is deleted.
+"""Line dedup: winnowing over line hashes finds repeated passages, and later repeats are deleted word by word.
 
-Words are runs without white space; what stands between them doesn't count. A window is `least` consecutive words, wherever
-it starts. Winnowing makes the search sparse and stays exact: of the gram hashes inside a window the smallest one (the last
-of equals) is its seed, which the window's own words decide, so equal windows have equal seeds at equal offsets. Steps:
+Words are runs without white space; what stands between them doesn't count, nor do line breaks, which copies often lose. A line
+ends behind a word that ends in one of . ! ? and, where no such end is near, before a word whose hash is the least of some `reach`
+words around it; so lines are decided by the words about them alone, and long ones are cut. Every stretch of `least` words that
+stands at an earlier place is deleted. A window is `least` consecutive words, wherever it starts. Its seed is the smallest hash
+among the shortest runs of lines of at least least / 6 words that lie inside it, with the words that decide their ends (the last
+one of equals). `reach` is chosen so that every window holds such a run: the seed is a guaranteed fingerprint, and equal windows
+have equal seeds at equal offsets. Steps:
 
 1. neighbouring windows with one seed form a span; each span gives one row of seed, content hash and place;
 2. of spans with equal content (128 bits of hash) all but the first place (least id, then text hash, then position) are
@@ -14,7 +18,9 @@ of equals) is its seed, which the window's own words decide, so equal windows ha
 Any other occurrence of a window stands in a span that step 2 marked and whose first place takes part in step 3, so the marks
 are those of comparing all windows. A deleted word always has an earlier copy, so one copy of it stays.
 
-Defined cases: as in `lines`; white space before a deleted stretch stays, white space behind it goes.
+Defined cases: null and empty texts stay as they are; rows with equal id and equal text are one document, and are edited alike;
+a null id sorts first; ids are whole numbers, others are refused; a text that consists only of repeats becomes empty; white space
+before a deleted stretch stays, white space behind it goes; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -31,10 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lemmaforge.llm.columns import Plain
-from lemmaforge.llm.lines import MIN_WORDS, _powers, without_runs
+from lemmaforge.llm.columns import Plain, whole_numbers
 from lemmaforge.session import cut, release, workers_see_package
 
+MIN_WORDS = 50
+_ENDS = (".", "!", "?")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 64
 _WORD = re.compile(r"\S+")
 _SPAN = "ps_s long, ps_h long, ps_g long, ps_k long, ps_t long, ps_a int, ps_n int"
@@ -42,6 +51,33 @@ _KEYED = "ps_w long, ps_v long, ps_k long, ps_t long, ps_a int"
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def sizes(least: int) -> tuple[int, int]:
+    """Words that a run of lines has at least, and the reach: how many words on either side may decide where a line ends.
+
+    Two ends are at most 3 reach - 2 words apart, so the first one that a window decides stands within its first 4 reach - 2
+    words, and the run behind it ends 3 reach - 3 + run words later at most; both fit while 8 reach + run - 6 <= least.
+    """
+    run = max(1, least // 6)
+    return run, (least - run + 6) // 8
+
+
+def _least_of(value: np.ndarray, wide: int) -> np.ndarray:
+    """Where the least of each `wide` neighbours stands, the last of equals."""
+    low, best, reach = value, np.arange(len(value)), 1
+    while reach < wide:
+        step = min(reach, wide - reach)
+        later = low[step:] <= low[:-step]
+        low, best = np.where(later, low[step:], low[:-step]), np.where(later, best[step:], best[:-step])
+        reach += step
+    return best
+
+
 class Words:
     """Hashes of the words of several texts, one text behind the other, and where each text's words start."""
 
@@ -49,7 +85,8 @@ class Words:
         split = [(text or "").split() for text in texts]
         self.starts = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
         self.n = int(self.starts[-1])
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, self.n)
+        self.hashes = hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, self.n)
+        self.ends = np.fromiter((w[-1] in _ENDS for w in chain.from_iterable(split)), bool, self.n)
         up, self.down = _powers(self.n)
         zero = np.zeros(1, np.uint64)
         self.poly = np.concatenate((zero, np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
@@ -64,27 +101,50 @@ class Words:
         """Content hashes of 128 bits: the second sum runs over other hashes of the words."""
         return [_signed(self.keys(begin, end)), _signed((self.more[end] - self.more[begin]) * self.down[begin])]
 
+    def line_starts(self, reach: int) -> np.ndarray:
+        """The words at which a line starts. Whether one does is decided by the `reach` words before it and from it on."""
+        if not reach:
+            return np.arange(self.n)
+        start = np.concatenate(([False], self.ends[:-1]))
+        if self.n >= reach:
+            doc = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+            best = _least_of(self.hashes, reach)[doc[: self.n - reach + 1] == doc[reach - 1 :]]
+            upto = np.concatenate((np.zeros(reach, np.int64), np.cumsum(start), np.full(reach, start.sum())))
+            free = upto[2 * reach - 1 + np.arange(self.n)] == upto[np.arange(self.n)]  # no line ends within the reach
+            chosen = np.zeros(self.n, bool)
+            chosen[best] = True
+            start |= chosen & free
+        return np.flatnonzero(start)
+
     def spans(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Seed, first window and number of windows of each span, and the text that holds it."""
-        gram = max(1, least // 6)
-        wide = least - gram + 1
+        run, reach = sizes(least)
         none = np.zeros(0, np.int64)
+        empty = none.astype(np.uint64), none, none, none
         if self.n < least:
-            return none.astype(np.uint64), none, none, none
-        place = np.arange(self.n - gram + 1)
-        value = self.keys(place, place + gram)
-        low, best, reach = value, place, 1
-        while reach < wide:
-            step = min(reach, wide - reach)
-            later = low[step:] <= low[:-step]
-            low, best = np.where(later, low[step:], low[:-step]), np.where(later, best[step:], best[:-step])
-            reach += step
+            return empty
         doc = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
         at = np.flatnonzero(doc[: self.n - least + 1] == doc[least - 1 :])
         if not len(at):
-            return none.astype(np.uint64), none, none, none
-        first = np.flatnonzero(np.concatenate(([True], best[at[1:]] != best[at[:-1]])))
-        return value[best[at[first]]], at[first], np.diff(np.append(first, len(at))), doc[at[first]]
+            return empty
+        cuts = np.append(self.line_starts(reach), self.n)
+        until = np.searchsorted(cuts, cuts + run)
+        begin = cuts[until < len(cuts)]
+        end = cuts[until[until < len(cuts)]]
+        value = self.keys(begin, end)
+        low = np.searchsorted(begin, at + reach)  # the first run of lines whose start the window decides
+        count = np.searchsorted(end, at + least - reach, side="right") - low
+        seed = np.arange(len(value))
+        chosen = seed[low]
+        for k in range(1, int(count.max()).bit_length()):  # seed: the least of 2 ** k neighbours
+            half = 1 << (k - 1)
+            a, b = seed[:-half], seed[half:]
+            seed = np.where(value[b] <= value[a], b, a)
+            wide = count >= 1 << k
+            first, last = seed[low[wide]], seed[low[wide] + count[wide] - (1 << k)]
+            chosen[wide] = np.where(value[last] <= value[first], last, first)
+        first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+        return value[chosen[first]], at[first], np.diff(np.append(first, len(at))), doc[at[first]]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +218,29 @@ def repeated_words(keyed: DataFrame, text: str = "text", least: int = MIN_WORDS)
     return marks
 
 
+def _merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
+    """The union of ranges, sorted by begin, as begin, end, begin, end and so on."""
+    if not len(begin):
+        return []
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))
+    return np.column_stack((begin[new], reach[np.append(new[1:], len(begin)) - 1])).ravel().tolist()
+
+
+def without_runs(text: str, runs: list[list[int]]) -> tuple[str, int]:
+    """The text without the stretches, and the words that went."""
+    ranges = np.array([x for r in runs for x in r], np.int64).reshape(-1, 2)
+    bounds = _merged(*ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))].T)
+    kept, removed, at = [], 0, 0
+    for a, b in zip(bounds[::2], bounds[1::2], strict=True):
+        kept.append(text[at:a])
+        removed += len(text[a:b].split())
+        at = b
+    kept.append(text[at:])
+    whole = "".join(kept)
+    return (whole.rstrip() if bounds and bounds[-1] == len(text) else whole), removed
+
+
 def without_words(text: str, marks: np.ndarray) -> tuple[str, int]:
     """The text without the marked words, and their number."""
     begins = [m.start() for m in _WORD.finditer(text)]
@@ -169,7 +252,7 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """`docs` without later repeats of `least` words or more; `removed` names a column for the words that went."""
     workers_see_package(docs.sparkSession)
     plain = Plain(docs, [removed] if removed else [], [key, text])
-    docs, key, text = plain.docs, plain(key), plain(text)
+    docs, key, text = plain.docs, whole_numbers(plain.docs, plain(key), key), plain(text)
     keyed = docs.withColumns({"ps_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "ps_t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     joined = keyed.join(repeated_words(keyed, text, least), ["ps_k", "ps_t"], "left").select(*docs.columns, "ps_marks")
     place = docs.columns.index(text)

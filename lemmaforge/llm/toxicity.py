@@ -2,14 +2,16 @@
 
 Texts are folded first: lower case, homoglyphs (Cyrillic, Greek, full width) to Latin letters, digits that stand for
 letters to those letters, zero-width marks dropped, punctuation to spaces. A term matches at a word's start; a term
-that ends in a space is a whole word, another one a stem. Matches inside an exception phrase do not count. A document's
+that ends in a space is a whole word, another one a stem. Matches inside an exception phrase do not count: phrases are a
+matched word with its neighbour or both of them, learned where they stand in at least LEAST_CLEAN clean training documents
+and in no toxic one, or given. A document's
 features are the summed weights, the same normalised by its length in words, and the number of different terms; a
 logistic curve over them gives the score.
 
 Fitting: terms are words and word beginnings of toxic training documents, kept when they are far more frequent there
 than in clean ones; the weight is the log odds ratio. At most `max_rows` labelled documents are used, chosen by a hash
-of their id (the only sample; scoring reads every text whole), at most `max_terms` terms are kept, so the lexicon that
-executors receive has a fixed bound. Stems have 4 to 8 letters (STEMS); a longer word than 24 letters is a stem of its
+of their id (the only sample; scoring reads every text whole), at most `max_terms` terms and MAX_EXCEPTIONS phrases are kept, so
+the lexicon that executors receive has a fixed bound. Stems have 4 to 8 letters (STEMS); a longer word than 24 letters is a stem of its
 first 24; the MAX_CANDIDATES most frequent toxic candidates are weighed. These bound the model that is learned, not the
 documents that are scored.
 
@@ -43,7 +45,9 @@ MAX_TERMS = 5_000
 MAX_CANDIDATES = 200_000
 STEMS = range(4, 9)
 LEAST_ODDS = math.log(20)
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown shoes")
+CONTEXT = 64  # characters on either side in which a neighbour is looked for
+LEAST_CLEAN = 2
+MAX_EXCEPTIONS = 5_000
 
 # Letters that look like Latin ones, and digits that stand for letters.
 HOMOGLYPHS = {
@@ -84,7 +88,7 @@ class Lexicon:
     """Terms with weights (a whole word ends in a space), exceptions and the curve's coefficients."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     _automaton: object = field(default=None, repr=False, compare=False)
 
@@ -126,6 +130,20 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+    def contexts(self, text: str | None) -> set[str]:
+        """Each word in which a term matches with the word before it, the one behind it, and both."""
+        folded, out = fold(text), set()
+        for end, (size, weight, _) in self.automaton().iter(folded) if self.weights else ():
+            if weight is None:
+                continue
+            start, stop = end - size + 1, folded.find(" ", end - size + 1)
+            before, after = folded[max(0, start - CONTEXT) : start].split(), folded[stop : stop + CONTEXT].split()
+            word = folded[start:stop]
+            left, right = before[-1:], after[:1]
+            out.update(" ".join(p) for p in ([*left, word], [word, *right], [*left, word, *right]) if len(p) > 1)
+        return out
+
+
 def terms_of(text: str | None) -> set[str]:
     """Whole words and word beginnings of a folded text."""
     out = set()
@@ -188,8 +206,8 @@ def held_out(key: F.Column, folds: int, fold_no: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == fold_no, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon and curve from labelled rows for which `train` holds."""
+def fit(docs: DataFrame, labels: DataFrame, train: F.Column, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] | None = None) -> Lexicon:
+    """Lexicon and curve from labelled rows for which `train` holds. Exception phrases are learned where none are given."""
     workers_see_package(docs.sparkSession)
     rows = labelled(docs, labels, "toxic", train, max_rows).cache()
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -198,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, max_rows: int = MAX
     positive = {r["term"]: r["n"] for r in _counted(rows.filter("y = 1"), None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
     wanted = set(positive)
     negative = {r["term"]: r["n"] for r in _counted(rows.filter("y = 0"), wanted).collect()} if wanted else {}  # at most MAX_CANDIDATES terms
-    lexicon = Lexicon(choose_terms(positive, negative, n_pos, n_neg, least), exceptions)
+    lexicon = Lexicon(choose_terms(positive, negative, n_pos, n_neg, least))
+    lexicon = Lexicon(lexicon.weights, learned_exceptions(rows, lexicon) if exceptions is None else exceptions)
     found = _features(rows, lexicon).select("y", "features").collect()  # three numbers for each of max_rows documents
     rows.unpersist()
     x, y = np.array([r["features"] for r in found]).reshape(-1, 3), np.array([r["y"] for r in found], float)
@@ -206,6 +225,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, max_rows: int = MAX
     return lexicon
 
 
+def learned_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = LEAST_CLEAN, most: int = MAX_EXCEPTIONS) -> tuple[str, ...]:
+    """Phrases around matches in (y, text) that only clean documents have, the most frequent first."""
+    if not lexicon.weights:
+        return ()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, y) for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True) for p in sorted(lexicon.contexts(text.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["phrase", "y"])
+
+    sums = rows.select("y", "text").mapInArrow(scan, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    return tuple(r["phrase"] for r in sums.filter((F.col("toxic") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(most).collect())
+
+
 def _features(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "features") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import decontaminate, jaccard, lines, passages, pieces, quality, syncmers, tokencount, toxicity
+from lemmaforge.llm import decontaminate, jaccard, passages, pieces, quality, syncmers, tokencount, toxicity
 from lemmaforge.llm.columns import Plain
 
 NAMES = ("score", "Score2", "tox_features", "tree", "hits", "ld_k", "ld_runs", "ps_k", "ps_marks", "dc_hits", "dc_at", "tokens", "row", "stats", "_t", "jj_id", "node", "c0", "x1")
@@ -22,13 +22,12 @@ def run(name, docs):
         "hits": lambda: (decontaminate.contamination(docs, bench), ["hits"]),
         "joined hits": lambda: (decontaminate.contamination(docs, bench, max_broadcast_words=0), ["hits"]),
         "clean": lambda: (decontaminate.decontaminate(docs, bench, remove="spans"), []),
-        "lines": lambda: (lines.dedup_lines(docs, removed="score"), ["score"]),
         "passages": lambda: (passages.dedup_passages(docs, removed="score"), ["score"]),
         "pieces": lambda: (pieces.encode(docs, pieces.PieceTable.load(), decoded="hits"), ["tokens", "hits"]),
     }[name]()
 
 
-@pytest.mark.parametrize("name", ["quality", "toxicity", "trees", "hits", "joined hits", "clean", "lines", "passages", "pieces"])
+@pytest.mark.parametrize("name", ["quality", "toxicity", "trees", "hits", "joined hits", "clean", "passages", "pieces"])
 def test_clashing_columns(spark, name):
     bare = spark.createDataFrame(ROWS, "doc_id long, text string")
     crowded = bare.select("*", *[F.lit(f"own {n}").alias(n) for n in NAMES])

@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import components, decontaminate, jaccard, lines, shard, syncmers, warc
+from lemmaforge.llm import components, decontaminate, jaccard, shard, syncmers, warc
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,57 +117,6 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def brute_lines(docs, least):
-    first, split = {}, []
-    for key, text in docs:
-        own, at = lines.split_lines(text or "")
-        n, found = [len(x.split()) for x in own], set()
-        for a in range(len(own)):
-            for b in range(a + 1, len(own) + 1):
-                if sum(n[a:b]) >= least:
-                    found.add((a, b))
-                    break
-        for b in range(len(own), 0, -1):
-            for a in range(b - 1, -1, -1):
-                if sum(n[a:b]) >= least:
-                    found.add((a, b))
-                    break
-        for a, b in found:
-            k = tuple(x.strip() for x in own[a:b])
-            first[k] = min(first.get(k, (key, at[a])), (key, at[a]))
-        split.append((key, text, own, at, found))
-    out = {}
-    for key, text, own, at, found in split:
-        runs = [[at[a], at[b]] for a, b in found if first[tuple(x.strip() for x in own[a:b])] < (key, at[a])]
-        out[key] = lines.without_runs(text, runs) if runs else (text, 0)
-    return out
-
-
-@pytest.mark.parametrize("least", [8, 50])
-def test_lines_against_brute_force(spark, least):
-    random.seed(9)
-    sentences = [" ".join(random.choice("abcdefgh") + random.choice("xyz") for _ in range(random.randrange(1, 14))).capitalize() + random.choice([".", "!", ""]) for _ in range(40)]
-    docs = [(i, "".join(random.choice(sentences) + random.choice([" ", "\n", "\n\n", "  "]) for _ in range(random.choice([0, 1, 5, 30])))) for i in range(50)] + [(60, None), (61, ""), (62, "\n \n"), (63, "word " * 3000), (64, "word " * 3000)]
-    frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, removed int")
-    got = {r["doc_id"]: (r["text"], r["gone"]) for r in lines.dedup_lines(frame, least=least, removed="gone").collect()}
-    assert got == brute_lines(docs, least)
-
-
-def test_a_passage_inside_a_line_is_found(spark):
-    passage = "Here " + " ".join(f"p{i}" for i in range(55)) + "."
-    rows = [(1, "Some first words " + passage), (2, "Other beginning. " + passage + " And an end"), (3, "untouched text")]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "Other beginning. And an end", 3: "untouched text"}
-
-
-def test_repeated_rows_are_edited_alike(spark):
-    text = "One " + " ".join(f"q{i}" for i in range(60)) + ".\n"
-    rows = [(4, text), (4, text), (None, text), (9, text)]
-    got = sorted((str(r["doc_id"]), r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [("4", ""), ("4", ""), ("9", ""), ("None", text)]
-    assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
 def brute_contamination(text, items, n):
     words = [w for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOW))]
     hit, found = set(), set()

@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lemmaforge.llm import passages
+from lemmaforge.llm import jaccard, passages
 
 
 def brute_words(docs, least):
@@ -63,3 +64,42 @@ def test_equal_rows_are_one_document(spark):
     assert got == [("4", ""), ("4", ""), ("9", "end"), ("None", "x " + text)]
     assert passages.dedup_passages(spark.createDataFrame([(4, text), (4, text)], "doc_id long, text string"), removed="n").agg({"n": "sum"}).first()[0] == 0
     assert passages.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def sentences(rng, n):
+    """Words with sentence ends at some, none or all places, and repeated ones."""
+    kind = rng.choice([0.0, 0.02, 0.1, 1.0])
+    pool = rng.choice([2, 30, 5000])
+    return [f"w{rng.randrange(pool)}" + ("." if rng.random() < kind else "") for _ in range(n)]
+
+
+@pytest.mark.parametrize("least", [1, 3, 8, 20, 50])
+def test_every_window_has_a_seed_that_its_words_decide(least):
+    """The winnowing guarantee: equal windows get equal seeds at equal offsets, whatever stands around them."""
+    rng = random.Random(least)
+    for _ in range(60):
+        body = sentences(rng, rng.randrange(least, 4 * least + 1))
+        texts = [sentences(rng, 30) + body + sentences(rng, 30), body, ["x."] + body + ["y"], sentences(rng, 3)]
+        found = {}
+        words = passages.Words([" ".join(t) for t in texts])
+        seed, first, count, doc = words.spans(least)
+        for s, a, n, d in zip(seed.tolist(), first.tolist(), count.tolist(), doc.tolist(), strict=True):
+            for at in range(a, a + n):
+                i = at - words.starts[d]
+                found.setdefault(tuple(texts[d][i : i + least]), set()).add(s)
+        assert len([1 for t in texts for i in range(len(t) - least + 1)]) == count.sum()
+        assert all(len(s) == 1 for s in found.values())
+
+
+def test_lines_end_at_sentences_and_long_ones_are_cut():
+    words = passages.Words(["One two three. Four five six seven! " + " ".join(f"v{i}" for i in range(100)) + " end. Last"])
+    starts = passages.Words.line_starts(words, 6)
+    assert 3 in starts and 7 in starts and 108 in starts and not {1, 2, 4, 5, 6, 8, 9, 10, 11, 12} & set(starts.tolist())
+    assert np.diff(starts).max() <= 3 * 6 - 2 and len(starts) < 40
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for run in (passages.dedup_passages, jaccard.jaccard_join):
+        with pytest.raises(TypeError, match="doc_id is string"):
+            run(docs)

@@ -202,3 +202,28 @@ def test_encoding_of_odd_rows(spark):
     assert all(r["again"] == (r["text"] or "") for r in at_once) and len(at_once) == len(ODD) + 2
     assert pieces.encode(rows.limit(0), table).count() == 0
     assert table.decode(table.encode(["a▁b"])[0]) == "a b"
+
+
+def test_exceptions_are_learned_from_clean_documents(spark):
+    clean = ["put it in the trash can today", "a trash can stood there", "the Trash can is full", "nothing here", "more trash talk"] + ["plain text"] * 20
+    toxic = ["you are trash", "trash talk again", "pure trash you", "trash all of you", "such trash here", "trash, trash!"] * 2
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    flat = toxicity.Lexicon({"trash ": 2.0})
+    sums = docs.join(labels, "doc_id").select(F.col("toxic").alias("y"), "text")
+    assert toxicity.learned_exceptions(sums, flat) == ("trash can", "the trash", "the trash can")
+    assert flat.contexts("Oh, tr4sh-can!  ok") == {"oh trash", "trash can", "oh trash can"} and flat.contexts("trash") == set() and flat.contexts(None) == set()
+    learned = toxicity.Lexicon(flat.weights, ("trash can",))
+    assert not learned.matches("a trash can")[0] and learned.matches("a trash bin")[0]
+
+
+def test_learned_exceptions_flip_matches_of_given_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id"), 5, 0))
+    bare = toxicity.Lexicon(lexicon.weights, (), lexicon.curve)
+    assert lexicon.exceptions
+    rows = docs.join(labels, "doc_id").select("text", "toxic").collect()
+    flipped = [r["toxic"] for r in rows if len(bare.matches(r["text"])[0]) != len(lexicon.matches(r["text"])[0])]
+    assert flipped and not any(flipped)
