@@ -61,7 +61,7 @@ def spark_hash(values):
 
 def brute_anchors(text):
     """Closed syncmers by their definition: the K words at a place are chosen when the least of their inner hashes stands first or last."""
-    words = [p[i : i + 16] for p in (text or "").lower().split() for i in range(0, len(p), 16)]
+    words = [x for p in (text or "").lower().split() for x in [*p[:-16], p[-16:]]]
     k, s = syncmers.K, syncmers.S
     if len(words) < 2 * k:
         return [(spark_hash([w]) & 0xFFFFFFFF, i) for i, w in enumerate(words)]
