@@ -5,22 +5,52 @@ A bag is never made dense. Scores come from joins on the term, summed by pair, s
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lemmaforge.functions.text import word_tokens
+from lemmaforge.operators import index
+from lemmaforge.session import cut, workers_see_package
 
 EPS = 1e-12
 K1, B = 1.2, 0.75
 ENCODER_LENGTH = 100.0
 PRIME = 30011
+CHUNK = 256
 
 
-def bag(items: DataFrame, item: str, text: str) -> DataFrame:
-    """item, dl (tokens of the item), term, tf. The length is taken before the tokens are exploded, so no score has to go
-    over the bags again for it."""
+def bags_by_item(items: DataFrame, item: str, text: str) -> DataFrame:
+    """item, dl (tokens of the item), terms and tfs: a row an item, counted where the item is read, without a shuffle."""
+    workers_see_package(items.sparkSession)
     words = items.select(F.col(item).alias("item"), word_tokens(F.col(text)).alias("w"))
-    return words.select("item", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("item", "dl", "term").agg(F.count("*").alias("tf"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                lists = batch.column("w")
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(size)), size)
+                keys, tf = np.unique(row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                own, code = np.divmod(keys, max(1, len(coded.dictionary)))
+                offsets = pa.array(np.searchsorted(own, np.arange(len(size) + 1)), pa.int32())
+                terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(code)))
+                yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(size), terms, pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int64)))], names=["item", "dl", "terms", "tfs"])
+
+    return words.mapInArrow(count, f"item {dict(words.dtypes)['item']}, dl long, terms array<string>, tfs array<bigint>")
+
+
+def bag(items: DataFrame, item: str, text: str) -> DataFrame:
+    """item, dl, term, tf: a row a term of each item. Rows that share an id are items of their own."""
+    both = bags_by_item(items, item, text).select("item", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return both.select("item", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
 
 
 def corpus_stats(items: DataFrame, text: str) -> DataFrame:
@@ -30,11 +60,6 @@ def corpus_stats(items: DataFrame, text: str) -> DataFrame:
     return words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(vocabulary)  # one row each
 
 
-def length_stats(bags: DataFrame, items: int) -> DataFrame:
-    """One row from stored bags: n, which is given as empty items have no bag, and avgdl."""
-    return bags.agg(F.lit(items).cast("long").alias("n"), (F.sum("tf") / F.lit(float(max(1, items)))).alias("avgdl"))
-
-
 def document_frequencies(bags: DataFrame) -> DataFrame:
     return bags.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -104,6 +129,132 @@ def encoder_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return a.join(encoder_weights(docs), "term").groupBy("q", "item").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
 
 
+def _weighted(bags: DataFrame, raw: Callable[[Column, Column], Column], unit: float | None) -> DataFrame:
+    """(item, bag): structs of term and weight; raw weights from tf and dl, over their length plus `unit` where that is given."""
+    rows = bags.select("item", "dl", "terms", F.transform("tfs", lambda tf: raw(tf.cast("double"), F.col("dl"))).alias("ws"))
+    if unit is not None:  # the length as an element, so that it is computed once a bag
+        size = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda s, w: s + w * w)) + unit
+        rows = rows.withColumn("ws", F.transform(F.array(size), lambda n: F.transform("ws", lambda w: w / n))[0])
+    return rows.select("item", F.transform(F.arrays_zip("terms", "ws"), lambda x: F.struct(x["terms"].alias("term"), x["ws"].alias("w"))).alias("bag"))
+
+
+def count_bags(bags: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """Bags for the cosine of counts."""
+    return _weighted(bags, lambda tf, dl: tf, eps)
+
+
+def binary_bags(bags: DataFrame) -> DataFrame:
+    """Bags for the cosine of sets."""
+    return _weighted(bags, lambda tf, dl: F.lit(1.0), 0.0)
+
+
+def encoder_bags(bags: DataFrame, k1: float = K1, b: float = B, avgdl: float = ENCODER_LENGTH) -> DataFrame:
+    """Bags for the BM25 encoder: no idf, the norm at least 0.5, shifted by 1e-10 and scaled to unit length."""
+    return _weighted(bags, lambda tf, dl: tf * (k1 + 1.0) / (tf + k1 * F.greatest(F.lit(0.5), 1.0 - b + b * dl / avgdl)) + 1e-10, 0.0)
+
+
+def bm25_bags(bags: DataFrame, avgdl: float, k1: float = K1, b: float = B) -> DataFrame:
+    """Bags for BM25, without idf."""
+    return _weighted(bags, lambda tf, dl: tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avgdl)), None)
+
+
+def query_terms(weighted: DataFrame) -> DataFrame:
+    return weighted.select(F.col("item").alias("q"), F.explode("bag").alias("x")).select("q", F.col("x.term").alias("term"), F.col("x.w").alias("qw"))
+
+
+def jaccard_of_cosine(dot: Column, a: Column, b: Column) -> Column:
+    """Jaccard likeness of two sets from the cosine of their binary bags, which is never smaller, and their sizes."""
+    both = F.round(dot * F.sqrt(a.cast("double") * b.cast("double")))
+    return both / (a + b - both + EPS)
+
+
+def best_documents(queries: DataFrame, weighted: DataFrame, k: int, as_jaccard: bool = False, max_terms: int = index.MAX_BROADCAST_TERMS) -> DataFrame:
+    """(q, item, score, rk): of documents (item, bag) that share a term with a query (q, term, qw) the k best, by score rounded to six
+    digits and then by id. `as_jaccard` takes cosines of binary bags for likenesses of sets.
+
+    Up to `max_terms` terms of queries are given to the tasks, which sum scores where a document lies and pass on their own k
+    best of each query; so nothing is keyed by a term, and no pairs are shuffled. More terms go through an index.
+    """
+    sized = queries.withColumn("query_size", F.count("*").over(Window.partitionBy("q")))
+    if sized.limit(max_terms + 1).count() > max_terms:
+        return index.best(index.build(weighted, weighted.count()), queries, k, jaccard_of_cosine if as_jaccard else lambda dot, a, b: dot)
+    workers_see_package(queries.sparkSession)
+    found = sorted(map(tuple, sized.select("q", "query_size", "term", "qw").collect()))  # max_terms at most
+    names = sorted({r[0] for r in found})
+    place, by_term = {q: i for i, q in enumerate(names)}, {}
+    for q, _, term, qw in found:
+        by_term.setdefault(term, ([], []))[0].append(place[q])
+        by_term[term][1].append(qw)
+    own_size = np.array([n for _, n in sorted({r[0]: r[1] for r in found}.items())], np.int64)
+    known = queries.sparkSession.sparkContext.broadcast({t: (np.array(q), np.array(w)) for t, (q, w) in by_term.items()})
+    kind = dict(weighted.dtypes)["item"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int, object]]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                lists = batch.column("terms")
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                coded, ws = lists.flatten().dictionary_encode(), batch.column("ws").flatten().to_numpy(zero_copy_only=False)
+                met = [known.value.get(t) for t in coded.dictionary.to_pylist()]
+                count = np.array([len(m[0]) if m else 0 for m in met], np.int64)
+                code, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+                use = np.flatnonzero(count[code]) if len(code) else np.zeros(0, np.int64)
+                if not len(use):
+                    continue
+                q = np.concatenate([met[c][0] for c in code[use]])
+                part = np.concatenate([met[c][1] for c in code[use]]) * np.repeat(ws[use], count[code[use]])
+                keys, inverse = np.unique(q * len(size) + np.repeat(row[use], count[code[use]]), return_inverse=True)
+                dots, (own, doc) = np.bincount(inverse, part), np.divmod(keys, len(size))
+                ids = batch.column("item").to_pylist()
+                if as_jaccard:
+                    both = np.round(dots * np.sqrt(own_size[own].astype(float) * size[doc]))
+                    values = both / (own_size[own] + size[doc] - both + EPS)
+                else:
+                    values = dots
+                values = np.round(values, 6)
+                first = np.searchsorted(own, np.arange(len(names) + 1))
+                for i in np.flatnonzero(np.diff(first)).tolist():
+                    a, b = first[i], first[i + 1]
+                    rows = best.get(i, []) + [(-v, ids[d]) for v, d in zip(values[a:b].tolist(), doc[a:b].tolist(), strict=True)]
+                    best[i] = heapq.nsmallest(k, rows)
+        rows = [(names[i], x[1], -x[0]) for i, held in best.items() for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], q_type), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.float64())], names=["q", "item", "score"])
+
+    q_kind = dict(queries.dtypes)["q"]
+    q_type, item_type = (pa.int64() if x == "bigint" else pa.int32() if x == "int" else pa.string() for x in (q_kind, kind))
+    flat = weighted.select("item", F.col("bag.term").alias("terms"), F.col("bag.w").alias("ws"))
+    tops = flat.mapInArrow(scan, f"q {q_kind}, item {kind}, score double")
+    rk = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "item"))
+    return tops.withColumn("rk", rk.cast("long")).filter(F.col("rk") <= k)
+
+
+def best_by_cosine(queries: DataFrame, docs: DataFrame, k: int, weigh: Callable[[DataFrame], DataFrame] = count_bags) -> DataFrame:
+    """(q, item, score, rk): the k documents with the greatest cosine for each query; both sides are bags by item."""
+    return best_documents(query_terms(weigh(queries)), weigh(docs), k)
+
+
+def best_by_jaccard(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    return best_documents(query_terms(binary_bags(queries)), binary_bags(docs), k, True)
+
+
+def bm25_terms(queries: DataFrame, frequencies: DataFrame, documents: int) -> DataFrame:
+    """(q, term, qw): a query's terms, each once, with their idf."""
+    once = query_terms(_weighted(queries, lambda tf, dl: F.lit(1.0), None))
+    return once.join(frequencies, "term").select("q", "term", idf(F.lit(documents), F.col("df")).alias("qw"))
+
+
+def best_by_bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The same by BM25, from stored bags. Frequencies are counted for the queries' terms only."""
+    size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    terms = queries.select(F.explode("terms").alias("term")).distinct()
+    small = terms.limit(index.MAX_BROADCAST_TERMS + 1).count() <= index.MAX_BROADCAST_TERMS
+    df = docs.select(F.explode("terms").alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighted = cut(bm25_terms(queries, df, size["n"]), "query-terms")  # documents are counted once
+    return best_documents(weighted, bm25_bags(docs, size["avgdl"] or 1.0), k)
+
+
 def next_prime(n: int) -> int:
     """Least prime that is not less than n."""
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):

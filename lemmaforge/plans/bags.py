@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lemmaforge.functions.text import mask, padded, word_tokens
 from lemmaforge.operators import bags as b
-from lemmaforge.operators import encoders
+from lemmaforge.operators import encoders, index
 from lemmaforge.operators import similarity as sim
 from lemmaforge.session import cut
 
@@ -27,20 +26,17 @@ def _doc_bags(spark, d):
     return b.bag(_docs(spark, d), "doc_id", "text")
 
 
-def _stored_bags(spark, d):
-    """Bags that a query reads more than once: texts are split once."""
-    return cut(_doc_bags(spark, d), "bags")
+def _stored(spark, d):
+    """Documents' bags by item, stored: texts are split once."""
+    return cut(b.bags_by_item(_docs(spark, d), "doc_id", "text"), "bags")
 
 
 def _item_bags(spark, d):
     return b.bag(_items(spark, d), "item_id", "text")
 
 
-def _top(scored, digits: int = 6):
-    """The TOP best of each query, by rounded score and then by id."""
-    rounded = scored.select("q", "item", F.round("score", digits).alias("score"))
-    rk = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "item"))
-    return rounded.withColumn("rk", rk.cast("long")).filter(F.col("rk") <= TOP)
+def _queries(spark, d):
+    return b.bags_by_item(_items(spark, d), "item_id", "text")
 
 
 def v15_tokens(spark, d):
@@ -75,29 +71,30 @@ def v5_idf(spark, d):
 
 
 def v6_bm25(spark, d):
-    bags = _stored_bags(spark, d)
-    return _top(b.bm25(_item_bags(spark, d), bags, b.length_stats(bags, _docs(spark, d).count())))
+    return b.best_by_bm25(_queries(spark, d), _stored(spark, d), TOP)
 
 
 def j17_term_join(spark, d):
+    """How many documents' terms each query meets, and the sum of the products of counts: documents are summed by term first."""
     q = _item_bags(spark, d).select(F.col("item").alias("q"), "term", F.col("tf").alias("qf"))
-    return q.join(_doc_bags(spark, d), "term").groupBy("q").agg(F.count("*").alias("n"), F.sum(F.col("qf") * F.col("tf")).alias("weight"))
+    by_term = _doc_bags(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return q.join(by_term, "term").groupBy("q").agg(F.sum("df").alias("n"), F.sum(F.col("qf") * F.col("tf")).alias("weight"))
 
 
 def v3_cosine(spark, d):
-    return _top(b.cosine(_item_bags(spark, d), _stored_bags(spark, d)))
+    return b.best_by_cosine(_queries(spark, d), b.bags_by_item(_docs(spark, d), "doc_id", "text"), TOP)
 
 
 def v4_jaccard(spark, d):
-    return _top(b.jaccard(_item_bags(spark, d), _stored_bags(spark, d)))
+    return b.best_by_jaccard(_queries(spark, d), b.bags_by_item(_docs(spark, d), "doc_id", "text"), TOP)
 
 
 def v7_bm25_encoder(spark, d):
-    return _top(b.encoder_cosine(_item_bags(spark, d), _stored_bags(spark, d)))
+    return b.best_by_cosine(_queries(spark, d), b.bags_by_item(_docs(spark, d), "doc_id", "text"), TOP, b.encoder_bags)
 
 
 def v8_jaccard_encoder(spark, d):
-    return _top(b.binary_cosine(_item_bags(spark, d), _stored_bags(spark, d)))
+    return b.best_by_cosine(_queries(spark, d), b.bags_by_item(_docs(spark, d), "doc_id", "text"), TOP, b.binary_bags)
 
 
 def v9_minhash(spark, d):
@@ -120,9 +117,10 @@ def f10_valid_tokens(spark, d):
 
 def w5_lexical_search(spark, d):
     """Free-text query over all documents, the hundred best."""
-    q = b.bag(spark.createDataFrame([(0, "the or and ingthe that")], "item_id long, text string"), "item_id", "text")
-    scored = b.cosine(q, _stored_bags(spark, d)).select("item", F.round("score", 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "item").limit(100)
+    q = b.bags_by_item(spark.createDataFrame([(0, "the or and ingthe that")], "item_id long, text string"), "item_id", "text")
+    docs = _stored(spark, d)
+    made = index.build(b.count_bags(docs), docs.count())
+    return index.best(made, b.query_terms(b.count_bags(q)), 100).select("item", "score")
 
 
 def v10_next_prime(spark, d):
