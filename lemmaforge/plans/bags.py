@@ -8,14 +8,14 @@ from lemmaforge.functions.text import mask, padded, word_tokens
 from lemmaforge.operators import bags as b
 from lemmaforge.operators import encoders, index
 from lemmaforge.operators import similarity as sim
-from lemmaforge.session import cut
+from lemmaforge.session import cut, spread
 
 TOP = 10
 LENGTH = 256
 
 
 def _docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def _items(spark, d):

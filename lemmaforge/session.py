@@ -99,6 +99,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table of fewer files than the session has cores, dealt evenly to all of them; a larger one as it is.
+
+    One file is often one row group, which one task reads whole; work that follows without a shuffle would stay there.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that `cut` wrote, where all that was computed from them is stored itself."""
     for table in tables:
