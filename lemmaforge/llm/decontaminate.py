@@ -5,8 +5,8 @@ words of a benchmark item; an item of fewer words, but not none, is one window.
 hash set over benchmark-word numbers, slide over the training words, look up only windows all of whose words occur
 in the benchmark, and compare the exact word numbers, so a hit is never a hash collision. Nothing is shuffled.
 
-The set is broadcast only while the benchmark's texts hold at most `max_broadcast_words` words, counted at white space
-and signs by Spark: 250,000 words take some 110 MB in each Python worker. A larger one goes another way: training windows
+The set is broadcast only while the benchmark's texts hold at most `max_broadcast_words` words and 16 bytes for each of these,
+both counted by Spark: 250,000 words take some 110 MB in each Python worker. A larger one goes another way: training windows
 are keyed by two 64-bit hashes and joined to the benchmark windows by a shuffle.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window; repeated items
@@ -32,7 +32,7 @@ from lemmaforge.llm.columns import Plain
 from lemmaforge.session import workers_see_package
 
 N_WORDS = 13
-MAX_BROADCAST_WORDS = 1_000_000
+MAX_BROADCAST_WORDS = 250_000
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEPT else 0x20 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -123,8 +123,8 @@ def contamination(
 
 def _contamination(docs: DataFrame, benchmark: DataFrame, text: str, n: int, out: str, max_broadcast_words: int) -> DataFrame:
     items = benchmark_items(benchmark)
-    size = items.agg(F.sum(F.regexp_count("body", F.lit(SPARK_WORD))).alias("n")).first()["n"] or 0
-    if size > max_broadcast_words:
+    size = items.agg(F.sum(F.regexp_count("body", F.lit(SPARK_WORD))).alias("words"), F.sum(F.octet_length("body")).alias("bytes")).first()
+    if (size["words"] or 0) > max_broadcast_words or (size["bytes"] or 0) > 16 * max_broadcast_words:
         return _by_join(docs, items, text, n, out)
     grams = NgramSet([(r["item"], words_of(r["body"].encode())) for r in items.toLocalIterator()], n)
     shared = docs.sparkSession.sparkContext.broadcast(grams)
