@@ -5,7 +5,9 @@ A bag is never made dense. Scores come from joins on the term, summed by pair, s
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ K1, B = 1.2, 0.75
 ENCODER_LENGTH = 100.0
 PRIME = 30011
 CHUNK = 256
+WIDTH = 2048  # of signatures and projections
+PROJECTED_BITS = 15  # more than PRIME has
 
 
 def bags_by_item(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -272,8 +276,67 @@ def term_number(term: Column, prime: int = PRIME) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 6), 16, 10).cast("long") % prime
 
 
-def minhash(bags: DataFrame, count: int = 16, prime: int = PRIME) -> DataFrame:
-    """(item, sig): the least hash under each function. Items without terms have no row, so no signature."""
-    x = term_number(F.col("term"), prime)
-    least = [F.min(F.pmod(x * a + b, F.lit(prime))).alias(f"h{i}") for i, (a, b) in enumerate(hash_functions(count, prime))]
-    return bags.groupBy("item").agg(*least).select("item", F.array(*[f"h{i}" for i in range(count)]).alias("sig"))
+def number_of(term: str, prime: int = PRIME) -> int:
+    """The same number, in a task."""
+    return int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % prime
+
+
+def _by_number(bags: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray], table: Callable[[np.ndarray], np.ndarray], field: str, kind: str, weights: bool) -> DataFrame:
+    """(item, `field`) of bags with terms: values(rows of `table` by the item's term numbers, weights). `table` has a row for
+    each number and is made once for the different terms of some CHUNK items."""
+    width = {"int": pa.int32(), "double": pa.float64()}[kind]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                coded = batch.column("terms").flatten().dictionary_encode()
+                numbers = np.array([number_of(t) for t in coded.dictionary.to_pylist()], np.int64)
+                different, row = np.unique(numbers, return_inverse=True)
+                rows = table(different)
+                code = row[coded.indices.to_numpy(zero_copy_only=False)]
+                ws = batch.column("ws").flatten().to_numpy(zero_copy_only=False) if weights else np.zeros(len(code))
+                ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False))
+                begins = np.concatenate(([0], ends[:-1]))
+                found = [values(rows[code[a:b]], ws[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                flat = np.concatenate(found) if found else np.zeros(0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * (len(flat) // max(1, len(found))), pa.int32()), pa.array(flat, width))
+                yield pa.RecordBatch.from_arrays([batch.column("item"), lists], names=["item", field])
+
+    return bags.filter(F.size("terms") > 0).mapInArrow(scan, f"item {dict(bags.dtypes)['item']}, {field} array<{kind}>")
+
+
+def minhash(bags: DataFrame, count: int = WIDTH, prime: int = PRIME) -> DataFrame:
+    """(item, sig) of bags by item: the least hash under each of `count` functions. Items without terms have no row, so no signature.
+
+    The functions' values of a term are computed once for some CHUNK items, and an item takes their minima.
+    """
+    a, b = (np.array(x, np.int32) for x in zip(*hash_functions(count, prime), strict=True))  # products stay under 2 ** 31
+    return _by_number(bags.select("item", "terms"), lambda rows, _: rows.min(0), lambda x: ((x.astype(np.int32)[:, None] * a + b) % np.int32(prime)).astype(np.int16), "sig", "int", False)
+
+
+def mixed_rows(dimensions: int, bits: int = PROJECTED_BITS) -> np.ndarray:
+    """`dimensions` different rows of the Hadamard matrix, by a bijection of `bits`-bit numbers."""
+    d = np.arange(dimensions, dtype=np.int64)
+    d = (d ^ (d >> 7)) * 11291 % (1 << bits)
+    return d ^ (d >> 9)
+
+
+def signs(number: np.ndarray) -> np.ndarray:
+    return np.array([1 - 2 * (int(hashlib.md5(str(x).encode()).hexdigest()[0], 16) & 1) for x in number.tolist()], np.int8)
+
+
+def projected(weighted: DataFrame, dimensions: int = WIDTH) -> DataFrame:
+    """(item, vec) of weighted bags (item, bag): a random sign for each term number, the Hadamard transform, and `dimensions` of its
+    rows, scaled so that inner products are kept on average; two unit vectors' differs by about sqrt(1 / dimensions).
+
+    An entry of the transform is a parity of bits, so no matrix is stored: a bag's few terms are summed.
+    """
+    rows = mixed_rows(dimensions)
+
+    def table(x: np.ndarray) -> np.ndarray:
+        parity = np.bitwise_count(x[:, None] & rows[None, :]) & 1
+        return (1 - 2 * parity.astype(np.int8)) * signs(x)[:, None]
+
+    flat = weighted.select("item", F.col("bag.term").alias("terms"), F.col("bag.w").alias("ws"))
+    return _by_number(flat, lambda t, w: w @ t / math.sqrt(dimensions), table, "vec", "double", True)

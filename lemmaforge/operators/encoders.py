@@ -35,14 +35,16 @@ def names() -> list[str]:
     return sorted(_KNOWN)
 
 
-def minhash_vectors(items: DataFrame, count: int = 16) -> DataFrame:
+def minhash_vectors(items: DataFrame, count: int = bags.WIDTH) -> DataFrame:
     """(item, vec): signatures scaled to unit length."""
-    signed = bags.minhash(bags.bag(items, "item", "text"), count)
+    signed = bags.minhash(bags.bags_by_item(items, "item", "text"), count)
     return signed.select("item", normalised(F.transform("sig", lambda x: x.cast("double"))).alias("vec"))
 
 
 register("bm25", lambda items: bags.encoder_weights(bags.bag(items, "item", "text")))
 register("jaccard", lambda items: bags.binary_weights(bags.bag(items, "item", "text")))
+register("bm25_projected", lambda items: bags.projected(bags.encoder_bags(bags.bags_by_item(items, "item", "text"))))
+register("jaccard_projected", lambda items: bags.projected(bags.binary_bags(bags.bags_by_item(items, "item", "text"))))
 register("minhash", minhash_vectors)
 register("first_token", lambda items: items.select("item", first_vector(F.col("states")).alias("vec")))
 register("last_token", lambda items: items.select("item", last_vector(F.col("states"), F.col("mask")).alias("vec")))

@@ -12,6 +12,7 @@ from lemmaforge.session import cut, spread
 
 TOP = 10
 LENGTH = 256
+SMALL = 16
 
 
 def _docs(spark, d):
@@ -98,7 +99,21 @@ def v8_jaccard_encoder(spark, d):
 
 
 def v9_minhash(spark, d):
-    return b.minhash(_doc_bags(spark, d)).select("item", F.concat_ws(",", F.transform("sig", lambda x: x.cast("string"))).alias("sig"))
+    return b.minhash(b.bags_by_item(_docs(spark, d), "doc_id", "text")).select("item", F.md5(F.concat_ws(",", F.transform("sig", lambda x: x.cast("string")))).alias("sig"), F.size("sig").alias("width"))
+
+
+def _projection(spark, d, weigh):
+    return b.projected(weigh(_queries(spark, d)), SMALL).select("item", F.posexplode("vec").alias("dim", "x")).select("item", "dim", F.round("x", 6).alias("x"))
+
+
+def v7_projected(spark, d):
+    """The BM25 encoder's vectors in SMALL dimensions."""
+    return _projection(spark, d, b.encoder_bags)
+
+
+def v8_projected(spark, d):
+    """The Jaccard encoder's."""
+    return _projection(spark, d, b.binary_bags)
 
 
 def v9_minhash_search(spark, d):
@@ -144,9 +159,20 @@ def _w(name: str, key: str) -> str:
     return f"{name}r AS (SELECT x.{key}, term, f * 2.2::DOUBLE / (f + 1.2::DOUBLE * greatest(0.5::DOUBLE, 0.25::DOUBLE + 0.75::DOUBLE * l / 100)) + 1e-10 AS w FROM {name} x JOIN (SELECT {key}, sum(f) AS l FROM {name} GROUP BY {key}) USING ({key})), {name}w AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {name}r)"
 
 
-_HASHES = ", ".join(f"min(((('0x' || substr(md5(term), 1, 6))::BIGINT % 30011) * {a} + {c}) % 30011)::VARCHAR" for a, c in b.hash_functions(16))
-_SIGNED = _HASHES.replace("::VARCHAR", "::DOUBLE")
-QUERIES = {f.__name__: f for f in (v3_cosine, v4_jaccard, v5_idf, v6_bm25, v7_bm25_encoder, v8_jaccard_encoder, v9_minhash, v9_minhash_search, v10_next_prime, v15_tokens, v16_padded, v17_vocabulary, a12_term_frequency, a13_corpus_stats, a13_document_frequency, j17_term_join, f10_valid_tokens, w5_lexical_search)}
+_X = "(('0x' || substr(md5(term), 1, 6))::BIGINT % 30011)"
+_HF = f"hf AS (SELECT range AS f, 1 + 7919 * (range + 1) % 30010 AS a, 104729 * (range + 1) % 30011 AS b FROM range({b.WIDTH}))"
+_SIG = lambda rows, key: f"SELECT {key}, list(h ORDER BY f) AS v FROM (SELECT {key}, f, min((x * a + b) % 30011) AS h FROM (SELECT DISTINCT {key}, {_X} AS x FROM {rows}), hf GROUP BY {key}, f) GROUP BY {key}"
+
+
+def _projected_sql(weights: str) -> str:
+    """Signs, parities of bits and rows as the operator defines them, over the items' weights."""
+    return f"""WITH {_BAGS}, qf AS (SELECT q, term, qf AS f FROM qb), {weights}, m AS (SELECT range AS dim, xor(range, range >> 7) * 11291 % 32768 AS r FROM range({SMALL})),
+rw AS (SELECT dim, xor(r, r >> 9) AS r FROM m),
+t AS (SELECT q, w, x, 1 - 2 * (('0x' || substr(md5(x::VARCHAR), 1, 1))::INT & 1) AS s FROM (SELECT q, w, {_X} AS x FROM qfw))
+SELECT q AS item, CAST(dim AS INT) AS dim, round(sum(w * s * (1 - 2 * (bit_count(x & r) & 1))) / sqrt({SMALL}), 6) AS x FROM t, rw GROUP BY q, dim"""
+
+
+QUERIES = {f.__name__: f for f in (v3_cosine, v4_jaccard, v5_idf, v6_bm25, v7_bm25_encoder, v8_jaccard_encoder, v7_projected, v8_projected, v9_minhash, v9_minhash_search, v10_next_prime, v15_tokens, v16_padded, v17_vocabulary, a12_term_frequency, a13_corpus_stats, a13_document_frequency, j17_term_join, f10_valid_tokens, w5_lexical_search)}
 SQL = {
     "v3_cosine": f"WITH {_BAGS}, qn AS (SELECT q, sqrt(sum(qf * qf)) + 1e-8 AS qn FROM qb GROUP BY q), dn AS (SELECT item, sqrt(sum(tf * tf)) + 1e-8 AS dn FROM db GROUP BY item) " + _best("SELECT q, item, sum(qf * tf) / (any_value(qn) * any_value(dn)) AS score FROM qb JOIN db USING (term) JOIN qn USING (q) JOIN dn USING (item) GROUP BY q, item"),
     "v4_jaccard": f"WITH {_BAGS}, {_SIZES} " + _best("SELECT q, item, shared / (qs + ds - shared + 1e-12) AS score FROM o JOIN qs USING (q) JOIN ds USING (item)"),
@@ -154,8 +180,10 @@ SQL = {
     "v6_bm25": f"WITH {_BAGS}, {_STATS} " + _best("SELECT q, item, sum(ln(1 + (n::DOUBLE - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qb JOIN db USING (term) JOIN df USING (term) JOIN dl USING (item), st GROUP BY q, item"),
     "v7_bm25_encoder": f"WITH {_BAGS}, qf AS (SELECT q, term, qf AS f FROM qb), tf AS (SELECT item, term, tf AS f FROM db), {_w('qf', 'q')}, {_w('tf', 'item')} " + _best("SELECT q, item, sum(a.w * b.w) AS score FROM qfw a JOIN tfw b USING (term) GROUP BY q, item"),
     "v8_jaccard_encoder": f"WITH {_BAGS}, {_SIZES} " + _best("SELECT q, item, shared / sqrt(qs::DOUBLE * ds) AS score FROM o JOIN qs USING (q) JOIN ds USING (item)"),
-    "v9_minhash": f"WITH {_BAGS} SELECT item, concat_ws(',', {_HASHES}) AS sig FROM db GROUP BY item",
-    "v9_minhash_search": f"WITH {_BAGS}, dg AS (SELECT item, [{_SIGNED}] AS v FROM db GROUP BY item), qg AS (SELECT q, [{_SIGNED}] AS v FROM qb GROUP BY q) " + _best("SELECT q, item, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM qg a, dg b"),
+    "v9_minhash": f"WITH {_BAGS}, {_HF} SELECT item, md5(array_to_string(v, ',')) AS sig, CAST(len(v) AS INT) AS width FROM ({_SIG('db', 'item')})",
+    "v7_projected": _projected_sql(_w("qf", "q")),
+    "v8_projected": _projected_sql("qfw AS (SELECT q, term, 1 / sqrt(count(*) OVER (PARTITION BY q)) AS w FROM qf)"),
+    "v9_minhash_search": f"WITH {_BAGS}, {_HF}, dg AS (SELECT item, CAST(v AS DOUBLE[]) AS v FROM ({_SIG('db', 'item')})), qg AS (SELECT q, CAST(v AS DOUBLE[]) AS v FROM ({_SIG('qb', 'q')})) " + _best("SELECT q, item, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM qg a, dg b"),
     "v15_tokens": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)",
     "v16_padded": f"SELECT item_id, array_to_string(list_resize(list_slice(w, 1, {LENGTH}), {LENGTH}, '<pad>'), ' ') AS tokens, CAST(least(len(w), {LENGTH}) AS BIGINT) AS kept FROM (SELECT item_id, {_TOK} AS w FROM benchmark)",
     "v17_vocabulary": f"WITH {_BAGS} SELECT count(DISTINCT term) AS vocabulary FROM db",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lemmaforge.functions import latex as L
 from lemmaforge.functions.merger import code_of
-from lemmaforge.operators import bundles, corpus, dag, encoders, ordinals, similarity
+from lemmaforge.operators import bags, bundles, corpus, dag, encoders, ordinals, similarity
 from lemmaforge.plans import retrieval
 from lemmaforge.sources import jsonl, shards
 
@@ -180,7 +180,7 @@ def test_top_k_needs_k_others(spark):
 
 
 def test_encoders_by_name(spark):
-    assert encoders.names() == ["bm25", "first_token", "jaccard", "last_token", "minhash"]
+    assert encoders.names() == ["bm25", "bm25_projected", "first_token", "jaccard", "jaccard_projected", "last_token", "minhash"]
     items = spark.createDataFrame([(1, "a b b c"), (2, "a"), (3, None)], "item long, text string")
     rows = {(r["item"], r["term"]): r["w"] for r in encoders.encoder("jaccard")(items).collect()}
     assert len(rows) == 4 and abs(rows[1, "b"] - 3**-0.5) < 1e-12 and rows[2, "a"] == 1.0
@@ -189,7 +189,7 @@ def test_encoders_by_name(spark):
         unit[r["item"]] = unit.get(r["item"], 0) + r["w"] ** 2
     assert set(unit) == {1, 2} and all(abs(x - 1) < 1e-9 for x in unit.values())
     vectors = encoders.encoder("minhash")(items).collect()
-    assert {r["item"] for r in vectors} == {1, 2} and all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-9 for r in vectors)
+    assert {r["item"] for r in vectors} == {1, 2} and all(len(r["vec"]) == 2048 and abs(sum(x * x for x in r["vec"]) - 1) < 1e-9 for r in vectors)
     states = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [1, 1, 0])], "item long, states array<array<double>>, mask array<int>")
     assert list(encoders.encoder("first_token")(states).first()["vec"]) == [1.0, 2.0] and list(encoders.encoder("last_token")(states).first()["vec"]) == [3.0, 4.0]
     with pytest.raises(KeyError, match="no encoder"):
@@ -336,3 +336,30 @@ def test_tiles_of_a_super_block_add_up(spark, monkeypatch):
     assert {(r["q"], r["c"]) for r in similarity.ranking(vectors, 7).collect()} <= {(r["q"], r["c"]) for r in near.collect()}
     plan = similarity.ranking(vectors)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_signatures_by_their_definition(spark):
+    texts = spark.createDataFrame([(1, "a b c a"), (2, "d"), (3, "")], "item long, text string")
+    got = {r["item"]: list(r["sig"]) for r in bags.minhash(bags.bags_by_item(texts, "item", "text"), 40).collect()}
+    numbers = {w: bags.number_of(w) for w in "abcd"}
+    assert got == {i: [min((numbers[w] * a + b) % bags.PRIME for w in words) for a, b in bags.hash_functions(40)] for i, words in ((1, "abc"), (2, "d"))}
+    assert len(set(bags.hash_functions(bags.WIDTH))) == bags.WIDTH
+
+
+def test_projections_keep_norms_and_cosines(spark):
+    """2,048 dimensions: unit vectors keep their length and their cosines within 0.1."""
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(pool[: 60 if i % 2 else 3000], k=rng.randint(5, 120)))) for i in range(60)] + [(99, None)]
+    frame = bags.bags_by_item(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    for weigh in (bags.encoder_bags, bags.binary_bags):
+        sparse = {}
+        for r in weigh(frame).collect():
+            for x in r["bag"]:
+                of = sparse.setdefault(r["item"], {})
+                of[bags.number_of(x["term"])] = of.get(bags.number_of(x["term"]), 0.0) + x["w"]
+        dense = {r["item"]: np.array(r["vec"]) for r in bags.projected(weigh(frame)).collect()}
+        assert set(dense) == set(sparse) and all(len(v) == 2048 for v in dense.values())
+        apart = [abs(float(dense[i] @ dense[j]) - sum(w * sparse[j].get(t, 0.0) for t, w in sparse[i].items())) for i in dense for j in dense]
+        assert max(apart) < 0.1 and sum(apart) / len(apart) < 0.03
+    assert len(set(bags.mixed_rows(1 << 15).tolist())) == 1 << 15
