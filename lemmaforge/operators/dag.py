@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from lemmaforge.functions import latex
 from lemmaforge.functions.scanner import events as scan_record
-from lemmaforge.session import cut, workers_see_package
+from lemmaforge.session import cut, release, workers_see_package
 
 EVENT = "index bigint, seq int, proof boolean, file_index int, start int, file string, env_raw string, kind string, text string, label string, labels array<string>, header_refs array<string>, body_refs array<string>, error string"
 
@@ -268,6 +268,50 @@ def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "index", "left").select("index", "ids", "pairs").mapInArrow(run, "index bigint, topo_order array<string>, dag_valid boolean, duplicate_ids int")
 
 
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(index, id, level) of every node: the most edges on a path that ends there, null for nodes on or behind a cycle, which never
+    come free. Equal ids are one node; edges with an end that no node has are left out.
+
+    No record is gathered. Nodes with one predecessor are contracted first, by doubling pointers, so that a chain takes as many
+    steps as its length has digits in base 2; of the rest, those whose predecessors are known are peeled off, a round a depth.
+    """
+    at = ["index", "id"]
+    known = cut(nodes.select(*at).distinct(), "levels-nodes")
+    pairs = edges.select("index", "from", "to").distinct()
+    pairs = pairs.join(known.select("index", F.col("id").alias("from")), ["index", "from"]).join(known.select("index", F.col("id").alias("to")), ["index", "to"])
+    pairs = cut(pairs, "levels-edges")
+    into = pairs.groupBy("index", F.col("to").alias("id")).agg(F.count("*").alias("n"), F.min("from").alias("parent"))
+    single = F.col("n") == 1
+    jumps = known.join(into, at, "left").select(*at, F.when(single, F.col("parent")).otherwise(F.col("id")).alias("head"), F.when(single, 1).otherwise(0).cast("long").alias("far"), F.coalesce(~single, F.lit(True)).alias("done"), F.col("n").isNull().alias("free"))
+    jumps, open_ = cut(jumps, "levels-jumps"), -1
+    while (left := jumps.filter("not done").count()) and left != open_:  # nodes behind cycles stay open
+        open_ = left
+        ahead = jumps.select("index", F.col("id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"), F.col("done").alias("ends"))
+        moved = jumps.filter("not done").join(ahead, ["index", "head"])
+        step = moved.select(*at, F.col("next").alias("head"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("done"), F.lit(False).alias("free"))
+        new = cut(jumps.filter("done").unionByName(step), "levels-jumps")
+        release(jumps)
+        jumps = new
+    heads = jumps.select("index", F.col("id").alias("from"), "head", "far", "done")
+    meets = into.filter("n > 1").select(*at)
+    arcs = pairs.join(meets.withColumnRenamed("id", "to"), ["index", "to"]).join(heads, ["index", "from"]).select("index", F.col("to").alias("id"), F.when(F.col("done"), F.col("head")).alias("head"), (F.col("far") + 1).alias("far"))
+    arcs = cut(arcs, "levels-arcs")
+    found = cut(jumps.filter("free").select(*at, F.lit(0).cast("long").alias("level")), "levels-found")
+    rest, rounds = arcs, 0
+    while True:
+        by = found.select("index", F.col("id").alias("head"), "level")
+        ready = rest.join(by, ["index", "head"], "left").groupBy(*at).agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count("level").alias("have"), F.count("*").alias("all")).filter("have = all").select(*at, "level")
+        new = cut(ready, "levels-round")
+        if not new.limit(1).count():
+            break
+        found, rounds = found.unionByName(new), rounds + 1
+        if rounds % 16 == 0:
+            found = cut(found, "levels-found")
+        rest = cut(rest.join(new.select(*at), at, "left_anti"), "levels-arcs")
+    top = found.select("index", F.col("id").alias("head"), F.col("level").alias("base"))
+    return jumps.join(top, ["index", "head"], "left").select(*at, F.when(F.col("done"), F.col("base") + F.col("far")).alias("level"))
+
+
 def nested(records: DataFrame, graph: Graph, options: Options = Options()) -> DataFrame:  # noqa: B008
     """One row for each record in the file layout; failed records have an error and nothing else."""
     node = F.struct("ordinal", F.struct("id", F.col("kind").alias("env"), "env_raw", "label", "file", "ordinal", "text").alias("n"))

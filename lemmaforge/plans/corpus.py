@@ -79,7 +79,7 @@ def _stored_shards(spark, d):
 
 
 def s6_shard_scan(spark, d):
-    v = shards.read_shards(spark, f"{_stored_shards(spark, d)}/bert-base/toy/eval/embeddings")
+    v = shards.precomputed(spark, _stored_shards(spark, d), "bert-base", "toy", "eval")
     return v.select("id", F.posexplode("embedding").alias("dim", "x")).select("id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
@@ -95,7 +95,7 @@ def s8_precomputed(spark, d):
     path = _stored_shards(spark, d)
     found = shards.precomputed(spark, path, "bert-base", "toy", "eval")
     missing = shards.precomputed(spark, path, "bert-base", "full", "eval")
-    return found.agg(F.count("*").alias("n")).withColumn("missing", F.lit(missing is None))
+    return found.select("id", F.size("embedding").alias("numbers"), F.lit(missing is None).alias("missing"))
 
 
 def s9_listing(spark, d):
@@ -155,9 +155,9 @@ def k4_no_overwrite(spark, d):
 
 def k5_embedding_sink(spark, d):
     """Every stored id with its paper and the number of its components, beside the info row."""
-    at = f"{_stored_shards(spark, d)}/bert-base/toy/eval"
-    info = spark.read.json(f"{at}/info").select("model", "size", "split", "n", "dim")
-    return spark.read.parquet(f"{at}/embeddings").select("id", "paper_id", F.size("embedding").alias("numbers")).crossJoin(F.broadcast(info))  # one row
+    path = _stored_shards(spark, d)
+    info = shards.store(spark, path, "info", model="bert-base", size="toy", split="eval").select("model", "size", "split", "n", F.col("dim").cast("long").alias("dim"))
+    return shards.store(spark, path, model="bert-base", size="toy", split="eval").select("id", "paper_id", F.size("embedding").alias("numbers")).crossJoin(F.broadcast(info))  # one row
 
 
 def k6_edge_array(spark, d):
@@ -343,7 +343,7 @@ SQL = {
     "s5_training_scan": f"WITH {_P} SELECT index, len(lemmas) AS lemmas, len(theorems) AS theorems FROM p",
     "s6_shard_scan": "SELECT 'v' || vec_id AS id, CAST(unnest(range(len(embedding))) AS INT) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings",
     "s7_id_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS of_bytes, CAST(n_nationkey AS VARCHAR) AS of_number, n_nationkey || ',' || n_regionkey AS of_pair FROM nation",
-    "s8_precomputed": "SELECT count(*) AS n, true AS missing FROM embeddings",
+    "s8_precomputed": "SELECT 'v' || vec_id AS id, CAST(len(embedding) AS INT) AS numbers, true AS missing FROM embeddings",
     "s9_listing": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name, true AS has_size",
     "s10_dataset": "SELECT count(DISTINCT conv_id) AS n, true AS same FROM conversations",
     "s11_scale_variants": "WITH l AS (SELECT conv_id, turn, 0 AS b FROM conversations UNION ALL SELECT conv_id, 98, 1 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT b, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT size, count(*) AS n FROM n, (VALUES ('toy', 200), ('tiny', 1000), ('small', 10000), ('medium', 100000), ('full', 4611686018427387904)) t(size, most) WHERE b = 0 AND index < most GROUP BY size",

@@ -348,6 +348,13 @@ def g7_topological(spark, d):
     return dag.topological(nodes, edges.unionByName(back)).select("index", F.array_join("topo_order", ",").alias("topo_order"), "dag_valid")
 
 
+def g7_levels(spark, d):
+    """Every fifth conversation has a cycle of its second and third turn."""
+    nodes, edges = _chains(spark, d)
+    back = edges.filter("index % 5 = 1 and ord = 102").select("index", F.col("to").alias("from"), F.col("from").alias("to"), F.lit(9000).cast("long").alias("ord"))
+    return dag.levels(nodes, edges.unionByName(back))
+
+
 def g8_edge_texts(spark, d):
     nodes, edges = _chains(spark, d)
     odd = edges.unionByName(edges.filter("ord % 7 = 1").select("index", "from", F.lit("none").alias("to"), (F.col("ord") + 50000).alias("ord")))
@@ -535,7 +542,12 @@ SQL = {
     "g4_older_edges": f"WITH {_T}, {_E} SELECT index, stmt AS \"from\", dep AS \"to\" FROM e",
     "g5_forward_policy": "WITH x AS (SELECT conv_id AS index, max(turn) AS m FROM conversations GROUP BY 1), y AS (SELECT index, 'c' || index || ':t' || m AS dep, 'c' || index || ':t0' AS stmt FROM x WHERE m > 0) SELECT index, dep AS \"from\", stmt AS \"to\", 'forward' AS \"table\" FROM y UNION ALL SELECT index, dep, stmt, 'included' FROM y UNION ALL SELECT index, 'skipped', '1', 'count' FROM y",
     "g6_statement_edges": "SELECT conv_id AS index, 'c' || conv_id || ':t' || (turn - 1) AS \"from\", 'c' || conv_id || ':t' || turn AS \"to\" FROM conversations WHERE turn > 0",
-    "g7_topological": "SELECT conv_id AS index, CASE WHEN conv_id % 5 = 1 AND max(turn) > 0 THEN '' ELSE string_agg(turn::VARCHAR, ',' ORDER BY turn) END AS topo_order, conv_id % 5 <> 1 OR max(turn) = 0 AS dag_valid FROM conversations GROUP BY conv_id",
+    "g7_levels": """WITH RECURSIVE e AS (SELECT a.conv_id AS index, a.turn AS f, b.turn AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND (b.turn - a.turn = 1 OR b.turn - a.turn = 3 OR a.conv_id % 5 = 1 AND a.turn = 2 AND b.turn = 1)),
+r AS (SELECT index, f AS a, t AS b FROM e UNION SELECT r.index, a, e.t FROM r JOIN e ON e.index = r.index AND e.f = r.b),
+bad AS (SELECT DISTINCT r.index, r.b AS id FROM r JOIN (SELECT index, a AS c FROM r WHERE a = b) USING (index) WHERE r.a = c),
+p AS (SELECT conv_id AS index, turn AS id, 0 AS d FROM conversations UNION SELECT p.index, e.t, d + 1 FROM p JOIN e ON e.index = p.index AND e.f = p.id LEFT JOIN bad ON bad.index = e.index AND bad.id = e.t WHERE bad.id IS NULL)
+SELECT p.index, p.id::VARCHAR AS id, CASE WHEN any_value(bad.id) IS NULL THEN CAST(max(d) AS BIGINT) END AS level FROM p LEFT JOIN bad ON bad.index = p.index AND bad.id = p.id GROUP BY p.index, p.id""",
+    "g7_levels, g7_topological": "SELECT conv_id AS index, CASE WHEN conv_id % 5 = 1 AND max(turn) > 0 THEN '' ELSE string_agg(turn::VARCHAR, ',' ORDER BY turn) END AS topo_order, conv_id % 5 <> 1 OR max(turn) = 0 AS dag_valid FROM conversations GROUP BY conv_id",
     "g8_edge_texts": f"WITH {_C} SELECT ed.index, ord, i::VARCHAR AS \"from\", j::VARCHAR AS \"to\", md5(a.text) AS a, md5(b.text) AS b FROM ed JOIN nd a ON a.index = ed.index AND a.turn = i JOIN nd b ON b.index = ed.index AND b.turn = j UNION ALL SELECT ed.index, ord + 50000, i::VARCHAR, 'none', md5(a.text), NULL FROM ed JOIN nd a ON a.index = ed.index AND a.turn = i WHERE ord % 7 = 1",
     "g9_proof_reports": f"WITH {_T}, {_HEAD} SELECT index, CASE WHEN named THEN 'direct' ELSE 'fallback' END AS method, 'By \\ref{{c' || index || ':t' || (turn - 1) || '}} and \\cref{{c' || index || ':t' || (turn - 2) || ', zz}} done.' AS excerpt FROM h",
     "j3_edge_ends": f"WITH {_C} SELECT index, i::VARCHAR AS \"from\", j::VARCHAR AS \"to\", i = 2 AS no_from, j = 2 AS no_to FROM ed",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lemmaforge.functions import latex
@@ -11,10 +9,10 @@ from lemmaforge.session import fresh_path
 from lemmaforge.streaming import totals
 
 
-def _run(spark, frame):
-    name = "t" + uuid.uuid4().hex
-    totals.start(frame, name, fresh_path(spark, "stream"), once=True).awaitTermination()
-    return spark.table(name)
+def _run(spark, records, totals_of, keys=()):
+    path = fresh_path(spark, "totals")
+    totals.start(records, totals_of, path, fresh_path(spark, "stream"), once=True).awaitTermination()
+    return totals.stored(spark, path, keys)
 
 
 def a5_streamed_totals(spark, d):
@@ -23,8 +21,7 @@ def a5_streamed_totals(spark, d):
     tex = F.concat(F.when(F.col("turn") % 2 == 0, "\\begin{foo}").otherwise("\\begin{theorem*}"), "text", F.when(F.col("turn") % 2 == 0, "\\end{foo}").otherwise("\\end{theorem*}"))
     folder = fresh_path(spark, "arriving")
     t.select((F.col("conv_id") * 100 + F.col("turn")).alias("index"), F.array(F.lit("\\newtheorem{foo}{Lemma}"), tex).alias("latex")).repartition(4).write.json(folder)
-    got = _run(spark, totals.statement_totals(totals.arriving(spark, folder, files_a_trigger=2)))
-    return got.filter("kind = 'lemma'").select("kind", "n")
+    return _run(spark, totals.arriving(spark, folder, files_a_trigger=2), totals.statement_totals, ("kind",))
 
 
 def a6_streamed_summary(spark, d):
@@ -36,7 +33,7 @@ def a6_streamed_summary(spark, d):
     rows = t.groupBy(F.col("conv_id").alias("index")).agg(F.collect_list(node).alias("nodes"), F.collect_list(F.when(F.col("turn") > 0, edge)).alias("edges"))
     rows.withColumn("error", F.when(F.col("index") % 10 == 3, "bad")).repartition(4).write.json(folder)
     schema = "index bigint, nodes array<struct<id:string>>, edges array<struct<from:string>>, error string"
-    return _run(spark, totals.graph_totals(totals.arriving(spark, folder, schema, 2)))
+    return _run(spark, totals.arriving(spark, folder, schema, 2), totals.graph_totals)
 
 
 def s12_label_map(spark, d):
@@ -58,7 +55,7 @@ def label_map(spark, path: str):
 
 QUERIES = {f.__name__: f for f in (a5_streamed_totals, a6_streamed_summary, s12_label_map)}
 SQL = {
-    "a5_streamed_totals": "SELECT 'lemma' AS kind, count(*) AS n FROM conversations WHERE turn % 2 = 0",
+    "a5_streamed_totals": "SELECT CASE WHEN turn % 2 = 0 THEN 'lemma' ELSE 'theorem' END AS kind, sum(CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS n FROM conversations GROUP BY 1",  # a theorem is found by both scans
     "a6_streamed_summary": "SELECT count(DISTINCT conv_id) FILTER (conv_id % 10 <> 3) AS records, count(DISTINCT conv_id) FILTER (conv_id % 10 = 3) AS error_records, count(*) AS nodes, count(*) FILTER (turn > 0) AS edges FROM conversations",
     "s12_label_map": "SELECT 'old:' || n_nationkey AS alias, lower('New:' || n_name) AS label FROM nation",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaforge.session import exists
+
 SIZES = {"toy": 200, "tiny": 1_000, "small": 10_000, "medium": 100_000, "full": None}
 
 
@@ -19,7 +21,10 @@ def id_text(value: Column, kind: str) -> Column:
 
 def read_shards(spark: SparkSession, path: str, ids: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, embedding) of a folder of shards. A vector of another length than the first kind, or none, fails the read."""
-    rows = spark.read.parquet(path)
+    return checked(spark.read.parquet(path), ids, vector)
+
+
+def checked(rows: DataFrame, ids: str = "id", vector: str = "embedding") -> DataFrame:
     kind = dict(rows.dtypes)[ids]
     sizes = rows.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
     if sizes["a"] != sizes["b"]:
@@ -29,22 +34,42 @@ def read_shards(spark: SparkSession, path: str, ids: str = "id", vector: str = "
     return rows.select(id_text(F.col(ids), kind).alias("id"), F.col(vector).cast("array<float>").alias("embedding"))
 
 
+def _part(model: str, size: str, split: str) -> dict[str, str]:
+    return {"model": model, "size": size, "split": split}
+
+
+def _folder(part: dict[str, str]) -> str:
+    return "/".join(f"{k}={v}" for k, v in part.items())
+
+
 def write_embeddings(rows: DataFrame, path: str, model: str, size: str, split: str, overwrite: bool = False) -> None:
-    """Vectors with their ids and, where rows have a paper_id, their papers, and an info row, under path/model/size/split.
-    Papers are a column of the vectors' table, so that they stay aligned and are read without the vectors."""
-    to = f"{path}/{model}/{size}/{split}"
-    mode = "overwrite" if overwrite else "errorifexists"
-    rows.write.mode(mode).parquet(f"{to}/embeddings")
-    rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).select(F.lit(model).alias("model"), F.lit(size).alias("size"), F.lit(split).alias("split"), "n", "dim").coalesce(1).write.mode(mode).json(f"{to}/info")
+    """Vectors with their ids and, where rows have a paper_id, their papers: one partition of path/embeddings, by model, size and
+    split, and its info row in path/info. Papers are a column of the vectors' table, so that they stay aligned and
+    are read without the vectors. Overwriting replaces this partition alone; without it a partition that is there raises."""
+    part = _part(model, size, split)
+    if not overwrite and exists(rows.sparkSession, f"{path}/embeddings/{_folder(part)}"):
+        raise FileExistsError(f"{_folder(part)} is stored already")
+    columns = {k: F.lit(v) for k, v in part.items()}
+    put = lambda df, to: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(f"{path}/{to}")
+    put(rows.withColumns(columns), "embeddings")
+    info = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"))
+    put(info.withColumns(columns).coalesce(1), "info")
+
+
+def store(spark: SparkSession, path: str, table: str = "embeddings", **part: str) -> DataFrame:
+    """The stored table, cut down to the named values of its partition columns, which prune what is read."""
+    rows = spark.read.parquet(f"{path}/{table}")
+    for k, v in part.items():
+        rows = rows.filter(F.col(k) == v)
+    return rows
 
 
 def precomputed(spark: SparkSession, path: str, model: str, size: str, split: str) -> DataFrame | None:
     """Stored vectors of a model for a dataset, or None."""
-    at = f"{path}/{model}/{size}/{split}/embeddings"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    part = _part(model, size, split)
+    if not exists(spark, f"{path}/embeddings/{_folder(part)}"):
         return None
-    return read_shards(spark, at)
+    return checked(store(spark, path, **part))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

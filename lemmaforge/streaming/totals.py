@@ -1,11 +1,14 @@
 """Running totals over records that keep arriving as JSON lines in a folder.
 
-Scans and counts are the batch operators' own. Totals are kept in complete mode: one row for each kind, however many
-records have come. Bundling by consecutive runs depends on the order of all pieces and stays a batch operator.
+Scans and counts are the batch operators' own. Each micro-batch stores its own totals in a folder named by its number, which a
+batch that is run again overwrites; the totals are the sum over all folders. So they outlive the driver, and every record
+counts once, wherever a query was stopped. `compact` folds batches that are done into one. Bundling by consecutive runs depends on the order of all pieces and stays a batch operator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -31,8 +34,24 @@ def graph_totals(dags: DataFrame) -> DataFrame:
     return dags.agg(F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error").isNotNull()).alias("error_records"), n("nodes").alias("nodes"), n("edges").alias("edges"))
 
 
-def start(totals: DataFrame, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the totals in the in-memory table `name`; progress is kept in the checkpoint folder. once: stop when all
-    files that are there have been read."""
-    writer = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+def start(records: DataFrame, totals_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the totals of arriving records below `path`, a shared folder; progress is kept in the checkpoint folder. once: stop
+    when all files that are there have been read."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        totals_of(batch).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = records.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def stored(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The totals so far: every other column than `keys` is summed over the batches."""
+    rows = spark.read.parquet(path).drop("batch")
+    sums = [F.sum(c).cast("long").alias(c) for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*sums) if keys else rows.agg(*sums)
+
+
+def compact(spark: SparkSession, path: str, to: str, keys: tuple[str, ...] = ()) -> None:
+    """Write the totals as batch -1 of another folder, where a query with a checkpoint of its own goes on."""
+    stored(spark, path, keys).coalesce(1).write.mode("overwrite").parquet(f"{to}/batch=-1")
