@@ -140,8 +140,22 @@ def first_label(text: Column) -> Column:
     return F.trim(F.get(found, 0))
 
 
+# Full case folding, by rule: characters that fold to one other, and those that fold to several.
+_FOLDS = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def casefolded(text: Column) -> Column:
+    """Full case folding. Only texts with a character that folds to several go through it character by character."""
+    one = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    several = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(several, c), c)), "")
+    return F.when(one.rlike(f"[{''.join(_SEVERAL)}]"), spelled).otherwise(one)
+
+
 def folded_label(label: Column, lowercase: bool = True) -> Column:
-    return F.replace(F.lower(label), F.lit("ß"), F.lit("ss")) if lowercase else label
+    return casefolded(label) if lowercase else label
 
 
 def canonical_label(label: Column) -> Column:

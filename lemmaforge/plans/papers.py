@@ -200,7 +200,7 @@ def l29_proof_blocks(spark, d):
 
 
 def l35_l37_label_forms(spark, d):
-    label = F.concat(F.lit("Lem:MainResult-"), "p_partkey", F.lit("_Straße"))
+    label = F.concat(F.lit("Lem:MainResult-"), "p_partkey", F.lit("_Straße_ΛΟΓΟΣ-ﬁt"))
     p = spark.read.parquet(f"{d}/part.parquet")
     return p.select("p_partkey", L.folded_label(label).alias("folded"), L.canonical_label(label).alias("canonical"), F.array_join(L.label_tokens(label), "|").alias("tokens"))
 
@@ -524,7 +524,7 @@ SQL = {
     "l31_l32_primary_label": "SELECT conv_id AS index, 'c' || conv_id || ':t' || turn AS label, 'eq|c' || conv_id || ':t' || turn AS labels FROM conversations",
     "l28_l34_blocks": f"WITH {_T} SELECT index, kind, md5(text) AS digest FROM s",
     "l29_proof_blocks": f"WITH {_T} SELECT index, CASE WHEN index % 4 = 1 THEN 'c' || index || ':t0' ELSE '' END AS header, 'c' || index || ':t' || (turn - 1) || '|c' || index || ':t' || (turn - 2) || '|zz' AS refs FROM s WHERE kind = 'theorem'",
-    "l35_l37_label_forms": "SELECT p_partkey, 'lem:mainresult-' || p_partkey || '_strasse' AS folded, 'lemmainresult' || p_partkey || 'strae' AS canonical, 'lem|main|result|' || p_partkey || '|straße' AS tokens FROM part",
+    "l35_l37_label_forms": "SELECT p_partkey, 'lem:mainresult-' || p_partkey || '_strasse_λογοσ-fit' AS folded, 'lemmainresult' || p_partkey || 'straet' AS canonical, 'lem|main|result|' || p_partkey || '|straße|λογος|ﬁt' AS tokens FROM part",
     "l25_reference_pattern": "SELECT conv_id, turn, 'r' AS usual, 'k' || turn || '|r' AS more FROM conversations",
     "a1_runs": "WITH r AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) <> event_type THEN 1 ELSE 0 END AS nw FROM events), u AS (SELECT *, CAST(sum(nw) OVER (ORDER BY event_id) AS BIGINT) AS run FROM r) SELECT run, event_type, count(*) AS n, min(event_id) AS first FROM u GROUP BY ALL",
     "a2_ordered_files": f"WITH {_PP} SELECT run, arxiv_id, string_agg(CASE turn WHEN 0 THEN 'main.tex' ELSE 'part.tex' END, ',' ORDER BY index) AS names FROM u GROUP BY ALL",

@@ -363,3 +363,10 @@ def test_projections_keep_norms_and_cosines(spark):
         apart = [abs(float(dense[i] @ dense[j]) - sum(w * sparse[j].get(t, 0.0) for t, w in sparse[i].items())) for i in dense for j in dense]
         assert max(apart) < 0.1 and sum(apart) / len(apart) < 0.03
     assert len(set(bags.mixed_rows(1 << 15).tolist())) == 1 << 15
+
+
+def test_labels_fold_like_casefold(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(every[i : i + 50]),) for i in range(0, len(every), 50)] + [("ΛΟΓΟΣ-ﬁt",), ("Straße",), ("plain",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select("t", L.folded_label(F.col("t")).alias("f")).collect()
+    assert all(r["f"] == (r["t"].casefold() if r["t"] is not None else None) for r in got)
