@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +86,7 @@ class Words:
         self.starts = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
         self.n = int(self.starts[-1])
         self.hashes = hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, self.n)
-        self.ends = np.fromiter((w[-1] in _ENDS for w in chain.from_iterable(split)), bool, self.n)
+        self.ends = np.fromiter(map(str.endswith, chain.from_iterable(split), repeat(_ENDS)), bool, self.n)
         up, self.down = _powers(self.n)
         zero = np.zeros(1, np.uint64)
         self.poly = np.concatenate((zero, np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
