@@ -118,7 +118,12 @@ def s11_scale_variants(spark, d):
 
 
 def s13_models(spark, d):
-    return shards.models(spark, _stored_shards(spark, d) + "/bert-base/toy/eval").select("model", "title", "embeddings")
+    """A model for each label, beside folders without files of a known kind."""
+    path = fresh_path(spark, "models")
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    v.select("vec_id", F.concat(F.lit("enc-"), "label").alias("model"), F.lit("toy").alias("size")).write.partitionBy("model", "size").parquet(f"{path}/embeddings")
+    v.select(F.col("label").cast("string").alias("value")).write.text(f"{path}/notes")
+    return shards.models(spark, path).select("model", "title", "projection", "adapter", "embeddings")
 
 
 def k1_line_sink(spark, d):
@@ -347,7 +352,7 @@ SQL = {
     "s9_listing": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name, true AS has_size",
     "s10_dataset": "SELECT count(DISTINCT conv_id) AS n, true AS same FROM conversations",
     "s11_scale_variants": "WITH l AS (SELECT conv_id, turn, 0 AS b FROM conversations UNION ALL SELECT conv_id, 98, 1 FROM conversations WHERE turn = 0 AND conv_id % 7 = 2), n AS (SELECT b, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM l) SELECT size, count(*) AS n FROM n, (VALUES ('toy', 200), ('tiny', 1000), ('small', 10000), ('medium', 100000), ('full', 4611686018427387904)) t(size, most) WHERE b = 0 AND index < most GROUP BY size",
-    "s13_models": "SELECT 'embeddings' AS model, 'Embeddings' AS title, true AS embeddings",
+    "s13_models": "SELECT DISTINCT 'enc-' || label AS model, 'Enc ' || label AS title, false AS projection, false AS adapter, true AS embeddings FROM embeddings",
     "k1_line_sink": "SELECT conv_id, turn FROM conversations",
     "k2_ordered_sink": "SELECT conv_id * 100 + turn AS key, row_number() OVER (ORDER BY conv_id * 100 + turn) - 1 AS place FROM conversations",
     "k3_non_empty_sink": f"WITH {_P} SELECT index FROM p WHERE index % 5 <> 1 AND len(lemmas) + len(theorems) > 0",

@@ -79,8 +79,10 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def models(spark: SparkSession, path: str) -> DataFrame:
-    """(model, title, projection, adapter, embeddings): folders with files of one of these kinds."""
-    at = files(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("model"), "name")
+    """(model, title, projection, adapter, embeddings): models with files of one of these kinds. A model is what a partition
+    of the store is named after, or else the folder that holds the file."""
+    stored, folder = F.regexp_extract("path", "/model=([^/]+)/", 1), F.element_at(F.split("path", "/"), -2)
+    at = files(spark, path).select(F.when(stored != "", stored).otherwise(folder).alias("model"), "name")
     has = lambda pattern: F.bool_or(F.col("name").rlike(pattern))
     kinds = at.groupBy("model").agg(has("^projection").alias("projection"), has("^adapter|^lora").alias("adapter"), has("embedding|parquet$").alias("embeddings"))
     title = F.initcap(F.translate("model", "-_", "  "))
