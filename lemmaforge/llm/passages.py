@@ -86,7 +86,7 @@ class Words:
         self.starts = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
         self.n = int(self.starts[-1])
         self.hashes = hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, self.n)
-        self.ends = np.fromiter(map(str.endswith, chain.from_iterable(split), repeat(_ENDS)), bool, self.n)
+        self.split = split
         up, self.down = _powers(self.n)
         zero = np.zeros(1, np.uint64)
         self.poly = np.concatenate((zero, np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
@@ -105,7 +105,8 @@ class Words:
         """The words at which a line starts. Whether one does is decided by the `reach` words before it and from it on."""
         if not reach:
             return np.arange(self.n)
-        start = np.concatenate(([False], self.ends[:-1]))
+        ends = np.fromiter(map(str.endswith, chain.from_iterable(self.split), repeat(_ENDS)), bool, self.n)
+        start = np.concatenate(([False], ends[:-1]))
         if self.n >= reach:
             doc = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
             best = _least_of(self.hashes, reach)[doc[: self.n - reach + 1] == doc[reach - 1 :]]
@@ -132,8 +133,9 @@ class Words:
         begin = cuts[until < len(cuts)]
         end = cuts[until[until < len(cuts)]]
         value = self.keys(begin, end)
-        low = np.searchsorted(begin, at + reach)  # the first run of lines whose start the window decides
-        count = np.searchsorted(end, at + least - reach, side="right") - low
+        under = lambda x: np.concatenate(([0], np.cumsum(np.bincount(x, minlength=self.n + 1))))  # noqa: E731  how many are less, by place
+        low = under(begin)[at + reach]  # the first run of lines whose start the window decides
+        count = under(end)[at + (least - reach + 1)] - low
         seed = np.arange(len(value))
         chosen = seed[low]
         for k in range(1, int(count.max()).bit_length()):  # seed: the least of 2 ** k neighbours
