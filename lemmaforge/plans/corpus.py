@@ -99,7 +99,7 @@ def s8_precomputed(spark, d):
 
 
 def s9_listing(spark, d):
-    return shards.files(spark, d, "*.parquet").select("name", (F.col("mb") > 0).alias("has_size"))
+    return shards.datasets(spark, d).select("name", (F.col("mb") > 0).alias("has_size"))
 
 
 def s10_dataset(spark, d):

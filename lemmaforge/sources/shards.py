@@ -78,6 +78,15 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") / 1048576).alias("mb"))
 
 
+def datasets(spark: SparkSession, path: str, ending: str = ".parquet") -> DataFrame:
+    """(name, mb) of the datasets right below a folder, from metadata only: a file, or a folder of files and partitions, is one
+    dataset when its name has the ending."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
+    below = F.substring(F.regexp_replace("path", "^[^/:]+:(//[^/]*)?", ""), F.lit(len(root) + 2), F.length("path"))
+    found = files(spark, path).select(F.split(below, "/")[0].alias("name"), "mb").filter(F.endswith("name", F.lit(ending)))
+    return found.groupBy("name").agg(F.sum("mb").alias("mb"))
+
+
 def models(spark: SparkSession, path: str) -> DataFrame:
     """(model, title, projection, adapter, embeddings): models with files of one of these kinds. A model is what a partition
     of the store is named after, or else the folder that holds the file."""

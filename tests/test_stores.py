@@ -86,3 +86,15 @@ def test_levels_of_random_graphs_and_a_long_chain(spark):
     none = spark.createDataFrame([], "index long, id string")
     assert dag.levels(none, spark.createDataFrame([], "index long, `from` string, `to` string")).count() == 0
     assert got.filter(F.col("level") == 999).count() == 1
+
+
+def test_a_dataset_of_many_files_is_listed_once(spark, tmp_path):
+    """Below a folder whose own name has the ending, too."""
+    root = tmp_path / "all.parquet"
+    spark.range(40).repartition(3).write.parquet(str(root / "many.parquet"))
+    spark.range(4).selectExpr("id", "id % 2 as k").write.partitionBy("k").parquet(str(root / "by key.parquet"))
+    (root / "one.parquet").write_bytes(b"x" * 2**20)
+    (root / "notes.txt").write_text("x")
+    for path in (str(root), f"file://{root}/"):
+        got = {r["name"]: r["mb"] for r in shards.datasets(spark, path).collect()}
+        assert set(got) == {"many.parquet", "by key.parquet", "one.parquet"} and got["one.parquet"] == 1 and min(got.values()) > 0
