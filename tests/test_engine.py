@@ -338,6 +338,53 @@ def test_tiles_of_a_super_block_add_up(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def brute_ranks(ids, grp, x):
+    """Order of all others of each, and the place of its first positive."""
+    s = np.round(x @ x.T, 6)
+    order = {i: sorted((j for j in range(len(ids)) if ids[j] != ids[i]), key=lambda j: (-s[i, j], ids[j])) for i in range(len(ids))}
+    return {ids[i]: [ids[j] for j in o] for i, o in order.items()}, {ids[i]: next((k + 1 for k, j in enumerate(o) if grp[i] == grp[j]), None) for i, o in order.items()}
+
+
+@pytest.mark.parametrize("scale", [1.0, 300.0, 1e16])
+def test_screened_scores_are_decided_in_double_precision(spark, monkeypatch, scale):
+    """Scores that differ in the sixth digit or are equal, copies, several tiles, groups of one; numbers too large to screen."""
+    monkeypatch.setattr(similarity, "TILE_ROWS", 16)
+    monkeypatch.setattr(similarity, "TILE_PLACES", 30)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(130, 5)), 2) * scale
+    x[40:80] = x[0] + np.round(rng.normal(size=(40, 5)) * 3, 0) * 1e-6 / scale
+    x[100:110] = x[3]
+    ids, grp = rng.permutation(130).tolist(), [int(g) for g in rng.integers(0, 4, 129)] + [9]
+    v = spark.createDataFrame([(i, g, r.tolist()) for i, g, r in zip(ids, grp, x, strict=True)], "id long, grp long, vec array<double>")
+    order, first = brute_ranks(ids, grp, x)
+    for block in (2048, 20):
+        assert {r["id"]: r["rank"] for r in similarity.first_positive_ranks(v, block).collect()} == first
+    got = {}
+    for r in similarity.ranking(v, 7).orderBy("q", "rk").collect():
+        got.setdefault(r["q"], []).append(r["c"])
+    assert got == {i: o[:7] for i, o in order.items()}
+    totals = {r["q"]: (r["n"], r["total"]) for r in similarity.score_totals(v).collect()}
+    exact = x @ x.T
+    assert all(totals[i][0] == 129 and abs(totals[i][1] - (exact[k].sum() - exact[k, k])) <= 1e-9 * np.abs(exact[k]).sum() for k, i in enumerate(ids))
+
+
+def test_a_tile_holds_little(spark):
+    """All pairs of 4,000 vectors in one task: scores are never held whole, nor a tile of 2,048 by 2,048."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(size=(4000, 8)).astype(np.float32)
+    t = pa.table({"id": np.arange(4000), "vec": pa.array(list(x), pa.list_(pa.float32()))})
+    screen = similarity.Screen(t, t)
+    tracemalloc.start()
+    screen.best(np.arange(4000), np.arange(4000), 5)
+    screen.ahead(np.zeros(4000), np.zeros(4000, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6
+
+
 def test_signatures_by_their_definition(spark):
     texts = spark.createDataFrame([(1, "a b c a"), (2, "d"), (3, "")], "item long, text string")
     got = {r["item"]: list(r["sig"]) for r in bags.minhash(bags.bags_by_item(texts, "item", "text"), 40).collect()}
