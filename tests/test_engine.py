@@ -368,6 +368,25 @@ def test_screened_scores_are_decided_in_double_precision(spark, monkeypatch, sca
     assert all(totals[i][0] == 129 and abs(totals[i][1] - (exact[k].sum() - exact[k, k])) <= 1e-9 * np.abs(exact[k]).sum() for k, i in enumerate(ids))
 
 
+def test_whole_rankings_shuffle_no_pairs(spark, monkeypatch):
+    """The same ranks by blocks and by sorted pairs, for scores of any size; blocks exchange vectors only."""
+    rng = np.random.default_rng(6)
+    for scale in (0.5, 2.0**40):  # products are exact
+        x = rng.integers(-9, 10, (90, 3)) * scale
+        x[7] = x[8] = x[9]
+        v = spark.createDataFrame([(89 - i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+        monkeypatch.setattr(similarity, "RANKED_NUMBERS", 90 * 3)
+        monkeypatch.setattr(similarity, "RANKED_SCORES", 300)
+        blocks = similarity.ranking(v)
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning(q" not in plan
+        monkeypatch.setattr(similarity, "RANKED_NUMBERS", 90 * 3 - 1)
+        pairs = similarity.ranking(v)
+        assert "Window" in pairs._jdf.queryExecution().executedPlan().toString()
+        got, want = ({(r["q"], r["c"]): (r["rk"], r["score"]) for r in t.collect()} for t in (blocks, pairs))
+        assert got == want and len(got) == 90 * 89
+
+
 def test_a_tile_holds_little(spark):
     """All pairs of 4,000 vectors in one task: scores are never held whole, nor a tile of 2,048 by 2,048."""
     import tracemalloc
