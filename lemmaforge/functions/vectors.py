@@ -18,8 +18,9 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    return F.transform(F.array(F.greatest(norm(a), F.lit(EPS))), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
+    """Unit length; a zero vector stays zero. The vector and its length are elements of arrays, so that each is computed once."""
+    scaled = lambda v: F.transform(F.array(F.greatest(norm(v), F.lit(EPS))), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
+    return F.transform(F.array(a), scaled)[0]
 
 
 def first_vector(states: Column) -> Column:

@@ -404,6 +404,19 @@ def test_a_tile_holds_little(spark):
     assert peak < 24e6
 
 
+def test_lengths_are_computed_once_a_vector(spark, sf):
+    """Above the rows of single numbers nothing is left to compute but their rounding, and a vector enters its scaling once."""
+    from lemmaforge.functions.vectors import normalised
+    from lemmaforge.plans import retrieval
+
+    plan = retrieval.v2_normalise(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "aggregate(" not in plan.split("Generate posexplode")[0]
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id long, v array<double>")
+    scaled = rows.select("id", normalised(F.transform("v", lambda x: x * 2)).alias("u"))
+    assert {r["id"]: list(r["u"]) for r in scaled.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+    assert scaled._jdf.queryExecution().optimizedPlan().toString().count("* 2") == 1
+
+
 def test_signatures_by_their_definition(spark):
     texts = spark.createDataFrame([(1, "a b c a"), (2, "d"), (3, "")], "item long, text string")
     got = {r["item"]: list(r["sig"]) for r in bags.minhash(bags.bags_by_item(texts, "item", "text"), 40).collect()}
