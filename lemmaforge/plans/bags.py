@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lemmaforge.functions.text import mask, padded, word_tokens
 from lemmaforge.operators import bags as b
-from lemmaforge.operators import encoders, index
+from lemmaforge.operators import index
 from lemmaforge.operators import similarity as sim
 from lemmaforge.session import cut, spread
 
@@ -117,10 +117,10 @@ def v8_projected(spark, d):
 
 
 def v9_minhash_search(spark, d):
-    """The documents whose signatures have the greatest cosine with each item's."""
-    encode = encoders.encoder("minhash")
-    v = lambda rows, key: cut(encode(rows.withColumnRenamed(key, "item")).withColumnRenamed("item", "id"), "signatures")
-    return sim.nearest_between(v(_items(spark, d), "item_id"), v(_docs(spark, d), "doc_id"), TOP).select("q", F.col("c").alias("item"), "score", "rk")
+    """The documents whose signatures have the greatest cosine with each item's. Documents' signatures are not stored."""
+    signed = lambda rows, key: bags_of(rows, key).select(F.col("item").alias("id"), F.col("sig").alias("vec"))
+    bags_of = lambda rows, key: b.minhash(b.bags_by_item(rows, key, "text"))
+    return sim.nearest_of_scan(cut(signed(_items(spark, d), "item_id"), "signatures"), signed(_docs(spark, d), "doc_id"), TOP, True).select("q", F.col("c").alias("item"), "score", "rk")
 
 
 def f10_valid_tokens(spark, d):

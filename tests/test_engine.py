@@ -208,6 +208,23 @@ def test_nearest_between_two_tables(spark):
     assert got == {i: np.argsort(-np.round(s, 6), kind="stable")[:4].tolist() for i, s in enumerate(a @ b.T)}
 
 
+def test_few_queries_scan_candidates_where_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(1, 9, (7, 3)), rng.integers(1, 9, (900, 3))
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<int>")
+    dots = (a @ b.T).astype(float)
+    cosines = dots / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+    for held in (21, 20):
+        monkeypatch.setattr(similarity, "HELD_NUMBERS", held)
+        for cosine, s in ((False, dots), (True, cosines)):
+            got, found = {}, similarity.nearest_of_scan(frame(a), frame(b), 4, cosine)
+            for r in found.orderBy("q", "rk").collect():
+                got.setdefault(r["q"], []).append(r["c"])
+            assert got == {i: np.argsort(-np.round(x, 6), kind="stable")[:4].tolist() for i, x in enumerate(s)}
+            assert held < 21 or "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert similarity.nearest_of_scan(frame(a).filter("id < 0"), frame(b), 4).count() == 0
+
+
 def test_edge_sink(spark, tmp_path):
     rows = [(1, 2, "c", "C", "a", None), (1, 1, "a", "\u00c4", "b", "say \"b\""), (None, 1, "x", "X", "y", "Y")]
     edges = spark.createDataFrame(rows, "index long, place int, `from` string, from_text string, `to` string, to_text string")
