@@ -225,6 +225,17 @@ def test_few_queries_scan_candidates_where_they_lie(spark, monkeypatch):
     assert similarity.nearest_of_scan(frame(a).filter("id < 0"), frame(b), 4).count() == 0
 
 
+def test_one_search_writes_and_shuffles_no_documents(spark, sf, monkeypatch):
+    from lemmaforge.plans import bags as plans
+
+    def stored(*_):
+        raise AssertionError("documents are stored")
+
+    monkeypatch.setattr(plans, "_stored", stored)
+    plan = plans.w5_lexical_search(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the best of each task
+
+
 def test_edge_sink(spark, tmp_path):
     rows = [(1, 2, "c", "C", "a", None), (1, 1, "a", "\u00c4", "b", "say \"b\""), (None, 1, "x", "X", "y", "Y")]
     edges = spark.createDataFrame(rows, "index long, place int, `from` string, from_text string, `to` string, to_text string")
