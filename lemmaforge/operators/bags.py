@@ -26,6 +26,7 @@ ENCODER_LENGTH = 100.0
 PRIME = 30011
 CHUNK = 256
 WIDTH = 2048  # of signatures and projections
+COLUMNS = 128  # of tables by term number, which a task holds at once
 PROJECTED_BITS = 15  # more than PRIME has
 
 
@@ -281,10 +282,10 @@ def number_of(term: str, prime: int = PRIME) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % prime
 
 
-def _by_number(bags: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray], table: Callable[[np.ndarray], np.ndarray], field: str, kind: str, weights: bool) -> DataFrame:
+def _by_number(bags: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray], table: Callable[[np.ndarray, slice], np.ndarray], width: int, field: str, kind: str, weights: bool) -> DataFrame:
     """(item, `field`) of bags with terms: values(rows of `table` by the item's term numbers, weights). `table` has a row for
-    each number and is made once for the different terms of some CHUNK items."""
-    width = {"int": pa.int32(), "double": pa.float64()}[kind]
+    each number and `width` columns; COLUMNS of them are made at once for the different terms of some CHUNK items."""
+    stored = {"int": pa.int32(), "double": pa.float64()}[kind]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -293,14 +294,17 @@ def _by_number(bags: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.nd
                 coded = batch.column("terms").flatten().dictionary_encode()
                 numbers = np.array([number_of(t) for t in coded.dictionary.to_pylist()], np.int64)
                 different, row = np.unique(numbers, return_inverse=True)
-                rows = table(different)
                 code = row[coded.indices.to_numpy(zero_copy_only=False)]
                 ws = batch.column("ws").flatten().to_numpy(zero_copy_only=False) if weights else np.zeros(len(code))
                 ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False))
                 begins = np.concatenate(([0], ends[:-1]))
-                found = [values(rows[code[a:b]], ws[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                flat = np.concatenate(found) if found else np.zeros(0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * (len(flat) // max(1, len(found))), pa.int32()), pa.array(flat, width))
+                found = np.empty((len(ends), width), stored.to_pandas_dtype())
+                for first in range(0, width, COLUMNS):
+                    part = slice(first, first + COLUMNS)
+                    rows = table(different, part)
+                    for i, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+                        found[i, part] = values(rows[code[begin:end]], ws[begin:end])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * width, pa.int32()), pa.array(found.ravel(), stored))
                 yield pa.RecordBatch.from_arrays([batch.column("item"), lists], names=["item", field])
 
     return bags.filter(F.size("terms") > 0).mapInArrow(scan, f"item {dict(bags.dtypes)['item']}, {field} array<{kind}>")
@@ -312,7 +316,7 @@ def minhash(bags: DataFrame, count: int = WIDTH, prime: int = PRIME) -> DataFram
     The functions' values of a term are computed once for some CHUNK items, and an item takes their minima.
     """
     a, b = (np.array(x, np.int32) for x in zip(*hash_functions(count, prime), strict=True))  # products stay under 2 ** 31
-    return _by_number(bags.select("item", "terms"), lambda rows, _: rows.min(0), lambda x: ((x.astype(np.int32)[:, None] * a + b) % np.int32(prime)).astype(np.int16), "sig", "int", False)
+    return _by_number(bags.select("item", "terms"), lambda rows, _: rows.min(0), lambda x, part: ((x.astype(np.int32)[:, None] * a[part] + b[part]) % np.int32(prime)).astype(np.int16), count, "sig", "int", False)
 
 
 def mixed_rows(dimensions: int, bits: int = PROJECTED_BITS) -> np.ndarray:
@@ -334,9 +338,9 @@ def projected(weighted: DataFrame, dimensions: int = WIDTH) -> DataFrame:
     """
     rows = mixed_rows(dimensions)
 
-    def table(x: np.ndarray) -> np.ndarray:
-        parity = np.bitwise_count(x[:, None] & rows[None, :]) & 1
+    def table(x: np.ndarray, part: slice) -> np.ndarray:
+        parity = np.bitwise_count(x[:, None] & rows[None, part]) & 1
         return (1 - 2 * parity.astype(np.int8)) * signs(x)[:, None]
 
     flat = weighted.select("item", F.col("bag.term").alias("terms"), F.col("bag.w").alias("ws"))
-    return _by_number(flat, lambda t, w: w @ t / math.sqrt(dimensions), table, "vec", "double", True)
+    return _by_number(flat, lambda t, w: w @ t / math.sqrt(dimensions), table, dimensions, "vec", "double", True)

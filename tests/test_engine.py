@@ -453,6 +453,28 @@ def test_signatures_by_their_definition(spark):
     assert len(set(bags.hash_functions(bags.WIDTH))) == bags.WIDTH
 
 
+def test_tables_of_terms_are_held_in_parts(spark, monkeypatch):
+    """Signatures and projections are the same by any number of columns at once, and no table is wider."""
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, 40 + 3 * i))) for i in range(9)], "item long, text string")
+    frame = bags.bags_by_item(texts, "item", "text")
+    of = lambda t, field: {r["item"]: list(r[field]) for r in t.collect()}
+    want = of(bags.minhash(frame, 50), "sig"), of(bags.projected(bags.binary_bags(frame), 50), "vec")
+    monkeypatch.setattr(bags, "COLUMNS", 7)
+    seen, own = spark.sparkContext.accumulator(0), bags._by_number
+
+    def counted(rows, values, table, *rest):
+        def part(x, columns):
+            got = table(x, columns)
+            seen.add(got.shape[1] > 7)
+            return got
+
+        return own(rows, values, part, *rest)
+
+    monkeypatch.setattr(bags, "_by_number", counted)
+    got = of(bags.minhash(frame, 50), "sig"), of(bags.projected(bags.binary_bags(frame), 50), "vec")
+    assert got[0] == want[0] and all(np.allclose(got[1][i], v, atol=1e-12) for i, v in want[1].items()) and set(got[1]) == set(want[1]) and seen.value == 0
+
+
 def test_projections_keep_norms_and_cosines(spark):
     """2,048 dimensions: unit vectors keep their length and their cosines within 0.1."""
     rng = random.Random(3)
