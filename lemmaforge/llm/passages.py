@@ -25,9 +25,7 @@ before a deleted stretch stays, white space behind it goes; extra columns pass t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +39,22 @@ from lemmaforge.llm.columns import Plain, whole_numbers
 from lemmaforge.session import cut, release, workers_see_package
 
 MIN_WORDS = 50
-_ENDS = (".", "!", "?")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 64
-_WORD = re.compile(r"\S+")
 _SPAN = "ps_s long, ps_h long, ps_g long, ps_k long, ps_t long, ps_a int, ps_n int"
 _KEYED = "ps_w long, ps_v long, ps_k long, ps_t long, ps_a int"
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
+#: White space of str.split, by code point: the last and those above are none.
+_BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
+_WIDE = [chr(i).encode() for i in np.flatnonzero(_BLANK).tolist() if i >= 128]
+_WIDE_2, _WIDE_3 = (np.array([int.from_bytes(c, "big") for c in _WIDE if len(c) == n]) for n in (2, 3))
+#: Bytes of UTF-8: 1 is white space, 2 may begin white space of several bytes, 0 is neither.
+_KIND = bytes(2 if i in {c[0] for c in _WIDE} else int(i < 128 and chr(i).isspace()) for i in range(256))
+_ENDS = np.isin(np.arange(256), list(b".!?"))
+#: Words of more bytes are hashed one by one, others eight bytes at a time for all words at once.
+_LONG = 64
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +84,69 @@ def _least_of(value: np.ndarray, wide: int) -> np.ndarray:
     return best
 
 
+def _utf8(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, one text behind the other and then eight zeros, and where each text starts; null is empty."""
+    column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, in bytes, as str.split finds them in each text."""
+    kind = np.frombuffer(data[: offsets[-1] + 2].tobytes().translate(_KIND), np.uint8)
+    blank = kind == 1
+    lead = np.flatnonzero(kind == 2)
+    if len(lead):
+        code = data[lead].astype(np.int64) << 8 | data[lead + 1]
+        for wide, size in (lead[np.isin(code, _WIDE_2)], 2), (lead[np.isin(code << 8 | data[lead + 2], _WIDE_3)], 3):
+            for i in range(size):
+                blank[wide + i] = True
+    word = ~blank[:-2]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= blank[:-3]
+    ends[:-1] &= blank[1:-2]
+    begins[edges] = word[edges]
+    edges = offsets[1:][np.diff(offsets) > 0] - 1
+    ends[edges] = word[edges]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x *= _OTHER
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(_BASE)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes and their number; equal words have equal ones."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each byte on
+    size = ends - begins
+    value = _mix(size.astype(np.uint64) * np.uint64(_BASE) ^ eights[begins] & _LOW_BYTES[np.minimum(size, 8)])
+    rest = np.flatnonzero(size > 8)
+    for at in range(8, _LONG, 8):
+        value[rest] = _mix(value[rest] ^ eights[begins[rest] + at] & _LOW_BYTES[np.minimum(size[rest] - at, 8)])
+        rest = rest[size[rest] > at + 8]
+    for i in rest.tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]])
+    return value
+
+
 class Words:
     """Hashes of the words of several texts, one text behind the other, and where each text's words start."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        split = [(text or "").split() for text in texts]
-        self.starts = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
-        self.n = int(self.starts[-1])
-        self.hashes = hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, self.n)
-        self.split = split
+    def __init__(self, texts: pa.Array | list[str | None]) -> None:
+        data, offsets = _utf8(texts)
+        begins, ends = _bounds(data, offsets)
+        self.starts = np.searchsorted(begins, offsets)
+        self.n = len(begins)
+        self.closes = _ENDS[data[ends - 1]]  # words behind which a line ends
+        self.hashes = hashes = _hashes(data, begins, ends)
         up, self.down = _powers(self.n)
         zero = np.zeros(1, np.uint64)
         self.poly = np.concatenate((zero, np.cumsum(hashes * up[: self.n], dtype=np.uint64)))
@@ -105,8 +165,7 @@ class Words:
         """The words at which a line starts. Whether one does is decided by the `reach` words before it and from it on."""
         if not reach:
             return np.arange(self.n)
-        ends = np.fromiter(map(str.endswith, chain.from_iterable(self.split), repeat(_ENDS)), bool, self.n)
-        start = np.concatenate(([False], ends[:-1]))
+        start = np.concatenate(([False], self.closes[:-1]))
         if self.n >= reach:
             doc = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
             best = _least_of(self.hashes, reach)[doc[: self.n - reach + 1] == doc[reach - 1 :]]
@@ -162,7 +221,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _spans(keyed: DataFrame, text: str, least: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
-            words = Words(batch.column(2).to_pylist())
+            words = Words(batch.column(2))
             seed, a, n, doc = words.spans(least)
             take = pa.array(doc)
             columns = [_signed(seed), *words.both_keys(a, a + n - 1 + least), batch.column(0).take(take), batch.column(1).take(take), pa.array((a - words.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
@@ -176,7 +235,7 @@ def _windows(joined: DataFrame, text: str, least: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
-            words = Words(batch.column(text).to_pylist())
+            words = Words(batch.column(text))
             spans = batch.column("ps_spans")
             count = spans.value_lengths().to_numpy(zero_copy_only=False)
             doc, pair = np.repeat(np.arange(len(count)), count), spans.flatten().to_numpy(zero_copy_only=False)
@@ -245,8 +304,9 @@ def without_runs(text: str, runs: list[list[int]]) -> tuple[str, int]:
 
 def without_words(text: str, marks: np.ndarray) -> tuple[str, int]:
     """The text without the marked words, and their number."""
-    begins = [m.start() for m in _WORD.finditer(text)]
-    begins = np.array([0, *begins[1:], len(text)], np.int64)
+    blank = _BLANK.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
+    begins = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    begins = np.concatenate(([0], begins[1:], [len(text)]))
     return without_runs(text, np.column_stack((begins[marks >> 32], begins[marks & 0xFFFFFFFF])).tolist())
 
 

@@ -2,9 +2,12 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from lemmaforge.llm import jaccard, passages
 
@@ -103,3 +106,53 @@ def test_ids_that_are_no_numbers_are_refused(spark):
     for run in (passages.dedup_passages, jaccard.jaccard_join):
         with pytest.raises(TypeError, match="doc_id is string"):
             run(docs)
+
+
+BLANKS = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+
+
+def odd_texts(rng, n):
+    """Texts of all white space there is and of what resembles it in UTF-8, with short, long and very long words."""
+    parts = [*BLANKS, *"ab.!?\0\x80\xe9\u200b\u2040\u205e\u2060\u1681\u3001\u4e2d\U0001f600", "abcdefgh", "x" * 63, "x" * 64, "x" * 65, "\xe9" * 40, "y" * 200]
+    return [None if rng.random() < 0.1 else "".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(n)]
+
+
+def test_words_are_those_of_split_and_equal_ones_have_equal_hashes():
+    rng, hashes = random.Random(5), {}
+    for _ in range(400):
+        texts = odd_texts(rng, rng.randrange(9))
+        split = [(t or "").split() for t in texts]
+        column = pa.array([None, "before it ", *texts, "behind"], pa.string())[2:-1]
+        for words in passages.Words(texts), passages.Words(column):
+            assert words.starts.tolist() == [0, *np.cumsum([len(w) for w in split]).tolist()]
+            flat = [w for s in split for w in s]
+            assert words.closes.tolist() == [w.endswith((".", "!", "?")) for w in flat]
+            assert all(hashes.setdefault(w, h) == h for w, h in zip(flat, words.hashes.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes) > 1000
+
+
+def test_marked_words_go_whatever_white_space_there_is():
+    rng = random.Random(6)
+    for text in filter(None, odd_texts(rng, 400)):
+        if n := len(text.split()):
+            a, b = sorted(rng.sample(range(n + 1), 2))
+            kept, gone = passages.without_words(text, np.array([a << 32 | b]))
+            assert gone == b - a and kept.split() == [*text.split()[:a], *text.split()[b:]]
+
+
+def test_words_cost_less_than_a_call_for_each():
+    """CPU seconds a GB are mostly the words': they are found and hashed a batch at a time."""
+    rng = random.Random(7)
+    texts = [" ".join(f"word{rng.randrange(50000)}" for _ in range(500)) for _ in range(400)]
+
+    def seconds(work):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    one_by_one = seconds(lambda: [xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split()])
+    together = seconds(lambda: passages.Words(texts))
+    assert together < one_by_one * 0.9, (together, one_by_one)
