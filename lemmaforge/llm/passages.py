@@ -49,6 +49,7 @@ _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
 _WIDE = [chr(i).encode() for i in np.flatnonzero(_BLANK).tolist() if i >= 128]
 _WIDE_2, _WIDE_3 = (np.array([int.from_bytes(c, "big") for c in _WIDE if len(c) == n]) for n in (2, 3))
+_PAIRS = np.isin(np.arange(1 << 16), [int.from_bytes(c[:2], "big") for c in _WIDE])
 #: Bytes of UTF-8: 1 is white space, 2 may begin white space of several bytes, 0 is neither.
 _KIND = bytes(2 if i in {c[0] for c in _WIDE} else int(i < 128 and chr(i).isspace()) for i in range(256))
 _ENDS = np.isin(np.arange(256), list(b".!?"))
@@ -101,6 +102,7 @@ def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lead = np.flatnonzero(kind == 2)
     if len(lead):
         code = data[lead].astype(np.int64) << 8 | data[lead + 1]
+        lead, code = lead[_PAIRS[code]], code[_PAIRS[code]]
         for wide, size in (lead[np.isin(code, _WIDE_2)], 2), (lead[np.isin(code << 8 | data[lead + 2], _WIDE_3)], 3):
             for i in range(size):
                 blank[wide + i] = True
@@ -128,12 +130,13 @@ def _hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarra
     eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each byte on
     size = ends - begins
     value = _mix(size.astype(np.uint64) * np.uint64(_BASE) ^ eights[begins] & _LOW_BYTES[np.minimum(size, 8)])
-    rest = np.flatnonzero(size > 8)
+    rest = np.flatnonzero((size > 8) & (size <= _LONG))
     for at in range(8, _LONG, 8):
         value[rest] = _mix(value[rest] ^ eights[begins[rest] + at] & _LOW_BYTES[np.minimum(size[rest] - at, 8)])
         rest = rest[size[rest] > at + 8]
-    for i in rest.tolist():
-        value[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]])
+    if len(long := np.flatnonzero(size > _LONG)):
+        raw = memoryview(data)
+        value[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True)]
     return value
 
 
