@@ -415,6 +415,50 @@ def test_whole_rankings_shuffle_no_pairs(spark, monkeypatch):
         assert got == want and len(got) == 90 * 89
 
 
+def test_whole_rankings_by_ranges_of_candidates(spark, monkeypatch):
+    """Small limits: several steps, stretches of ranks and ranges; ids that repeat rank all vectors of other ids."""
+    monkeypatch.setattr(similarity, "RANKED_SCORES", 300)
+    monkeypatch.setattr(similarity, "RANKED_PLACES", 700)
+    monkeypatch.setattr(similarity, "RANKED_RANGE", 30)
+    monkeypatch.setattr(similarity, "RETURNED_SCORES", 90)
+    monkeypatch.setattr(similarity, "RETURNED_ROWS", 7)
+    rng = np.random.default_rng(12)
+    for scale in (1.0, 2.0**40):  # products are exact
+        x = rng.integers(-9, 10, (110, 3)) * scale
+        ids = [*range(-50, 54), 7, 7, -50, 53, 53, 20]
+        v = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "id long, vec array<double>")
+        want = []
+        for k, i in enumerate(ids):
+            others = sorted((-float(x[k] @ x[j]), ids[j]) for j in range(110) if ids[j] != i)
+            want += [(i, c, -s, rk) for rk, (s, c) in enumerate(others, 1)]
+        assert sorted(map(tuple, similarity.ranking(v).collect())) == sorted(want)
+        assert sorted(map(tuple, similarity.ranking(v, scores=False).collect())) == sorted((q, c, rk) for q, c, _, rk in want)
+
+
+def test_whole_rankings_take_little_disk(spark, tmp_path):
+    """A file of them has little more than the bits of a candidate's place a row, and each block of queries gets the vectors once."""
+    n = 2000
+    x = np.random.default_rng(13).normal(size=(n, 4)).round(3)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    out = similarity.ranking(v).select("q", "c", "rk")
+    out.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2.2 * n * (n - 1)
+    blocks = 2 * spark.sparkContext.defaultParallelism
+    assert f"sequence(0, {blocks - 1}," in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_ids_repeat_among_rows_that_lie_together():
+    """20,000 rows of a page, of 60 queries and 100,000 candidates: their ids, taken once, and the numbers of these are smaller than all ids."""
+    rng = np.random.default_rng(14)
+    places = np.stack([rng.permutation(100_000) for _ in range(60)]).astype(np.int32)
+    batches = list(similarity._by_rank(np.arange(60), np.arange(100_000) * 3, places, None))
+    c, rk = (np.concatenate([np.asarray(b.column(name)) for b in batches]) for name in ("c", "rk"))
+    assert len(c) == 60 * 100_000 and len(np.unique(c)) == 100_000
+    distinct = [len(np.unique(c[k : k + 20_000])) for k in range(0, len(c), 20_000)]
+    assert np.mean([d * 8 + 20_000 * 14 / 8 < 20_000 * 8 for d in distinct]) > 0.95
+    assert np.mean(np.diff(rk) != 0) < 0.1
+
+
 def test_a_tile_holds_little(spark):
     """All pairs of 4,000 vectors in one task: scores are never held whole, nor a tile of 2,048 by 2,048."""
     import tracemalloc
